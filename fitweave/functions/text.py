@@ -13,9 +13,12 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0   　"
-LINE_BREAKS = r"\r\n|[\r\x0B\f\x1C\x1D\x1E\u0085  ]"
-SPACES = r"[\s \u0085   　]+"
+WHITESPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+LINE_BREAKS = r"\r\n|[\r\x0B\f\x1C\x1D\x1E\u0085\u2028\u2029]"
+SPACES = r"[\s\x1C-\x1F\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
 BEFORE_WORD = r"(?<![\p{L}\p{N}_])"
 AFTER_WORD = r"(?![\p{L}\p{N}_])"
 
