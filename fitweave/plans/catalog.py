@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fitweave.plans import history, scoring  # noqa: F401  (registration)
+from fitweave.plans import history, matching, scoring  # noqa: F401  (registration)
 from fitweave.plans.registry import QUERIES, Tables
 
 __all__ = ["QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return scoring.a01(Tables(spark, folder))
+    return matching.m1_fit(Tables(spark, folder))

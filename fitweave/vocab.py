@@ -276,3 +276,62 @@ MONTHS = {
     "sep": 9, "sept": 9, "september": 9, "okt": 10, "oktober": 10, "oct": 10, "october": 10,
     "nov": 11, "november": 11, "dez": 12, "dezember": 12, "dec": 12, "december": 12,
 }
+
+# --- fixed values: texts shown with a match, per rule (explanation, recommended action) ----
+MATCH_TEXTS = {
+    "years_unknown": (
+        "Für die Skills des Profils sind keine Erfahrungsjahre dokumentiert.",
+        "Erfahrungsjahre bei den relevanten Skills ergänzen und manuell prüfen.",
+    ),
+    "no_terms": (
+        "The requirement could not be matched because no usable terms were found.",
+        "Review and classify this requirement manually.",
+    ),
+    "soft_unmatched": (
+        "Soft skills cannot be treated as a factual gap solely because no matching profile "
+        "keyword was found.",
+        "Review references and concrete work examples manually; add a behavioral example only "
+        "when it is verifiable.",
+    ),
+    "unmatched": (
+        "No documented profile evidence supports this requirement.",
+        "Do not claim this skill; add verified evidence or address the gap.",
+    ),
+    "soft_incidental": (
+        "Only ambiguous wording overlaps were found. Soft skills require a concrete behavioral "
+        "example or reference.",
+        "Review this criterion manually instead of presenting it as a gap.",
+    ),
+    "incidental": (
+        "Only incidental word overlap was found; no sufficiently relevant profile evidence "
+        "supports this requirement.",
+        "Do not claim this experience; add a concrete verified profile entry if applicable.",
+    ),
+    "eligibility": (
+        "Documented profile data directly supports this nationality requirement.",
+        "Use the cited nationality only for eligibility verification.",
+    ),
+    "professional": (
+        "Documented professional evidence directly supports this requirement.",
+        "Use the cited professional evidence and keep the wording factual.",
+    ),
+    "context_components": (
+        "Several components are supported by education or skills, but the requested "
+        "professional context is not fully documented.",
+        "Claim only the supported components and state the professional gap.",
+    ),
+    "context_transferable": (
+        "Related evidence exists, but no professional or production evidence supports the "
+        "required context.",
+        "Label this as transferable or project experience, not production experience.",
+    ),
+    "partial": (
+        "The combined profile evidence supports part, but not all, of this requirement.",
+        "Describe the supported portion and avoid implying broader experience.",
+    ),
+    "transferable": (
+        "Related evidence exists, but it comes from projects, training, or education rather "
+        "than professional experience.",
+        "Label this as transferable or project experience, not production experience.",
+    ),
+}
