@@ -34,20 +34,26 @@ def term_set(value: Column, keywords: Column | None = None) -> Column:
         words = F.concat(words, tokens(joined))
     terms = F.array_except(words, T.word_list(vocab.MATCH_STOPWORDS))
     tags = [
-        F.when(F.arrays_overlap(terms, T.word_list(aliases)), F.lit(f"concept:{name}"))
+        F.when(
+            F.arrays_overlap(terms, T.word_list(aliases)), F.array(F.lit(f"concept:{name}"))
+        ).otherwise(T.empty_words())
         for name, aliases in vocab.TERM_CONCEPTS.items()
     ]
-    return F.concat(terms, F.array_compact(F.array(*tags)))
+    return F.concat(terms, *tags)
 
 
 def alternative_anchors(value: Column) -> Column:
     """Terms next to "or" / "oder"."""
-    words = tokens(value)
-    pivots = T.word_list(["or", "oder"])
-    beside = F.filter(
-        words,
-        lambda w, i: F.coalesce(F.array_contains(pivots, F.get(words, i + 1)), F.lit(False))
-        | ((i > 0) & F.coalesce(F.array_contains(pivots, F.get(words, i - 1)), F.lit(False))),
+
+    def is_pivot(word: Column) -> Column:
+        return F.coalesce(word.isin("or", "oder"), F.lit(False))
+
+    beside = T.let(
+        tokens(value),
+        lambda words: F.filter(
+            words,
+            lambda _, i: is_pivot(F.get(words, i + 1)) | is_pivot(F.get(words, i - 1)),
+        ),
     )
     return F.array_except(beside, T.word_list(vocab.MATCH_STOPWORDS))
 

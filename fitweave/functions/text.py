@@ -86,10 +86,20 @@ def first_of(values: Column) -> Column:
     return F.get(values, F.lit(0))
 
 
+def let(value: Column, use) -> Column:
+    """Bind an expression to a name, so that lambdas below do not evaluate it per element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def distinct_by(values: Column, key) -> Column:
     """Keep the first element per key, in order."""
-    keys = F.transform(values, key)
-    return F.filter(values, lambda v, i: F.array_position(keys, key(v)) == i + 1)
+    pairs = F.struct(values.alias("values"), F.transform(values, key).alias("keys"))
+    return let(
+        pairs,
+        lambda p: F.filter(
+            p["values"], lambda v, i: F.array_position(p["keys"], key(v)) == i + 1
+        ),
+    )
 
 
 @functools.cache

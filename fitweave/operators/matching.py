@@ -4,11 +4,14 @@ Shape of the job
 
 * Equal requirements of a profile are evaluated once ("bodies"); copies of the same
   sentence in many ads meet the evidence as a single row and get the result by join.
-* Coverage, "at least two rows hit", keyword and alternative hits come from a join with the
-  profile's *vocabulary* (one row per profile and term), which cannot multiply rows.
-* Only citations and relevance need (requirement, evidence) pairs.  They come from an
-  equi-join on (profile, term) whose hot terms are salted, reduced by partial
-  aggregation to one row per pair that shares a term.
+* Terms are tokenized, exploded and left-joined with the evidence terms on
+  (profile, term).  Hot terms are salted.  Partial aggregation reduces the hits to one row
+  per requirement and evidence row that share a term.
+* Every evidence term row knows whether it is the first of its profile with that term.
+  Counting those gives the union overlap of a requirement without a second join and
+  without a distinct count.
+* One window over a requirement's pairs ranks citations; the following aggregation uses
+  the same partitioning, so flags and citations need no further shuffle.
 """
 
 from __future__ import annotations
@@ -58,90 +61,110 @@ def with_body_id(requirements: DataFrame) -> DataFrame:
     )
 
 
+CONTEXTS = ["professional", "project", "training", "education", "other"]
+
+
 def evidence_terms(evidence: DataFrame) -> DataFrame:
-    """One row per profile, evidence and term with what ranking needs."""
-    return evidence.select(
+    """One row per profile, evidence and term with what ranking needs.
+
+    ``is_first`` marks the first evidence row of the profile that has the term.
+    """
+    rows = evidence.select(
         "profile_id", "evidence_id",
         M.evidence_weight(F.col("source_content"), F.col("experience_context")).alias("weight"),
-        (F.col("experience_context") == "professional").alias("is_professional"),
+        F.array_position(T.word_list(CONTEXTS), F.col("experience_context")).cast("int").alias("context"),
         (F.col("label") == vocab.NATIONALITY_LABEL).alias("is_nationality"),
-        F.col("experience_context").alias("context"),
         F.explode(M.term_set(F.col("evidence_text"), F.col("keywords"))).alias("term"),
     )
+    firsts = rows.groupBy("profile_id", "term").agg(F.min("evidence_id").alias("_first"))
+    return rows.join(firsts, ["profile_id", "term"]).withColumn(
+        "is_first", F.col("evidence_id") == F.col("_first")
+    ).drop("_first")
 
 
-def vocabulary(terms: DataFrame) -> DataFrame:
-    """Terms of a profile with the first and last evidence row that has them."""
-    return terms.groupBy("profile_id", "term").agg(
-        F.min("evidence_id").alias("first_evidence"),
-        F.max("evidence_id").alias("last_evidence"),
-        F.bool_or("is_professional").alias("term_professional"),
-    )
+BODY_FACTS = ["term_count", "minimum_years", "is_soft", "needs_context", "is_eligibility", "is_generic"]
 
 
 def body_terms(bodies: DataFrame) -> DataFrame:
-    return bodies.where(F.col("minimum_years").isNull()).select(
-        *BODY, "term_count", "keyword_terms", "anchors", F.explode("terms").alias("term")
-    ).select(
-        *BODY, "term_count", "term",
+    """One row per requirement and term; requirements that are not decided by terms keep
+    one row with a term of their own that cannot match."""
+    by_terms = F.col("minimum_years").isNull() & (F.col("term_count") > 0)
+    own = F.array(F.concat(F.lit("\x00"), F.col("body_id")))
+    rows = bodies.select(
+        *BODY, *BODY_FACTS, "keyword_terms", "anchors",
+        F.explode(F.when(by_terms, F.col("terms")).otherwise(own)).alias("term"),
+    )
+    return rows.select(
+        *BODY, *BODY_FACTS, "term",
         F.array_contains("keyword_terms", F.col("term")).alias("is_keyword"),
         F.array_contains("anchors", F.col("term")).alias("is_anchor"),
     )
 
 
-def coverage(terms: DataFrame, vocabulary_: DataFrame) -> DataFrame:
-    """Covered terms per body and whether more than one evidence row is involved (A3)."""
-    hits = terms.join(vocabulary_, ["profile_id", "term"])
-    return hits.groupBy(*BODY).agg(
-        F.count(F.lit(1)).alias("covered_terms"),
-        (F.min("first_evidence") != F.max("last_evidence")).alias("several_rows"),
-        F.bool_or("is_keyword").alias("keyword_hit"),
-        F.bool_or(F.col("is_anchor") & F.col("term_professional")).alias("professional_alternative"),
-    )
-
-
 def overlap_pairs(terms: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Pairs of the same profile that share at least one term, with the overlap."""
-    hits = balanced_join(terms, evidence, ["profile_id", "term"], ["body_id"])
-    return hits.groupBy(*BODY, "evidence_id").agg(
-        F.count(F.lit(1)).alias("overlap"),
+    """Pairs of the same profile that share at least one term, with the overlap.
+
+    A requirement with unmatched terms also has one row without evidence.  All buffers are
+    fixed width, so both aggregation steps hash instead of sorting.
+    """
+    hits = balanced_join(terms, evidence, ["profile_id", "term"], ["body_id"], how="left")
+    pairs = hits.groupBy(*BODY, "evidence_id").agg(
+        F.count("evidence_id").alias("overlap"),
+        F.count_if("is_first").alias("first_hits"),
         F.bool_or("is_keyword").alias("keyword_overlap"),
-        F.first("term_count").alias("term_count"),
-        F.first("weight").alias("weight"),
-        F.first("context").alias("context"),
-        F.first("is_professional").alias("is_professional"),
-        F.first("is_nationality").alias("is_nationality"),
-    ).withColumn(
+        F.bool_or("is_anchor").alias("anchor_overlap"),
+        *[F.first(c).alias(c) for c in [*BODY_FACTS, "weight", "context", "is_nationality"]],
+    )
+    return pairs.withColumn(
         "relevant",
-        (F.col("overlap") * 5 >= F.col("term_count")) | (F.col("overlap") >= 2)
-        | F.col("keyword_overlap"),
+        F.when(
+            F.col("evidence_id").isNotNull(),
+            (F.col("overlap") * 5 >= F.col("term_count")) | (F.col("overlap") >= 2)
+            | F.col("keyword_overlap"),
+        ),
+    )
+
+
+def coverage(pairs: DataFrame) -> DataFrame:
+    """Distinct requirement terms covered by any evidence row (A3)."""
+    return pairs.groupBy(*BODY).agg(
+        F.sum("first_hits").alias("covered_terms"), F.first("term_count").alias("term_count")
     )
 
 
 def ranked_evidence(pairs: DataFrame) -> DataFrame:
-    """Best rows to cite: relevant first, then weight, overlap and evidence id."""
+    """Rank to cite: relevant first, then weight, overlap and evidence id."""
     order = Window.partitionBy(*BODY).orderBy(
-        F.desc("relevant"), F.desc("weight"), F.desc("overlap"), F.asc("evidence_id")
+        F.desc_nulls_last("relevant"), F.desc_nulls_last("weight"), F.desc("overlap"),
+        F.asc("evidence_id"),
     )
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= CITED)
-
+    return pairs.withColumn("rank", F.row_number().over(order))
 
-def _citations(pairs: DataFrame) -> DataFrame:
-    """At most three citations per body as one array; irrelevant rows only if all are."""
-    entry = F.struct("rank", "evidence_id", "context", "relevant")
-    top = ranked_evidence(pairs).groupBy(*BODY).agg(F.array_sort(F.collect_list(entry)).alias("top"))
-    kept = F.filter("top", lambda e: e["relevant"] | ~F.element_at(F.col("top"), 1)["relevant"])
-    return top.select(*BODY, kept.alias("cited"))
 
+def body_facts(pairs: DataFrame) -> DataFrame:
+    """Flags and at most three citations per requirement."""
+    relevant, professional = F.col("relevant"), F.col("context") == 1
+    entry = F.struct("rank", F.col("evidence_id").cast("string").alias("evidence_id"), "context", "relevant")
+    top = F.collect_list(
+        F.when((F.col("rank") <= CITED) & F.col("evidence_id").isNotNull(), entry)
+    )
 
-def _pair_flags(pairs: DataFrame) -> DataFrame:
-    relevant, professional = F.col("relevant"), F.col("is_professional")
-    return pairs.groupBy(*BODY).agg(
-        F.bool_or(relevant).alias("any_relevant"),
-        F.bool_or(professional).alias("any_professional"),
-        F.bool_or(relevant & professional).alias("relevant_professional"),
-        F.bool_or(F.col("is_nationality")).alias("any_nationality"),
-        F.bool_or(relevant & F.col("is_nationality")).alias("relevant_nationality"),
+    def any_of(condition: Column) -> Column:
+        return F.coalesce(F.bool_or(condition), F.lit(False))
+
+    found = F.col("evidence_id").isNotNull()
+    return ranked_evidence(pairs).groupBy(*BODY).agg(
+        *[F.first(c).alias(c) for c in BODY_FACTS],
+        F.sum("first_hits").alias("covered_terms"),
+        (F.count_if(found) >= 2).alias("several_rows"),
+        any_of(found & F.col("keyword_overlap")).alias("keyword_hit"),
+        any_of(professional & F.col("anchor_overlap")).alias("professional_alternative"),
+        any_of(relevant).alias("any_relevant"),
+        any_of(professional).alias("any_professional"),
+        any_of(relevant & professional).alias("relevant_professional"),
+        any_of(F.col("is_nationality")).alias("any_nationality"),
+        any_of(relevant & F.col("is_nationality")).alias("relevant_nationality"),
+        F.array_sort(top).alias("top"),
     )
 
 
@@ -292,28 +315,21 @@ def match_texts(rule: Column) -> tuple[Column, Column]:
 
 def evaluate_bodies(bodies: DataFrame, evidence: DataFrame, as_of: Column) -> DataFrame:
     """Decision per distinct requirement of a profile."""
-    terms = body_terms(bodies)
-    ev_terms = evidence_terms(evidence)
-    pairs = overlap_pairs(terms, ev_terms)
-    facts = (
-        bodies.drop("terms", "keyword_terms", "anchors", "keywords", "normalized_value")
-        .join(coverage(terms, vocabulary(ev_terms)), BODY, "left")
-        .join(_pair_flags(pairs), BODY, "left")
-        .join(_citations(pairs), BODY, "left")
-        .join(profile_years(evidence, as_of), "profile_id", "left")
-    )
-    flags = ["keyword_hit", "professional_alternative", "several_rows", "any_relevant",
-             "any_professional", "relevant_professional", "any_nationality", "relevant_nationality"]
-    facts = facts.fillna({"covered_terms": 0, **dict.fromkeys(flags, False)})
+    pairs = overlap_pairs(body_terms(bodies), evidence_terms(evidence))
+    facts = body_facts(pairs).join(profile_years(evidence, as_of), "profile_id", "left")
     decided = facts.withColumn("rule", match_rules())
     rule = F.col("rule")
     explanation, action = match_texts(rule)
     cites = rule.isin("eligibility", "professional", "context_components", "context_transferable",
                       "partial", "transferable")
-    none = F.array().cast("array<struct<evidence_id:string,context:string>>")
+    # irrelevant rows are cited only when nothing relevant was found
+    kept = F.filter("top", lambda e: cites & (e["relevant"] | ~F.col("any_relevant")))
     cited = F.transform(
-        F.col("cited"),
-        lambda e: F.struct(e["evidence_id"].cast("string").alias("evidence_id"), e["context"].alias("context")),
+        kept,
+        lambda e: F.struct(
+            e["evidence_id"].alias("evidence_id"),
+            F.get(T.word_list(CONTEXTS), e["context"] - 1).alias("context"),
+        ),
     )
     contexts = F.array_join(F.array_sort(F.array_distinct(F.col("cited")["context"])), ", ")
     return (
@@ -321,15 +337,14 @@ def evaluate_bodies(bodies: DataFrame, evidence: DataFrame, as_of: Column) -> Da
         .withColumn("confidence", confidence(rule))
         .withColumn("explanation", explanation)
         .withColumn("recommended_action", action)
-        .withColumn("cited", F.when(cites, cited).otherwise(none))
+        .withColumn("cited", cited)
         .withColumn(
             "profile_source",
             F.when(rule.isin("years_met", "years_short"), "professional")
             .when(F.size("cited") > 0, contexts).otherwise("none"),
         )
-        .withColumn("gap", F.when(F.col("match_level") == "gap", F.col("requirement")))
         .select(*BODY, "rule", "match_level", "confidence", "covered_terms", "term_count",
-                "cited", "profile_source", "gap", "explanation", "recommended_action")
+                "cited", "profile_source", "explanation", "recommended_action")
     )
 
 
@@ -340,7 +355,11 @@ def evaluate_matching(
     as_of = F.current_date() if as_of is None else as_of
     decided = evaluate_bodies(requirement_bodies(requirements), evidence, as_of)
     keep = ["job_id", "profile_id", "requirement_id", "requirement", "category", "priority", "body_id"]
-    return with_body_id(requirements).select(*keep).join(decided, BODY).drop("body_id")
+    gap = F.when(F.col("match_level") == "gap", F.col("requirement"))
+    return (
+        with_body_id(requirements).select(*keep).join(decided, BODY).drop("body_id")
+        .withColumn("gap", gap)
+    )
 
 
 # --- sinks ------------------------------------------------------------------------

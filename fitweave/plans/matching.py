@@ -127,7 +127,7 @@ def _inputs(t: Tables):
 select sha256(requirement) as requirement_hash, evidence_id, overlap, relevant from weighed""")
 def j5(t: Tables):
     bodies, terms, evidence = _inputs(t)
-    pairs = X.overlap_pairs(terms, evidence)
+    pairs = X.overlap_pairs(terms, evidence).where(F.col("evidence_id").isNotNull())
     return pairs.join(bodies.select(*X.BODY, "requirement"), X.BODY).select(
         F.sha2("requirement", 256).alias("requirement_hash"), "evidence_id", "overlap", "relevant"
     )
@@ -138,7 +138,8 @@ select sha256(requirement) as requirement_hash, c as covered_terms, n as term_co
 from covered join body_terms using (requirement)""")
 def a03(t: Tables):
     bodies, terms, evidence = _inputs(t)
-    return X.coverage(terms, X.vocabulary(evidence)).join(bodies, X.BODY).select(
+    covered = X.coverage(X.overlap_pairs(terms, evidence)).where(F.col("covered_terms") > 0)
+    return covered.join(bodies.select(*X.BODY, "requirement"), X.BODY).select(
         F.sha2("requirement", 256).alias("requirement_hash"), "covered_terms", "term_count"
     )
 
@@ -147,7 +148,9 @@ def a03(t: Tables):
 select sha256(requirement) as requirement_hash, evidence_id, rk as rank from ranked where rk <= 3""")
 def w2(t: Tables):
     bodies, terms, evidence = _inputs(t)
-    return X.ranked_evidence(X.overlap_pairs(terms, evidence)).join(bodies, X.BODY).select(
+    ranked = X.ranked_evidence(X.overlap_pairs(terms, evidence))
+    cited = ranked.where(F.col("evidence_id").isNotNull() & (F.col("rank") <= X.CITED))
+    return cited.join(bodies.select(*X.BODY, "requirement"), X.BODY).select(
         F.sha2("requirement", 256).alias("requirement_hash"), "evidence_id", "rank"
     )
 
