@@ -175,7 +175,7 @@ def compact_header(clean: Column) -> Column:
 
     def build(h: Column) -> Column:
         line = F.get(h["lines"], h["at"])
-        parts = F.transform(F.split(line, separator), T.strip)
+        parts = F.transform(F.split(line, separator), lambda p: T.strip(p))
         mode = F.initcap(F.lower(T.capture(line, PLACE_MODE)))
         place = F.regexp_replace(F.get(parts, F.lit(1)), r"(?iu)\s*\((?:hybrid|remote|on-?site)\)\s*$", "")
         title = T.strip(F.regexp_replace(F.get(h["lines"], h["at"] - 1), "^#+", ""))
@@ -206,7 +206,7 @@ def compact_header(clean: Column) -> Column:
 def split_terms(value: Column) -> Column:
     """(employment_type, contract_term) parts of a comma list."""
     contract = T.phrases(["unbefristet", "befristet", "permanent", "fixed[- ]term", "temporary"])
-    parts = F.transform(F.split(value, r"\s*[,;|]\s*"), T.strip)
+    parts = F.transform(F.split(value, r"\s*[,;|]\s*"), lambda p: T.strip(p))
     return T.let(
         parts,
         lambda ps: F.struct(

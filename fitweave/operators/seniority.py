@@ -27,7 +27,7 @@ MAX_SIGNALS, ROLE_LINES, ROLE_LENGTH = 5, 80, 140
 
 
 def filled_lines(content: Column) -> Column:
-    return F.filter(F.transform(T.lines_of(content), T.strip), lambda line: line != "")
+    return F.filter(F.transform(T.lines_of(content), lambda line: T.strip(line)), lambda line: line != "")
 
 
 def seniority(content: Column) -> Column:

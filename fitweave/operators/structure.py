@@ -204,3 +204,12 @@ def benefit_rows(jobs: DataFrame) -> DataFrame:
     return jobs.select("job_id", F.posexplode("benefits").alias("position", "b")).select(
         "job_id", "position", "b.*"
     )
+
+
+def item_rows(jobs: DataFrame, kind: str, content: str = "content") -> DataFrame:
+    """Distinct items of one section kind with their heading, one row each."""
+    return (
+        jobs.withColumn("_segments", segments(F.col(content)))
+        .select("job_id", F.posexplode(section_items(F.col("_segments"), kind)).alias("position", "i"))
+        .select("job_id", "position", "i.*")
+    )
