@@ -42,3 +42,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         base = os.path.join(tempfile.gettempdir(), "fitweave-scratch")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Reliable checkpoints go to the cluster's shared folder."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(base or scratch_path(spark, "checkpoints"))
