@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fitweave.plans import corpus, history, ingest, matching, pages, scoring  # noqa: F401  (registration)
+from fitweave.plans import corpus, history, ingest, matching, pages, scoring, target  # noqa: F401  (registration)
 from fitweave.plans.registry import QUERIES, Tables
 
 __all__ = ["QUERIES", "flagship"]
