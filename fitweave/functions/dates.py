@@ -12,8 +12,7 @@ DAYS_PER_YEAR = 365.25
 
 
 def _month_number(name: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in vocab.MONTHS.items() for x in pair])
-    return F.try_element_at(table, name)
+    return F.try_element_at(T.number_map(vocab.MONTHS), name)
 
 
 def cv_date(value: Column, *, end_of_month: bool = False) -> Column:

@@ -7,6 +7,7 @@ letter classes and always switch on Unicode case folding.
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
 from collections.abc import Iterable
 
@@ -29,8 +30,18 @@ def phrases(options: Iterable[str], *, start: bool = True, end: bool = True) ->
     return f"(?iu){BEFORE_WORD if start else ''}(?:{body}){AFTER_WORD if end else ''}"
 
 
+def sql_text(word: str) -> str:
+    """SQL literal of a text."""
+    return "'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def word_list(words: Iterable[str]) -> Column:
-    return F.array(*[F.lit(word) for word in words])
+    """Constant array; one parsed expression instead of one call per word."""
+    return F.expr(f"array({', '.join(sql_text(w) for w in words)})")
+
+
+def number_map(values: dict[str, int]) -> Column:
+    return F.expr(f"map({', '.join(f'{sql_text(k)}, {v}' for k, v in values.items())})")
 
 
 def empty_words() -> Column:
@@ -69,7 +80,10 @@ def lines_of(value: Column) -> Column:
 
 
 def contains_any(value: Column, markers: Iterable[str]) -> Column:
-    return functools.reduce(lambda a, b: a | b, [value.contains(m) for m in markers])
+    markers = list(markers)
+    if len(markers) == 1:
+        return value.contains(markers[0])
+    return value.rlike("|".join(re.escape(m) for m in markers))
 
 
 def marker_label(value: Column, table, default: Column | None = None) -> Column:

@@ -85,8 +85,8 @@ def required_years(value: Column) -> Column:
     """Years named in a requirement: a number, the lower end of a range, or a number word."""
     named = F.lower(T.capture(value, YEARS_ANYWHERE))
     digits = F.replace(T.capture(named, rf"^({_NUMBER})"), F.lit(","), F.lit("."))
-    words = F.create_map(*[F.lit(x) for k, v in vocab.NUMBER_WORDS.items() for x in (k, float(v))])
-    return F.coalesce(digits.try_cast("double"), F.try_element_at(words, named))
+    words = F.try_element_at(T.number_map(vocab.NUMBER_WORDS), named).cast("double")
+    return F.coalesce(digits.try_cast("double"), words)
 
 
 def section_kind(heading: Column) -> Column:

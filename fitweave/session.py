@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # call-site capture costs several JVM calls per column expression
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # html and long texts are wide rows: keep Arrow batches small in bytes
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
