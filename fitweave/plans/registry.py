@@ -26,7 +26,9 @@ class Tables:
         self.folder = folder.rstrip("/")
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        frame = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        self.__dict__[name] = frame
+        return frame
 
 
 def query(name: str, sql: str | None = None):
