@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fitweave import vocab
 from fitweave.functions import text as T
 from fitweave.operators.ranking import keep_one
-from fitweave.session import ensure_checkpoint_dir
+from fitweave.session import ensure_checkpoint_dir, materialize
 
 FILL_FIELDS = ["company", "source_portal", "location", "work_model", "employment_type",
                "contract_term", "language"]
@@ -198,8 +198,10 @@ def ingest_jobs(incoming: DataFrame, stored: DataFrame) -> tuple[DataFrame, Data
     ``stored``: job_id, imported_at, the same content columns.  A replacing import takes over all fields; every
     later import of the same job only fills what is empty, in import order.
     """
+    # the extraction behind ``incoming`` runs once; key lookups then read key columns only
+    incoming = materialize(incoming, "import-batch")
     matched = incoming.join(find_duplicates(incoming, stored), "import_id", "left")
-    unmatched = matched.where("existing_id is null")
+    unmatched = matched.where("existing_id is null").select("import_id", "content_hash", "source_url")
     leaders = batch_leaders(unmatched).select("import_id", "content_hash", "source_url")
     new_id = T.stable_id(F.lit("job"), F.col("content_hash"), F.coalesce("source_url", F.lit("")))
     as_stored = leaders.select(
@@ -229,6 +231,7 @@ def ingest_jobs(incoming: DataFrame, stored: DataFrame) -> tuple[DataFrame, Data
                & ~F.coalesce(F.col("_stored_method") == "mineru", F.lit(False)))
         ),
     ).drop("_first_ocr", "_new_by_ocr", "_stored_method")
+    ranked = materialize(ranked, "import-targets")
 
     whole = ["title", "content", "content_hash", "source_url", "source_type", "retrieval_method"]
     fields = whole + FILL_FIELDS

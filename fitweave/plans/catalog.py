@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fitweave.plans import corpus, cv, history, ingest, matching, pages, profile, relations, scoring, target  # noqa: F401  (registration)
+from fitweave.plans import corpus, cv, history, ingest, matching, pages, profile, relations, scoring, streams, target  # noqa: F401  (registration)
 from fitweave.plans.registry import QUERIES, Tables
 
 __all__ = ["QUERIES", "flagship"]

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -52,3 +52,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if context.getCheckpointDir() is None:
         base = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(base or scratch_path(spark, "checkpoints"))
+
+
+def materialize(frame: DataFrame, name: str) -> DataFrame:
+    """Writes a frame to the shared scratch folder and reads it back.
+
+    Unlike a cache it survives lost executors, and later readers load only the columns they
+    need.
+    """
+    spark = frame.sparkSession
+    path = scratch_path(spark, name)
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
