@@ -195,7 +195,7 @@ def compact_header(clean: Column) -> Column:
             lambda lines: F.struct(
                 lines.alias("lines"),
                 _first_index(
-                    lines, lambda v: v.rlike(r".*?\s+[·•|]\s+") & v.rlike(PLACE_MODE)
+                    lines, lambda v: v.rlike(PLACE_MODE) & v.rlike(r"\s[·•|]\s")
                 ).alias("at"),
             ),
         ),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from fitweave import vocab
 from fitweave.functions import text as T
 from fitweave.plans.registry import Tables
+from fitweave.session import widen
 
 
 def shown(value: Column) -> Column:
@@ -274,13 +275,14 @@ ADS_CTE = f"ads as ({ADS})"
 
 
 def ads(t: Tables) -> DataFrame:
-    return t.spark.sql(
+    rendered = t.spark.sql(
         ADS.replace("from part p", "from {part} p")
         .replace("from supplier)", "from {supplier})")
         .replace("join supplier s", "join {supplier} s")
         .replace("join nation n", "join {nation} n"),
         part=t.part, supplier=t.supplier, nation=t.nation,
     )
+    return widen(rendered)
 
 
 # --- requirements and evidence: documents and benchmark ---------------------------

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fitweave.session import widen
+
 
 @dataclass(frozen=True)
 class Query:
@@ -16,6 +18,8 @@ class Query:
 
 
 QUERIES: dict[str, Query] = {}
+# rows of these tables cost far more CPU than I/O
+TEXT_TABLES = {"documents", "pages", "conversations"}
 
 
 class Tables:
@@ -27,6 +31,8 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         frame = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name in TEXT_TABLES:
+            frame = widen(frame)
         self.__dict__[name] = frame
         return frame
 

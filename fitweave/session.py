@@ -64,3 +64,13 @@ def materialize(frame: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def widen(frame: DataFrame) -> DataFrame:
+    """Spreads a frame over all cores when its scan has fewer splits than that.
+
+    Only tiny inputs (one small file) are affected; a large scan has more splits than cores
+    and passes through without a shuffle.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)
