@@ -17,25 +17,30 @@ def _month_number(name: Column) -> Column:
 
 def cv_date(value: Column, *, end_of_month: bool = False) -> Column:
     """ISO date text from full, month-year, year-month or named-month input; else NULL."""
-    text = T.strip(F.coalesce(value, F.lit("")))
-    full = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text.try_cast("date"))
-    year_month = r"^(\d{4})-(0?[1-9]|1[0-2])$"
-    month_year = r"^(0?[1-9]|1[0-2])[\s./-]+(\d{4})$"
-    named = r"^([A-Za-zÄÖÜäöüß]+)\.?\s+(\d{4})$"
-    year = F.coalesce(
-        T.capture(text, year_month, 1), T.capture(text, month_year, 2), T.capture(text, named, 2)
-    ).try_cast("int")
-    month = F.coalesce(
-        T.capture(text, year_month, 2).try_cast("int"),
-        T.capture(text, month_year, 1).try_cast("int"),
-        _month_number(F.lower(T.capture(text, named, 1))),
-    )
-    first = F.when(
-        year.isNotNull() & month.isNotNull(),
-        F.make_date(year, month, F.lit(1)),
-    )
-    partial = F.last_day(first) if end_of_month else first
-    return F.coalesce(full, partial).cast("string")
+    # month-year is turned into year-month, so that one pattern reads both
+    month_first = r"^(0?[1-9]|1[0-2])[\s./-]+(\d{4})$"
+    ordered = F.regexp_replace(T.strip(F.coalesce(value, F.lit(""))), month_first, "$2-$1")
+
+    def read(text: Column) -> Column:
+        def month_day(year: Column, month: Column) -> Column:
+            first = F.make_date(year.try_cast("int"), month, F.lit(1))
+            return F.last_day(first) if end_of_month else first
+
+        numeric, named = r"^(\d{4})-(0?[1-9]|1[0-2])$", r"^([A-Za-zÄÖÜäöüß]+)\.?\s+(\d{4})$"
+        return (
+            F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text.try_cast("date"))
+            .when(
+                text.rlike(r"^\d"),
+                month_day(T.capture(text, numeric), T.capture(text, numeric, 2).try_cast("int")),
+            )
+            .when(
+                text != "",
+                month_day(T.capture(text, named, 2), _month_number(F.lower(T.capture(text, named)))),
+            )
+            .cast("string")
+        )
+
+    return T.let(ordered, read)
 
 
 def years_between(start: Column, end: Column, as_of: Column) -> Column:

@@ -57,8 +57,8 @@ def blank_to_null(value: Column) -> Column:
 
 
 def capture(value: Column, pattern: str, group: int = 1) -> Column:
-    """First match of a group, NULL when there is none."""
-    return F.when(value.rlike(pattern), F.regexp_extract(value, pattern, group))
+    """First match of a group that is never empty, NULL when there is none."""
+    return F.nullif(F.regexp_extract(value, pattern, group), F.lit(""))
 
 
 def squeeze(value: Column) -> Column:

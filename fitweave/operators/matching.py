@@ -25,7 +25,8 @@ from fitweave.functions import terms as M
 from fitweave.functions import text as T
 from fitweave.operators.skew import balanced_join
 
-BODY = ["profile_id", "body_id"]
+# a requirement body is named by 128 hash bits in two longs: fixed width in every shuffle
+BODY = ["profile_id", "body_hi", "body_lo"]
 CITED = 3
 
 
@@ -51,13 +52,12 @@ def requirement_bodies(requirements: DataFrame) -> DataFrame:
 
 
 def with_body_id(requirements: DataFrame) -> DataFrame:
-    return requirements.withColumn(
-        "body_id",
-        T.stable_id(
-            F.col("requirement"), F.coalesce("category", F.lit("")),
-            F.coalesce("normalized_value", F.lit("")),
-            F.to_json(F.coalesce("keywords", T.empty_words())),
-        ),
+    parts = [
+        F.col("requirement"), F.coalesce("category", F.lit("")), F.coalesce("normalized_value", F.lit("")),
+        F.to_json(F.coalesce("keywords", T.empty_words())),
+    ]
+    return requirements.withColumn("body_hi", F.xxhash64(*parts)).withColumn(
+        "body_lo", F.xxhash64(F.lit("low"), *parts)
     )
 
 
@@ -68,12 +68,16 @@ def evidence_terms(evidence: DataFrame) -> DataFrame:
     """One row per profile, evidence and term with what ranking needs.
 
     ``is_first`` marks the first evidence row of the profile that has the term.
+    ``evidence_code`` packs weight in tenths, context number and the nationality flag as
+    decimal digits, so that a pair carries one small number instead of three columns.
     """
     rows = evidence.select(
         "profile_id", "evidence_id",
-        M.evidence_weight(F.col("source_content"), F.col("experience_context")).alias("weight"),
-        F.array_position(T.word_list(CONTEXTS), F.col("experience_context")).cast("int").alias("context"),
-        (F.col("label") == vocab.NATIONALITY_LABEL).alias("is_nationality"),
+        (
+            F.round(M.evidence_weight(F.col("source_content"), F.col("experience_context")) * 10).cast("int") * 100
+            + F.array_position(T.word_list(CONTEXTS), F.col("experience_context")).cast("int") * 10
+            + (F.col("label") == vocab.NATIONALITY_LABEL).cast("int")
+        ).alias("evidence_code"),
         F.explode(M.term_set(F.col("evidence_text"), F.col("keywords"))).alias("term"),
     )
     firsts = rows.groupBy("profile_id", "term").agg(F.min("evidence_id").alias("_first"))
@@ -82,16 +86,23 @@ def evidence_terms(evidence: DataFrame) -> DataFrame:
     ).drop("_first")
 
 
-BODY_FACTS = ["term_count", "minimum_years", "is_soft", "needs_context", "is_eligibility", "is_generic"]
+FLAGS = ["is_soft", "needs_context", "is_eligibility", "is_generic"]
+BODY_FACTS = ["term_count", "minimum_years", "flags"]
+
+
+def _flag(name: str) -> Column:
+    return F.col("flags").bitwiseAND(1 << FLAGS.index(name)) > 0
 
 
 def body_terms(bodies: DataFrame) -> DataFrame:
     """One row per requirement and term; requirements that are not decided by terms keep
     one row with a term of their own that cannot match."""
     by_terms = F.col("minimum_years").isNull() & (F.col("term_count") > 0)
-    own = F.array(F.concat(F.lit("\x00"), F.col("body_id")))
+    own = F.array(F.concat(F.lit("\x00"), F.hex("body_hi"), F.hex("body_lo")))
     rows = bodies.select(
-        *BODY, *BODY_FACTS, "keyword_terms", "anchors",
+        *BODY, "term_count", "minimum_years",
+        sum((F.col(name).cast("int") * (1 << i) for i, name in enumerate(FLAGS)), F.lit(0)).alias("flags"),
+        "keyword_terms", "anchors",
         F.explode(F.when(by_terms, F.col("terms")).otherwise(own)).alias("term"),
     )
     return rows.select(
@@ -107,13 +118,13 @@ def overlap_pairs(terms: DataFrame, evidence: DataFrame) -> DataFrame:
     A requirement with unmatched terms also has one row without evidence.  All buffers are
     fixed width, so both aggregation steps hash instead of sorting.
     """
-    hits = balanced_join(terms, evidence, ["profile_id", "term"], ["body_id"], how="left")
+    hits = balanced_join(terms, evidence, ["profile_id", "term"], ["body_hi"], how="left")
     pairs = hits.groupBy(*BODY, "evidence_id").agg(
         F.count("evidence_id").alias("overlap"),
         F.count_if("is_first").alias("first_hits"),
         F.bool_or("is_keyword").alias("keyword_overlap"),
         F.bool_or("is_anchor").alias("anchor_overlap"),
-        *[F.first(c).alias(c) for c in [*BODY_FACTS, "weight", "context", "is_nationality"]],
+        *[F.first(c).alias(c) for c in [*BODY_FACTS, "evidence_code"]],
     )
     return pairs.withColumn(
         "relevant",
@@ -135,7 +146,7 @@ def coverage(pairs: DataFrame) -> DataFrame:
 def ranked_evidence(pairs: DataFrame) -> DataFrame:
     """Rank to cite: relevant first, then weight, overlap and evidence id."""
     order = Window.partitionBy(*BODY).orderBy(
-        F.desc_nulls_last("relevant"), F.desc_nulls_last("weight"), F.desc("overlap"),
+        F.desc_nulls_last("relevant"), F.desc_nulls_last(F.floor(F.col("evidence_code") / 100)), F.desc("overlap"),
         F.asc("evidence_id"),
     )
     return pairs.withColumn("rank", F.row_number().over(order))
@@ -143,8 +154,12 @@ def ranked_evidence(pairs: DataFrame) -> DataFrame:
 
 def body_facts(pairs: DataFrame) -> DataFrame:
     """Flags and at most three citations per requirement."""
-    relevant, professional = F.col("relevant"), F.col("context") == 1
-    entry = F.struct("rank", F.col("evidence_id").cast("string").alias("evidence_id"), "context", "relevant")
+    context = F.floor(F.col("evidence_code") / 10).cast("int") % 10
+    nationality = F.col("evidence_code") % 10 == 1
+    relevant, professional = F.col("relevant"), context == 1
+    entry = F.struct(
+        "rank", F.col("evidence_id").cast("string").alias("evidence_id"), context.alias("context"), "relevant"
+    )
     top = F.collect_list(
         F.when((F.col("rank") <= CITED) & F.col("evidence_id").isNotNull(), entry)
     )
@@ -162,10 +177,10 @@ def body_facts(pairs: DataFrame) -> DataFrame:
         any_of(relevant).alias("any_relevant"),
         any_of(professional).alias("any_professional"),
         any_of(relevant & professional).alias("relevant_professional"),
-        any_of(F.col("is_nationality")).alias("any_nationality"),
-        any_of(relevant & F.col("is_nationality")).alias("relevant_nationality"),
+        any_of(nationality).alias("any_nationality"),
+        any_of(relevant & nationality).alias("relevant_nationality"),
         F.array_sort(top).alias("top"),
-    )
+    ).withColumns({name: _flag(name) for name in FLAGS})
 
 
 def profile_years(evidence: DataFrame, as_of: Column) -> DataFrame:
@@ -354,10 +369,10 @@ def evaluate_matching(
     """One match per requirement row (M1)."""
     as_of = F.current_date() if as_of is None else as_of
     decided = evaluate_bodies(requirement_bodies(requirements), evidence, as_of)
-    keep = ["job_id", "profile_id", "requirement_id", "requirement", "category", "priority", "body_id"]
+    keep = ["job_id", "profile_id", "requirement_id", "requirement", "category", "priority", *BODY[1:]]
     gap = F.when(F.col("match_level") == "gap", F.col("requirement"))
     return (
-        with_body_id(requirements).select(*keep).join(decided, BODY).drop("body_id")
+        with_body_id(requirements).select(*keep).join(decided, BODY).drop("body_hi", "body_lo")
         .withColumn("gap", gap)
     )
 

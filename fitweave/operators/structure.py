@@ -83,10 +83,13 @@ def general_number(value: Column) -> Column:
 
 def required_years(value: Column) -> Column:
     """Years named in a requirement: a number, the lower end of a range, or a number word."""
-    named = F.lower(T.capture(value, YEARS_ANYWHERE))
-    digits = F.replace(T.capture(named, rf"^({_NUMBER})"), F.lit(","), F.lit("."))
-    words = F.try_element_at(T.number_map(vocab.NUMBER_WORDS), named).cast("double")
-    return F.coalesce(digits.try_cast("double"), words)
+
+    def number(named: Column) -> Column:
+        digits = F.replace(T.capture(named, rf"^({_NUMBER})"), F.lit(","), F.lit("."))
+        words = F.try_element_at(T.number_map(vocab.NUMBER_WORDS), named).cast("double")
+        return F.coalesce(digits.try_cast("double"), words)
+
+    return T.let(F.lower(T.capture(value, YEARS_ANYWHERE)), number)
 
 
 def section_kind(heading: Column) -> Column:
@@ -141,24 +144,34 @@ def _requirement(text, category, rank, words, tag, confidence, evidence) -> Colu
 
 def _expand(item: Column) -> Column:
     """One or two requirements of a list item: years of experience and the rest."""
-    text, rank = item["text"], priority(item["text"], item["heading"])
-    years = general_number(required_years(text))
-    rest = clean_item(
-        F.regexp_replace(F.regexp_replace(text, YEARS_FIRST, "$1"), CONNECTOR, "")
-    )
+    text = item["text"]
     none = F.lit(None).cast("string")
-    whole = _requirement(text, "other", rank, keywords(text), none, 0.8, text)
-    timed = _requirement(
-        F.concat(F.lit("Mindestens "), years, F.lit(" Jahre Berufserfahrung")), "experience", rank,
-        T.word_list(["Berufserfahrung", "years_experience"]),
-        F.concat(F.lit("min_years:"), years), 0.95, text,
-    )
-    left = _requirement(rest, "other", rank, keywords(rest), none, 0.8, text)
-    return (
-        F.when(years.isNull(), F.array(whole))
-        .when(F.length(rest) >= 3, F.array(timed, left))
-        .otherwise(F.array(timed))
-    )
+
+    def build(known: Column) -> Column:
+        years, rank, rest = known["years"], known["rank"], known["rest"]
+        whole = _requirement(text, "other", rank, keywords(text), none, 0.8, text)
+        timed = _requirement(
+            F.concat(F.lit("Mindestens "), years, F.lit(" Jahre Berufserfahrung")), "experience", rank,
+            T.word_list(["Berufserfahrung", "years_experience"]),
+            F.concat(F.lit("min_years:"), years), 0.95, text,
+        )
+        left = _requirement(rest, "other", rank, keywords(rest), none, 0.8, text)
+        return (
+            F.when(years.isNull(), F.array(whole))
+            .when(F.length(rest) >= 3, F.array(timed, left))
+            .otherwise(F.array(timed))
+        )
+
+    def split(years: Column) -> Column:
+        rest = clean_item(
+            F.regexp_replace(F.regexp_replace(text, YEARS_FIRST, "$1"), CONNECTOR, "")
+        )
+        return F.struct(
+            general_number(years).alias("years"), priority(text, item["heading"]).alias("rank"),
+            F.when(years.isNotNull(), rest).alias("rest"),
+        )
+
+    return T.let(T.let(required_years(text), split), build)
 
 
 def structure_columns(parts: Column) -> dict[str, Column]:

@@ -36,14 +36,15 @@ def folded(value: Column) -> Column:
 
 def overlap(desired: Column, actual: Column) -> Column:
     """Larger of the shared word and concept shares of two folded texts."""
+
     def share(field: str) -> Column:
-        return F.size(F.array_intersect(desired[field], actual[field])) / F.size(desired[field])
+        return F.coalesce(
+            F.try_divide(F.size(F.array_intersect(desired[field], actual[field])), F.size(desired[field])),
+            F.lit(0.0),
+        )
 
-    lexical = F.when((F.size(desired["words"]) > 0) & (F.size(actual["words"]) > 0), share("words"))
-    concepts = F.when(F.size(desired["concepts"]) > 0, share("concepts"))
-    return F.when(
-        lexical.isNotNull(), F.greatest(lexical, F.coalesce(concepts, F.lit(0.0)))
-    ).otherwise(F.lit(0.0))
+    filled = (F.size(desired["words"]) > 0) & (F.size(actual["words"]) > 0)
+    return F.when(filled, F.greatest(share("words"), share("concepts"))).otherwise(F.lit(0.0))
 
 
 def _filled(values: Column) -> Column:
@@ -122,17 +123,18 @@ def _entry(key: str, status: Column, percent: Column, weight: Column) -> Column:
 
 def preference(key: str, wanted: Column, actual_text: Column, actual: Column, weight: Column) -> Column:
     """One criterion from the best overlap over the wanted values (A5)."""
-    best = F.array_max(F.transform(wanted, lambda d: overlap(d, actual)))
-    status = (
-        F.when(F.size(wanted) == 0, "not_configured").when(actual_text.isNull(), "unknown")
-        .when(best >= 1, "match").when(best >= 0.5, "partial").otherwise("mismatch")
-    )
-    return T.let(
-        status,
-        lambda s: _entry(
-            key, s, F.when(s == "match", 100).when(s == "partial", 60).when(s == "mismatch", 0), weight
-        ),
-    )
+    def judge(best: Column) -> Column:
+        status = (
+            F.when(F.size(wanted) == 0, "not_configured").when(actual_text.isNull(), "unknown")
+            .when(best >= 1, "match").when(best >= 0.5, "partial").otherwise("mismatch")
+        )
+        percent = F.when(
+            (F.size(wanted) > 0) & actual_text.isNotNull(),
+            F.when(best >= 1, 100).when(best >= 0.5, 60).otherwise(0),
+        )
+        return _entry(key, status, percent, weight)
+
+    return T.let(F.array_max(F.transform(wanted, lambda d: overlap(d, actual))), judge)
 
 
 def role_overlaps(roles: Column, actual: Column) -> Column:
@@ -178,17 +180,24 @@ def seniority_criterion(overlaps: Column, job_level: Column) -> Column:
     """
     levelled = F.filter(overlaps, lambda r: r["level"].isNotNull() & (r["level"] != "") & (r["overlap"] > 0))
 
-    def judge(best: Column) -> Column:
+    def points(best: Column) -> Column:
         delta = level_rank(job_level) - F.coalesce(level_rank(best["level"]), F.lit(2))
-        percent = F.when(delta == 0, 100).when(delta > 0, 80).when(delta == -1, 60).when(delta.isNotNull(), 0)
-        percent = F.when(best.isNotNull(), percent)
+        return F.when(
+            best.isNotNull(),
+            T.let(
+                delta,
+                lambda d: F.when(d == 0, 100).when(d > 0, 80).when(d == -1, 60).when(d.isNotNull(), 0),
+            ),
+        )
+
+    def judge(percent: Column) -> Column:
         status = (
             F.when(percent.isNull(), "unknown").when(percent == 100, "match").when(percent > 0, "partial")
             .otherwise("mismatch")
         )
         return _entry("seniority", status, percent, F.lit(vocab.TARGET_WEIGHT["seniority"]))
 
-    return T.let(_best(levelled), judge)
+    return T.let(T.let(_best(levelled), points), judge)
 
 
 def exclusions(breakers: Column, employment: Column, enrolment: Column, source: Column) -> Column:
