@@ -215,7 +215,7 @@ def ingest_jobs(incoming: DataFrame, stored: DataFrame) -> tuple[DataFrame, Data
         .withColumn("job_id", F.coalesce(F.col("existing_id").cast("string"), "batch_id"))
         .drop("existing_id", "batch_id")
     )
-    ocr = (F.col("source_type") == "pdf") & (F.col("retrieval_method") == "mineru")
+    ocr = (F.col("source_type") == "pdf") & (F.col("retrieval_method") == vocab.OCR_METHOD)
     known = stored.select(
         F.col("job_id").cast("string").alias("job_id"), F.col("retrieval_method").alias("_stored_method")
     )
@@ -228,7 +228,7 @@ def ingest_jobs(incoming: DataFrame, stored: DataFrame) -> tuple[DataFrame, Data
         F.when(F.col("is_new"), False).otherwise(
             F.coalesce("replace_existing", F.lit(False))
             | (ocr & (F.col("import_id") == F.col("_first_ocr")) & ~F.col("_new_by_ocr")
-               & ~F.coalesce(F.col("_stored_method") == "mineru", F.lit(False)))
+               & ~F.coalesce(F.col("_stored_method") == vocab.OCR_METHOD, F.lit(False)))
         ),
     ).drop("_first_ocr", "_new_by_ocr", "_stored_method")
     ranked = materialize(ranked, "import-targets")

@@ -10,8 +10,8 @@ Shape of the job
 * Every evidence term row knows whether it is the first of its profile with that term.
   Counting those gives the union overlap of a requirement without a second join and
   without a distinct count.
-* One window over a requirement's pairs ranks citations; the following aggregation uses
-  the same partitioning, so flags and citations need no further shuffle.
+* Flags come from a partial and final aggregation of the pairs, citations from a rank whose
+  limit is applied before the shuffle; neither gathers all pairs of a requirement.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from fitweave.functions import dates
 from fitweave.functions import terms as M
 from fitweave.functions import text as T
 from fitweave.operators.skew import balanced_join
+from fitweave.session import materialize
 
 # a requirement body is named by 128 hash bits in two longs: fixed width in every shuffle
 BODY = ["profile_id", "body_hi", "body_lo"]
@@ -144,31 +145,45 @@ def coverage(pairs: DataFrame) -> DataFrame:
 
 
 def ranked_evidence(pairs: DataFrame) -> DataFrame:
-    """Rank to cite: relevant first, then weight, overlap and evidence id."""
+    """The rows to cite: relevant first, then weight, overlap and evidence id.
+
+    The rank filter lets Spark keep three rows per requirement before the shuffle.  A row
+    without evidence sorts last.
+    """
     order = Window.partitionBy(*BODY).orderBy(
         F.desc_nulls_last("relevant"), F.desc_nulls_last(F.floor(F.col("evidence_code") / 100)), F.desc("overlap"),
         F.asc("evidence_id"),
     )
-    return pairs.withColumn("rank", F.row_number().over(order))
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= CITED)
 
 
-def body_facts(pairs: DataFrame) -> DataFrame:
-    """Flags and at most three citations per requirement."""
-    context = F.floor(F.col("evidence_code") / 10).cast("int") % 10
-    nationality = F.col("evidence_code") % 10 == 1
-    relevant, professional = F.col("relevant"), context == 1
+def _context() -> Column:
+    return F.floor(F.col("evidence_code") / 10).cast("int") % 10
+
+
+def cited_evidence(pairs: DataFrame) -> DataFrame:
+    """At most three citations per requirement as one sorted array."""
     entry = F.struct(
-        "rank", F.col("evidence_id").cast("string").alias("evidence_id"), context.alias("context"), "relevant"
-    )
-    top = F.collect_list(
-        F.when((F.col("rank") <= CITED) & F.col("evidence_id").isNotNull(), entry)
+        "rank", F.col("evidence_id").cast("string").alias("evidence_id"), _context().alias("context"), "relevant"
     )
+    kept = F.collect_list(F.when(F.col("evidence_id").isNotNull(), entry))
+    return ranked_evidence(pairs).groupBy(*BODY).agg(F.array_sort(kept).alias("top"))
+
+
+def body_facts(pairs: DataFrame) -> DataFrame:
+    """Flags and citations per requirement.
+
+    Both sides reduce before they shuffle (partial aggregation, rank limit), so a profile
+    with very many evidence rows is never gathered in one task.
+    """
+    nationality = F.col("evidence_code") % 10 == 1
+    relevant, professional = F.col("relevant"), _context() == 1
 
     def any_of(condition: Column) -> Column:
         return F.coalesce(F.bool_or(condition), F.lit(False))
 
     found = F.col("evidence_id").isNotNull()
-    return ranked_evidence(pairs).groupBy(*BODY).agg(
+    flags = pairs.groupBy(*BODY).agg(
         *[F.first(c).alias(c) for c in BODY_FACTS],
         F.sum("first_hits").alias("covered_terms"),
         (F.count_if(found) >= 2).alias("several_rows"),
@@ -179,8 +194,8 @@ def body_facts(pairs: DataFrame) -> DataFrame:
         any_of(relevant & professional).alias("relevant_professional"),
         any_of(nationality).alias("any_nationality"),
         any_of(relevant & nationality).alias("relevant_nationality"),
-        F.array_sort(top).alias("top"),
     ).withColumns({name: _flag(name) for name in FLAGS})
+    return flags.join(cited_evidence(pairs), BODY)
 
 
 def profile_years(evidence: DataFrame, as_of: Column) -> DataFrame:
@@ -330,7 +345,8 @@ def match_texts(rule: Column) -> tuple[Column, Column]:
 
 def evaluate_bodies(bodies: DataFrame, evidence: DataFrame, as_of: Column) -> DataFrame:
     """Decision per distinct requirement of a profile."""
-    pairs = overlap_pairs(body_terms(bodies), evidence_terms(evidence))
+    # two readers follow; the written pairs keep the join from running twice
+    pairs = materialize(overlap_pairs(body_terms(bodies), evidence_terms(evidence)), "match-pairs")
     facts = body_facts(pairs).join(profile_years(evidence, as_of), "profile_id", "left")
     decided = facts.withColumn("rule", match_rules())
     rule = F.col("rule")

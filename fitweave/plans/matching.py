@@ -149,8 +149,7 @@ select sha256(requirement) as requirement_hash, evidence_id, rk as rank from ran
 def w2(t: Tables):
     bodies, terms, evidence = _inputs(t)
     ranked = X.ranked_evidence(X.overlap_pairs(terms, evidence))
-    cited = ranked.where(F.col("evidence_id").isNotNull() & (F.col("rank") <= X.CITED))
-    return cited.join(bodies.select(*X.BODY, "requirement"), X.BODY).select(
+    return ranked.where(F.col("evidence_id").isNotNull()).join(bodies.select(*X.BODY, "requirement"), X.BODY).select(
         F.sha2("requirement", 256).alias("requirement_hash"), "evidence_id", "rank"
     )
 
