@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitweave.llm import exact_dedup, packing, sharding, simhash
+from fitweave.llm import exact_dedup, html_extract, packing, pii, secrets, sharding, simhash
 from fitweave.llm.common import blank_null, documents
 
 
@@ -13,6 +13,32 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents(spark, folder))
 
 
+def span_text(spans: str) -> Column:
+    """kind:start:end of an array of spans, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def span_count(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    kinds = [r.name for r in secrets.BASE_RULES]
+    found = secrets.find_secrets(documents(spark, folder))
+    base = found.withColumn("base", F.filter("spans", lambda s: s["kind"].isin(kinds)))
+    return base.select(
+        "doc_id",
+        *(span_count("base", k).alias(f"n_{k}") for k in kinds),
+        F.sha2(span_text("base"), 256).alias("base_sha256"),
+        span_text("spans").alias("spans"),
+    )
+
+
+def op4_html(spark: SparkSession, folder: str) -> DataFrame:
+    texts = html_extract.extract(documents(spark, folder, "pages"))
+    return texts.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_classes(documents(spark, folder))
     return found.select(
@@ -33,6 +59,16 @@ def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find_pii(documents(spark, folder))
+    return found.select(
+        "doc_id",
+        *(span_count("base", k).alias(f"n_{k}") for k in pii.KINDS),
+        F.sha2(span_text("base"), 256).alias("base_sha256"),
+        span_text("spans").alias("spans"),
+    )
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     digests = docs.select("doc_id", F.sha2(exact_dedup.normalised(), 256).alias("text_sha256"))
@@ -43,8 +79,11 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op3_secrets": op3_secrets,
+    "op4_html": op4_html,
     "op5_simhash": op5_simhash,
     "op6_sharding": op6_sharding,
+    "op8_pii": op8_pii,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
