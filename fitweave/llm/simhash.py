@@ -86,10 +86,10 @@ def signatures(distinct: DataFrame) -> DataFrame:
 
 def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """All pairs (a, b), a < b, of fingerprints that differ in at most ``distance`` bits, each once."""
-    index = signatures(distinct)
-    left = index.select(F.col("fp").alias("a"), "bit", "rest")
-    right = index.select(F.col("fp").alias("b"), F.col("bit").alias("bit_b"), F.col("rest").alias("rest_b"))
-    differ = F.col("a").bitwiseXOR(F.col("b"))
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    index = signatures(distinct.repartition(tasks, "fp"))  # a row becomes 64, so small files need more tasks
+    a, b = F.col("x.fp"), F.col("y.fp")
+    differ = a.bitwiseXOR(b)
     # the pair's first signature: of its first segment with at most one differing bit, that bit,
     # or the segment's lowest bit if the segments are equal
     first = F.lit(None).cast("int")
@@ -97,29 +97,42 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
         part = F.shiftrightunsigned(differ, start).bitwiseAND(F.lit((1 << width) - 1))
         bit = F.when(part == 0, F.lit(start)).otherwise(F.lit(start) + F.bit_count(part - 1))
         first = F.when(F.bit_count(part) <= 1, bit).otherwise(first)
-    return left.join(
-        right,
-        (F.col("bit") == F.col("bit_b")) & (F.col("rest") == F.col("rest_b")) & (F.col("a") < F.col("b"))
-        & (F.bit_count(differ) <= distance) & (F.col("bit").cast("int") == first),
-    ).select("a", "b")
+    return index.alias("x").join(
+        index.alias("y"),
+        (F.col("x.bit") == F.col("y.bit")) & (F.col("x.rest") == F.col("y.rest")) & (a < b)
+        & (F.bit_count(differ) <= distance) & (F.col("x.bit").cast("int") == first),
+    ).select(a.alias("a"), b.alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(fp, root): the smallest fingerprint reachable, for all fingerprints that occur in a link.
 
-    Each round takes the smallest label among the neighbours and then the label of that label, so paths
-    shrink to a fraction.  Labels are written to the shared folder after each round.
+    Each round gives every node its smallest neighbour as parent, follows two parents more, and contracts
+    the links to what is left between different parents.  At least half of the nodes that are still
+    linked vanish for each chain followed to its end, and dense groups collapse in the first round.
+    Each round is written to the shared folder.
     """
-    both = materialize(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    labels = materialize(both.groupBy(F.col("a").alias("fp")).agg(F.min("b").alias("m")).select("fp", F.least("fp", "m").alias("root")), "labels")
+    labels = None
     while True:
-        near = both.join(labels.select(F.col("fp").alias("b"), "root"), "b").groupBy(F.col("a").alias("fp")).agg(F.min("root").alias("near"))
-        lower = labels.join(near, "fp").select("fp", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        hop = labels.select(F.col("fp").alias("root"), F.col("root").alias("next"))
-        new = materialize(lower.join(hop, "root").select("fp", F.least("root", "next").alias("root"), "old"), "labels")
-        moved = new.where(F.col("root") != F.col("old")).limit(1).count()
-        labels = new.select("fp", "root")
-        if not moved:
+        ends = edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
+        parent = ends.groupBy(F.col("a").alias("fp")).agg(F.min("b").alias("up")).select("fp", F.least("fp", "up").alias("root"))
+        parent = materialize(parent, "parents")
+        for _ in range(2):
+            hop = parent.select(F.col("fp").alias("root"), F.col("root").alias("next"))
+            parent = parent.join(hop, "root").select("fp", F.col("next").alias("root"))
+        parent = materialize(parent, "parents")
+        if labels is None:
+            labels = parent
+        else:
+            step = parent.select(F.col("fp").alias("root"), F.col("root").alias("next"))
+            labels = labels.join(step, "root", "left").select("fp", F.coalesce("next", "root").alias("root"))
+            labels = materialize(labels, "labels")
+        for end in ("a", "b"):
+            step = parent.select(F.col("fp").alias(end), F.col("root").alias("to"))
+            edges = edges.join(step, end).drop(end).withColumnRenamed("to", end)
+        low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+        edges = materialize(edges.where("a <> b").select(low, high).distinct(), "contracted")
+        if edges.isEmpty():
             return labels
 
 
