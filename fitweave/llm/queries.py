@@ -47,11 +47,12 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
-    placed = sharding.histogram_shards(documents(spark, folder).select("doc_id", "text"))
-    return placed.select(
+    digest = F.crc32(F.encode(blank_null(), "UTF-8")).alias("text_crc32")
+    rows = documents(spark, folder).select("doc_id", "text", sharding.row_size().alias("size"), digest)
+    return sharding.histogram_shards(rows).select(
         "doc_id",
-        sharding.row_size().alias("size"),
-        F.crc32(F.encode(blank_null(), "UTF-8")).alias("text_crc32"),
+        "size",
+        "text_crc32",
         F.lit("bytes").alias("law"),
         "shard",
         "slot",
