@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitweave.llm import exact_dedup, html_extract, packing, pii, secrets, sharding, simhash
+from fitweave.llm import chat, crf, decontam, exact_dedup, html_extract, packing, pii, secrets, sharding, simhash
 from fitweave.llm.common import blank_null, documents
 
 
@@ -13,6 +13,10 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents(spark, folder))
 
 
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.find_leaks(documents(spark, folder), documents(spark, folder, "benchmark"))
+
+
 def span_text(spans: str) -> Column:
     """kind:start:end of an array of spans, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -60,6 +64,17 @@ def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = documents(spark, folder), documents(spark, folder, "labels")
+    scores = crf.score_documents(docs, crf.train(docs, labels))
+    return scores.select(
+        "doc_id",
+        crf.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= crf.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.find_pii(documents(spark, folder))
     return found.select(
@@ -70,6 +85,10 @@ def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_chat(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.format_chats(documents(spark, folder, "conversations"))
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     digests = docs.select("doc_id", F.sha2(exact_dedup.normalised(), 256).alias("text_sha256"))
@@ -80,15 +99,38 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_decontamination": op2_decontamination,
     "op3_secrets": op3_secrets,
     "op4_html": op4_html,
     "op5_simhash": op5_simhash,
     "op6_sharding": op6_sharding,
+    "op7_quality": op7_quality,
     "op8_pii": op8_pii,
+    "op9_chat": op9_chat,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op9_chat": """
+        WITH t AS (
+            SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place,
+                   coalesce(role, 'user') AS role, coalesce(text, '') AS text
+            FROM conversations
+        ), p AS (
+            SELECT conv_id, place, role, text,
+                   md5(string_agg(role || chr(31) || text, chr(30)) OVER (PARTITION BY conv_id ORDER BY place)) AS h,
+                   count(*) OVER (PARTITION BY conv_id) AS n
+            FROM t
+        ), ends AS (
+            SELECT n, h, min(conv_id) AS conv_id FROM p WHERE place = n GROUP BY n, h
+        ), stay AS (
+            SELECT conv_id FROM ends WHERE NOT EXISTS (
+                SELECT 1 FROM p WHERE p.place = ends.n AND p.h = ends.h AND p.place < p.n)
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY place) AS text
+        FROM t JOIN stay USING (conv_id) GROUP BY conv_id
+    """,
     "op10_exact_dedup": r"""
         WITH n AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
