@@ -1,17 +1,20 @@
 """HTML pages to titled Markdown and plain text.
 
 The tree work of one page is inherently per document, so it runs in ``mapInPandas``: Arrow
-batches in, five columns out, no shuffle.  The rest of the import works on those columns.
+batches in, six columns out, no shuffle.  The rest of the import works on those columns.
+All steps walk the tree with explicit stacks and touch each node a fixed number of times,
+so unclosed tags and deep nesting cost no more than other markup.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fitweave import vocab
@@ -21,43 +24,50 @@ CLEAN_SCHEMA = (
     "page_id bigint, url string, title string, markdown string, plain_text string, "
     "related_removed boolean, block_score int"
 )
-VOID = set("area base br col embed hr img input link meta source track wbr".split())
-BLOCKS = set("p div section article main ul ol table tr blockquote body html pre figure dl dt dd".split())
-HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
+VOID = {
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr",
+}
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+SECTIONS = ("section", "aside", "div", "ul", "ol")
+PARAGRAPHS = {
+    "address", "article", "aside", "body", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption",
+    "figure", "html", "main", "p", "section", "summary",
+}
 NOISE = re.compile("|".join(vocab.NOISE_NAMES), re.I)
 RELATED = re.compile(rf"\b(?:{'|'.join(vocab.RELATED_HEADINGS)})\b", re.I)
 DETAIL = re.compile(rf"\b(?:{'|'.join(vocab.DETAIL_HEADINGS)})\b", re.I)
+SPACES = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    """An element; ``gone`` elements are skipped with all below them."""
 
-    def __init__(self, tag, attrs, parent):
-        self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
+    __slots__ = ("tag", "attrs", "children", "parent", "gone")
 
-    def walk(self):
-        for child in list(self.children):
-            if isinstance(child, Node):
-                yield child
-                yield from child.walk()
+    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
+        self.tag, self.attrs, self.children, self.parent, self.gone = tag, attrs, [], parent, False
 
-    def strings(self):
-        for child in self.children:
-            if isinstance(child, Node):
-                yield from child.strings()
-            elif child.strip():
-                yield child.strip()
+    def walk(self) -> Iterator[Node | str]:
+        """Everything below, in document order."""
+        stack = [iter(self.children)]
+        while stack:
+            child = next(stack[-1], None)
+            if child is None:
+                stack.pop()
+            elif isinstance(child, str):
+                yield child
+            elif not child.gone:
+                yield child
+                stack.append(iter(child.children))
 
-    def text(self):
-        return " ".join(self.strings())
+    def nodes(self) -> Iterator[Node]:
+        return (n for n in self.walk() if isinstance(n, Node))
 
-    def first(self, *tags):
-        return next((n for n in self.walk() if n.tag in tags), None)
+    def text(self) -> str:
+        return " ".join(s for s in (n.strip() for n in self.walk() if isinstance(n, str)) if s)
 
-    def remove(self):
-        if self.parent:
-            self.parent.children.remove(self)
-            self.parent = None
+    def first(self, tag: str) -> Node | None:
+        return next((n for n in self.nodes() if n.tag == tag), None)
 
 
 class _Builder(HTMLParser):
@@ -66,19 +76,23 @@ class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.top = Node("", {}, None)
+        self.open: dict[str, int] = {}
 
     def handle_starttag(self, tag, attrs):
         node = Node(tag, {k: v or "" for k, v in attrs}, self.top)
         self.top.children.append(node)
         if tag not in VOID:
             self.top = node
+            self.open[tag] = self.open.get(tag, 0) + 1
 
     def handle_endtag(self, tag):
-        node = self.top
-        while node.parent and node.tag != tag:
-            node = node.parent
-        if node.parent:
-            self.top = node.parent
+        if not self.open.get(tag):
+            return
+        closed = None
+        while closed != tag:
+            closed = self.top.tag
+            self.open[closed] -= 1
+            self.top = self.top.parent
 
     def handle_data(self, data):
         self.top.children.append(data)
@@ -94,137 +108,326 @@ def parse(html: str) -> Node:
 def page_title(root: Node) -> str | None:
     """First h1 with text, else social titles, else the title element."""
     heading = root.first("h1")
-    if heading and heading.text():
-        return heading.text()
-    for attribute, wanted in (("property", "og:title"), ("name", "twitter:title")):
-        for node in root.walk():
-            if node.tag == "meta" and node.attrs.get(attribute) == wanted and node.attrs.get("content"):
-                return node.attrs["content"].strip()
+    if heading and (text := heading.text()):
+        return text
+    named = {}
+    for node in root.nodes():
+        if node.tag == "meta" and node.attrs.get("content"):
+            for attribute in ("property", "name"):
+                named.setdefault((attribute, node.attrs.get(attribute)), node.attrs["content"].strip())
+    for wanted in (("property", "og:title"), ("name", "twitter:title")):
+        if wanted in named:
+            return named[wanted]
     title = root.first("title")
     return title.text() or None if title else None
 
 
 def drop_noise(root: Node) -> None:
-    """Embedded documents are opened, page furniture is removed."""
-    for frame in [n for n in root.walk() if n.tag == "iframe" and n.attrs.get("srcdoc", "").strip()]:
-        inner = parse(frame.attrs["srcdoc"])
-        frame.tag, frame.attrs, frame.children = "div", {}, (inner.first("body") or inner).children
-        for child in frame.children:
-            if isinstance(child, Node):
-                child.parent = frame
-    dropped = set(vocab.DROPPED_TAGS)
-    for node in list(root.walk()):
+    """Embedded documents are opened, page furniture goes."""
+    for node in root.nodes():
+        source = node.attrs.get("srcdoc", "") if node.tag == "iframe" else ""
+        if source.strip():
+            inner = parse(source)
+            node.tag, node.attrs, node.children = "div", {}, (inner.first("body") or inner).children
+            for child in node.children:
+                if isinstance(child, Node):
+                    child.parent = node
         named = f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}"
-        if node.tag in dropped or node.attrs.get("aria-hidden") == "true" or NOISE.search(named):
-            node.remove()
-
-
-def block_score(node: Node) -> int:
-    """How likely a block holds the advertisement."""
-    headings = " ".join(n.text() for n in node.walk() if n.tag in HEADINGS[:3])
-    return (
-        min(len(node.text()), 12_000) // 40
-        + (300 if node.first("h1") else 0)
-        + (500 if DETAIL.search(headings) else 0)
-        - 700 * len(RELATED.findall(headings))
-    )
-
-
-def main_block(root: Node) -> tuple[Node, int | None]:
-    blocks = [n for n in root.walk() if n.tag in ("main", "article") or n.attrs.get("role") == "main"]
-    if not blocks:
-        return root.first("body") or root, None
-    scores = [block_score(b) for b in blocks]
-    best = scores.index(max(scores))
-    return blocks[best], scores[best]
+        node.gone = (
+            node.tag in vocab.DROPPED_TAGS or node.attrs.get("aria-hidden") == "true" or bool(NOISE.search(named))
+        )
 
 
-def drop_related(block: Node) -> bool:
-    """Removes recommendation sections by their heading."""
-    removed = False
-    for heading in [n for n in block.walk() if n.tag in HEADINGS]:
-        if not RELATED.search(heading.text()):
-            continue
-        holder = heading.parent
-        while holder and holder.tag not in ("section", "aside", "div", "ul", "ol"):
+class Outline:
+    """All elements of a tree in document order, with their ranges in its whole text.
+
+    Phrases are searched once in the whole text; whether an element holds one is then a lookup, also
+    when elements of a broken page all lie inside each other.
+    """
+
+    def __init__(self, root: Node):
+        self.entries: list[tuple[Node, int, int]] = []
+        self.place: dict[int, int] = {}
+        texts: list[str] = []
+        starts = [0]
+        stack: list[tuple[int, Iterator]] = [(-1, iter(root.children))]
+        open_at: list[int] = []
+        while stack:
+            at, children = stack[-1]
+            child = next(children, None)
+            if child is None:
+                stack.pop()
+                if at >= 0:
+                    node, first, _ = self.entries[at]
+                    self.entries[at] = (node, open_at.pop(), starts[-1] - 1 if len(texts) > first else -1)
+            elif isinstance(child, str):
+                if stripped := child.strip():
+                    texts.append(stripped)
+                    starts.append(starts[-1] + len(stripped) + 1)
+            elif not child.gone:
+                self.place[id(child)] = len(self.entries)
+                stack.append((len(self.entries), iter(child.children)))
+                self.entries.append((child, len(texts), 0))
+                open_at.append(starts[-1])
+        self.text = " ".join(texts)
+        self.related = [m.span() for m in RELATED.finditer(self.text)]
+        self.details = [m.span() for m in DETAIL.finditer(self.text)]
+
+    @staticmethod
+    def count(found: list[tuple[int, int]], start: int, end: int) -> int:
+        """Phrases that lie within a range of the text."""
+        return max(0, bisect_right(found, end, key=lambda m: m[1]) - bisect_left(found, start, key=lambda m: m[0]))
+
+    def below(self, node: Node) -> list[tuple[Node, int, int]]:
+        """Entries inside an element: they follow it until the first that is not inside."""
+        at = self.place.get(id(node), -1) + 1
+        return self.entries[at : at + sum(1 for _ in node.nodes())]
+
+
+def main_block(root: Node, outline: Outline) -> tuple[Node, int | None]:
+    """The block that most likely holds the advertisement, and its score."""
+    sums = [(0, 0, 0)]  # of the headings up to h3: h1 elements, those naming details, related phrases
+    before: list[int] = []
+    for node, start, end in outline.entries:
+        before.append(len(sums) - 1)
+        if node.tag in HEADINGS[:3]:
+            main, detail, related = sums[-1]
+            sums.append((
+                main + (node.tag == "h1"),
+                detail + bool(outline.count(outline.details, start, end)),
+                related + outline.count(outline.related, start, end),
+            ))
+    before.append(len(sums) - 1)
+    # the number of entries inside each: an entry's parent always comes before it
+    inside = [0] * len(outline.entries)
+    for at in range(len(inside) - 1, -1, -1):
+        above = outline.place.get(id(outline.entries[at][0].parent))
+        if above is not None:
+            inside[above] += inside[at] + 1
+    best: tuple[Node, int] | None = None
+    body = None
+    for at, (node, start, end) in enumerate(outline.entries):
+        body = body or (node if node.tag == "body" else None)
+        if node.tag in ("main", "article") or node.attrs.get("role") == "main":
+            main, detail, related = (
+                y - x for x, y in zip(sums[before[at + 1]], sums[before[at + 1 + inside[at]]], strict=True)
+            )
+            score = max(0, end - start) // 40 + 300 * (main > 0) + 500 * (detail > 0) - 700 * related
+            if best is None or score > best[1]:
+                best = (node, score)
+    return best or (body or root, None)
+
+
+def drop_related(block: Node, outline: Outline) -> bool:
+    """Recommendation sections go by their heading."""
+    related = [
+        n for n, start, end in outline.below(block) if n.tag in HEADINGS and outline.count(outline.related, start, end)
+    ]
+    above: set[int] = set()
+    holder = block
+    while holder is not None and related:
+        above.add(id(holder))
+        holder = holder.parent
+    nearest: dict[int, Node | None] = {}
+    for heading in related:
+        path, holder = [], heading.parent
+        while holder is not None and holder.tag not in SECTIONS and id(holder) not in nearest:
+            path.append(holder)
             holder = holder.parent
-        if holder is not None and holder is not block:
-            inside = block
-            while inside is not None and inside is not holder:
-                inside = inside.parent
-            if inside is holder:
-                block.children = []
-            else:
-                holder.remove()
+        if holder is not None and holder.tag not in SECTIONS:
+            holder = nearest[id(holder)]
+        nearest.update((id(n), holder) for n in path)
+        if holder is None or holder is block:
+            heading.gone = True
+        elif id(holder) in above:
+            block.children = []
         else:
-            heading.remove()
-        removed = True
-    return removed
-
-
-def lift_items(node: Node) -> None:
-    """List items nested directly in items become siblings."""
-    queue, result = list(node.children), []
-    while queue:
-        child = queue.pop(0)
-        result.append(child)
-        if isinstance(child, Node):
-            child.parent = node
-            if child.tag == "li":
+            holder.gone = True
+    return bool(related)
+
+
+def lift_items(block: Node) -> None:
+    """List items nested directly in items become siblings, in the order they are shown."""
+    for node in [block, *block.nodes()]:
+        if node.tag == "li" and node is not block:
+            continue  # handled from the first element above it that is no item
+        result: list[Node | str] = []
+        pending = [iter(node.children)]
+        while pending:
+            child = next(pending[-1], None)
+            if child is None:
+                pending.pop()
+                continue
+            result.append(child)
+            if isinstance(child, Node) and child.tag == "li":
+                child.parent = node
                 nested = [c for c in child.children if isinstance(c, Node) and c.tag == "li"]
-                child.children = [c for c in child.children if c not in nested]
-                queue = nested[::-1] + queue
-    node.children = result
-    for child in result:
-        if isinstance(child, Node):
-            lift_items(child)
-
-
-def markdown(node: Node, depth: int = 0) -> str:
-    inner = "".join(
-        markdown(c, depth + (node.tag in ("ul", "ol"))) if isinstance(c, Node)
-        else re.sub(r"\s+", " ", c)
-        for c in node.children
-    )
-    tag, flat = node.tag, inner.strip()
-    if tag in HEADINGS:
-        return f"\n\n{'#' * int(tag[1])} {' '.join(flat.split())}\n\n" if flat else ""
-    if tag == "br":
-        return "  \n"
-    if tag == "hr":
-        return "\n\n---\n\n"
-    if tag == "li":
-        body = re.sub(r"\n{2,}", "\n", flat).replace("\n", "\n  ")
-        return f"- {body}\n" if flat else ""
-    if tag in ("ul", "ol"):
-        return f"\n{flat}\n" if depth else f"\n\n{flat}\n\n"
-    if tag in ("b", "strong", "em", "i"):
-        mark = "**" if tag in ("b", "strong") else "*"
-        return f"{mark}{flat}{mark}" if flat else ""
-    if tag == "a" and node.attrs.get("href") and flat:
-        return f"[{flat}]({node.attrs['href']})"
-    if tag == "img":
-        return f"![{node.attrs.get('alt', '')}]({node.attrs.get('src', '')})"
-    if tag in ("title", "head"):
+                if nested:
+                    child.children = [c for c in child.children if not (isinstance(c, Node) and c.tag == "li")]
+                    pending.append(iter(nested))
+        node.children = result
+
+
+def _cell(text: str) -> str:
+    return SPACES.sub(" ", text).strip()
+
+
+def _indented(text: str, first: str, rest: str) -> str:
+    lines = text.split("\n")
+    return "\n".join([first + lines[0], *(rest + line if line else line for line in lines[1:])])
+
+
+def _table(rows: list[tuple[list[str], bool]]) -> str:
+    """Rows of cells; the first row is the header if it is marked as one, else the header is empty."""
+    rows = [r for r in rows if r[0]]
+    if not rows:
         return ""
-    return f"\n\n{inner}\n\n" if tag in BLOCKS else inner
+    width = max(len(cells) for cells, _ in rows)
+    if not rows[0][1]:
+        rows = [([], True), *rows]
+    lines = [f"| {' | '.join(cells + [''] * (width - len(cells)))} |" for cells, _ in rows]
+    lines.insert(1, f"| {' | '.join(['---'] * width)} |")
+    return "\n\n" + "\n".join(lines) + "\n\n"
+
+
+def _joined(parts: list) -> str:
+    """The texts of a list of texts and such lists."""
+    out, stack = [], [iter(parts)]
+    while stack:
+        part = next(stack[-1], None)
+        if part is None:
+            stack.pop()
+        elif isinstance(part, str):
+            out.append(part)
+        else:
+            stack.append(iter(part))
+    return "".join(out)
+
+
+# elements whose form depends on their text as a whole
+SHAPED = {
+    *HEADINGS, "br", "hr", "img", "title", "head", "td", "th", "tr", "thead", "tbody", "tfoot", "table", "li", "ul",
+    "ol", "blockquote", "pre", "code", "kbd", "samp", "b", "strong", "em", "i", "del", "s", "a",
+}
+
+
+class _Writer:
+    """What an open element has collected, and how it is written when it closes.
+
+    Elements that only pass their content on hand over their list, so no text is copied per level.
+    """
+
+    __slots__ = ("node", "children", "parts", "rows", "items", "verbatim", "listed")
+
+    def __init__(self, node: Node, above: _Writer | None):
+        self.node, self.children, self.parts = node, iter(node.children), []
+        self.rows: list[tuple[list[str], bool]] = []
+        self.items = 0
+        self.verbatim = node.tag == "pre" or above is not None and above.verbatim
+        self.listed = node.tag in ("ul", "ol") or above is not None and above.listed
+
+    def close(self, above: _Writer | None) -> str | list:
+        tag = self.node.tag
+        if tag not in SHAPED:
+            return ["\n\n", self.parts, "\n\n"] if tag in PARAGRAPHS and not self.verbatim else self.parts
+        inner = _joined(self.parts)
+        flat = inner.strip()
+        if tag in HEADINGS:
+            return f"\n\n{'#' * int(tag[1])} {_cell(flat)}\n\n" if flat else ""
+        if tag == "br":
+            return "  \n"
+        if tag == "hr":
+            return "\n\n---\n\n"
+        if tag == "img":
+            return f"![{self.node.attrs.get('alt', '')}]({self.node.attrs.get('src', '')})"
+        if tag in ("title", "head"):
+            return ""
+        if tag in ("td", "th"):
+            if above is not None:
+                above.parts.append(" ")
+                above.rows.append(([_cell(flat).replace("|", "\\|")], tag == "th"))
+            return inner + " "
+        if tag == "tr":
+            cells = [c for row, _ in self.rows for c in row]
+            if above is not None and cells:
+                above.rows.append((cells, all(h for _, h in self.rows)))
+                return ""
+            return inner
+        if tag in ("thead", "tbody", "tfoot") and above is not None:
+            above.rows += self.rows
+            return ""
+        if tag == "table":
+            return (f"\n\n{flat}\n\n" if flat else "") + _table(self.rows)
+        if tag == "li":
+            if above is not None:
+                above.items += 1
+            numbered = above is not None and above.node.tag == "ol"
+            start = above.node.attrs.get("start", "") if numbered else ""
+            mark = f"{(int(start) if start.isdecimal() else 1) + above.items - 1}. " if numbered else "- "
+            body = re.sub(r"\n{2,}", "\n", flat)
+            return _indented(body, mark, " " * len(mark)) + "\n" if flat else ""
+        if tag in ("ul", "ol"):
+            inside = above is not None and above.listed
+            return (f"\n{flat}\n" if inside else f"\n\n{flat}\n\n") if flat else ""
+        if tag == "blockquote":
+            text = re.sub(r"\n{3,}", "\n\n", flat)
+            return "\n\n" + "\n".join(f"> {line}".rstrip() for line in text.split("\n")) + "\n\n" if flat else ""
+        if tag == "pre":
+            return f"\n\n```\n{inner.strip(chr(10))}\n```\n\n" if flat else ""
+        if tag in ("code", "kbd", "samp"):
+            fence = "`" * (1 + max((len(m) for m in re.findall("`+", flat)), default=0))
+            return inner if self.verbatim else f"{fence}{flat}{fence}" if flat else ""
+        if tag in ("b", "strong", "em", "i", "del", "s"):
+            mark = {"b": "**", "strong": "**", "em": "*", "i": "*"}.get(tag, "~~")
+            return inner if self.verbatim else f"{mark}{flat}{mark}" if flat else ""
+        if tag == "a" and self.node.attrs.get("href") and flat:
+            return f"[{flat}]({self.node.attrs['href']})"
+        return inner
+
+
+def markdown(block: Node) -> str:
+    """ATX headings, ``-`` bullets, numbered items, pipe tables, quotes and fenced code."""
+    stack = [_Writer(block, None)]
+    while True:
+        top = stack[-1]
+        child = next(top.children, None)
+        if child is None:
+            stack.pop()
+            text = top.close(stack[-1] if stack else None)
+            if not stack:
+                break
+            if text:
+                stack[-1].parts.append(text)
+        elif isinstance(child, str):
+            top.parts.append(child if top.verbatim else SPACES.sub(" ", child))
+        elif not child.gone:
+            stack.append(_Writer(child, top))
+    out, fenced = [], False
+    for line in _joined([text]).split("\n"):
+        if line == "```":
+            fenced = not fenced
+        if fenced or line.endswith("  ") and line.strip():
+            out.append(line)  # code, and the two blanks of a line break
+        else:
+            plain = line.rstrip()
+            out.append(plain if re.match(r" *(?:[-*>|]|[0-9]+\.) |  +\S", plain) else plain.lstrip())
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip()
 
 
 def clean_page(html: str) -> tuple[str | None, str, str, bool, int | None]:
     root = parse(html)
     title = page_title(root)
     drop_noise(root)
-    block, score = main_block(root)
-    removed = drop_related(block)
+    outline = Outline(root)
+    block, score = main_block(root, outline)
+    removed = drop_related(block, outline)
     lift_items(block)
-    rendered = re.sub(r"\n[ \t]+\n", "\n\n", re.sub(r"[ \t]+\n", "\n", markdown(block)))
-    rendered = re.sub(r"(?m)^ +(?=\S)(?!- )", "", rendered) if "  - " not in rendered else rendered
-    return title, re.sub(r"\n{3,}", "\n\n", rendered).strip(), block.text(), removed, score
+    return title, markdown(block), block.text(), removed, score
 
 
 def _clean_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        cleaned = [clean_page(html) for html in batch["html"]]
+        cleaned = [clean_page(html or "") for html in batch["html"]]
         yield pd.DataFrame(
             {
                 "page_id": batch["page_id"],
@@ -242,12 +445,26 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PAGE_SCHEMA).parquet(path)
 
 
-def recognizable_html(pages: DataFrame, limit: int = vocab.MAXIMUM_HTML_BYTES) -> DataFrame:
-    """Pages within the size limit that look like HTML."""
-    start = F.lower(F.substring("html", 1, 10_000))
-    return pages.where(
-        (F.octet_length("html") <= limit) & (start.contains("<html") | start.contains("<!doctype html"))
+def page_problem(limit: int | None = None) -> Column:
+    """Why a page cannot be read as HTML; null for pages that can.
+
+    ``limit`` is a size in bytes for callers that have to bound one page; by default there is none.
+    """
+    lower = F.lower("html")
+    problem = F.when(F.col("html").isNull(), "no content").when(
+        ~(lower.contains("<html") | lower.contains("<!doctype html")), "not html"
     )
+    return problem if limit is None else problem.when(F.octet_length("html") > limit, "too large")
+
+
+def recognizable_html(pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """Pages that look like HTML."""
+    return pages.where(page_problem(limit).isNull())
+
+
+def quarantined_pages(pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """The other pages, whole, with the reason."""
+    return pages.withColumn("reason", page_problem(limit)).where(F.col("reason").isNotNull())
 
 
 def clean_pages(pages: DataFrame) -> DataFrame:

@@ -157,7 +157,6 @@ BENEFIT_EVIDENCE = ["work-life balance", "benefit", "leistung", "top-angebot", "
 # --- fixed values: page quality ----------------------------------------------
 MINIMUM_TEXT_LENGTH = 500
 OCR_METHOD = "mineru"
-MAXIMUM_HTML_BYTES = 30_000_000
 BLOCK_PAGE_MARKERS = [
     "access denied", "captcha", "verify you are human", "enable javascript", "sign in to continue",
 ]
