@@ -106,14 +106,18 @@ def let(value: Column, use) -> Column:
 
 
 def distinct_by(values: Column, key) -> Column:
-    """Keep the first element per key, in order."""
-    pairs = F.struct(values.alias("values"), F.transform(values, key).alias("keys"))
-    return let(
-        pairs,
-        lambda p: F.filter(
-            p["values"], lambda v, i: F.array_position(p["keys"], key(v)) == i + 1
-        ),
+    """Keep the first element per key, in order; elements without a key go.
+
+    Two sorts of the row's own array, so the cost does not grow with the square of its length.
+    """
+    entries = F.transform(values, lambda v, i: F.struct(key(v).alias("key"), i.alias("at"), v.alias("value")))
+    by_key = F.sort_array(F.filter(entries, lambda e: e["key"].isNotNull()))
+    firsts = let(
+        by_key,
+        lambda s: F.filter(s, lambda e, i: (i == 0) | (F.get(s, i - 1)["key"] != e["key"])),
     )
+    in_order = F.sort_array(F.transform(firsts, lambda e: F.struct(e["at"], e["value"])))
+    return F.transform(in_order, lambda e: e["value"])
 
 
 @functools.cache

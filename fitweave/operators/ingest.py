@@ -171,15 +171,13 @@ def normalize_requirement_items(items: Column) -> Column:
             lambda k: F.coalesce(k != "", F.lit(False)),
         )
         return F.struct(
-            F.substring(text, 1, 4000).alias("requirement"),
-            F.substring(category, 1, 100).alias("category"),
+            text.alias("requirement"),
+            category.alias("category"),
             F.when(rank.isin(*priorities), rank).otherwise("should").alias("priority"),
-            F.slice(F.array_distinct(words), 1, 50).alias("keywords"),
+            F.array_distinct(words).alias("keywords"),
         )
 
-    return F.slice(
-        F.filter(F.transform(items, normalize), lambda r: F.length(r["requirement"]) >= 3), 1, 200
-    )
+    return F.filter(F.transform(items, normalize), lambda r: F.length(r["requirement"]) >= 3)
 
 
 def preferred_requirements(stored: Column, extracted: Column) -> Column:

@@ -20,7 +20,7 @@ LEGAL_WORD = rf"(?iu)\b(?:{LEGAL})\b"
 PLACE_MODE = r"(?iu)\((hybrid|remote|on-?site)\)"
 FIELDS = ["title", "company", "published_text", "location", "employment_type", "contract_term",
           "work_model", "source_portal", "language"]
-HEADER_LINES, EMPLOYMENT_LINES = 15, 40
+TITLE_WINDOW = 14
 
 
 def detect_language(content: Column) -> Column:
@@ -131,9 +131,7 @@ def map_link_location(content: Column) -> Column:
 
 
 def _header(clean: Column) -> Column:
-    return F.slice(
-        F.filter(clean, lambda v: (v != "") & (v != "&nbsp;")), 1, HEADER_LINES
-    )
+    return F.filter(clean, lambda v: (v != "") & (v != "&nbsp;"))
 
 
 def _first_index(values: Column, test) -> Column:
@@ -142,11 +140,14 @@ def _first_index(values: Column, test) -> Column:
 
 
 def plain_header(clean: Column) -> Column:
-    """(title, company) of a text header: the first line with a legal form ends the title."""
+    """(title, company) of a text header: the first line with a legal form ends the title.
+
+    The title is looked for in the filled lines before it, at most ``TITLE_WINDOW``.
+    """
 
     def build(h: Column) -> Column:
         parts = F.filter(
-            F.slice(h["lines"], F.lit(1), h["at"]),
+            F.slice(h["lines"], F.greatest(h["at"] - TITLE_WINDOW, F.lit(0)) + 1, F.least(h["at"], F.lit(TITLE_WINDOW))),
             lambda p: ~p.startswith("[") & ~normalized_heading(p).isin(*vocab.PORTAL_CHROME)
             & (F.length(p) <= 100),
         )
@@ -359,7 +360,7 @@ def with_metadata(jobs: DataFrame, content: str = "content") -> DataFrame:
     commute = r"(?iu)^\d+\s*(?:min(?:ute)?n?|stunden?|hours?)\s+ab\b"
     bare = T.strip(
         T.capture(
-            F.array_join(F.slice("_lines", 1, EMPLOYMENT_LINES), "\n"),
+            text,
             r"(?imu)^\s*((?:Teilzeit,\s*)?Vollzeit|Teilzeit|Full[- ]time|Part[- ]time)\s*$",
         )
     )

@@ -30,12 +30,16 @@ def document_context(pairs: DataFrame, matches: DataFrame, context: DataFrame) -
     return context.join(matched, keys, "left_semi"), pairs.join(matched, keys, "left_anti")
 
 
-def review_evidence(evidence: Column, limit: int = 3, length: int = 1200) -> Column:
-    """First evidence items with shortened text for a review payload (P20)."""
-    return F.transform(
-        F.slice(evidence, 1, limit),
-        lambda e: e.withField("evidence_text", F.substring(F.coalesce(e["evidence_text"], F.lit("")), 1, length)),
-    )
+def review_evidence(evidence: Column, limit: int | None = None, length: int | None = None) -> Column:
+    """Evidence items for a review payload (P20), whole by default.
+
+    A caller that shows the payload may ask for the first ``limit`` items and ``length`` characters of each.
+    """
+    def shown(entry: Column) -> Column:
+        text = F.coalesce(entry["evidence_text"], F.lit(""))
+        return entry.withField("evidence_text", text if length is None else F.substring(text, 1, length))
+
+    return F.transform(evidence if limit is None else F.slice(evidence, 1, limit), shown)
 
 
 def with_companies(jobs: DataFrame, companies: DataFrame) -> DataFrame:

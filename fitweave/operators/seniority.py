@@ -23,7 +23,8 @@ ROLE_PREFIX = (
     r"(?iu)^.*?(?:your role|the role|position|we are looking for|you will be|mission|"
     r"responsibilities)\s*[:\-]?\s*"
 )
-MAX_SIGNALS, ROLE_LINES, ROLE_LENGTH = 5, 80, 140
+# longer lines are prose, not the name of a role
+ROLE_LENGTH = 140
 
 
 def filled_lines(content: Column) -> Column:
@@ -45,7 +46,7 @@ def seniority(content: Column) -> Column:
         def entry(level, confidence, signals) -> Column:
             return F.struct(
                 F.lit(level).alias("level"), confidence.cast("double").alias("confidence"),
-                top.alias("years_required"), F.slice(signals, 1, MAX_SIGNALS).alias("signals"),
+                top.alias("years_required"), signals.alias("signals"),
             )
 
         def lines_with(pattern: str) -> Column:
@@ -91,7 +92,7 @@ def job_role(title: Column, content: Column) -> Column:
     lines = F.filter(T.lines_of(content), lambda line: T.strip(line) != "")
     candidates = F.concat(
         F.array(name),
-        F.transform(F.slice(lines, 1, ROLE_LINES), lambda line: T.strip(line, " #-*\t")),
+        F.transform(lines, lambda line: T.strip(line, " #-*\t")),
     )
     roles = F.filter(candidates, lambda c: c.rlike(ROLE_NOUN) & (F.length(c) <= ROLE_LENGTH))
 

@@ -40,7 +40,6 @@ YEARS_ANYWHERE = f"(?iu){YEARS}"
 YEARS_FIRST = f"(?ius)^(.*?){YEARS}"
 CONNECTOR = r"(?iu)^\s*(?:with|of|in|and|oder|mit|sowie|für)\s+"
 KEYWORD = "[A-Za-zÄÖÜäöüß0-9+#.-]{3,}"
-MAX_KEYWORDS, MAX_REQUIREMENTS, MAX_ACTIVITIES, MAX_BENEFITS = 12, 200, 100, 100
 
 
 def clean_item(value: Column) -> Column:
@@ -53,18 +52,10 @@ def join_continuations(content: Column) -> Column:
 
 
 def keywords(value: Column) -> Column:
-    """First twelve distinct words in order of appearance, stop words removed."""
+    """Distinct words in order of appearance, stop words removed."""
     words = F.regexp_extract_all(value, F.lit(KEYWORD), F.lit(0))
-    both = F.transform(words, lambda w: F.struct(w.alias("word"), T.casefold(w).alias("key")))
-
-    def pick(pairs: Column) -> Column:
-        keys = F.array_except(pairs["key"], T.word_list(vocab.KEYWORD_STOPWORDS))
-        return F.transform(
-            F.slice(keys, 1, MAX_KEYWORDS),
-            lambda k: F.get(pairs, F.array_position(pairs["key"], k).cast("int") - 1)["word"],
-        )
-
-    return T.let(both, pick)
+    kept = F.filter(words, lambda w: ~T.casefold(w).isin(*vocab.KEYWORD_STOPWORDS))
+    return T.distinct_by(kept, T.casefold)
 
 
 def priority(value: Column, heading: Column) -> Column:
@@ -177,18 +168,16 @@ def _expand(item: Column) -> Column:
 def structure_columns(parts: Column) -> dict[str, Column]:
     """``requirements``, ``activities`` and ``benefits`` arrays from segments."""
     activities = F.transform(
-        F.slice(section_items(parts, "activity"), 1, MAX_ACTIVITIES),
+        section_items(parts, "activity"),
         lambda r: F.struct(
             r["text"].alias("activity"), F.lit("responsibility").alias("category"),
             keywords(r["text"]).alias("keywords"), F.lit(0.85).alias("confidence"),
             r["text"].alias("evidence"),
         ),
     )
-    requirements = F.slice(
-        F.flatten(F.transform(section_items(parts, "requirement"), _expand)), 1, MAX_REQUIREMENTS
-    )
+    requirements = F.flatten(F.transform(section_items(parts, "requirement"), _expand))
     benefits = F.transform(
-        F.slice(section_items(parts, "benefit"), 1, MAX_BENEFITS),
+        section_items(parts, "benefit"),
         lambda r: F.struct(
             r["text"].alias("benefit"), r["text"].alias("evidence"), F.lit(0.85).alias("confidence")
         ),

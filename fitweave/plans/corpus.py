@@ -174,10 +174,10 @@ def x01(t: Tables):
     return t.documents.select("doc_id", D.detect_language(F.col("text")).alias("language"))
 
 
-_KEYWORDS_SQL = """(select array_to_string(list_slice(list_transform(
+_KEYWORDS_SQL = """(select array_to_string(list_transform(
     list_filter(list_transform(generate_series(1, len(tk)), lambda i: struct_pack(
       w := tk[i], first := list_position(lows, lows[i]) = i and lows[i] not in ({stop}))), lambda p: p.first),
-    lambda p: p.w), 1, 12), ' ')
+    lambda p: p.w), ' ')
   from (select tk, list_transform(tk, lambda w: replace(lower(w), 'ß', 'ss')) as lows
     from (select regexp_extract_all({text}, '[A-Za-zÄÖÜäöüß0-9+#.-]{{3,}}') as tk)))"""
 
@@ -387,10 +387,9 @@ def x08(t: Tables):
 
 
 HEADER = """header as (select *, row_number() over (partition by job_id order by line_no) as hn from clean
-    where v <> '' and v <> '&nbsp;'),
-h15 as (select * from header where hn <= 15)"""
+    where v <> '' and v <> '&nbsp;')"""
 COMPACT = f"""{HEADER},
-chit as (select job_id, min(hn) as at from h15 where regexp_matches(v, '\\s+[·•|]\\s+')
+chit as (select job_id, min(hn) as at from header where regexp_matches(v, '\\s+[·•|]\\s+')
     and regexp_matches(v, '(?i)\\((?:hybrid|remote|on-?site)\\)') group by job_id),
 compact as (select l.job_id, nullif(trim(regexp_replace(p.v, '^#+', '')), '') as title,
     trim(regexp_split_to_array(l.v, '\\s+[·•|]\\s+')[1]) as company,
@@ -398,8 +397,8 @@ compact as (select l.job_id, nullif(trim(regexp_replace(p.v, '^#+', '')), '') as
       '(?i)\\s*\\((?:hybrid|remote|on-?site)\\)\\s*$', '')), '') as location,
     case lower(regexp_extract(l.v, '(?i)\\((hybrid|remote|on-?site)\\)', 1)) when 'hybrid' then 'Hybrid'
       when 'remote' then 'Remote' when 'on-site' then 'On-Site' else 'Onsite' end as work_model
-  from chit join h15 l on l.job_id = chit.job_id and l.hn = chit.at
-  left join h15 p on p.job_id = chit.job_id and p.hn = chit.at - 1)"""
+  from chit join header l on l.job_id = chit.job_id and l.hn = chit.at
+  left join header p on p.job_id = chit.job_id and p.hn = chit.at - 1)"""
 
 
 @query("x10_compact_header", f"""with {AD_LINES}, {COMPACT}
@@ -427,11 +426,11 @@ def x11(t: Tables):
 
 LEGAL = "(?:" + "|".join(vocab.LEGAL_FORMS) + ")"
 LEGAL_LONG = "(?:" + "|".join(vocab.LEGAL_FORMS_LONG) + ")"
-PLAIN = f"""phit as (select job_id, min(hn) as at from h15 where regexp_matches(v, '(?i)(?:^|{NW}){LEGAL}(?:{NW}|$)') group by job_id),
+PLAIN = f"""phit as (select job_id, min(hn) as at from header where regexp_matches(v, '(?i)(?:^|{NW}){LEGAL}(?:{NW}|$)') group by job_id),
 plain as (select phit.job_id, any_value(c.v) as company,
     nullif(trim(string_agg(trim(regexp_replace(p.v, '^#+', '')), ' ' order by p.hn)), '') as title
-  from phit join h15 c on c.job_id = phit.job_id and c.hn = phit.at
-  left join h15 p on p.job_id = phit.job_id and p.hn < phit.at and not starts_with(p.v, '[')
+  from phit join header c on c.job_id = phit.job_id and c.hn = phit.at
+  left join header p on p.job_id = phit.job_id and p.hn < phit.at and p.hn >= phit.at - 14 and not starts_with(p.v, '[')
     and length(p.v) <= 100 and not ({one_of(norm_sql('p.v'), vocab.PORTAL_CHROME)})
   group by phit.job_id)"""
 BELOW = f"""h1 as (select job_id, min(line_no) as at from lines where regexp_matches(raw, '^\\s*(?:>\\s*)?#\\s+\\S') group by job_id),
@@ -497,8 +496,8 @@ def x13(t: Tables):
 
 _IS_CONTRACT = has("p", ["unbefristet", "befristet", "permanent", "fixed[- ]term", "temporary"])
 EMPLOYMENT = f"""{section_cte('semp', vocab.EMPLOYMENT_HEADINGS)}, {section_cte('scon', vocab.CONTRACT_HEADINGS)},
-bare as (select job_id, first(trim(raw) order by line_no) as value from lines where line_no <= 40
-  and regexp_matches(raw, '(?i)^\\s*(?:(?:Teilzeit,\\s*)?Vollzeit|Teilzeit|Full[- ]time|Part[- ]time)\\s*$') group by job_id),
+bare as (select job_id, first(trim(raw) order by line_no) as value from lines where
+  regexp_matches(raw, '(?i)^\\s*(?:(?:Teilzeit,\\s*)?Vollzeit|Teilzeit|Full[- ]time|Part[- ]time)\\s*$') group by job_id),
 emp0 as (select ads.job_id, coalesce(nullif(insta.employment, ''), {inline_sql(vocab.EMPLOYMENT_HEADINGS)}, semp.value, bare.value) as value,
     coalesce({inline_sql(vocab.CONTRACT_HEADINGS)}, scon.value) as explicit
   from ads left join insta using (job_id) left join semp using (job_id) left join scon using (job_id) left join bare using (job_id)),
@@ -612,7 +611,7 @@ def _structured(t: Tables):
 
 
 @query("x18_activities", f"""with {AD_ITEMS},
-acts as materialized (select job_id, position, text from kept where section = 'activity' and position < 100)
+acts as materialized (select job_id, position, text from kept where section = 'activity')
 select job_id, position, text as activity, {keywords_sql('text')} as keywords, 0.85::double as confidence from acts""")
 def x18_activities(t: Tables):
     return X.activity_rows(_structured(t)).select(
@@ -621,7 +620,7 @@ def x18_activities(t: Tables):
 
 
 @query("x18_benefits", f"""with {AD_ITEMS}
-select job_id, position, text as benefit from kept where section = 'benefit' and position < 100""")
+select job_id, position, text as benefit from kept where section = 'benefit'""")
 def x18_benefits(t: Tables):
     return X.benefit_rows(_structured(t)).select("job_id", "position", "benefit")
 
@@ -649,8 +648,8 @@ req2 as (
   from req1 where years is not null and length(rest) >= 3
   union all select job_id, line_no, 0, text, 'other', priority, {keywords_sql('text')}, null, 0.8::double, text
   from req1 where years is null),
-reqs as (select * from (select *, cast(row_number() over (partition by job_id order by line_no, part) - 1 as int) as position
-  from req2) where position < 200)"""
+reqs as (select *, cast(row_number() over (partition by job_id order by line_no, part) - 1 as int) as position
+  from req2)"""
 
 
 @query("x18_requirements", f"""with {AD_ITEMS}, {REQUIREMENT_ROWS}
@@ -696,7 +695,7 @@ sp as (select sx.job_id, years, case when r1 then 'r1' when r2 then 'r2' when r3
 sg as (select job_id, string_agg(line, '|' order by line_no) as signals from (
     select sr.job_id, line_no, line, row_number() over (partition by sr.job_id order by line_no) as n from sr join sp using (job_id)
     where (rule = 'r1' and r1) or (rule = 'r2' and r2) or (rule = 'r3' and r3) or (rule = 'r4' and r4)
-      or (rule = 'own' and own) or (rule = 'years' and yearly)) where n <= 5 group by job_id),
+      or (rule = 'own' and own) or (rule = 'years' and yearly)) group by job_id),
 seniority as (select sp.job_id, case rule when 'r1' then 'senior' when 'r2' then 'lead' when 'r3' then 'senior'
       when 'r4' then 'junior' when 'own' then 'professional' when 'years' then 'professional' end as level,
     case when rule in ('r1','r2','r3','r4') then 0.95::double when rule is null then null
@@ -736,7 +735,7 @@ _ROLE_PREFIX = ("(?i)^.*?(?:your role|the role|position|we are looking for|you w
 @query("x24_job_role", f"""with {AD_LINES}, {METADATA},
 cand as (select job_id, 0 as n, trim(title) as c from meta where title is not null
   union all select job_id, n, c from (select job_id, row_number() over (partition by job_id order by line_no) as n,
-    trim(raw, ' #-*' || chr(9)) as c from lines where trim(raw) <> '') where n <= 80),
+    trim(raw, ' #-*' || chr(9)) as c from lines where trim(raw) <> '')),
 roles as (select *, {has('c', vocab.ROLE_CONTEXTS)} as ctx from cand where {has('c', vocab.ROLE_NOUNS)} and length(c) <= 140),
 picked as (select job_id, first(c order by n) filter (where ctx) as contextual, first(c order by n) as any_role from roles group by job_id),
 val as (select meta.job_id, coalesce(trim(regexp_replace(regexp_replace(contextual, '{_ROLE_PREFIX}', ''), '(?s)[.!?].*$', '')),
@@ -759,7 +758,7 @@ def k02(t: Tables):
 
 @query("k05_per_group_caps", f"""with {AD_ITEMS}, {REQUIREMENT_ROWS}
 select 'requirement' as kind, job_id, count(*) as n from reqs group by job_id
-union all select section, job_id, count(*) from kept where section <> 'requirement' and position < 100 group by section, job_id""")
+union all select section, job_id, count(*) from kept where section <> 'requirement' group by section, job_id""")
 def k05(t: Tables):
     jobs = _structured(t)
     sizes = jobs.select(

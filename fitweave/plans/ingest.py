@@ -264,13 +264,12 @@ def p17(t: Tables):
 @query("p23_normalize_requirements", """
 with l as (select doc_id, i - 1 as pos, ls[i] as line from (select doc_id, string_split(text, chr(10)) as ls from documents),
   unnest(generate_series(1, len(ls))) u(i)),
-n as (select doc_id, pos, substr(trim(line), 1, 4000) as requirement,
+n as (select doc_id, pos, trim(line) as requirement,
     case when pos % 4 = 0 then 'other' else concat('cat', cast(pos % 4 as varchar)) end as category,
     case when pos % 3 = 0 then 'must' else 'should' end as priority,
     case when pos % 2 = 0 then 'Python,SQL' else '' end as keywords
   from l where length(trim(line)) >= 3)
-select doc_id, requirement, category, priority, keywords from (select *, row_number() over (partition by doc_id order by pos) as rn from n)
-where rn <= 200""")
+select doc_id, requirement, category, priority, keywords from n""")
 def p23(t: Tables):
     def item(line, i):
         blank = F.lit(None).cast("string")
@@ -293,7 +292,7 @@ def p23(t: Tables):
 @query("g2_reimport_jobs", f"""with {AD_ITEMS}, {REQUIREMENT_ROWS}, clean as (select *, {'v'} as w from (
     select *, raw as v from lines)),
 reqc as (select job_id, count(*) as requirement_count from reqs group by job_id),
-actc as (select job_id, count(*) as activity_count from kept where section = 'activity' and position < 100 group by job_id)
+actc as (select job_id, count(*) as activity_count from kept where section = 'activity' group by job_id)
 select job_id, coalesce(requirement_count, 0) as requirement_count, coalesce(activity_count, 0) as activity_count,
   case when p_size % 2 = 0 then 'title_not_detected' else '' end as warnings, 'analyzing' as status
 from ads left join reqc using (job_id) left join actc using (job_id)""")
@@ -361,7 +360,7 @@ def g5(t: Tables):
 
 @query("s06_sink_jobs", f"""with {AD_ITEMS}, {REQUIREMENT_ROWS}
 select 'requirement' as child, job_id, position, requirement as text from reqs
-union all select section, job_id, position, text from kept where section <> 'requirement' and position < 100""")
+union all select section, job_id, position, text from kept where section <> 'requirement'""")
 def s06(t: Tables):
     from fitweave.session import scratch_path
     from fitweave.sources import tables
@@ -390,6 +389,17 @@ def w06(t: Tables):
     )
 
 
+@query("w05_first_seen_values", """
+select doc_id, position, line from (
+  select doc_id, pos as position, line, row_number() over (partition by doc_id, lower(line) order by pos) as n from (
+    select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos
+    from documents) where trim(line) <> '') where n = 1""")
+def w05_values(t: Tables):
+    placed = F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("position"), line.alias("line")))
+    firsts = T.distinct_by(F.filter(placed, lambda p: F.trim(p["line"]) != ""), lambda p: F.lower(p["line"]))
+    return t.documents.select("doc_id", F.inline(firsts))
+
+
 @query("w05_first_seen_lines", """
 select doc_id, min(pos) as first_position, count(*) as copies from (
   select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents)

@@ -186,7 +186,7 @@ def k04(t: Tables):
 
 @query("m3_job_detail", f"""with {AD_ITEMS}, {REQUIREMENT_ROWS},
 r as (select job_id, string_agg(concat(category, '/', priority, '/', requirement), '|' order by category, priority, requirement) as requirements from reqs group by job_id),
-a as (select job_id, string_agg(text, '|' order by position) as activities from kept where section = 'activity' and position < 100 group by job_id)
+a as (select job_id, string_agg(text, '|' order by position) as activities from kept where section = 'activity' group by job_id)
 select ads.job_id, 'Unbenannte Stelle' as title, n_name as company, requirements, activities
 from ads left join nation on n_nationkey = ads.job_id % 30 left join r using (job_id) left join a using (job_id)""")
 def m3(t: Tables):
@@ -227,8 +227,8 @@ def p19(t: Tables):
 
 
 @query("p20_review_payload", """
-with l as (select doc_id, list_slice(string_split(text, chr(10)), 1, 3) as ls from documents)
-select doc_id, len(ls) as items, array_to_string(list_transform(ls, lambda x: md5(substr(x, 1, 1200))), ',') as digests from l""")
+with l as (select doc_id, string_split(text, chr(10)) as ls from documents)
+select doc_id, len(ls) as items, array_to_string(list_transform(ls, lambda x: md5(x)), ',') as digests from l""")
 def p20(t: Tables):
     evidence = F.transform(
         F.split("text", "\n"), lambda line, i: F.struct(i.cast("string").alias("evidence_id"), line.alias("evidence_text"))
