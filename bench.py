@@ -13,7 +13,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from fitweave.plans import catalog  # noqa: E402
-from fitweave.session import build_session  # noqa: E402
+from fitweave.session import SPREAD, build_session  # noqa: E402
 
 HEADLINES = [
     "a01_qualification_fit",
@@ -47,7 +47,7 @@ def main() -> None:
     chosen = sys.argv[1:] or HEADLINES
     spark = build_session(
         "bench", f"local[{cpus}]",
-        **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "20g", "spark.ui.enabled": "false"},
+        **{"spark.sql.shuffle.partitions": cpus, SPREAD: cpus, "spark.driver.memory": "20g", "spark.ui.enabled": "false"},
     )
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1000).selectExpr("sum(id)").collect()

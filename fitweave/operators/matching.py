@@ -119,7 +119,7 @@ def overlap_pairs(terms: DataFrame, evidence: DataFrame) -> DataFrame:
     A requirement with unmatched terms also has one row without evidence.  All buffers are
     fixed width, so both aggregation steps hash instead of sorting.
     """
-    hits = balanced_join(terms, evidence, ["profile_id", "term"], ["body_hi"], how="left")
+    hits = balanced_join(terms, evidence, ["profile_id", "term"], ["body_hi"], how="left", spread_right_by=["evidence_id"])
     pairs = hits.groupBy(*BODY, "evidence_id").agg(
         F.count("evidence_id").alias("overlap"),
         F.count_if("is_first").alias("first_hits"),

@@ -120,14 +120,16 @@ def job_list(jobs: DataFrame, companies: DataFrame, matches: DataFrame, include_
 
 def stored_report(matches: DataFrame, target: DataFrame) -> DataFrame:
     """Fits, level summary and recommendation per pair with stored matches (M2)."""
-    fit = scoring.qualification_fit(matches)
-    summary = scoring.level_summary(matches)
-    keys = scoring.PAIR
-    joined = (
-        fit.select(*keys, F.col("score").alias("qualification_score"), F.col("level").alias("qualification_level"),
-                   "achieved_points", "possible_points", "requirement_count", "must_gaps")
-        .join(summary, keys)
-        .join(target.select(*keys, F.col("score").alias("target_score"), F.col("level").alias("target_level"),
-                            "review_exclusions"), keys)
+    return report_of_fits(scoring.fit_and_levels(matches), target, scoring.PAIR)
+
+
+def report_of_fits(fits: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
+    """The same from fits that are aggregated already; ``keys`` of them are in the target fits too."""
+    qualified = fits.select(
+        *keys, F.col("score").alias("qualification_score"), F.col("level").alias("qualification_level"),
+        "achieved_points", "possible_points", "requirement_count", "must_gaps", "summary",
+    )
+    targets = target.select(
+        *scoring.PAIR, F.col("score").alias("target_score"), F.col("level").alias("target_level"), "review_exclusions"
     )
-    return scoring.recommendation(joined)
+    return scoring.recommendation(qualified.join(targets, keys))

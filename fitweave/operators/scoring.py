@@ -56,18 +56,40 @@ def must_gap(priority: Column, level: Column) -> Column:
     return (priority == "must") & level.isin("gap", "unknown")
 
 
-def qualification_fit(matches: DataFrame, keys: list[str] = PAIR) -> DataFrame:
-    """Weighted fit per pair; one partial and one final hash aggregation."""
+def _point_sums() -> list[Column]:
     weight = priority_weight(F.coalesce("priority", F.lit("should")))
     percent = fulfilment_percent(F.coalesce("match_level", F.lit("unknown")))
-    sums = matches.groupBy(*keys).agg(
+    return [
         F.sum((weight * percent).cast("long")).alias("_hundredths"),
         F.sum(weight.cast("long")).alias("possible_points"),
         F.count(F.lit(1)).alias("requirement_count"),
         F.count_if(must_gap(F.col("priority"), F.coalesce("match_level", F.lit("unknown"))))
         .alias("must_gaps"),
+    ]
+
+
+def _level_sums() -> list[Column]:
+    return [F.count_if(F.col("match_level") == level).alias(f"_{level}") for level in vocab.LEVEL_FULFILMENT]
+
+
+def _level_map() -> Column:
+    """The non-zero level counts as a map; only the five closed levels can be keys."""
+    entries = F.array(
+        *[F.struct(F.lit(level).alias("k"), F.col(f"_{level}").alias("v")) for level in vocab.LEVEL_FULFILMENT]
     )
-    return with_score(sums)
+    return F.map_from_entries(F.filter(entries, lambda e: e["v"] > 0))
+
+
+def qualification_fit(matches: DataFrame, keys: list[str] = PAIR) -> DataFrame:
+    """Weighted fit per pair; one partial and one final hash aggregation."""
+    return with_score(matches.groupBy(*keys).agg(*_point_sums()))
+
+
+def fit_and_levels(matches: DataFrame, keys: list[str] = PAIR) -> DataFrame:
+    """Weighted fit and level summary per pair from one aggregation."""
+    sums = matches.groupBy(*keys).agg(*_point_sums(), *_level_sums())
+    levels = [f"_{level}" for level in vocab.LEVEL_FULFILMENT]
+    return with_score(sums).withColumn("summary", _level_map()).drop(*levels)
 
 
 def with_score(sums: DataFrame) -> DataFrame:
@@ -89,16 +111,8 @@ def level_counts(matches: DataFrame, keys: list[str] = PAIR) -> DataFrame:
 
 
 def level_summary(matches: DataFrame, keys: list[str] = PAIR) -> DataFrame:
-    """Level counts of a pair as a map; only the five closed levels can be keys."""
-    counts = {
-        level: F.count_if(F.col("match_level") == level) for level in vocab.LEVEL_FULFILMENT
-    }
-    wide = matches.groupBy(*keys).agg(*[c.alias(f"_{name}") for name, c in counts.items()])
-    entries = F.array(
-        *[F.struct(F.lit(name).alias("k"), F.col(f"_{name}").alias("v")) for name in counts]
-    )
-    used = F.filter(entries, lambda e: e["v"] > 0)
-    return wide.select(*keys, F.map_from_entries(used).alias("summary"))
+    """Level counts of a pair as a map."""
+    return matches.groupBy(*keys).agg(*_level_sums()).select(*keys, _level_map().alias("summary"))
 
 
 def recommendation(pairs: DataFrame) -> DataFrame:

@@ -221,10 +221,9 @@ def exclusions(breakers: Column, employment: Column, enrolment: Column, source:
 
 def target_fit(pairs: DataFrame, jobs: DataFrame, profiles: DataFrame) -> DataFrame:
     """Criteria, exclusions, score and level of every pair (A4)."""
-    wide = balanced_join(
-        pairs.select("job_id", "profile_id").join(prepare_jobs(jobs), "job_id"),
-        prepare_profiles(profiles), ["profile_id"], ["job_id"],
-    )
+    ids = pairs.select("job_id", "profile_id")
+    wide = balanced_join(ids, prepare_profiles(profiles), ["profile_id"], ["job_id"])
+    wide = balanced_join(wide, prepare_jobs(jobs), ["job_id"], ["profile_id"], counted=ids)
     weights = vocab.TARGET_WEIGHT
     wide = wide.withColumn("role_overlaps", role_overlaps(F.col("roles"), F.col("job_role")))
     role_texts = F.transform(F.filter("roles", lambda r: T.strip(r["role"]) != ""), lambda r: r["text"])

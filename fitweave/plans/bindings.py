@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fitweave import vocab
 from fitweave.functions import text as T
 from fitweave.plans.registry import Tables
-from fitweave.session import widen
+from fitweave.session import spread
 
 
 def shown(value: Column) -> Column:
@@ -282,7 +282,7 @@ def ads(t: Tables) -> DataFrame:
         .replace("join nation n", "join {nation} n"),
         part=t.part, supplier=t.supplier, nation=t.nation,
     )
-    return widen(rendered)
+    return spread(rendered)
 
 
 # --- requirements and evidence: documents and benchmark ---------------------------

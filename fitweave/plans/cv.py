@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from fitweave.functions import text as T
 from fitweave.operators import cv as C
 from fitweave.plans.registry import Tables, query
-from fitweave.session import widen
+from fitweave.session import spread
 
 # --- one CV per order: contact from the customer, one station from the order -------------
 
 
 def cvs(t: Tables):
-    rows = widen(t.orders.join(t.customer, t.orders.o_custkey == t.customer.c_custkey))
+    rows = spread(t.orders.join(t.customer, t.orders.o_custkey == t.customer.c_custkey))
     k = F.col("o_orderkey")
     day = F.col("o_orderdate").cast("date")
     blank = F.lit(None).cast("string")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fitweave.session import widen
+from fitweave.session import spread
 
 
 @dataclass(frozen=True)
@@ -32,7 +32,7 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         frame = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         if name in TEXT_TABLES:
-            frame = widen(frame)
+            frame = spread(frame)
         self.__dict__[name] = frame
         return frame
 

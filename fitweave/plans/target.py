@@ -236,11 +236,6 @@ _REPORT_OUT = """select job_id, profile_id, q as qualification_score, s as targe
     case when r > 0 then concat(cast(r as varchar), ' Ausschlusskriterium/-kriterien manuell prüfen') end) as reasons from ver"""
 
 
-def _pair_matches(t: Tables):
-    """Scored matches repeated for every profile the job is paired with."""
-    return B.scored_matches(t).drop("profile_id").join(pairs(t), "job_id")
-
-
 @query("a10_recommendation", f"{REPORT} {_REPORT_OUT}")
 def a10(t: Tables):
     q = S.qualification_fit(B.scored_matches(t), ["job_id"]).select(
@@ -255,7 +250,9 @@ def a10(t: Tables):
 
 @query("m2_stored_matching_report", f"{REPORT} {_REPORT_OUT}")
 def m2(t: Tables):
-    return R.stored_report(_pair_matches(t), fit(t)).select(
+    # a job has the same matches for every profile here, so its fit is aggregated once
+    fits = S.fit_and_levels(B.scored_matches(t), ["job_id"])
+    return R.report_of_fits(fits, fit(t), ["job_id"]).select(
         "job_id", "profile_id", "qualification_score", "target_score", "verdict", "requires_manual_review",
         F.array_join("reasons", "|").alias("reasons"),
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +24,10 @@ SETTINGS = {
 }
 
 
+SPREAD = "spark.fitweave.spreadTasks"
+_SHIPPED: set[str] = set()
+
+
 def build_session(app: str = "fitweave", master: str | None = None, **extra) -> SparkSession:
     """Session with the engine's settings; ``master`` only for local runs."""
     builder = SparkSession.builder.appName(app)
@@ -29,7 +35,9 @@ def build_session(app: str = "fitweave", master: str | None = None, **extra) ->
         builder = builder.master(master)
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -66,11 +74,25 @@ def materialize(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def widen(frame: DataFrame) -> DataFrame:
-    """Spreads a frame over all cores when its scan has fewer splits than that.
+def spread(frame: DataFrame) -> DataFrame:
+    """Repartitions a frame into the number of tasks that ``SPREAD`` names; as it is if that is unset.
 
-    Only tiny inputs (one small file) are affected; a large scan has more splits than cores
-    and passes through without a shuffle.
+    For sessions that read single small files, whose one row group would be one task.  A cluster leaves
+    the setting alone: its scans have many splits.
     """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)
+    tasks = frame.sparkSession.conf.get(SPREAD, None)
+    return frame.repartition(int(tasks)) if tasks else frame
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, so that Python workers find it wherever the driver was started."""
+    home = Path(__file__).resolve().parent
+    marker = f"{home.name}-{spark.sparkContext.applicationId}.zip"
+    if marker in _SHIPPED:
+        return
+    archive = Path(tempfile.mkdtemp()) / marker  # read by the driver's file server alone
+    with zipfile.ZipFile(archive, "w") as target:
+        for source in sorted(home.rglob("*.py")):
+            target.write(source, source.relative_to(home.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _SHIPPED.add(marker)

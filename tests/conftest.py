@@ -10,11 +10,11 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
-    from fitweave.session import build_session
+    from fitweave.session import SPREAD, build_session
 
     session = build_session(
         "tests", "local[8]",
-        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
+        **{"spark.sql.shuffle.partitions": "8", SPREAD: "8", "spark.ui.enabled": "false",
            "spark.driver.memory": "8g"},
     )
     session.sparkContext.setLogLevel("ERROR")
