@@ -207,7 +207,8 @@ def profile_years(evidence: DataFrame, as_of: Column) -> DataFrame:
 
     has_end = F.coalesce(F.get_json_object(source, "$.end_date"), F.lit("")) != ""
     end = F.when(has_end, day("end_date")).otherwise(as_of)
-    station = F.greatest(F.lit(0.0), F.datediff(end, day("start_date")) / dates.DAYS_PER_YEAR)
+    stay = F.datediff(end, day("start_date")) / dates.DAYS_PER_YEAR
+    station = F.when(stay.isNotNull(), F.greatest(F.lit(0.0), stay))  # rows without dates are no stations
     return (
         evidence.where(F.col("experience_context") == "professional")
         .groupBy("profile_id")
@@ -393,6 +394,22 @@ def evaluate_matching(
     )
 
 
+def match_citations(matches: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Cited evidence of every match, one row each (M1).
+
+    Rules on terms cite their best rows; rules on skill years cite every row of the profile that documents
+    the highest years, as many as there are.
+    """
+    keys = ["job_id", "profile_id", "requirement_id"]
+    by_terms = matches.select(*keys, F.inline("cited"))
+    by_years = matches.where(F.col("rule").isin("years_met", "years_short")).select(*keys)
+    best = skill_year_citations(evidence).select(
+        "profile_id", F.col("evidence_id").cast("string").alias("evidence_id"), F.lit("professional").alias("context")
+    )
+    joined = balanced_join(by_years, best, ["profile_id"], ["job_id", "requirement_id"], spread_right_by=["evidence_id"])
+    return by_terms.unionByName(joined)
+
+
 # --- sinks ------------------------------------------------------------------------
 
 def new_sources(evidence: DataFrame, stored: DataFrame) -> DataFrame:

@@ -211,6 +211,59 @@ def m1_ads(t: Tables):
     )
 
 
+# years of experience: a requirement per customer, skill and station rows per supplier, nations as profiles
+_YEARS = f"""need as (select c_custkey as job_id, c_nationkey as profile_id, c_custkey % 13 as years, c_custkey % 3 = 0 as generic from customer),
+ev as (select s_suppkey as evidence_id, s_nationkey as profile_id, s_suppkey % 7 = 3 as station,
+    case when s_suppkey % 7 = 3 then null when s_suppkey % 5 <> 2 then s_suppkey % 12 end as skill,
+    case when s_suppkey % 7 = 3 then datediff('day', date '2000-01-01', date '2000-01-01' + cast((s_suppkey % 4000) as int)) / 365.25 end as stay
+  from supplier where s_suppkey % 4 <> 0 and s_nationkey % 6 <> 5),
+top as (select profile_id, max(stay) as stay, max(skill) as skill from ev group by profile_id),
+ruled as (select need.*, case when generic and stay >= years then 'years_station_met' when generic and stay is not null then 'years_station_short'
+    when skill is null then 'years_unknown' when skill >= years then 'years_met' else 'years_short' end as rule
+  from need left join top using (profile_id))"""
+
+
+def _years_matches(t: Tables):
+    number = (F.col("c_custkey") % 13).cast("string")
+    generic = F.col("c_custkey") % 3 == 0
+    requirements = t.customer.select(
+        F.col("c_custkey").alias("job_id"), F.col("c_nationkey").alias("profile_id"), F.lit("r").alias("requirement_id"),
+        F.concat(F.lit("Mindestens "), number, F.when(generic, " Jahre Berufserfahrung").otherwise(" Jahre Erfahrung mit Webrahmen"))
+        .alias("requirement"),
+        F.lit("experience").alias("category"), F.lit("must").alias("priority"), T.empty_words().alias("keywords"),
+        F.lit(None).cast("string").alias("normalized_value"),
+    )
+    key = F.col("s_suppkey")
+    end = F.date_add(F.lit("2000-01-01").cast("date"), (key % 4000).cast("int"))
+    skill = (key % 12).cast("string")
+    source = (
+        F.when(key % 7 == 3, F.concat(F.lit('{"start_date":"2000-01-01","end_date":"'), end.cast("string"), F.lit('"}')))
+        .when((key % 5 != 2) & (key % 2 == 0), F.concat(F.lit('{"years_experience":'), skill, F.lit("}"))).otherwise("{}")
+    )
+    rows = t.supplier.where("s_nationkey % 6 <> 5").select(
+        F.col("s_nationkey").alias("profile_id"), key.alias("evidence_id"), source.alias("source_content"),
+        F.lit("Skill").alias("label"), F.when(key % 4 == 0, "project").otherwise("professional").alias("experience_context"),
+        F.when((key % 7 != 3) & (key % 5 != 2) & (key % 2 == 1), F.concat(F.lit("Jahre: "), skill)).otherwise("Webstuhl").alias("evidence_text"),
+        T.empty_words().alias("keywords"),
+    )
+    return X.evaluate_matching(requirements, rows, _as_of()), rows
+
+
+@query("m1_years_rules", f"""with {_YEARS}
+select job_id, rule, case when rule in ('years_station_met', 'years_met') then 'strong_match' when rule = 'years_unknown' then 'unknown' else 'gap' end as match_level,
+  case when rule = 'years_unknown' then 0.3::double else 0.95::double end as confidence,
+  case when rule in ('years_met', 'years_short') then 'professional' else 'none' end as profile_source from ruled""")
+def m1_years(t: Tables):
+    return _years_matches(t)[0].select("job_id", "rule", "match_level", "confidence", "profile_source")
+
+
+@query("m1_years_citations", f"""with {_YEARS}
+select job_id, cast(evidence_id as varchar) as evidence_id, 'professional' as context from ruled join top using (profile_id)
+join ev on ev.profile_id = ruled.profile_id and ev.skill = top.skill where rule in ('years_met', 'years_short')""")
+def m1_years_citations(t: Tables):
+    return X.match_citations(*_years_matches(t)).select("job_id", "evidence_id", "context")
+
+
 @query("j11_nest_localizations", """
 with loc as (select p_partkey, 'de' as language, p_name as title from part where p_size > 10
   union all select p_partkey, 'en', p_type from part where p_size % 2 = 0)
