@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from fitweave.session import ensure_checkpoint_dir, materialize
 
-__all__ = ["blank_null", "documents", "ensure_checkpoint_dir", "keep_ids", "materialize", "spread_join"]
+__all__ = ["blank_null", "documents", "ensure_checkpoint_dir", "materialize", "sized", "spread_join", "without_ids"]
 
 HOT_SHARE = 1 / 512
+BROADCAST_ROWS = 1_000_000  # of two longs at most, some 30 MB
 
 
 def documents(spark: SparkSession, folder: str, name: str = "documents") -> DataFrame:
@@ -45,10 +46,20 @@ def spread_join(rows: DataFrame, groups: DataFrame, key: str, count: str, how: s
     ).drop("_salt")
 
 
-def keep_ids(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose ``doc_id`` occurs in ``kept``; null ids match null ids.
+def sized(small: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A narrow written table, sent to all tasks if it has at most ``most`` rows, else as it is.
 
-    A semi-join, so no column of ``docs`` can clash with one of ``kept``.
+    Only the way of the join depends on it: beyond the bound both sides are shuffled.
     """
-    ids = kept.select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept_id"]), "left_semi")
+    return F.broadcast(small) if small.limit(most + 1).count() <= most else small
+
+
+def without_ids(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Rows of ``docs`` but for the ids none of whose ``verdicts`` (doc_id, stays) is to stay.
+
+    An anti-join by id, null ids matching null ids, so no column of ``docs`` can clash.  Texts are
+    shuffled only if very many ids go.
+    """
+    gone = verdicts.groupBy("doc_id").agg(F.bool_or("stays").alias("stays")).where(~F.col("stays"))
+    gone = sized(materialize(gone.select(F.col("doc_id").alias("_gone_id")), "gone"))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]), "left_anti")

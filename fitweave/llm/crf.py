@@ -20,7 +20,7 @@ Defined cases
   are left out, of repeated ones the lowest counts
 * without labels of both kinds every document gets the share of good labels (0.5 without any)
 * an empty table gives an empty result; extra columns are ignored by ``score_documents`` and kept by
-  ``keep_good``
+  ``keep_good``, where a repeated id stays if any of its rows is good
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fitweave.llm.common import keep_ids, materialize
+from fitweave.llm.common import without_ids
 
 SAMPLE_DOCS = 6000
 SAMPLE_LINES = 64
@@ -307,5 +307,4 @@ def score_documents(docs: DataFrame, field: Field) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Documents that the field, trained on the labels, scores at least ``threshold``; all columns."""
     scores = score_documents(docs, train(docs, labels))
-    good = materialize(scores.where(F.col("score") >= threshold).select("doc_id").distinct(), "good")
-    return keep_ids(docs, good)
+    return without_ids(docs, scores.select("doc_id", (F.col("score") >= threshold).alias("stays")))

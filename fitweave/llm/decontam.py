@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fitweave.llm.common import materialize
+from fitweave.llm.common import without_ids
 
 Q = 8
 RATE = 0.1
@@ -263,6 +263,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> Dat
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The documents without any match, with all their columns."""
-    leaked = materialize(find_leaks(docs, benchmark, rate).select("doc_id").distinct(), "leaked")
-    ids = leaked.select(F.col("doc_id").alias("_leaked_id"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_leaked_id"]), "left_anti")
+    leaked = find_leaks(docs, benchmark, rate)
+    return without_ids(docs, leaked.select("doc_id", F.lit(False).alias("stays")))

@@ -9,7 +9,8 @@ Defined cases
 * null text counts as the empty text; all empty texts are one group
 * null ``doc_id``: the row counts in its group; the smallest non-null id stays (null if there is none)
 * ties do not occur: the smallest ``doc_id`` stays
-* repeated rows (same id and text) each get a result row; ``exact_dedup`` leaves one of them
+* repeated rows (same id and text) each get a result row; ``exact_dedup`` leaves one of them; an id that
+  also stands for a different text stays with both
 * an empty table gives an empty result; extra columns are ignored by ``exact_groups`` and kept by
   ``exact_dedup``
 """
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fitweave.llm.common import blank_null, keep_ids, materialize, spread_join
+from fitweave.llm.common import BROADCAST_ROWS, blank_null, materialize, spread_join, without_ids
 
 PREFIX_CHARS = 256
 
@@ -51,18 +52,38 @@ def exact_groups(docs: DataFrame, prefix: int = PREFIX_CHARS) -> DataFrame:
         "doc_id", F.col("doc_id").alias("keep_id"), F.col("n").alias("group_size")
     )
     shared = by_key.where((F.col("n_length") > 1) & (F.col("n") > 1)).select("key", "n")
-    survivors = spread_join(narrow.select("doc_id", "key"), shared, "key", "n").distinct()
-    survivors = survivors.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
-    read = _keyed(docs, prefix)
-    full = read.join(survivors, read["doc_id"].eqNullSafe(survivors["_id"]) & (read["key"] == survivors["_key"]))
-    full = materialize(full.select("doc_id", F.sha2("norm", 256).alias("full_hash")), "exact-full")
+    full = _surviving(docs, narrow, shared, prefix).select("doc_id", F.sha2("norm", 256).alias("full_hash"))
+    full = materialize(full, "exact-full")
     groups = full.groupBy("full_hash").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("keep_id"))
     groups = groups.withColumn("group_size", F.col("n"))
     rest = spread_join(full, groups, "full_hash", "n").select("doc_id", "keep_id", "group_size")
     return alone.unionByName(rest)
 
 
+def _surviving(docs: DataFrame, narrow: DataFrame, shared: DataFrame, prefix: int) -> DataFrame:
+    """Rows with their whole texts whose key others share.
+
+    While the shared keys are few enough to be sent to all tasks, rows are picked where they are read.
+    Beyond that, survivors are found on narrow rows, hot keys in slices, and fetch their texts by id.
+    """
+    read = _keyed(docs, prefix)
+    keys = materialize(shared.select(F.col("key").alias("_key")), "exact-shared")
+    if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return read.join(F.broadcast(keys), read["key"] == keys["_key"], "left_semi")
+    ids = spread_join(narrow.select("doc_id", "key"), shared, "key", "n").distinct()
+    ids = ids.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+    return read.join(ids, read["doc_id"].eqNullSafe(ids["_id"]) & (read["key"] == ids["_key"]), "left_semi")
+
+
 def exact_dedup(docs: DataFrame, prefix: int = PREFIX_CHARS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; whole repeats of a row stay once."""
-    kept = exact_groups(docs, prefix).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    return keep_ids(docs, kept).dropDuplicates(["doc_id", "text"])
+    rows = exact_groups(docs, prefix).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    rows = materialize(rows, "exact-rows")
+    stay = without_ids(docs, rows)
+    repeated = rows.where("stays").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = materialize(repeated.select(F.col("doc_id").alias("_id")), "exact-repeated")
+    if repeated.isEmpty():
+        return stay
+    again = stay["doc_id"].eqNullSafe(repeated["_id"])
+    once = stay.join(repeated, again, "left_semi").withColumn("_once", F.sha2(normalised(), 256))
+    return stay.join(repeated, again, "left_anti").unionByName(once.dropDuplicates(["doc_id", "_once"]).drop("_once"))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fitweave.llm.common import keep_ids, materialize, spread_join
+from fitweave.llm.common import materialize, spread_join, without_ids
 
 SHINGLE = 4
 DISTANCE = 4
@@ -158,4 +158,4 @@ def near_classes(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHING
 def near_dedup(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """The document with the smallest id of every class, with all columns of ``docs``."""
     found = near_classes(docs, distance, shingle)
-    return keep_ids(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    return without_ids(docs, found.select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("stays")))
