@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fitweave.llm.common import blank_null, materialize
@@ -38,8 +38,8 @@ PROBES = 15
 LOW, SPAN = -(2**63), 2**64
 
 
-def row_size() -> Column:
-    return F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
+def row_size(text: str = "text") -> Column:
+    return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
 
 
 def _join_key(first: int, second: int = LOW) -> int:
@@ -135,10 +135,12 @@ def histogram_shards(docs: DataFrame, shards: int = SHARDS, tolerance: float = T
     spark = docs.sparkSession
     docs = docs.drop("shard", "slot")
     names = docs.columns
-    keyed = docs.select(
-        "*", F.xxhash64(blank_null()).alias("_k1"), F.xxhash64("doc_id").alias("_k2"), row_size().alias("_size")
+    inner = [f"in{n}" for n in range(len(names))]  # no name of the input can clash with those used below
+    text, doc_id = (inner[names.index(n)] for n in ("text", "doc_id"))
+    keyed = docs.toDF(*inner).select(
+        "*", F.xxhash64(blank_null(text)).alias("k1"), F.xxhash64(doc_id).alias("k2"), row_size(text).alias("size")
     )
-    keys = materialize(keyed.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), F.col("_size").alias("size")), "shard-keys")
+    keys = materialize(keyed.select("k1", "k2", "size"), "shard-keys")
     total = keys.agg(F.sum("size")).first()[0] or 0
     if not total:
         return docs.select("*", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("long").alias("slot"))
@@ -149,22 +151,24 @@ def histogram_shards(docs: DataFrame, shards: int = SHARDS, tolerance: float = T
     first = [k for r in heavy for k in (_join_key(r["k1"]), _join_key(r["k1"]) + SPAN)]
     targets = [total * c // cells for c in range(1, cells)]
     slack = [tolerance * total / shards if c % per_shard == 0 else LOOSE * total / cells for c in range(1, cells)]
+    # a cell is empty where a single row is larger than a cell
     bounds = sorted(find_bounds(keys, targets, slack, first))
-    # cells may be empty when a single row is larger than a cell; order of the bounds is all that counts
     arrays = _as_arrays([key for key, _ in bounds])
     starts = [0] + [rows for _, rows in bounds]
-    shard_start = [starts[c // per_shard * per_shard] for c in range(cells)]
     offsets = spark.createDataFrame(
-        [(c, c // per_shard, starts[c] - shard_start[c]) for c in range(cells)], "_cell int, shard int, _before long"
+        [(c, c // per_shard, starts[c] - starts[c // per_shard * per_shard]) for c in range(cells)],
+        "cell int, shard int, before long",
     )
 
     @F.pandas_udf("int")
     def cell(first: pd.Series, second: pd.Series) -> pd.Series:
         return pd.Series(cells_of(first.to_numpy(), second.to_numpy(), arrays).astype(np.int32))
 
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("_cell").orderBy("_k1", "_k2", "doc_id")
-    numbered = keyed.withColumn("_cell", cell("_k1", "_k2")).withColumn("_place", F.row_number().over(order))
-    placed = numbered.join(F.broadcast(offsets), "_cell")
-    return placed.select(*names, "shard", (F.col("_before") + F.col("_place") - 1).alias("slot"))
+    order = Window.partitionBy("cell").orderBy("k1", "k2", doc_id)
+    numbered = keyed.withColumn("cell", cell("k1", "k2")).withColumn("place", F.row_number().over(order))
+    placed = numbered.join(F.broadcast(offsets), "cell")
+    return placed.select(
+        *(F.col(i).alias(n) for i, n in zip(inner, names, strict=True)),
+        "shard",
+        (F.col("before") + F.col("place") - 1).alias("slot"),
+    )
