@@ -4,8 +4,9 @@ Four kinds of identifier are searched twice: in the text as it is (base spans),
 form made by three transducers in a row, each of which carries for every output character the source
 characters it stands for:
 1. look-alikes: letters of other alphabets, full-width and mathematical forms, zero-width characters
-2. written-out "at" and "dot", in brackets or between the words of an address
-3. runs of spelled digits, and "plus" before them
+2. written-out or spaced "at" and "dot", in brackets, or between the words of an address or the numbers of an ip
+3. runs of spelled digits, with "plus" before and "dot" between them, and letters inside numbers that look
+   like a digit
 Spans found in the normalised form are mapped back and added; base spans always stay.
 
 Everything happens inside one row, so there is no shuffle and no skew between documents.
@@ -48,6 +49,7 @@ LOOKALIKES = {
     "․": ".", "。": ".", "٫": ".", "·": ".",
 }
 ZERO_WIDTH = frozenset("\u00ad\u200b\u200c\u200d\u2060\ufeff")
+DIGIT_LETTERS = str.maketrans("OoIl", "0011")
 DIGIT_WORDS = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7",
     "eight": "8", "nine": "9",
@@ -59,14 +61,14 @@ DIGIT_WORDS = {
 }
 WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 # runs of at least three spelled digits; figures may stand between them
+AT_WORDS = "at|arroba|ät|chez"
+DOT_WORDS = "dot|punkt|punto|point"
 SPELLED = re.compile(
-    rf"\b(?:plus[ ,-]{{1,2}})?(?:(?:{WORD}|[0-9]+)[ ,.-]{{1,2}}){{2,}}(?:{WORD}|[0-9]+)\b", re.IGNORECASE
+    rf"\b(?:plus[ ,-]{{1,2}})?(?:(?:{WORD}|[0-9]+)(?: (?:{DOT_WORDS}) |[ ,.-]{{1,2}})){{2,}}(?:{WORD}|[0-9]+)\b", re.IGNORECASE
 )
-A_WORD = re.compile(rf"plus|{WORD}|[0-9]", re.IGNORECASE)
+A_WORD = re.compile(rf"plus|{DOT_WORDS}|{WORD}|[0-9]", re.IGNORECASE)
 A_DIGIT_WORD = re.compile(WORD, re.IGNORECASE)
 HAS_WORD = re.compile(rf"\b(?:{WORD})[ ,.-]{{1,2}}(?:{WORD}|[0-9])", re.IGNORECASE)
-AT_WORDS = "at|arroba|ät|chez"
-DOT_WORDS = "dot|punkt|punto|point"
 BRACKETED = re.compile(rf"\s{{0,3}}[\[({{<]\s{{0,3}}(?:({AT_WORDS}|@)|(?:{DOT_WORDS}|\.))\s{{0,3}}[\])}}>]\s{{0,3}}", re.IGNORECASE)
 # written-out signs without brackets count only before one of these endings
 ENDINGS = "com|org|net|edu|gov|info|biz|io|ai|co|me|de|at|ch|fr|es|it|nl|be|uk|eu|us|mx|ar"
@@ -76,6 +78,17 @@ WRITTEN = re.compile(
     rf" {{1,3}}(?:{DOT_WORDS}) {{1,3}}(?:{ENDINGS})\b", re.IGNORECASE,
 )
 A_SIGN = re.compile(rf" {{1,3}}(?:({AT_WORDS})|(?:{DOT_WORDS})) {{1,3}}", re.IGNORECASE)
+# "first.last at site.org": only local parts that no ordinary word looks like
+PLAIN_AT = re.compile(
+    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9%+-]{{1,64}}[._0-9][A-Za-z0-9._%+-]{{0,64}}( {{1,3}}(?:{AT_WORDS}) {{1,3}})(?:[A-Za-z0-9-]{{1,64}}\.){{1,8}}(?:{ENDINGS})\b",
+    re.IGNORECASE,
+)
+HAS_AT = re.compile(rf" (?:{AT_WORDS}) +[A-Za-z0-9-]+\.[A-Za-z0-9]", re.IGNORECASE)
+SPACED = re.compile(rf"[A-Za-z0-9._%+-]{{1,64}}( {{0,3}}@ {{0,3}})[A-Za-z0-9-]{{1,64}}(?: {{0,3}}\. {{0,3}}[A-Za-z0-9-]{{1,64}}){{0,8}}? {{0,3}}\. {{0,3}}(?:{ENDINGS})\b", re.IGNORECASE)
+HAS_SPACED = re.compile(r" @|@ |@[A-Za-z0-9.-]+ \.")
+A_GAP = re.compile(r" *([@.]) *")
+DOTTED = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?: {{1,3}}(?:{DOT_WORDS}) {{1,3}}[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
+INNER_LETTER = re.compile(r"[0-9][ -]?[OoIl]+(?=[ -]?[0-9])")
 HAS_DOT = re.compile(rf" (?:{DOT_WORDS}) ", re.IGNORECASE)
 
 
@@ -184,6 +197,21 @@ def normalise(text: str) -> Mapped:
             for s in A_SIGN.finditer(out.text, m.start(), m.end())
         ]
         out.rewrite(signs)
+        out.rewrite([
+            (s.start(), s.end(), ".") for m in DOTTED.finditer(out.text) for s in A_SIGN.finditer(out.text, m.start(), m.end())
+        ])
+    if HAS_AT.search(out.text):
+        out.rewrite([(*m.span(1), "@") for m in PLAIN_AT.finditer(out.text)])
+    if HAS_SPACED.search(out.text):
+        out.rewrite([
+            (s.start(), s.end(), s[1])
+            for m in SPACED.finditer(out.text)
+            for s in A_GAP.finditer(out.text, m.start(), m.end())
+            if len(s.group()) > 1
+        ])
+    if INNER_LETTER.search(out.text):
+        plain = INNER_LETTER.sub(lambda m: m.group().translate(DIGIT_LETTERS), out.text)
+        out.text, out.changed = plain, True
     if HAS_WORD.search(out.text):
         parts = []
         for m in SPELLED.finditer(out.text):
@@ -195,7 +223,7 @@ def normalise(text: str) -> Mapped:
                     parts.append((last, w.start(), ""))
                 word = w.group().lower()
                 if not word.isdigit():
-                    parts.append((w.start(), w.end(), "+" if word == "plus" else DIGIT_WORDS[word]))
+                    parts.append((w.start(), w.end(), "+" if word == "plus" else DIGIT_WORDS.get(word, ".")))
                 last = w.end()
         out.rewrite(parts)
     return out
