@@ -52,6 +52,31 @@ def fold_events(events: DataFrame) -> DataFrame:
     )
 
 
+EVENT_COLUMNS = [*ORDER, "event_type", "status", "channel", "portal_name", "note"]
+
+
+def pivotal_events(events: DataFrame) -> DataFrame:
+    """application_id and ``pivots``, the events that any pick of the fold or the creation time rests on.
+
+    The winner among the winners of two parts is the winner of both, so folding the pivots of old
+    events together with new events gives the state of all events.
+    """
+    state = F.col("event_type").isin("created", "status_change") & _filled("status")
+    applied = state & (F.col("status") == "applied")
+    answered = ~F.col("status").eqNullSafe("applied")
+    portal = F.col("channel") == "job_portal"
+    firsts = [
+        F.lit(True), applied, state & (F.col("status") == "followed_up"), applied & _filled("channel"),
+        applied & portal & _filled("portal_name"),
+    ]
+    lasts = [state, answered & _filled("channel"), answered & portal, _filled("note")]
+    event = F.struct(*EVENT_COLUMNS)
+    picks = [F.min(F.when(c, event)) for c in firsts] + [F.max(F.when(c, event)) for c in lasts]
+    return events.groupBy("application_id").agg(
+        F.array_distinct(F.array_compact(F.array(*picks))).alias("pivots")
+    )
+
+
 def rebuild_application_state(events: DataFrame, applications: DataFrame) -> DataFrame:
     """State of every application; without any state event it falls back to draft (H1)."""
     folded = fold_events(events)

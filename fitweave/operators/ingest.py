@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from fitweave import vocab
 from fitweave.functions import text as T
 from fitweave.operators.ranking import keep_one
+from fitweave.operators.skew import balanced_join
 from fitweave.session import ensure_checkpoint_dir, materialize
 
 FILL_FIELDS = ["company", "source_portal", "location", "work_model", "employment_type",
@@ -31,7 +32,8 @@ def find_duplicates(incoming: DataFrame, stored: DataFrame) -> DataFrame:
         candidates = stored.where(F.col(key).isNotNull() & (F.col(key) != "")).groupBy(key).agg(
             F.min(first).alias("found")
         )
-        return incoming.select("import_id", key).join(candidates, key).select("import_id", "found")
+        keyed = incoming.select("import_id", key)
+        return balanced_join(keyed, candidates, [key], ["import_id"]).select("import_id", "found")
 
     both = by("content_hash").unionByName(by("source_url"))
     return both.groupBy("import_id").agg(F.min("found").alias("found")).select(
@@ -39,24 +41,28 @@ def find_duplicates(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     )
 
 
-def batch_leaders(incoming: DataFrame, max_rounds: int = 50) -> DataFrame:
+def batch_leaders(incoming: DataFrame) -> DataFrame:
     """Imports of one batch that are new when the batch is processed in import order.
 
-    An import is a duplicate only of an earlier import that was itself inserted.  Every round
-    settles the imports that come first under both of their keys and drops what they
-    cover; lineage is cut by a reliable checkpoint between rounds.
+    An import is a duplicate only of an earlier import that was itself inserted.  Of imports that agree
+    in both keys only the first can be new, so the others go before the rounds.  Every round settles
+    the imports that come first under both of their keys, the smallest open one at least, and drops
+    what they cover; lineage is cut by a reliable checkpoint between rounds.
     """
     ensure_checkpoint_dir(incoming.sparkSession)
     keys = incoming.select("import_id", "content_hash", F.nullif("source_url", F.lit("")).alias("source_url"))
-    open_rows = keys.checkpoint()
+    open_rows = keys.groupBy("content_hash", "source_url").agg(F.min("import_id").alias("import_id")).checkpoint()
     leaders = None
-    for _ in range(max_rounds):
+    while True:
         hash_first = open_rows.groupBy("content_hash").agg(F.min("import_id").alias("_by_hash"))
         url_first = open_rows.where("source_url is not null").groupBy("source_url").agg(
             F.min("import_id").alias("_by_url")
         )
         settled = (
-            open_rows.join(hash_first, "content_hash").join(url_first, "source_url", "left")
+            balanced_join(
+                balanced_join(open_rows, hash_first, ["content_hash"], ["import_id"]),
+                url_first, ["source_url"], ["import_id"], how="left", counted=open_rows.select("source_url"),
+            )
             .where(
                 (F.col("import_id") == F.col("_by_hash"))
                 & (F.col("import_id") == F.coalesce("_by_url", "import_id"))
@@ -71,7 +77,6 @@ def batch_leaders(incoming: DataFrame, max_rounds: int = 50) -> DataFrame:
         )
         if open_rows.isEmpty():
             return leaders
-    raise RuntimeError("duplicate chains longer than the round limit")
 
 
 def resolve_companies(names: DataFrame, companies: DataFrame) -> DataFrame:

@@ -28,10 +28,10 @@ def file_stream(t: Tables, name: str):
 def t2(t: Tables):
     folder = scratch_path(t.spark, "application-stream")
     stream = applications.stream_application_state(
-        file_stream(t, "events"), folder, lambda rows: B.application_events(_Batch(rows)), buckets=8
+        file_stream(t, "events"), folder, lambda rows: B.application_events(_Batch(rows))
     )
     stream.awaitTermination()
-    return _shown_state(applications.read_state(t.spark, folder))
+    return _shown_state(applications.read_state(t.spark, folder, B.application_events(t)))
 
 
 @query("t1_stream_ingest_jobs")

@@ -1,8 +1,9 @@
 """Arriving application events keep the state table current.
 
-Every micro-batch is stored under its batch id, so a replay overwrites itself.  State is
-rebuilt from the full history of the touched buckets only.  There is no watermark: a late
-event must give the same state as if it had arrived in order.
+State depends on at most nine events of an application (``history.pivotal_events``), whatever the length
+of its history.  These are kept as a log: a micro-batch takes the pivots of the applications it touches,
+adds its own events, and writes the new pivots and states of those applications under its batch id.
+There is no watermark: a late event gives the same state as if it had arrived in order.
 """
 
 from __future__ import annotations
@@ -14,42 +15,48 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fitweave.operators import history
+from fitweave.streaming import log
 
-BUCKETS = 64
+KEY = ["application_id"]
 
 
-def bucket(buckets: int = BUCKETS):
-    return F.pmod(F.xxhash64("application_id"), F.lit(buckets)).cast("int")
+def _pivot_schema(events: DataFrame) -> str:
+    """``application_id`` and its pivots, with the columns that the fold reads."""
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
+    fields = ",".join(f"{name}:{kinds[name]}" for name in history.EVENT_COLUMNS)
+    return f"application_id {kinds['application_id']}, pivots array<struct<{fields}>>"
 
 
-def update_state(events: DataFrame, batch_id: int, folder: str, buckets: int = BUCKETS) -> None:
-    """One micro-batch: append events, then rebuild the buckets they touch."""
-    spark = events.sparkSession
-    rows = events.withColumn("bucket", bucket(buckets)).withColumn("batch", F.lit(batch_id))
-    (
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("bucket", "batch").parquet(f"{folder}/events")
-    )
-    stored = spark.read.parquet(f"{folder}/events")
-    # at most ``buckets`` values, so the list is safe to broadcast and prunes partitions
-    touched = stored.where(F.col("batch") == batch_id).select("bucket").distinct()
-    history_rows = stored.join(F.broadcast(touched), "bucket", "left_semi")
-    applications = history_rows.groupBy("application_id").agg(F.min("occurred_at").alias("created_at"))
-    state = history.rebuild_application_state(history_rows, applications)
-    (
-        state.withColumn("bucket", bucket(buckets)).repartition("bucket")
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("bucket").parquet(f"{folder}/state")
+def _state_schema(events: DataFrame) -> str:
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
+    times = ("status_changed_at", "applied_at")
+    return f"application_id {kinds['application_id']}, " + ", ".join(
+        f"{name} {kinds['occurred_at'] if name in times else 'string'}" for name in history.STATE_COLUMNS
     )
 
 
+def update_state(events: DataFrame, batch_id: int, folder: str) -> None:
+    """One micro-batch: new pivots and states of the applications it touches, and of no others."""
+    spark = events.sparkSession
+    touched = events.select(*KEY).distinct()
+    stored = log.log_rows(spark, _pivot_schema(events), f"{folder}/pivots", batch_id)
+    known = log.newest(stored.join(touched, KEY, "left_semi"), KEY)
+    both = events.select(*KEY, *history.EVENT_COLUMNS).unionByName(known.select(*KEY, F.inline("pivots")))
+    pivots = history.pivotal_events(both)
+    log.append(pivots, f"{folder}/pivots", batch_id)
+    written = log.log_rows(spark, _pivot_schema(events), f"{folder}/pivots", batch_id + 1).where(F.col("batch") == batch_id)
+    rows = written.select(*KEY, F.inline("pivots"))
+    applications = rows.groupBy(*KEY).agg(F.min("occurred_at").alias("created_at"))
+    log.append(history.rebuild_application_state(rows, applications), f"{folder}/state", batch_id)
+
+
 def stream_application_state(
-    events: DataFrame, folder: str, prepare: Callable[[DataFrame], DataFrame] | None = None, buckets: int = BUCKETS
+    events: DataFrame, folder: str, prepare: Callable[[DataFrame], DataFrame] | None = None
 ) -> StreamingQuery:
     """Starts the stream over all available input; ``prepare`` maps raw rows to events."""
 
     def handle(rows: DataFrame, batch_id: int) -> None:
-        update_state(prepare(rows) if prepare else rows, batch_id, folder, buckets)
+        update_state(prepare(rows) if prepare else rows, batch_id, folder)
 
     return (
         events.writeStream.foreachBatch(handle).option("checkpointLocation", f"{folder}/checkpoint")
@@ -57,5 +64,12 @@ def stream_application_state(
     )
 
 
-def read_state(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/state").drop("bucket")
+def compact_state(spark: SparkSession, folder: str, events: DataFrame, batch_id: int) -> None:
+    """Compacts pivots and states up to a batch that has ended; ``events`` gives the column types."""
+    log.compact(spark, _pivot_schema(events), f"{folder}/pivots", KEY, batch_id)
+    log.compact(spark, _state_schema(events), f"{folder}/state", KEY, batch_id)
+
+
+def read_state(spark: SparkSession, folder: str, events: DataFrame) -> DataFrame:
+    """Newest state of every application; ``events`` gives the column types."""
+    return log.newest(log.log_rows(spark, _state_schema(events), f"{folder}/state"), KEY).drop("batch")

@@ -1,8 +1,9 @@
 """Arriving pages go through extraction and the job upsert.
 
-The job table is a log: each micro-batch writes the new state of the jobs it touched under
-its batch id, and readers take the newest row per job.  A replayed batch sees only earlier
-batches and overwrites its own rows, so the result does not depend on retries.
+The job table is a log: each micro-batch writes the new state of the jobs it touched under its batch id.
+A batch looks its imports up in the narrow key columns of the log and reads whole rows only of the jobs
+that they meet.  A replayed batch sees only earlier batches and overwrites its own rows, so the result
+does not depend on retries.
 """
 
 from __future__ import annotations
@@ -11,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from fitweave.operators.ingest import ingest_jobs
-from fitweave.operators.ranking import keep_one
+from fitweave.operators.ingest import find_duplicates, ingest_jobs
 from fitweave.plans.extraction import import_pages
+from fitweave.session import materialize
+from fitweave.streaming import log
 
 JOB_SCHEMA = (
     "job_id string, title string, content string, content_hash string, source_url string, source_type string, "
@@ -21,35 +23,36 @@ JOB_SCHEMA = (
     "employment_type string, contract_term string, language string, "
     "requirements array<struct<requirement:string,category:string,priority:string,keywords:array<string>,"
     "normalized_value:string,confidence:double,evidence:string>>, "
-    "activities array<struct<activity:string,category:string,keywords:array<string>,confidence:double,evidence:string>>, "
-    "batch bigint"
+    "activities array<struct<activity:string,category:string,keywords:array<string>,confidence:double,evidence:string>>"
 )
-TITLED = "page_title"
+INDEX = ["job_id", "content_hash", "source_url", "batch"]
 
 
 def current_jobs(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
     """Newest row per job, optionally as of an earlier batch."""
-    log = spark.read.schema(JOB_SCHEMA).parquet(f"{folder}/jobs")
-    if before is not None:
-        log = log.where(F.col("batch") < before)
-    return keep_one(log, ["job_id"], [F.col("batch")], last=True)
+    return log.newest(log.log_rows(spark, JOB_SCHEMA, f"{folder}/jobs", before), ["job_id"])
+
+
+def met_jobs(extracted: DataFrame, rows: DataFrame) -> DataFrame:
+    """Newest whole rows of the jobs that an import meets; all other jobs are seen by their keys only."""
+    index = log.newest(rows.select(*INDEX), ["job_id"]).withColumn("imported_at", F.col("batch"))
+    met = find_duplicates(extracted.select("import_id", "content_hash", "source_url"), index)
+    wanted = index.join(met.select(F.col("existing_id").alias("job_id")).distinct(), "job_id", "left_semi")
+    return rows.join(wanted.select("job_id", "batch"), ["job_id", "batch"], "left_semi")
 
 
 def ingest_batch(pages: DataFrame, batch_id: int, folder: str) -> None:
     """One micro-batch of pages into the job log."""
-    spark = pages.sparkSession
-    if batch_id == 0:
-        empty = spark.createDataFrame([], JOB_SCHEMA)
-        stored = empty.withColumn("imported_at", F.col("batch"))
-    else:
-        stored = current_jobs(spark, folder, batch_id).withColumn("imported_at", F.col("batch"))
-    extracted = import_pages(pages).drop("job_id")
+    rows = log.log_rows(pages.sparkSession, JOB_SCHEMA, f"{folder}/jobs", batch_id)
+    # the lookup and the upsert both read the extracted pages
+    extracted = materialize(import_pages(pages).drop("job_id"), "extracted-pages")
+    stored = met_jobs(extracted, rows).withColumn("imported_at", F.col("batch"))
     _, jobs = ingest_jobs(extracted, stored)
-    (
-        jobs.withColumn("batch", F.lit(batch_id).cast("long"))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch").parquet(f"{folder}/jobs")
-    )
+    log.append(jobs.drop("batch"), f"{folder}/jobs", batch_id)
+
+
+def compact_jobs(spark: SparkSession, folder: str, batch_id: int) -> None:
+    log.compact(spark, JOB_SCHEMA, f"{folder}/jobs", ["job_id"], batch_id)
 
 
 def stream_ingest_jobs(pages: DataFrame, folder: str) -> StreamingQuery:

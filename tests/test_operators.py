@@ -18,6 +18,7 @@ from fitweave.plans import bindings as B
 from fitweave.plans.registry import Tables
 from fitweave.sources import tables
 from fitweave.streaming import applications as stream
+from fitweave.streaming import ingest as ingest_stream
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
@@ -123,15 +124,44 @@ def test_stream_state_equals_batch_state(spark, sf):
         # four files in random event order, so late events arrive in later batches
         events.withColumn("r", F.xxhash64("event_id")).repartition(4, "r").drop("r").write.parquet(f"{folder}/in")
         source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-        stream.stream_application_state(source, f"{folder}/out", buckets=4).awaitTermination()
-        streamed = sorted(stream.read_state(spark, f"{folder}/out").select("application_id", *history.STATE_COLUMNS).collect())
+        stream.stream_application_state(source, f"{folder}/out").awaitTermination()
+
+        def streamed(at: str):
+            return sorted(stream.read_state(spark, at, events).select("application_id", *history.STATE_COLUMNS).collect())
+
         batch = history.rebuild_application_state(events, B.applications_of(events))
-        assert streamed == sorted(batch.select("application_id", *history.STATE_COLUMNS).collect())
-        # replaying a batch changes nothing
-        part = events.where("event_id < 50")
-        stream.update_state(part, 99, f"{folder}/again", buckets=4)
-        stream.update_state(part, 99, f"{folder}/again", buckets=4)
-        assert spark.read.parquet(f"{folder}/again/events").count() == part.count()
+        expected = sorted(batch.select("application_id", *history.STATE_COLUMNS).collect())
+        assert streamed(f"{folder}/out") == expected
+        assert spark.read.parquet(f"{folder}/out/pivots/log").select(F.max(F.size("pivots"))).first()[0] <= 9
+        # halves by arrival, one of them replayed, compaction between them
+        early = F.pmod(F.xxhash64("event_id"), F.lit(2)) == 0
+        at = f"{folder}/again"
+        for number, part in ((0, events.where(early)), (1, events.where(~early).where("event_id % 3 = 0")),
+                             (1, events.where(~early).where("event_id % 3 = 0"))):
+            stream.update_state(part, number, at)
+        stream.compact_state(spark, at, events, 1)
+        stream.update_state(events.where(~early).where("event_id % 3 <> 0"), 2, at)
+        assert streamed(at) == expected
+
+
+def test_stream_of_pages_meets_jobs_of_earlier_batches(spark):
+    def page(title: str) -> str:
+        text = " ".join(f"{title} Anforderungen und Aufgaben Nummer {n}." for n in range(40))
+        return f"<html><body><article><h1>{title}</h1><p>{text}</p></article></body></html>"
+
+    batches = [
+        [(1, "https://a.invalid/1", page("Weber")), (2, "https://a.invalid/2", page("Färber"))],
+        [(3, "https://b.invalid/9", page("Weber")), (4, "https://a.invalid/2", page("Färber neu")), (5, "https://a.invalid/5", page("Müller"))],
+        [(6, "https://a.invalid/5", page("Müller")), (7, "https://c.invalid/1", page("Bäcker"))],
+    ]
+    with tempfile.TemporaryDirectory() as folder:
+        for number, rows in enumerate(batches):
+            for _ in range(2):  # every batch is replayed
+                ingest_stream.ingest_batch(spark.createDataFrame(rows, "page_id bigint, url string, html string"), number, folder)
+            if number == 1:
+                ingest_stream.compact_jobs(spark, folder, number)
+        jobs = ingest_stream.current_jobs(spark, folder)
+        assert sorted(r["title"] for r in jobs.collect()) == ["Bäcker", "Färber", "Müller", "Weber"]
 
 
 def test_match_scope_is_replaced_per_bucket(spark):
