@@ -37,16 +37,14 @@ from fitweave.llm.common import materialize, spread_join
 BROADCAST_HOSTS = 100_000
 VOTES = 3  # best containers of a page that get a vote
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|math|select|object)\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>"
-    r"(?:.*?(?:</(?P=raw)\s*+>|\Z))"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(?P<close2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs2>[^>]*+)>"
-    r"|<[!?][^>]*+>",
-    re.DOTALL | re.IGNORECASE,
-)
+TAG = re.compile(r"<(?:!--|(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>[^>]*+)>|[!?][^>]*+>)")
+# elements whose content is no markup, or none that is shown
+RAW = {
+    tag: re.compile(rf"</{tag}\b[^>]*+>", re.IGNORECASE)
+    for tag in ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "select", "object")
+}
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+QUOTE = re.compile("[\"']")
 DIGITS = re.compile(r"[0-9]+")
 PARTS = re.compile(r"[^a-z]+")
 
@@ -69,6 +67,50 @@ READERS = frozenset(("comment", "comments"))
 WHOLE = frozenset(("html", "body", "main", "article"))
 
 
+def tokens(html: str) -> Iterator[tuple[str, str, bool, str]]:
+    """(text before, tag, whether it closes, attributes), and last the remaining text; in linear time.
+
+    A ``>`` inside a quoted value belongs to the value if the quote is closed at all.
+    """
+    last = html.rfind(">") + 1  # no tag ends after it
+    unclosed: set[str] = set()
+    done = at = 0
+    while m := TAG.search(html, at, last):
+        before = html[done : m.start()]
+        at = m.end()
+        tag, attrs = (m["tag"] or "").lower(), m["attrs"] or ""
+        if m.group() == "<!--":
+            end = html.find("-->", at)
+            at = len(html) if end < 0 else end + 3
+        elif tag and not m["close"]:
+            quote = open_quote(attrs)
+            while quote and quote not in unclosed:
+                end = html.find(quote, at)
+                stop = html.find(">", end + 1) if end >= 0 else -1
+                if stop < 0:
+                    unclosed.add(quote)
+                    break
+                attrs, at = attrs + ">" + html[at:stop], stop + 1
+                quote = open_quote(html[end + 1 : stop])
+            if tag in RAW:
+                end = RAW[tag].search(html, at, last)
+                at = len(html) if end is None else end.end()
+                tag = ""
+        yield before, tag, bool(m["close"]), attrs
+        done = at
+        if at >= last:
+            break
+    yield html[done:], "", False, ""
+
+
+def open_quote(attrs: str) -> str:
+    """The quote that is still open at the end of a tag's attributes."""
+    quote = ""
+    for mark in QUOTE.findall(attrs):
+        quote = mark if not quote else "" if mark == quote else quote
+    return quote
+
+
 class Page:
     """One pass over a page.  ``wanted`` is a path to extract, or None to score all containers."""
 
@@ -86,18 +128,13 @@ class Page:
         # open elements: tag, path, dropped, taken, number of goal parts matched so far (-1: left the goal)
         self._stack: list[tuple[str, int, bool, bool, int]] = [("", 0, False, False, 0)]
         self._open: dict[str, int] = {}
-        done = 0
-        for m in TOKEN.finditer(html):
-            if m.start() > done:
-                self._text(html[done : m.start()])
-            done = m.end()
-            tag = m["tag"] or m["tag2"]
-            if tag and (m["close"] or m["close2"]):
-                self._end(tag.lower())
+        for text, tag, closes, attrs in tokens(html):
+            if text:
+                self._text(text)
+            if tag and closes:
+                self._end(tag)
             elif tag:
-                self._start(tag.lower(), m["attrs"] or m["attrs2"] or "")
-        if done < len(html):
-            self._text(html[done:])
+                self._start(tag, attrs)
         self._flush()
 
     def _text(self, text: str) -> None:
