@@ -57,6 +57,11 @@ def test_boilerplate_inside_an_article(extra):
         ("&lt;x&gt; &eacute;&#233;&#xe9; a&nbsp;b", "<x> ééé a b"), ("1 < 2 <p>x</p>", "1 < 2\nx"), ("<table><tr><td>a<td>b</table>", "a\nb"),
         ("<p title='a > b'>x</p>", "x"), ("<p title='open>x</p>", "x"), ("<h2></h2><p> </p>x", "x"), ("<script>never closed <p>x", ""),
         ("<P CLASS=Ad>x</P><P>y</P>", "y"),
+        ("<p title='a > b' id=\"c>'d\">x</p>", "x"),
+        ("<p title=\"it's\">x</p><p>y's</p>", "x\ny's"),
+        ("<!-- open <p>x", ""),
+        ("<![CDATA[x]]>y<?php z ?>", "y"),
+        ("x<svg><text>no</text></svg>y", "xy"),
     ],
 )
 def test_markup(body, text):
@@ -90,6 +95,12 @@ def test_edges(spark):
     assert extract(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+@pytest.mark.parametrize("part", ["<div class='", '<a href="x>', "<", "<!--", "<script>", "</", "<p title='>", "<b a=\"'>"])
+@pytest.mark.parametrize("end", ["", ">", "'>", "</div>"])
+def test_broken_tags_in_linear_time(part, end):
+    main_text(part * 50_000 + end, None)
+
+
 @pytest.mark.parametrize("tag", ["div", "p", "li", "ul", "b", "td", 'div class="ad"'])
 def test_deep_and_unclosed(tag):
     page = f"<{tag}>x" * 50_000
