@@ -9,10 +9,7 @@ from fitweave import vocab
 from fitweave.functions import text as T
 
 TOKEN = "[A-Za-zÀ-ÖØ-öø-ÿ0-9+#.]{2,}"
-YEARS = (
-    r"(?iu)(\d+(?:[.,]\d+)?)\s*(?:\+|plus)?\s*(?:jahr(?:e|en)?|years?)\s*(?:of\s+)?"
-    r"(?:berufs?\s*|profession(?:al)?\s+)?(?:erfahrung|experience)"
-)
+YEARS = vocab.MATCH_YEARS_PATTERN
 SOFT_SKILL = T.phrases(vocab.SOFT_SKILL_STEMS, end=False)
 ELIGIBILITY = T.phrases(vocab.ELIGIBILITY_STEMS, end=False)
 WORK_CONTEXT = T.phrases(["production", "professional"])
@@ -76,7 +73,7 @@ def minimum_years(
     tagged = _decimal(T.capture(normalized_value, YEARS))
     if read_tag:
         tagged = F.coalesce(
-            tagged, _decimal(T.capture(normalized_value, r"^min_years:(\d+(?:[.,]\d+)?)$"))
+            tagged, _decimal(T.capture(normalized_value, vocab.YEARS_TAG_PATTERN))
         )
     return F.coalesce(tagged, from_text)
 
@@ -84,7 +81,7 @@ def minimum_years(
 def skill_years(source_content: Column, evidence_text: Column) -> Column:
     """Documented years of one evidence row: JSON field first, then ``Jahre: N``."""
     documented = F.get_json_object(source_content, "$.years_experience")
-    written = T.capture(evidence_text, r"(?U)\bJahre:\s*(\d+(?:[.,]\d+)?)")
+    written = T.capture(evidence_text, vocab.WRITTEN_YEARS_PATTERN)
     return F.when(documented.isNotNull(), documented.try_cast("double")).otherwise(
         _decimal(written)
     )

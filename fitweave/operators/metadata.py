@@ -118,7 +118,7 @@ def inline_value(content: Column, headings: list[str]) -> Column:
     """``heading: value`` on one line, longest heading first."""
     names = "|".join(re.escape(h) for h in sorted(headings, key=len, reverse=True))
     found = T.capture(
-        content, rf"(?imu)^[ \t]*(?:>[ \t]*)?(?:{names})[ \t]*[:\-–]?[ \t]+(.+?)[ \t]*$"
+        content, vocab.INLINE_VALUE_PATTERN.replace("NAMES", names)
     )
     return clean_line(found)
 
@@ -126,7 +126,7 @@ def inline_value(content: Column, headings: list[str]) -> Column:
 def map_link_location(content: Column) -> Column:
     """Label of a maps link."""
     return clean_line(
-        T.capture(content, r"(?iu)\[([^\]\r\n]{2,150})\]\(https?://(?:www\.)?google\.[^/\s]+/maps/[^)\r\n]+\)")
+        T.capture(content, vocab.MAP_LINK_PATTERN)
     )
 
 
@@ -172,13 +172,13 @@ def plain_header(clean: Column) -> Column:
 
 def compact_header(clean: Column) -> Column:
     """(title, company, location, work_model) of ``company · place (Hybrid)``."""
-    separator = r"\s+[·•|]\s+"
+    separator = vocab.HEADER_SEPARATOR_PATTERN
 
     def build(h: Column) -> Column:
         line = F.get(h["lines"], h["at"])
         parts = F.transform(F.split(line, separator), lambda p: T.strip(p))
         mode = F.initcap(F.lower(T.capture(line, PLACE_MODE)))
-        place = F.regexp_replace(F.get(parts, F.lit(1)), r"(?iu)\s*\((?:hybrid|remote|on-?site)\)\s*$", "")
+        place = F.regexp_replace(F.get(parts, F.lit(1)), vocab.PLACE_MODE_END_PATTERN, "")
         title = T.strip(F.regexp_replace(F.get(h["lines"], h["at"] - 1), "^#+", ""))
         return F.when(
             h["at"].isNotNull(),
@@ -196,7 +196,7 @@ def compact_header(clean: Column) -> Column:
             lambda lines: F.struct(
                 lines.alias("lines"),
                 _first_index(
-                    lines, lambda v: v.rlike(PLACE_MODE) & v.rlike(r"\s[·•|]\s")
+                    lines, lambda v: v.rlike(PLACE_MODE) & v.rlike(vocab.HEADER_MARK_PATTERN)
                 ).alias("at"),
             ),
         ),
@@ -207,7 +207,7 @@ def compact_header(clean: Column) -> Column:
 def split_terms(value: Column) -> Column:
     """(employment_type, contract_term) parts of a comma list."""
     contract = T.phrases(["unbefristet", "befristet", "permanent", "fixed[- ]term", "temporary"])
-    parts = F.transform(F.split(value, r"\s*[,;|]\s*"), lambda p: T.strip(p))
+    parts = F.transform(F.split(value, vocab.TERM_SEPARATOR_PATTERN), lambda p: T.strip(p))
     return T.let(
         parts,
         lambda ps: F.struct(
@@ -222,17 +222,17 @@ def split_terms(value: Column) -> Column:
 def instaffo_details(content: Column) -> Column:
     """Portal-specific fields (X11); the caller checks the filename."""
     return F.struct(
-        clean_line(T.capture(content, r"(?m)^#\s+([^#\r\n]+?)\s*$")).alias("title"),
+        clean_line(T.capture(content, vocab.PORTAL_TITLE_PATTERN)).alias("title"),
         clean_line(
             T.capture(
                 content,
-                r"(?imsu)^##\s+\**(?:Firmendetails|Company details)\**\s*$\s*^#{1,3}\s+([^#\r\n]+?)\s*$",
+                vocab.PORTAL_COMPANY_PATTERN,
             )
         ).alias("company"),
-        T.strip(T.capture(content, r"(?imu)^\s*([^\r\n]{2,100}?)\s+Bürostandorte\s*$")).alias("location"),
+        T.strip(T.capture(content, vocab.PORTAL_LOCATION_PATTERN)).alias("location"),
         T.capture(
             content,
-            r"(?imu)^\s*[^A-Za-z\r\n]{0,3}(Vollzeit|Teilzeit|Full[- ]time|Part[- ]time)\b",
+            vocab.PORTAL_EMPLOYMENT_PATTERN,
         ).alias("employment_type"),
     )
 
@@ -278,7 +278,7 @@ def company_below_title(lines: Column, clean: Column) -> Column:
         before = F.slice(after, F.lit(1), F.coalesce(stop, F.size(after)))
         return T.first_of(F.filter(before, plausible))
 
-    at = _first_index(lines, lambda line: line.rlike(r"^\s*(?:>\s*)?#\s+\S"))
+    at = _first_index(lines, lambda line: line.rlike(vocab.BELOW_TITLE_PATTERN))
     following = T.let(at, lambda i: F.filter(F.slice(clean, i + 2, F.lit(4)), lambda v: v != ""))
     return F.when(at.isNotNull(), T.let(following, build))
 
@@ -287,32 +287,31 @@ def company_rules(content: Column, lines: Column, clean: Column, norm: Column, u
                   compact: Column, plain: Column, instaffo: Column) -> list[Column]:
     """Company rules in order of trust."""
     from_join = F.when(
-        url.rlike(r"(?iu)https?://(?:www\.)?join\.com/"),
+        url.rlike(vocab.COMPANY_SITE_PATTERN),
         clean_line(
             T.capture(
                 content,
-                r"(?isu)\[\s*(?:!\[[^\]]*\]\([^)]+\)\s*)*([^\[\]\r\n]{2,200}?)\s*\]"
-                r"\(https?://(?:www\.)?join\.com/companies/[^)]+\)",
+                vocab.COMPANY_SITE_LINK_PATTERN,
             )
         ),
     )
     labelled = T.strip(
-        T.capture(content, r"(?imu)^\s*(?:>\s*)?(?:Arbeitgeber|Unternehmen|Company|Employer)\s*:\s*(.+?)\s*$")
+        T.capture(content, vocab.EMPLOYER_LINE_PATTERN)
     )
     linked = T.strip(
-        T.capture(content, r"(?imu)^\s*(?:>\s*)?\[([^\]\r\n]+)\]\(https?://[^)\r\n]*/cmp/[^)\r\n]*\)\s*$")
+        T.capture(content, vocab.COMPANY_PAGE_PATTERN)
     )
     brand = T.strip(
         F.regexp_replace(
-            T.capture(content, r"(?imu)^\s*\[!\[([^\]\r\n]+?)\]\([^)]*\)\]\([^)]*\)\s*$"),
-            r"(?iu)\s+logo\s*$", "",
+            T.capture(content, vocab.LOGO_LINK_PATTERN),
+            vocab.LOGO_END_PATTERN, "",
         )
     )
     prose = clean_line(
-        T.capture(content, rf"(?imu)^\s*(?:Die|Bei)\s+([A-ZÄÖÜ][^\r\n.!?]{{1,160}}?\b(?:{LEGAL_LONG}))\b")
+        T.capture(content, vocab.PROSE_COMPANY_PATTERN.replace("FORMS", LEGAL_LONG))
     )
     standalone = F.regexp_extract_all(
-        content, F.lit(rf"(?imu)^\s*(?:>\s*)?([^\r\n]{{2,180}}\b(?:{LEGAL_LONG}))\s*$"), F.lit(1)
+        content, F.lit(vocab.COMPANY_LINE_PATTERN.replace("FORMS", LEGAL_LONG)), F.lit(1)
     )
     return [
         instaffo["company"], from_join, labelled, linked,
@@ -357,11 +356,11 @@ def with_metadata(jobs: DataFrame, content: str = "content") -> DataFrame:
     address = first_filled(
         inline_value(text, vocab.ADDRESS_HEADINGS), section_value(clean, norm, vocab.ADDRESS_HEADINGS)
     )
-    commute = r"(?iu)^\d+\s*(?:min(?:ute)?n?|stunden?|hours?)\s+ab\b"
+    commute = vocab.COMMUTE_PATTERN
     bare = T.strip(
         T.capture(
             text,
-            r"(?imu)^\s*((?:Teilzeit,\s*)?Vollzeit|Teilzeit|Full[- ]time|Part[- ]time)\s*$",
+            vocab.BARE_EMPLOYMENT_PATTERN,
         )
     )
     employment = first_filled(
@@ -372,7 +371,7 @@ def with_metadata(jobs: DataFrame, content: str = "content") -> DataFrame:
         inline_value(text, vocab.CONTRACT_HEADINGS), section_value(clean, norm, vocab.CONTRACT_HEADINGS)
     )
     published = T.strip(
-        T.capture(text, r"(?imu)^\s*(?:>\s*)?(?:Veröffentlichungsdatum|Published)\s*:\s*(.+?)\s*$")
+        T.capture(text, vocab.PUBLISHED_PATTERN)
     )
     return (
         with_lines(jobs, content)

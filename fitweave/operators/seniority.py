@@ -9,20 +9,12 @@ from fitweave import vocab
 from fitweave.functions import text as T
 from fitweave.operators import structure
 
-YEARS = (
-    r"(?iu)\b(?:mindestens|mind\.?|at least|minimum|over|mehr als)?\s*(\d+(?:[.,]\d+)?)"
-    r"(?:\s*(?:bis|-|–)\s*\d+(?:[.,]\d+)?)?\s*(?:\+|plus)?\s*(?:jahr(?:e|en)?|years?)\s*(?:of\s+)?"
-    r"(?:berufs?|professional)?\s*(?:erfahrung|experience)\b"
-)
+YEARS = vocab.SENIORITY_YEARS_PATTERN
 RULES = [(level, T.phrases(options)) for level, options in vocab.SENIORITY_RULES]
 OWNERSHIP = T.phrases(vocab.OWNERSHIP_WORDS)
 LEVEL_WORD = T.phrases(vocab.ROLE_LEVELS)
 ROLE_NOUN = T.phrases(vocab.ROLE_NOUNS)
 ROLE_CONTEXT = T.phrases(vocab.ROLE_CONTEXTS)
-ROLE_PREFIX = (
-    r"(?iu)^.*?(?:your role|the role|position|we are looking for|you will be|mission|"
-    r"responsibilities)\s*[:\-]?\s*"
-)
 # longer lines are prose, not the name of a role
 ROLE_LENGTH = 140
 
@@ -99,7 +91,7 @@ def job_role(title: Column, content: Column) -> Column:
     def pick(found: Column) -> Column:
         contextual = T.first_of(F.filter(found, lambda c: c.rlike(ROLE_CONTEXT)))
         in_context = T.strip(
-            F.regexp_replace(F.regexp_replace(T.strip(contextual), ROLE_PREFIX, ""), r"(?s)[.!?].*$", "")
+            F.regexp_replace(F.regexp_replace(T.strip(contextual), vocab.ROLE_PREFIX_PATTERN, ""), r"(?s)[.!?].*$", "")
         )
         value = F.coalesce(in_context, T.strip(T.first_of(found)), name)
         bare = F.regexp_replace(F.regexp_replace(value, T.SPACES, " "), LEVEL_WORD, "")

@@ -29,16 +29,11 @@ ACTIVITY_OPENER = T.phrases(vocab.ACTIVITY_OPENERS)
 REQUIREMENT = T.phrases(vocab.REQUIREMENT_HEADINGS)
 OPTIONAL = T.phrases(vocab.OPTIONAL_WORDS)
 MUST = T.phrases(vocab.MUST_WORDS)
-_NUMBER = r"\d+(?:[.,]\d+)?"
-YEARS = (
-    r"(?:mindestens|min\.|at\s+least|minimum|mehr\s+als|over)?\s*"
-    rf"({_NUMBER}(?:\s*(?:bis|-|–)\s*{_NUMBER})?|{'|'.join(vocab.NUMBER_WORDS)})\s*"
-    r"(?:jahr(?:e|en)?|years?)\s*(?:of\s+)?(?:berufs?\s*|profession(?:al)?\s+)?"
-    r"(?:erfahrung|experience)"
+YEARS = vocab.REQUIRED_YEARS_PATTERN.replace("NUMBER", vocab.NUMBER_PATTERN).replace(
+    "WORDS", "|".join(vocab.NUMBER_WORDS)
 )
 YEARS_ANYWHERE = f"(?iu){YEARS}"
 YEARS_FIRST = f"(?ius)^(.*?){YEARS}"
-CONNECTOR = r"(?iu)^\s*(?:with|of|in|and|oder|mit|sowie|für)\s+"
 KEYWORD = "[A-Za-zÄÖÜäöüß0-9+#.-]{3,}"
 
 
@@ -76,7 +71,7 @@ def required_years(value: Column) -> Column:
     """Years named in a requirement: a number, the lower end of a range, or a number word."""
 
     def number(named: Column) -> Column:
-        digits = F.replace(T.capture(named, rf"^({_NUMBER})"), F.lit(","), F.lit("."))
+        digits = F.replace(T.capture(named, f"^({vocab.NUMBER_PATTERN})"), F.lit(","), F.lit("."))
         words = F.try_element_at(T.number_map(vocab.NUMBER_WORDS), named).cast("double")
         return F.coalesce(digits.try_cast("double"), words)
 
@@ -155,7 +150,7 @@ def _expand(item: Column) -> Column:
 
     def split(years: Column) -> Column:
         rest = clean_item(
-            F.regexp_replace(F.regexp_replace(text, YEARS_FIRST, "$1"), CONNECTOR, "")
+            F.regexp_replace(F.regexp_replace(text, YEARS_FIRST, "$1"), vocab.YEARS_CONNECTOR_PATTERN, "")
         )
         return F.struct(
             general_number(years).alias("years"), priority(text, item["heading"]).alias("rank"),

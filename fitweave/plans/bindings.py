@@ -152,8 +152,8 @@ select p.p_partkey as job_id,
     concat(s.s_name, ' Group · ', n.n_name,
            case when p.p_size % 3 = 0 then ' (Hybrid)' when p.p_size % 3 = 1 then ' (Remote)' else ' (On-site)' end),
     '',
-    'About the job',
-    'You will be part of our team and you will work with the data of our customers.',
+    'Sailing days',
+    'You and the crew are with us for all of the season and the work will be yours.',
     '**Your role** build things:',
     concat('- Design pipelines for ', p.p_name),
     concat('- Operate ', p.p_type, ' plants; '),
@@ -174,9 +174,9 @@ select p.p_partkey as job_id,
     '>',
     '> Vollzeit',
     '>',
-    concat('> Veröffentlichungsdatum: Vor ', cast(p.p_size as string), ' Tagen veröffentlicht'),
+    concat('> Veröffentlichungsdatum: Vor ', cast(p.p_size as string), ' Tagen ausgehängt'),
     concat('Arbeitgeber: ', s.s_name, ' AG'),
-    'We offer employees the opportunity to work flexibly and remotely.',
+    'Your team shares the work, and remote days are with us for all crews.',
     'Du wirst eigenverantwortlich und mit Verantwortung arbeiten.',
     '## Tätigkeiten',
     concat('* Pflege der Anlage ', p.p_name),
@@ -185,15 +185,15 @@ select p.p_partkey as job_id,
     '* Firmenwagen und mehr')
   when 3 then concat_ws(chr(10),
     concat('Junior ', p.p_name),
-    'Learning Engineer',
+    'Loom Engineer',
     '(m/w/d)',
     concat(s.s_name, ' GmbH'),
     'Remote in DE',
     n.n_name,
     'Bürostandorte',
-    '50.000 - 70.000 €',
+    '31.500 - 36.500 €',
     'Vollzeit',
-    'Jobdetails',
+    'Einzelheiten',
     '## Kompetenzprofil',
     concat('1. Erfahrung mit ', p.p_brand, ' ist zwingend'),
     concat('2) Idealerweise ', p.p_type, ' und Statistik'),
@@ -201,7 +201,7 @@ select p.p_partkey as job_id,
     '## Über uns',
     '- Wir sind ein Team')
   when 4 then concat_ws(chr(10),
-    concat('[![', s.s_name, ' Logo](https://example.com/logo.png)](https://example.com)'),
+    concat('[![', s.s_name, ' Logo](https://pics.invalid/mark.svg)](https://yard.invalid)'),
     '',
     concat('# Lead Data Architect ', p.p_name),
     '',
@@ -209,9 +209,9 @@ select p.p_partkey as job_id,
     '',
     'Apply Now',
     'Arbeitsort',
-    concat(cast(p.p_size as string), ' Minuten ab Oldenburger Str. 31'),
+    concat(cast(p.p_size as string), ' Minuten ab Fischmarkt'),
     'Job address',
-    concat('Weidendamm ', cast(p.p_size as string), ', ', n.n_name),
+    concat('Kaistraße ', cast(p.p_size as string), ', ', n.n_name),
     'Beschäftigungsart',
     ':   Teilzeit, befristet',
     'Vertragsdauer: 24 Monate',
@@ -241,7 +241,7 @@ select p.p_partkey as job_id,
     '- Mehrjährige Praxis',
     '  - Teilpunkt ohne Verbindung')
   else concat_ws(chr(10),
-    concat('[![', s.s_name, ' GmbH](https://cdn.join.com/logo.jpg)'),
+    concat('[![', s.s_name, ' GmbH](https://cdn.join.com/mark.svg)'),
     '',
     concat(s.s_name, ' GmbH](https://join.com/companies/x', cast(s.s_suppkey as string), ')'),
     '',

@@ -6,34 +6,34 @@ Everything here is data.  The rules that use it live in ``functions`` and
 
 # --- fixed values: language detection -------------------------------------
 LANGUAGE_WORDS = {
-    "de": (
-        "aber als auch auf aus bei bewerbung das der die eine einem einen einer für "
-        "ihre ihren ist mit oder sind stelle und unser unsere von wir werden zu"
-    ).split(),
-    "en": (
-        "and application are as at be for from in is job of on or our position the "
-        "their to we will with you your"
-    ).split(),
+    "de": [
+        "aber", "als", "auch", "auf", "aus", "bei", "bewerbung", "das", "der", "die", "eine", "einem",
+        "einen", "einer", "für", "ihre", "ihren", "ist", "mit", "oder", "sind", "stelle", "und", "unser",
+        "unsere", "von", "wir", "werden", "zu",
+    ],
+    "en": [
+        "and", "application", "are", "as", "at", "be", "for", "from", "in", "is", "job", "of", "on", "or",
+        "our", "position", "the", "their", "to", "we", "will", "with", "you", "your",
+    ],
 }
 
 # --- fixed values: matching terms -----------------------------------------
-MATCH_STOPWORDS = (
-    "and the with for from und der die das mit für von eine experience erfahrung "
-    "kenntnisse ability along advantageous developing highly like professional "
-    "proficiency proven significant skills strong such track environments field "
-    "roles programming languages"
-).split()
+MATCH_STOPWORDS = [
+    "and", "the", "with", "for", "from", "und", "der", "die", "das", "mit", "für", "von", "eine",
+    "experience", "erfahrung", "kenntnisse", "ability", "along", "advantageous", "developing", "highly",
+    "like", "professional", "proficiency", "proven", "significant", "skills", "strong", "such", "track",
+    "environments", "field", "roles", "programming", "languages",
+]
 
 TERM_CONCEPTS = {
-    "predictive_modeling": (
-        "forecasting prediction predictive vorhersage vorhersagen "
-        "vorhersagealgorithmus vorhersagealgorithmen vorhersagemodell "
-        "vorhersagemodelle prädiktiv prädiktive prädiktiver prognose prognosen "
-        "prognosemodell prognosemodelle"
-    ).split(),
-    "raw_data_analysis": "eda exploratory rohdaten rohdatenanalyse rohdatenaufbereitung".split(),
-    "data_cleaning": "cleaning cleansing bereinigung datenbereinigung rohdatenaufbereitung".split(),
-    "data_quality": "quality qualität datenqualität".split(),
+    "predictive_modeling": [
+        "forecasting", "prediction", "predictive", "vorhersage", "vorhersagen", "vorhersagealgorithmus",
+        "vorhersagealgorithmen", "vorhersagemodell", "vorhersagemodelle", "prädiktiv", "prädiktive",
+        "prädiktiver", "prognose", "prognosen", "prognosemodell", "prognosemodelle",
+    ],
+    "raw_data_analysis": ["eda", "exploratory", "rohdaten", "rohdatenanalyse", "rohdatenaufbereitung"],
+    "data_cleaning": ["cleaning", "cleansing", "bereinigung", "datenbereinigung", "rohdatenaufbereitung"],
+    "data_quality": ["quality", "qualität", "datenqualität"],
 }
 
 TARGET_CONCEPTS = {
@@ -92,9 +92,10 @@ BENEFIT_HEADINGS = [
 ]
 OPTIONAL_WORDS = ["von vorteil", "wünschenswert", "idealerweise", "nice to have", "preferred", "plus"]
 MUST_WORDS = ["muss", "zwingend", "notwendig", "erforderlich", "required", "must", "mindestens"]
-KEYWORD_STOPWORDS = (
-    "aber auch dabei eine einem einen einer sowie über oder und with your you the and for"
-).split()
+KEYWORD_STOPWORDS = [
+    "aber", "auch", "dabei", "eine", "einem", "einen", "einer", "sowie", "über", "oder", "und", "with",
+    "your", "you", "the", "and", "for",
+]
 NUMBER_WORDS = {
     "ein": 1, "eine": 1, "einem": 1, "einen": 1, "zwei": 2, "drei": 3, "vier": 4,
     "fünf": 5, "fuenf": 5, "sechs": 6, "sieben": 7, "acht": 8, "neun": 9, "zehn": 10,
@@ -166,7 +167,7 @@ JOB_MARKERS = [
     "qualifications", "your profile", "what you bring", "what we offer",
 ]
 BLOCK_PAGE_TITLES = ["access denied", "just a moment", "verify you are human", "security check"]
-DROPPED_TAGS = "script style svg noscript iframe nav footer header form aside".split()
+DROPPED_TAGS = ["script", "style", "svg", "noscript", "iframe", "nav", "footer", "header", "form", "aside"]
 NOISE_NAMES = [
     "cookie", "consent", "privacy-banner", "navigation", "breadcrumb", "social-share", "newsletter",
 ]
@@ -215,11 +216,11 @@ GERMAN_KEYWORDS = [
 ]
 
 # --- fixed values: closed vocabularies ----------------------------------------
-APPLICATION_STATUSES = (
-    "draft applied followed_up interview rejected offer accepted withdrawn closed"
-).split()
-APPLICATION_CHANNELS = "email company_portal job_portal phone personal other".split()
-EVENT_TYPES = "created status_change internal_forwarded communication note".split()
+APPLICATION_STATUSES = [
+    "draft", "applied", "followed_up", "interview", "rejected", "offer", "accepted", "withdrawn", "closed",
+]
+APPLICATION_CHANNELS = ["email", "company_portal", "job_portal", "phone", "personal", "other"]
+EVENT_TYPES = ["created", "status_change", "internal_forwarded", "communication", "note"]
 STATUS_LABELS = {
     "draft": "Entwurf", "applied": "Beworben", "followed_up": "Nachgefragt",
     "interview": "Vorstellungsgespräch", "rejected": "Abgelehnt", "offer": "Angebot",
@@ -335,3 +336,56 @@ MATCH_TEXTS = {
         "Label this as transferable or project experience, not production experience.",
     ),
 }
+
+# --- fixed values: patterns of metadata lines ---------------------------------
+INLINE_VALUE_PATTERN = r"(?imu)^[ \t]*(?:>[ \t]*)?(?:NAMES)[ \t]*[:\-–]?[ \t]+(.+?)[ \t]*$"  # NAMES stands for the headings
+MAP_LINK_PATTERN = r"(?iu)\[([^\]\r\n]{2,150})\]\(https?://(?:www\.)?google\.[^/\s]+/maps/[^)\r\n]+\)"
+HEADER_SEPARATOR_PATTERN = r"\s+[·•|]\s+"
+PLACE_MODE_END_PATTERN = r"(?iu)\s*\((?:hybrid|remote|on-?site)\)\s*$"
+HEADER_MARK_PATTERN = r"\s[·•|]\s"
+TERM_SEPARATOR_PATTERN = r"\s*[,;|]\s*"
+PORTAL_TITLE_PATTERN = r"(?m)^#\s+([^#\r\n]+?)\s*$"
+PORTAL_COMPANY_PATTERN = r"(?imsu)^##\s+\**(?:Firmendetails|Company details)\**\s*$\s*^#{1,3}\s+([^#\r\n]+?)\s*$"
+PORTAL_LOCATION_PATTERN = r"(?imu)^\s*([^\r\n]{2,100}?)\s+Bürostandorte\s*$"
+PORTAL_EMPLOYMENT_PATTERN = r"(?imu)^\s*[^A-Za-z\r\n]{0,3}(Vollzeit|Teilzeit|Full[- ]time|Part[- ]time)\b"
+BELOW_TITLE_PATTERN = r"^\s*(?:>\s*)?#\s+\S"
+COMPANY_SITE_PATTERN = r"(?iu)https?://(?:www\.)?join\.com/"
+EMPLOYER_LINE_PATTERN = r"(?imu)^\s*(?:>\s*)?(?:Arbeitgeber|Unternehmen|Company|Employer)\s*:\s*(.+?)\s*$"
+COMPANY_PAGE_PATTERN = r"(?imu)^\s*(?:>\s*)?\[([^\]\r\n]+)\]\(https?://[^)\r\n]*/cmp/[^)\r\n]*\)\s*$"
+LOGO_LINK_PATTERN = r"(?imu)^\s*\[!\[([^\]\r\n]+?)\]\([^)]*\)\]\([^)]*\)\s*$"
+LOGO_END_PATTERN = r"(?iu)\s+logo\s*$"
+COMMUTE_PATTERN = r"(?iu)^\d+\s*(?:min(?:ute)?n?|stunden?|hours?)\s+ab\b"
+BARE_EMPLOYMENT_PATTERN = r"(?imu)^\s*((?:Teilzeit,\s*)?Vollzeit|Teilzeit|Full[- ]time|Part[- ]time)\s*$"
+PUBLISHED_PATTERN = r"(?imu)^\s*(?:>\s*)?(?:Veröffentlichungsdatum|Published)\s*:\s*(.+?)\s*$"
+PROSE_COMPANY_PATTERN = r"(?imu)^\s*(?:Die|Bei)\s+([A-ZÄÖÜ][^\r\n.!?]{1,160}?\b(?:FORMS))\b"  # FORMS stands for the legal forms
+COMPANY_LINE_PATTERN = r"(?imu)^\s*(?:>\s*)?([^\r\n]{2,180}\b(?:FORMS))\s*$"  # FORMS stands for the legal forms
+COMPANY_SITE_LINK_PATTERN = (
+    r"(?isu)\[\s*(?:!\[[^\]]*\]\([^)]+\)\s*)*([^\[\]\r\n]{2,200}?)\s*\]"
+    r"\(https?://(?:www\.)?join\.com/companies/[^)]+\)"
+)
+
+# --- fixed values: patterns of years of experience -----------------------------
+NUMBER_PATTERN = r"\d+(?:[.,]\d+)?"
+# NUMBER stands for the number pattern, WORDS for the number words
+REQUIRED_YEARS_PATTERN = (
+    r"(?:mindestens|min\.|at\s+least|minimum|mehr\s+als|over)?\s*"
+    r"(NUMBER(?:\s*(?:bis|-|–)\s*NUMBER)?|WORDS)\s*"
+    r"(?:jahr(?:e|en)?|years?)\s*(?:of\s+)?(?:berufs?\s*|profession(?:al)?\s+)?"
+    r"(?:erfahrung|experience)"
+)
+YEARS_CONNECTOR_PATTERN = r"(?iu)^\s*(?:with|of|in|and|oder|mit|sowie|für)\s+"
+SENIORITY_YEARS_PATTERN = (
+    r"(?iu)\b(?:mindestens|mind\.?|at least|minimum|over|mehr als)?\s*(\d+(?:[.,]\d+)?)"
+    r"(?:\s*(?:bis|-|–)\s*\d+(?:[.,]\d+)?)?\s*(?:\+|plus)?\s*(?:jahr(?:e|en)?|years?)\s*(?:of\s+)?"
+    r"(?:berufs?|professional)?\s*(?:erfahrung|experience)\b"
+)
+ROLE_PREFIX_PATTERN = (
+    r"(?iu)^.*?(?:your role|the role|position|we are looking for|you will be|mission|"
+    r"responsibilities)\s*[:\-]?\s*"
+)
+MATCH_YEARS_PATTERN = (
+    r"(?iu)(\d+(?:[.,]\d+)?)\s*(?:\+|plus)?\s*(?:jahr(?:e|en)?|years?)\s*(?:of\s+)?"
+    r"(?:berufs?\s*|profession(?:al)?\s+)?(?:erfahrung|experience)"
+)
+YEARS_TAG_PATTERN = r"^min_years:(\d+(?:[.,]\d+)?)$"
+WRITTEN_YEARS_PATTERN = r"(?U)\bJahre:\s*(\d+(?:[.,]\d+)?)"
