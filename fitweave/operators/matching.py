@@ -137,10 +137,15 @@ def overlap_pairs(terms: DataFrame, evidence: DataFrame) -> DataFrame:
     )
 
 
-def coverage(pairs: DataFrame) -> DataFrame:
-    """Distinct requirement terms covered by any evidence row (A3)."""
-    return pairs.groupBy(*BODY).agg(
-        F.sum("first_hits").alias("covered_terms"), F.first("term_count").alias("term_count")
+def coverage(terms: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Distinct requirement terms covered by any evidence row (A3).
+
+    The evidence side is one row per (profile, term), so a frequent term makes no pairs.
+    """
+    known = evidence.select("profile_id", "term").distinct().withColumn("_known", F.lit(1))
+    hits = balanced_join(terms, known, ["profile_id", "term"], ["body_hi"], how="left")
+    return hits.groupBy(*BODY).agg(
+        F.count("_known").alias("covered_terms"), F.first("term_count").alias("term_count")
     )
 
 

@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fitweave.operators import scoring
-from fitweave.operators.skew import balanced_join
 
 
-def matching_context(pairs: DataFrame, jobs: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Job text and evidence per pair in long form; contact data and references stay out."""
+def matching_context(pairs: DataFrame, jobs: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs, the texts of their jobs, and the evidence of their profiles.
+
+    Every text and evidence row is there once, however many pairs share it; contact data and references
+    stay out.
+    """
+    keys = pairs.select("job_id", "profile_id").distinct()
     texts = jobs.select(
         "job_id", F.col("title").alias("job_title"), F.col("language").alias("job_language"),
         F.col("content").alias("job_content"),
@@ -19,15 +23,18 @@ def matching_context(pairs: DataFrame, jobs: DataFrame, evidence: DataFrame) ->
         "profile_id", "evidence_id", "source_name", "source_type", "label", "evidence_text",
         "experience_context", "keywords",
     )
-    with_jobs = pairs.select("job_id", "profile_id").join(texts, "job_id")
-    return balanced_join(with_jobs, allowed, ["profile_id"], ["job_id"])
+    return (
+        keys,
+        texts.join(keys.select("job_id").distinct(), "job_id", "left_semi"),
+        allowed.join(keys.select("profile_id").distinct(), "profile_id", "left_semi"),
+    )
 
 
-def document_context(pairs: DataFrame, matches: DataFrame, context: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(context rows, rejected pairs): only pairs with at least one stored match."""
-    matched = matches.select("job_id", "profile_id").distinct()
+def document_pairs(pairs: DataFrame, matches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs that documents can be written for, rejected pairs): those with and without a stored match."""
     keys = ["job_id", "profile_id"]
-    return context.join(matched, keys, "left_semi"), pairs.join(matched, keys, "left_anti")
+    matched = matches.select(*keys).distinct()
+    return pairs.join(matched, keys, "left_semi"), pairs.join(matched, keys, "left_anti")
 
 
 def review_evidence(evidence: Column, limit: int | None = None, length: int | None = None) -> Column:

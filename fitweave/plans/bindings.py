@@ -358,3 +358,31 @@ def terms_sql(value: str) -> str:
         f"(select list_concat(ws, list_filter([{concepts}], lambda c: c is not null)) "
         f"from (select {words} as ws))"
     )
+
+
+# --- context of pairs: seven profiles that share the benchmark, two per document -----
+
+CONTEXT = """ev as (select item_id as evidence_id, item_id % 7 as profile_id from benchmark),
+pairs as (select doc_id as job_id, doc_id % 7 as profile_id from documents
+  union all select doc_id, (doc_id + 3) % 7 from documents)"""
+
+
+def context_inputs(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs, jobs and evidence of several profiles."""
+    job = F.col("doc_id").alias("job_id")
+    pairs = t.documents.select(job, (F.col("doc_id") % 7).alias("profile_id")).unionByName(
+        t.documents.select(job, ((F.col("doc_id") + 3) % 7).alias("profile_id"))
+    )
+    jobs = t.documents.select(job, F.lit(None).cast("string").alias("title"), F.col("lang").alias("language"), F.col("text").alias("content"))
+    evidence = benchmark_evidence(t).withColumn("profile_id", F.col("evidence_id") % 7)
+    return pairs, jobs, evidence
+
+
+def shown_context(pairs: DataFrame, texts: DataFrame, evidence: DataFrame) -> DataFrame:
+    """The three tables of a context under one another, by their keys."""
+    none = F.lit(None).cast("long")
+    return (
+        pairs.select(F.lit("pair").alias("part"), "job_id", "profile_id", none.alias("evidence_id"))
+        .unionByName(texts.select(F.lit("job").alias("part"), "job_id", none.alias("profile_id"), none.alias("evidence_id")))
+        .unionByName(evidence.select(F.lit("evidence").alias("part"), none.alias("job_id"), "profile_id", "evidence_id"))
+    )

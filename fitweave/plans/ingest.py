@@ -436,16 +436,11 @@ def k01(t: Tables):
     return I.latest_import(jobs).select("job_id")
 
 
-@query("p18_match_context", f"""with {B.EVIDENCE}
-select d.doc_id as job_id, e.profile_id, d.lang as job_language, length(d.text) as content_length, e.evidence_id, e.experience_context
-from documents d join evidence e on e.profile_id = 'p0' where d.doc_id in (select doc_id from labels where quality = 1)""")
+@query("p18_match_context", f"""with {B.CONTEXT}
+select 'pair' as part, job_id, profile_id, null::bigint as evidence_id from pairs
+union all select distinct 'job', job_id, null::bigint, null::bigint from pairs
+union all select 'evidence', null::bigint, profile_id, evidence_id from ev where profile_id in (select profile_id from pairs)""")
 def p18(t: Tables):
     from fitweave.operators.reports import matching_context
 
-    jobs = t.documents.select(F.col("doc_id").alias("job_id"), F.lit(None).cast("string").alias("title"),
-                              F.col("lang").alias("language"), F.col("text").alias("content"))
-    pairs = t.labels.where("quality = 1").select(F.col("doc_id").alias("job_id"), F.lit("p0").alias("profile_id"))
-    return matching_context(pairs, jobs, B.benchmark_evidence(t)).select(
-        "job_id", "profile_id", "job_language", F.length("job_content").alias("content_length"), "evidence_id",
-        "experience_context",
-    )
+    return B.shown_context(*matching_context(*B.context_inputs(t)))

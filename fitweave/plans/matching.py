@@ -138,7 +138,7 @@ select sha256(requirement) as requirement_hash, c as covered_terms, n as term_co
 from covered join body_terms using (requirement)""")
 def a03(t: Tables):
     bodies, terms, evidence = _inputs(t)
-    covered = X.coverage(X.overlap_pairs(terms, evidence)).where(F.col("covered_terms") > 0)
+    covered = X.coverage(terms, evidence).where(F.col("covered_terms") > 0)
     return covered.join(bodies.select(*X.BODY, "requirement"), X.BODY).select(
         F.sha2("requirement", 256).alias("requirement_hash"), "covered_terms", "term_count"
     )

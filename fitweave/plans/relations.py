@@ -209,20 +209,21 @@ def m4(t: Tables):
     )
 
 
-@query("p19_document_context", f"""with {B.EVIDENCE}, {B.REQUIREMENTS},
-pairs as (select doc_id as job_id, 'p0' as profile_id from documents),
-m as (select distinct job_id from requirements where length(requirement) > 200)
-select 'context' as part, p.job_id, e.evidence_id from pairs p join m using (job_id) join evidence e using (profile_id)
-union all select 'rejected', job_id, null from pairs where job_id not in (select job_id from m)""")
+@query("p19_document_context", f"""with {B.CONTEXT}, {B.REQUIREMENTS},
+m as (select distinct job_id from requirements where length(requirement) > 200),
+kept as (select * from pairs where job_id in (select job_id from m) and (job_id + profile_id) % 3 <> 0)
+select 'pair' as part, job_id, profile_id, null::bigint as evidence_id from kept
+union all select distinct 'job', job_id, null::bigint, null::bigint from kept
+union all select 'evidence', null::bigint, profile_id, evidence_id from ev where profile_id in (select profile_id from kept)
+union all select 'rejected', job_id, profile_id, null::bigint from pairs
+  where not (job_id in (select job_id from m) and (job_id + profile_id) % 3 <> 0)""")
 def p19(t: Tables):
-    docs = t.documents.select(
-        F.col("doc_id").alias("job_id"), F.lit(None).cast("string").alias("title"), F.col("lang").alias("language"), F.col("text").alias("content"))
-    pairs = docs.select("job_id", F.lit("p0").alias("profile_id"))
-    stored = B.document_requirements(t).where(F.length("requirement") > 200).select("job_id", "profile_id")
-    context = R.matching_context(pairs, docs, B.benchmark_evidence(t))
-    kept, rejected = R.document_context(pairs, stored, context)
-    return kept.select(F.lit("context").alias("part"), "job_id", "evidence_id").unionByName(
-        rejected.select(F.lit("rejected").alias("part"), "job_id", F.lit(None).cast("long").alias("evidence_id"))
+    pairs, docs, evidence = B.context_inputs(t)
+    long_lines = B.document_requirements(t).where(F.length("requirement") > 200).select("job_id")
+    stored = pairs.join(long_lines.distinct(), "job_id", "left_semi").where((F.col("job_id") + F.col("profile_id")) % 3 != 0)
+    kept, rejected = R.document_pairs(pairs, stored)
+    return B.shown_context(*R.matching_context(kept, docs, evidence)).unionByName(
+        rejected.select(F.lit("rejected").alias("part"), "job_id", "profile_id", F.lit(None).cast("long").alias("evidence_id"))
     )
 
 
