@@ -353,7 +353,8 @@ def evaluate_bodies(bodies: DataFrame, evidence: DataFrame, as_of: Column) -> Da
     """Decision per distinct requirement of a profile."""
     # two readers follow; the written pairs keep the join from running twice
     pairs = materialize(overlap_pairs(body_terms(bodies), evidence_terms(evidence)), "match-pairs")
-    facts = body_facts(pairs).join(profile_years(evidence, as_of), "profile_id", "left")
+    years = profile_years(evidence, as_of)
+    facts = balanced_join(body_facts(pairs), years, ["profile_id"], ["body_hi"], how="left", counted=bodies.select("profile_id"))
     decided = facts.withColumn("rule", match_rules())
     rule = F.col("rule")
     explanation, action = match_texts(rule)
@@ -393,10 +394,9 @@ def evaluate_matching(
     decided = evaluate_bodies(requirement_bodies(requirements), evidence, as_of)
     keep = ["job_id", "profile_id", "requirement_id", "requirement", "category", "priority", *BODY[1:]]
     gap = F.when(F.col("match_level") == "gap", F.col("requirement"))
-    return (
-        with_body_id(requirements).select(*keep).join(decided, BODY).drop("body_hi", "body_lo")
-        .withColumn("gap", gap)
-    )
+    # a sentence that very many ads copy is one body
+    copies = balanced_join(with_body_id(requirements).select(*keep), decided, BODY, ["job_id", "requirement_id"])
+    return copies.drop("body_hi", "body_lo").withColumn("gap", gap)
 
 
 def match_citations(matches: DataFrame, evidence: DataFrame) -> DataFrame:

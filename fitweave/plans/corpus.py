@@ -280,8 +280,8 @@ def clean_sql(value: str) -> str:
 
 
 def norm_sql(value: str) -> str:
-    return (f"lower(regexp_replace(trim(trim(trim(regexp_replace({value}, '^#+', '')), '*_')), "
-            f"'^[^\\p{{L}}\\p{{N}}_]+', ''))")
+    return (f"replace(lower(regexp_replace(trim(trim(trim(regexp_replace({value}, '^#+', '')), '*_')), "
+            f"'^[^\\p{{L}}\\p{{N}}_]+', '')), 'ß', 'ss')")
 
 
 CLEAN = f"clean as (select *, {norm_sql('v')} as norm from (select *, {clean_sql('raw')} as v from lines))"
