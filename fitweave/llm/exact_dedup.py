@@ -39,7 +39,27 @@ def _keyed(docs: DataFrame, prefix: int) -> DataFrame:
 
 
 def exact_groups(docs: DataFrame, prefix: int = PREFIX_CHARS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size.
+    """One row per row of ``docs``: doc_id, keep_id, group_size."""
+    return refined(docs, prefix).select("doc_id", "keep_id", "group_size")
+
+
+def digested_groups(docs: DataFrame, prefix: int = PREFIX_CHARS) -> DataFrame:
+    """``exact_groups`` with ``text_sha256``, the SHA-256 of the normalised text, of every row.
+
+    For reports that show a digest; hashing what no copy made necessary is one more scan.
+    """
+    digests = _keyed(docs, prefix).select(
+        F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.sha2("norm", 256).alias("text_sha256")
+    ).distinct()
+    rows = refined(docs, prefix)
+    same = rows["doc_id"].eqNullSafe(digests["_id"]) & (rows["key"] == digests["_key"])
+    # an id can stand for two texts that share length and prefix; then the whole hash is known
+    same &= F.coalesce(rows["full_hash"] == digests["text_sha256"], F.lit(True))
+    return rows.join(digests, same).select("doc_id", "keep_id", "group_size", "text_sha256")
+
+
+def refined(docs: DataFrame, prefix: int) -> DataFrame:
+    """The groups with the keys of the levels that each row went through.
 
     Counts are combined before they shuffle, so a group of any size is a few rows by then.  Rows meet
     their group again in ``spread_join``, which slices groups that hold a large share of all rows.
@@ -49,14 +69,15 @@ def exact_groups(docs: DataFrame, prefix: int = PREFIX_CHARS) -> DataFrame:
     lengths = by_key.groupBy("length").agg(F.sum("n").alias("n_length"))
     by_key = materialize(by_key.join(lengths, "length"), "exact-prefixes")
     alone = by_key.where((F.col("n_length") == 1) | (F.col("n") == 1)).select(
-        "doc_id", F.col("doc_id").alias("keep_id"), F.col("n").alias("group_size")
+        "doc_id", F.col("doc_id").alias("keep_id"), F.col("n").alias("group_size"), "key",
+        F.lit(None).cast("string").alias("full_hash"),
     )
     shared = by_key.where((F.col("n_length") > 1) & (F.col("n") > 1)).select("key", "n")
-    full = _surviving(docs, narrow, shared, prefix).select("doc_id", F.sha2("norm", 256).alias("full_hash"))
+    full = _surviving(docs, narrow, shared, prefix).select("doc_id", "key", F.sha2("norm", 256).alias("full_hash"))
     full = materialize(full, "exact-full")
     groups = full.groupBy("full_hash").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("keep_id"))
     groups = groups.withColumn("group_size", F.col("n"))
-    rest = spread_join(full, groups, "full_hash", "n").select("doc_id", "keep_id", "group_size")
+    rest = spread_join(full, groups, "full_hash", "n").select("doc_id", "keep_id", "group_size", "key", "full_hash")
     return alone.unionByName(rest)
 
 

@@ -90,10 +90,8 @@ def op9_chat(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    docs = documents(spark, folder)
-    digests = docs.select("doc_id", F.sha2(exact_dedup.normalised(), 256).alias("text_sha256"))
-    return exact_dedup.exact_groups(docs).join(digests, "doc_id").select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256"
+    return exact_dedup.digested_groups(documents(spark, folder)).select(
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
 
