@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import re
 
 from rows import edges, frame, nothing
@@ -33,6 +34,15 @@ def test_edges(spark):
     assert found(nothing(spark)) == []
 
 
+def test_digests_of_every_row(spark):
+    odd = frame(spark, [(1, "ab" * 200), (1, "ab" * 199 + "ba"), (2, "ab" * 200), (None, "x"), (None, "x"), (3, None)])
+    for docs in (edges(spark).select("doc_id", "text"), odd):
+        rows = exact.digested_groups(docs).collect()
+        digest = lambda t: hashlib.sha256(re.sub(r"[\x20\x09-\x0D]+", " ", t or "").encode()).hexdigest()
+        assert sorted(((r["doc_id"], r["text_sha256"]) for r in rows), key=repr) == sorted(((i, digest(t)) for i, t in pairs(docs)), key=repr)
+    assert exact.digested_groups(nothing(spark)).collect() == []
+
+
 def test_whole_table(spark, sf):
     docs = documents(spark, sf)
     assert found(docs) == expected(pairs(docs))
