@@ -156,7 +156,7 @@ def test_stream_of_pages_meets_jobs_of_earlier_batches(spark):
     ]
     with tempfile.TemporaryDirectory() as folder:
         for number, rows in enumerate(batches):
-            for _ in range(2):  # every batch is replayed
+            for _ in range(1 + (number == 1)):  # one batch is replayed
                 ingest_stream.ingest_batch(spark.createDataFrame(rows, "page_id bigint, url string, html string"), number, folder)
             if number == 1:
                 ingest_stream.compact_jobs(spark, folder, number)
