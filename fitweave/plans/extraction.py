@@ -22,8 +22,17 @@ def extract_jobs(texts: DataFrame) -> DataFrame:
     )
 
 
-def import_pages(pages: DataFrame) -> DataFrame:
-    """HTML pages to extracted jobs; insufficient pages keep their warnings only."""
+HASH_KINDS = ("markdown", "raw")
+
+
+def import_pages(pages: DataFrame, hash_kind: str = "markdown") -> DataFrame:
+    """HTML pages to extracted jobs; insufficient pages keep their warnings only.
+
+    ``hash_kind`` says what ``content_hash`` is of: the Markdown, as for fetched pages, or the raw bytes, as
+    for uploads.  Copies across the two kinds do not meet, so one job table should keep to one kind.
+    """
+    if hash_kind not in HASH_KINDS:
+        raise ValueError(f"hash_kind must be one of {HASH_KINDS}")
     cleaned = P.clean_pages(P.recognizable_html(pages)).withColumnRenamed("title", "page_title")
     gated = cleaned.withColumns(quality.quality_columns(F.col("plain_text"), F.col("page_title")))
     gated = gated.withColumn(
@@ -31,7 +40,9 @@ def import_pages(pages: DataFrame) -> DataFrame:
         quality.with_missing_description(F.col("warnings"), F.col("related_removed"), F.col("sufficient")),
     )
     texts = gated.where("sufficient").select(
-        F.col("page_id").alias("import_id"), T.content_hash(F.col("markdown")).alias("content_hash"),
+        F.col("page_id").alias("import_id"),
+        (F.col("raw_hash") if hash_kind == "raw" else T.content_hash(F.col("markdown"))).alias("content_hash"),
+        F.lit(hash_kind).alias("hash_kind"),
         F.col("markdown").alias("content"), F.col("url").alias("source_url"),
         F.lit(None).cast("string").alias("source_filename"), F.lit("url").alias("source_type"),
         F.lit("native_html").alias("retrieval_method"), F.lit(False).alias("replace_existing"),

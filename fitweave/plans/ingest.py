@@ -12,6 +12,7 @@ from fitweave.operators import structure as X
 from fitweave.plans import bindings as B
 from fitweave.plans.corpus import AD_ITEMS, AD_LINES, METADATA, REQUIREMENT_ROWS
 from fitweave.plans.registry import Tables, query
+from fitweave.session import materialize
 
 # Labelled documents are already stored; all others arrive as one batch.
 _COLUMNS = """doc_id, sha256(text) as content_hash, text as content,
@@ -114,7 +115,7 @@ def g1_outcomes(t: Tables):
     )
 
 
-@query("g1_ingest_jobs", f"""{INGEST},
+CHANGED = f"""{INGEST},
 bases as (select job, max(case when is_new or replaces then doc_id end) as base from ev3 group by job),
 x as (select e.*, b.base from ev3 e join bases b using (job)),
 agg as (select job, any_value(base) as base,
@@ -127,13 +128,16 @@ agg as (select job, any_value(base) as base,
     first(location order by doc_id) filter (where location <> '' and doc_id > coalesce(base, -1)) as f_location,
     first(language order by doc_id) filter (where language <> '' and doc_id > coalesce(base, -1)) as f_language,
     first(req_count order by doc_id) filter (where req_count > 0 and doc_id > coalesce(base, -1)) as f_req
-  from x group by job)
-select case when a.base is null then s.title else b_title end as title,
+  from x group by job),
+changed as (select case when a.base is null then s.title else b_title end as title,
   coalesce(nullif(case when a.base is null then s.company else b_company end, ''), f_company) as company,
   coalesce(nullif(case when a.base is null then s.location else b_location end, ''), f_location) as location,
   coalesce(nullif(case when a.base is null then s.language else b_language end, ''), f_language) as language,
   coalesce(nullif(case when a.base is null then s.req_count else b_req end, 0), f_req, 0) as requirement_count
-from agg a left join sto s on cast(s.doc_id as varchar) = a.job""")
+from agg a left join sto s on cast(s.doc_id as varchar) = a.job)"""
+
+
+@query("g1_ingest_jobs", f"{CHANGED} select * from changed")
 def g1_jobs(t: Tables):
     incoming, stored = batch(t)
     _, jobs = I.ingest_jobs(incoming, stored)
@@ -143,6 +147,15 @@ def g1_jobs(t: Tables):
     ).withColumn("requirement_count", F.greatest("requirement_count", F.lit(0)))
 
 
+@query("g1_merged_table", f"""{CHANGED}
+select title, company, location, language from changed
+union all select title, company, location, language from sto where cast(doc_id as varchar) not in (select job from ev3)""")
+def g1_merged(t: Tables):
+    incoming, stored = batch(t)
+    _, jobs = I.ingest_jobs(incoming, stored)
+    return I.merge_jobs(stored, materialize(jobs, "changed-jobs")).select("title", "company", "location", "language")
+
+
 @query("j07_company_get_or_create", """
 with known as (select s_suppkey, s_name from supplier where s_acctbal > 0),
 wanted as (select distinct trim(case when s_suppkey % 2 = 0 then upper(s_name) else concat(' ', s_name, ' ') end) as name from supplier)

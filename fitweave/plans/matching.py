@@ -10,6 +10,8 @@ from fitweave.operators import matching as X
 from fitweave.operators import scoring as S
 from fitweave.plans import bindings as B
 from fitweave.plans.registry import Tables, query
+from fitweave.session import materialize, scratch_path
+from fitweave.sources.tables import touched_buckets, write_matches
 from fitweave import vocab
 
 AS_OF = "2024-06-30"
@@ -257,18 +259,20 @@ def s07_rows(t: Tables):
     return X.new_evidence(incoming, stored).select("content_hash", "label", "experience_context")
 
 
-@query("s08_replace_matches", f"""with {B.SCORED},
+REPLACED = f"""with {B.SCORED},
 scope as (select distinct o_orderkey as job_id from orders where o_orderstatus = 'P')
 select job_id, requirement_id, priority, match_level from scored where job_id not in (select job_id from scope)
 union all
 select l_orderkey, l_linenumber, 'must', 'strong_match' from lineitem
-where l_orderkey in (select job_id from scope) and l_quantity > 25""")
-def s08(t: Tables):
+where l_orderkey in (select job_id from scope) and l_quantity > 25"""
+
+
+def _replacement(t: Tables):
+    """Stored matches, fresh ones, and the pairs whose matches they replace."""
     scope = t.orders.where("o_orderstatus = 'P'").select(
         F.col("o_orderkey").alias("job_id"), F.lit("p0").alias("profile_id")
     )
-    columns = ["job_id", "profile_id", "requirement_id", "priority", "match_level"]
-    stored = B.scored_matches(t).select(*columns)
+    stored = B.scored_matches(t).select("job_id", "profile_id", "requirement_id", "priority", "match_level")
     fresh = (
         t.lineitem.where("l_quantity > 25")
         .select(F.col("l_orderkey").alias("job_id"), F.lit("p0").alias("profile_id"),
@@ -276,4 +280,22 @@ def s08(t: Tables):
                 F.lit("strong_match").alias("match_level"))
         .join(scope, ["job_id", "profile_id"], "left_semi")
     )
-    return X.replace_scope(stored, fresh, scope).drop("profile_id")
+    return stored, fresh, scope
+
+
+@query("s08_replace_matches", REPLACED)
+def s08(t: Tables):
+    return X.replace_scope(*_replacement(t)).drop("profile_id")
+
+
+@query("s08_written_matches", REPLACED)
+def s08_written(t: Tables):
+    """The same through the sink: stored matches are written, then the touched buckets are replaced."""
+    stored, fresh, scope = _replacement(t)
+    folder = scratch_path(t.spark, "matches")
+    write_matches(stored, folder, buckets=8)
+    table = t.spark.read.parquet(folder)
+    replaced = X.replace_scope(touched_buckets(table, scope, buckets=8).drop("bucket"), fresh, scope)
+    # read to the end before the folder it comes from is overwritten
+    write_matches(materialize(replaced, "replaced-matches"), folder, buckets=8)
+    return t.spark.read.parquet(folder).drop("profile_id", "bucket")

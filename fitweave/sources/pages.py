@@ -21,7 +21,7 @@ from fitweave import vocab
 
 PAGE_SCHEMA = "page_id bigint, url string, html string"
 CLEAN_SCHEMA = (
-    "page_id bigint, url string, title string, markdown string, plain_text string, "
+    "page_id bigint, url string, raw_hash string, title string, markdown string, plain_text string, "
     "related_removed boolean, block_score int"
 )
 VOID = {
@@ -432,6 +432,7 @@ def _clean_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             {
                 "page_id": batch["page_id"],
                 "url": batch["url"],
+                "raw_hash": batch["raw_hash"],
                 "title": [c[0] for c in cleaned],
                 "markdown": [c[1] for c in cleaned],
                 "plain_text": [c[2] for c in cleaned],
@@ -468,5 +469,6 @@ def quarantined_pages(pages: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def clean_pages(pages: DataFrame) -> DataFrame:
-    """Title, Markdown and text of every page."""
-    return pages.select("page_id", "url", "html").mapInPandas(_clean_batches, CLEAN_SCHEMA)
+    """Title, Markdown and text of every page (P1), and the hash of its bytes."""
+    keyed = pages.select("page_id", "url", "html", F.sha2("html", 256).alias("raw_hash"))
+    return keyed.mapInPandas(_clean_batches, CLEAN_SCHEMA)
