@@ -14,7 +14,7 @@ from fitweave.operators import profile as P
 from fitweave.operators import ranking
 from fitweave.operators import structure as ST
 from fitweave.plans import bindings as B
-from fitweave.plans.corpus import AD_ITEMS, REQUIREMENT_ROWS
+from fitweave.plans.corpus import AD_ITEMS, REQUIREMENT_ROWS, has
 from fitweave.plans.registry import Tables, query
 
 AS_OF = "2005-01-01"
@@ -197,7 +197,72 @@ def u2(t: Tables):
     return evidence(t).select("profile_id", "source_name").unionByName(request)
 
 
-@query("m1_ads_against_profiles")
+_STEM = "(?i)(?:^|[^\\p{L}\\p{N}_])(?:%s)"
+_SOFT, _ELIGIBLE = (_STEM % "|".join(stems) for stems in (vocab.SOFT_SKILL_STEMS, vocab.ELIGIBILITY_STEMS))
+_CITING = "('eligibility', 'professional', 'context_components', 'context_transferable', 'partial', 'transferable')"
+# every rule of the matching on extracted requirements and the union of profile evidence
+ADS_MATCH = f"""{AD_ITEMS}, {REQUIREMENT_ROWS}, {EVIDENCE_UNION},
+ev as (select profile_id, source_name as eid, label, experience_context as context,
+    case when linked_training then 0.5 else case experience_context when 'professional' then 1.0 when 'project' then 0.9
+      when 'training' then 0.8 else {vocab.OTHER_CONTEXT_WEIGHT} end end as weight,
+    {B.terms_sql("concat(evidence_text, ' ', replace(replace(coalesce(keywords, ''), '|', ' '), '_', ' '))")} as terms
+  from (select e.*, e.source_name in (select source_name from linked join links
+      on linked.source_name = concat('profile:', cast(skill_id as varchar), ':skill-evidence:', cast(link_id as varchar))
+      where kind = 'manual_training') as linked_training from profile_evidence e)),
+et as (select profile_id, eid, label, context, weight, unnest(terms) as term from ev),
+stay as (select o_custkey as profile_id, greatest(0, max(date_diff('day', cast(o_orderdate as date),
+    case when o_orderstatus <> 'O' then cast(o_orderdate as date) + 400 else date '{AS_OF}' end) / 365.25::double)) as stay
+  from orders group by o_custkey),
+learnt as (select profile_id, max(years) as skill from linked where experience_context = 'professional' group by profile_id),
+rq as (select job_id, position, requirement, priority,
+    {B.terms_sql("concat(requirement, ' ', replace(keywords, '_', ' '))")} as terms, {B.terms_sql("replace(keywords, '_', ' ')")} as kterms,
+    case when {has('requirement', ['or', 'oder'])} then regexp_extract_all(lower(requirement), '[A-Za-zÀ-ÖØ-öø-ÿ0-9+#.]{{2,}}') else [] end as tk,
+    try_cast(replace(regexp_extract(requirement, '{vocab.MATCH_YEARS_PATTERN.replace("(?iu)", "(?i)")}', 1), ',', '.') as double) as need,
+    regexp_matches(concat_ws(' ', category, requirement), '{_SOFT}') as soft, regexp_matches(requirement, '{_ELIGIBLE}') as eligible,
+    {has('requirement', ['production', 'professional'])} as ctx, not {has('requirement', ['mit', 'in', 'with', 'for'])} as generic
+  from reqs),
+rt as (select job_id, position, unnest(terms) as term, kterms, list_filter(tk, lambda x, i: (i > 1 and tk[i-1] in ('or', 'oder'))
+      or (i < len(tk) and tk[i+1] in ('or', 'oder'))) as anchors, len(terms) as n from rq where need is null),
+pr as (select rt.job_id, position, eid, any_value(label) as label, any_value(context) as context, any_value(weight) as weight, any_value(n) as n,
+    count(*) as overlap, bool_or(list_contains(kterms, rt.term)) as kw, bool_or(list_contains(anchors, rt.term)) as anchored
+  from rt join et on et.profile_id = rt.job_id and et.term = rt.term group by rt.job_id, position, eid),
+pw as (select *, overlap * 5 >= n or overlap >= 2 or kw as relevant from pr),
+cov as (select job_id, position, count(*) as c from rt
+  where exists (select 1 from et where et.profile_id = rt.job_id and et.term = rt.term) group by job_id, position),
+fl as (select job_id, position, count(*) as scored, bool_or(kw) as kw, bool_or(anchored and context = 'professional') as alt,
+    bool_or(relevant) as rel, bool_or(context = 'professional') as prof, coalesce(bool_or(context = 'professional') filter (where relevant), false) as rprof,
+    bool_or(label = '{vocab.NATIONALITY_LABEL}') as nat, coalesce(bool_or(label = '{vocab.NATIONALITY_LABEL}') filter (where relevant), false) as rnat
+  from pw group by job_id, position),
+rk as (select *, row_number() over (partition by job_id, position order by relevant desc, weight desc, overlap desc, eid) as rk,
+    bool_or(relevant) over (partition by job_id, position) as rel from pw),
+tops as (select job_id, position, list_sort(list_distinct(list(context))) as contexts from rk where rk <= 3 and (relevant or not rel) group by all),
+fa as (select rq.*, len(terms) as n, coalesce(c, 0) as c, coalesce(scored, 0) as scored, coalesce(fl.kw, false) as kw, coalesce(alt, false) as alt,
+    coalesce(rel, false) as rel, case when rel then rprof else coalesce(prof, false) end as prof2,
+    case when rel then rnat else coalesce(nat, false) end as nat2, contexts, stay, skill, coalesce(c, 0)::double / nullif(len(terms), 0) as share
+  from rq left join cov using (job_id, position) left join fl using (job_id, position) left join tops using (job_id, position)
+  left join stay on stay.profile_id = rq.job_id left join learnt on learnt.profile_id = rq.job_id),
+ruled as (select *, case
+    when need is not null and generic and stay is not null then case when stay >= need then 'years_station_met' else 'years_station_short' end
+    when need is not null then case when skill is null then 'years_unknown' when skill >= need then 'years_met' else 'years_short' end
+    when n = 0 then 'no_terms' when c = 0 then case when soft then 'soft_unmatched' else 'unmatched' end
+    when not rel and not alt and share < 0.35 then case when soft then 'soft_incidental' else 'incidental' end
+    when eligible and nat2 and share >= 0.6 then 'eligibility'
+    when alt or (prof2 and share >= 0.6) then 'professional'
+    when ctx and not prof2 then case when share >= 0.2 and scored >= 2 then 'context_components' else 'context_transferable' end
+    when prof2 or share >= 0.35 or kw then 'partial' else 'transferable' end as rule from fa)"""
+
+
+@query("m1_ads_against_profiles", f"""with {ADS_MATCH}
+select job_id, position as requirement_id, requirement, priority, rule,
+  case when rule in ('years_station_met', 'years_met', 'eligibility', 'professional') then 'strong_match'
+    when rule in ('context_components', 'partial') then 'partial_match' when rule in ('context_transferable', 'transferable') then 'transferable'
+    when rule in ('years_station_short', 'years_short', 'unmatched', 'incidental') then 'gap' else 'unknown' end as match_level,
+  case when rule in ('years_station_met', 'years_station_short', 'years_met', 'years_short') then 0.95::double
+    when rule in ('years_unknown', 'soft_unmatched', 'soft_incidental') then 0.3::double when rule = 'no_terms' then 0.2::double
+    when rule = 'unmatched' then 0.9::double when rule = 'incidental' then 0.85::double
+    else least(95, (((case when prof2 then 60 else 50 end) * n + 45 * c) * 2 + n) // (2 * n)) / 100.0::double end as confidence,
+  case when rule in ('years_met', 'years_short') then 'professional'
+    when rule in {_CITING} then array_to_string(contexts, ', ') else 'none' end as profile_source from ruled""")
 def m1_ads(t: Tables):
     """Extracted requirements of every ad against the evidence of the profile with the ad's number."""
     jobs = ST.with_structure(B.ads(t).select("job_id", "content"))
