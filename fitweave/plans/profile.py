@@ -201,7 +201,7 @@ _STEM = "(?i)(?:^|[^\\p{L}\\p{N}_])(?:%s)"
 _SOFT, _ELIGIBLE = (_STEM % "|".join(stems) for stems in (vocab.SOFT_SKILL_STEMS, vocab.ELIGIBILITY_STEMS))
 _CITING = "('eligibility', 'professional', 'context_components', 'context_transferable', 'partial', 'transferable')"
 # every rule of the matching on extracted requirements and the union of profile evidence
-ADS_MATCH = f"""{AD_ITEMS}, {REQUIREMENT_ROWS}, {EVIDENCE_UNION},
+_MATCH = f"""{EVIDENCE_UNION},
 ev as (select profile_id, source_name as eid, label, experience_context as context,
     case when linked_training then 0.5 else case experience_context when 'professional' then 1.0 when 'project' then 0.9
       when 'training' then 0.8 else {vocab.OTHER_CONTEXT_WEIGHT} end end as weight,
@@ -218,7 +218,7 @@ rq as (select job_id, position, requirement, priority,
     {B.terms_sql("concat(requirement, ' ', replace(keywords, '_', ' '))")} as terms, {B.terms_sql("replace(keywords, '_', ' ')")} as kterms,
     case when {has('requirement', ['or', 'oder'])} then regexp_extract_all(lower(requirement), '[A-Za-zÀ-ÖØ-öø-ÿ0-9+#.]{{2,}}') else [] end as tk,
     try_cast(replace(regexp_extract(requirement, '{vocab.MATCH_YEARS_PATTERN.replace("(?iu)", "(?i)")}', 1), ',', '.') as double) as need,
-    regexp_matches(concat_ws(' ', category, requirement), '{_SOFT}') as soft, regexp_matches(requirement, '{_ELIGIBLE}') as eligible,
+    lower(trim(category)) = 'soft_skill' or regexp_matches(concat_ws(' ', category, requirement), '{_SOFT}') as soft, regexp_matches(requirement, '{_ELIGIBLE}') as eligible,
     {has('requirement', ['production', 'professional'])} as ctx, not {has('requirement', ['mit', 'in', 'with', 'for'])} as generic
   from reqs),
 rt as (select job_id, position, unnest(terms) as term, kterms, list_filter(tk, lambda x, i: (i > 1 and tk[i-1] in ('or', 'oder'))
@@ -252,8 +252,7 @@ ruled as (select *, case
     when prof2 or share >= 0.35 or kw then 'partial' else 'transferable' end as rule from fa)"""
 
 
-@query("m1_ads_against_profiles", f"""with {ADS_MATCH}
-select job_id, position as requirement_id, requirement, priority, rule,
+_LEVELS = f"""select job_id, position as requirement_id, requirement, priority, rule,
   case when rule in ('years_station_met', 'years_met', 'eligibility', 'professional') then 'strong_match'
     when rule in ('context_components', 'partial') then 'partial_match' when rule in ('context_transferable', 'transferable') then 'transferable'
     when rule in ('years_station_short', 'years_short', 'unmatched', 'incidental') then 'gap' else 'unknown' end as match_level,
@@ -262,7 +261,28 @@ select job_id, position as requirement_id, requirement, priority, rule,
     when rule = 'unmatched' then 0.9::double when rule = 'incidental' then 0.85::double
     else least(95, (((case when prof2 then 60 else 50 end) * n + 45 * c) * 2 + n) // (2 * n)) / 100.0::double end as confidence,
   case when rule in ('years_met', 'years_short') then 'professional'
-    when rule in {_CITING} then array_to_string(contexts, ', ') else 'none' end as profile_source from ruled""")
+    when rule in {_CITING} then array_to_string(contexts, ', ') else 'none' end as profile_source from ruled"""
+_MATCH_OUT = ["job_id", "requirement_id", "requirement", "priority", "rule", "match_level", "confidence", "profile_source"]
+_FORMS = """case c_custkey % 9 when 0 then '?!' when 1 then 'Self-motivated in glass' when 2 then 'Independent at Firma harbour timber lighting drying storage'
+  when 3 then 'Staatsangehörigkeit deutsch' when 4 then 'Production SQL Portfolio' when 5 then 'Professional Zertifikat SQL Portfolio Technologien'
+  when 6 then 'Firma harbour timber lighting drying storage sails' when 7 then 'Quiet hands' else 'Fortran or Berufserfahrung' end"""
+
+
+@query("m1_rule_forms", f"""with reqs as (select c_custkey as job_id, 0 as position, {_FORMS} as requirement,
+  case when c_custkey % 9 = 7 then 'Soft_Skill' else 'other' end as category, 'should' as priority, '' as keywords, null as normalized_value from customer),
+{_MATCH} {_LEVELS}""")
+def m1_forms(t: Tables):
+    """Requirements worded for the rules that extracted ads do not reach."""
+    requirements = t.customer.select(
+        F.col("c_custkey").alias("job_id"), F.col("c_custkey").alias("profile_id"), F.lit(0).alias("requirement_id"),
+        F.expr(_FORMS).alias("requirement"), F.when(F.col("c_custkey") % 9 == 7, "Soft_Skill").otherwise("other").alias("category"),
+        F.lit("should").alias("priority"), T.empty_words().alias("keywords"), F.lit(None).cast("string").alias("normalized_value"),
+    )
+    rows = evidence(t).withColumn("evidence_id", F.col("source_name"))
+    return X.evaluate_matching(requirements, rows, _as_of()).select(*_MATCH_OUT)
+
+
+@query("m1_ads_against_profiles", f"with {AD_ITEMS}, {REQUIREMENT_ROWS}, {_MATCH} {_LEVELS}")
 def m1_ads(t: Tables):
     """Extracted requirements of every ad against the evidence of the profile with the ad's number."""
     jobs = ST.with_structure(B.ads(t).select("job_id", "content"))
@@ -271,9 +291,7 @@ def m1_ads(t: Tables):
         "category", "priority", "keywords", "normalized_value",
     )
     rows = evidence(t).withColumn("evidence_id", F.col("source_name"))
-    return X.evaluate_matching(requirements, rows, _as_of()).select(
-        "job_id", "requirement_id", "requirement", "priority", "rule", "match_level", "confidence", "profile_source"
-    )
+    return X.evaluate_matching(requirements, rows, _as_of()).select(*_MATCH_OUT)
 
 
 # years of experience: a requirement per customer, skill and station rows per supplier, nations as profiles
