@@ -51,7 +51,7 @@ def sized(small: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
     Only the way of the join depends on it: beyond the bound both sides are shuffled.
     """
-    return F.broadcast(small) if small.limit(most + 1).count() <= most else small
+    return F.broadcast(small) if small.count() <= most else small
 
 
 def without_ids(docs: DataFrame, verdicts: DataFrame) -> DataFrame:

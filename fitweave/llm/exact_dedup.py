@@ -89,7 +89,7 @@ def _surviving(docs: DataFrame, narrow: DataFrame, shared: DataFrame, prefix: in
     """
     read = _keyed(docs, prefix)
     keys = materialize(shared.select(F.col("key").alias("_key")), "exact-shared")
-    if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if keys.count() <= BROADCAST_ROWS:
         return read.join(F.broadcast(keys), read["key"] == keys["_key"], "left_semi")
     ids = spread_join(narrow.select("doc_id", "key"), shared, "key", "n").distinct()
     ids = ids.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))

@@ -284,7 +284,7 @@ def extract(pages: DataFrame) -> DataFrame:
     # a page's votes collapse by host and path before they shuffle, however many pages a host has
     winners = materialize(host_paths(pages), "host-paths")
     keyed = pages.select(F.col("page_id").cast("long"), "url", "html", host().alias("host"))
-    if winners.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
+    if winners.count() <= BROADCAST_HOSTS:
         joined = keyed.join(F.broadcast(winners), "host", "left")
     else:
         sizes = pages.groupBy(host().alias("host")).agg(F.count(F.lit(1)).alias("n"))
