@@ -85,7 +85,8 @@ class Items:
 
     ids: list
     codes: list[np.ndarray]
-    hashes: np.ndarray  # sorted
+    hashes: np.ndarray  # distinct, sorted, with one more that is larger than all
+    first: np.ndarray  # where the places of each hash start in the next two
     item: np.ndarray
     place: np.ndarray
     budget: np.ndarray
@@ -111,9 +112,12 @@ def index_items(rows: list[tuple[object, str]], rate: float = RATE) -> Items:
     item = np.repeat(np.arange(len(ids)), [len(g) for g in grams])
     place = np.concatenate([*(np.arange(len(g)) for g in grams), np.zeros(0, np.int64)])
     order = np.argsort(hashes, kind="stable")
+    distinct, first = np.unique(hashes[order], return_index=True)
     slots = np.zeros(1 << SLOT_BITS, bool)
     slots[slot(hashes)] = True
-    return Items(ids, codes, hashes[order], item[order], place[order], budget, lengths - Q + 1 - budget * Q, slots)
+    first = np.append(first, len(hashes))
+    distinct = np.append(distinct, np.uint64(2**64 - 1))
+    return Items(ids, codes, distinct, first, item[order], place[order], budget, lengths - Q + 1 - budget * Q, slots)
 
 
 def align(item: np.ndarray, region: np.ndarray, low: int, high: int, budget: int) -> tuple[int, int, int] | None:
@@ -153,6 +157,15 @@ def align(item: np.ndarray, region: np.ndarray, low: int, high: int, budget: int
     return int(cost[best]), int(start[best]), int(low + len(item) + best)
 
 
+def unchanged(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int] | None:
+    """The result of ``align`` if the region holds the item without any edit."""
+    whole, wanted = region.tobytes(), item.tobytes()
+    at = whole.find(wanted)
+    while at >= 0 and at % item.itemsize:
+        at = whole.find(wanted, at + 1)
+    return (0, at // item.itemsize, at // item.itemsize + len(item)) if at >= 0 else None
+
+
 def search(codes: np.ndarray, items: Items) -> list[tuple[int, int, int, int]]:
     """(item number, start, end, edits) of the best region of each item per cluster of bands."""
     if not items.ids or len(codes) < Q:
@@ -162,14 +175,15 @@ def search(codes: np.ndarray, items: Items) -> list[tuple[int, int, int, int]]:
         hashes = gram_hashes(codes[at : at + PIECE + Q - 1])
         likely = np.flatnonzero(items.slots[slot(hashes)])
         hashes = hashes[likely]
-        left = np.searchsorted(items.hashes, hashes, "left")
-        count = np.searchsorted(items.hashes, hashes, "right") - left
-        hit = np.flatnonzero(count)
+        known = np.searchsorted(items.hashes[:-1], hashes)
+        hit = np.flatnonzero(items.hashes[known] == hashes)
+        hit = hit[known[hit] < len(items.hashes) - 1]
         if len(hit):
-            repeat = count[hit]
+            known = known[hit]
+            repeat = items.first[known + 1] - items.first[known]
             found_place.append(np.repeat(likely[hit] + at, repeat))
             inner = np.arange(repeat.sum()) - np.repeat(np.cumsum(repeat) - repeat, repeat)
-            found_gram.append(np.repeat(left[hit], repeat) + inner)
+            found_gram.append(np.repeat(items.first[known], repeat) + inner)
     if not found_place:
         return []
     place, gram = np.concatenate(found_place), np.concatenate(found_gram)
@@ -196,7 +210,7 @@ def search(codes: np.ndarray, items: Items) -> list[tuple[int, int, int, int]]:
         high = low + 2 * (budget + 1) - 1
         start = max(0, low)
         region = codes[start : max(start, high + len(code))]
-        result = align(code, region, low - start, high - start, budget)
+        result = unchanged(code, region) or align(code, region, low - start, high - start, budget)
         if result:
             out.append((number, start + result[1], start + result[2], result[0]))
     return best_apart(out)
