@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -45,9 +46,10 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     chosen = sys.argv[1:] or HEADLINES
+    scratch = tempfile.TemporaryDirectory(prefix="fitweave-", ignore_cleanup_errors=True)
     spark = build_session(
         "bench", f"local[{cpus}]",
-        **{"spark.sql.shuffle.partitions": cpus, SPREAD: cpus, "spark.driver.memory": "20g", "spark.ui.enabled": "false"},
+        **{"spark.checkpoint.dir": scratch.name, "spark.sql.shuffle.partitions": cpus, SPREAD: cpus, "spark.driver.memory": "20g", "spark.ui.enabled": "false"},
     )
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1000).selectExpr("sum(id)").collect()
@@ -68,6 +70,7 @@ def main() -> None:
         )
     )
     spark.stop()
+    scratch.cleanup()
 
 
 if __name__ == "__main__":
