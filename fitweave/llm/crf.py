@@ -77,8 +77,7 @@ def line_levels(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     starts = np.append(0, ends[:-1] + 1)
 
     def per_line(mask: np.ndarray) -> np.ndarray:
-        total = np.append(0, np.cumsum(mask, dtype=np.int64))
-        return (total[ends] - total[starts]).astype(float)
+        return np.add.reduceat(mask, starts, dtype=np.int64).astype(float)  # a line feed is in none of the masks
 
     chars = ends - starts - per_line(kinds == 5)
     upper, digit, mark, space = (per_line(kinds == k) for k in (1, 2, 3, 4))
