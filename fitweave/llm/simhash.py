@@ -21,6 +21,7 @@ Defined cases
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,8 @@ from fitweave.llm.common import materialize, spread_join, without_ids
 
 SHINGLE = 4
 DISTANCE = 4
+BLOCK_BYTES = 1 << 19
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 # shortest distance that three segments with one wildcard each cover without a miss
 assert 2 * len(SEGMENTS) > DISTANCE
@@ -40,24 +43,37 @@ assert 2 * len(SEGMENTS) > DISTANCE
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """Majority bits of the XXH64 of all word shingles, repeats included."""
-    words = (text or "").encode().lower().split()  # on bytes: ASCII letters and ASCII white space only
-    if not words:
-        return 0
+    total, count, carried = np.zeros(64, np.int64), 0, []
+    for block in word_blocks((text or "").encode().lower()):  # on bytes: ASCII letters and ASCII white space only
+        words = carried + block
+        carried = words[len(words) - shingle + 1 :] if len(words) >= shingle else words
+        if len(words) >= shingle:
+            hashes = shingle_hashes(words, shingle)
+            count += len(hashes)
+            total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    if not count:
+        return xxhash.xxh64_intdigest(b" ".join(carried), 42) if carried else 0
+    return int(np.packbits(2 * total > count, bitorder="little").view(np.uint64)[0])
+
+
+def word_blocks(data: bytes) -> Iterator[list[bytes]]:
+    """The words of a text in blocks of about ``BLOCK_BYTES``, cut between words."""
+    at = 0
+    while at < len(data):
+        space = SPACE.search(data, at + BLOCK_BYTES)
+        end = space.start() if space else len(data)
+        yield data[at:end].split()
+        at = end
+
+
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
     joined, n = b" ".join(words), len(words)
-    if n <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, 42)]
-    else:
-        lengths = np.fromiter(map(len, words), np.int64, n)
-        ends = np.cumsum(lengths + 1) - 1
-        starts = ends - lengths
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], 42) for a, b in zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
-    total = np.zeros(64, np.int64)
-    values = np.array(hashes, np.uint64)
-    for at in range(0, len(values), 65536):  # bounded memory for very long texts
-        block = values[at : at + 65536].view(np.uint8).reshape(-1, 8)
-        total += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(values), bitorder="little").view(np.uint64)[0])
+    lengths = np.fromiter(map(len, words), np.int64, n)
+    ends = np.cumsum(lengths + 1) - 1
+    starts = ends - lengths
+    digest = xxhash.xxh64_intdigest
+    spans = zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
+    return np.array([digest(joined[a:b], 42) for a, b in spans], np.uint64)
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
