@@ -46,6 +46,14 @@ def test_fingerprint(text):
     assert simhash.fingerprint(text) == plain_fingerprint(text)
 
 
+def test_long_texts_go_in_blocks(monkeypatch):
+    texts = [prose(n, 60) + "\n \t" + prose(n + 1, n) for n in range(12)] + ["", " ", "a", "a b", "a b c d", "é " * 30]
+    whole = [simhash.fingerprint(t) for t in texts]
+    for size in (1, 7, 50):
+        monkeypatch.setattr(simhash, "BLOCK_BYTES", size)
+        assert [simhash.fingerprint(t) for t in texts] == whole
+
+
 def test_whole_table(spark, sf):
     docs = documents(spark, sf)
     rows = simhash.near_classes(docs).collect()
