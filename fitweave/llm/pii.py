@@ -60,16 +60,18 @@ DIGIT_WORDS = {
     "ocho": "8", "nueve": "9",
 }
 WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-# runs of at least three spelled digits; figures may stand between them
 AT_WORDS = "at|arroba|ät|chez"
 DOT_WORDS = "dot|punkt|punto|point"
-SPELLED = re.compile(
-    rf"\b(?:plus[ ,-]{{1,2}})?(?:(?:{WORD}|[0-9]+)(?: (?:{DOT_WORDS}) |[ ,.-]{{1,2}})){{2,}}(?:{WORD}|[0-9]+)\b", re.IGNORECASE
-)
+BETWEEN = rf"(?: (?:{DOT_WORDS}) |[ ,.-]{{1,2}})"
+# runs of at least three spelled digits; figures may stand between them
+SPELLED = re.compile(rf"\b(?:plus[ ,-]{{1,2}})?(?:(?:{WORD}|[0-9]+){BETWEEN}){{2,}}(?:{WORD}|[0-9]+)\b", re.IGNORECASE)
 A_WORD = re.compile(rf"plus|{DOT_WORDS}|{WORD}|[0-9]", re.IGNORECASE)
 A_DIGIT_WORD = re.compile(WORD, re.IGNORECASE)
+# Each HAS_* finds something in every text in which the pattern it guards would rewrite something.
 # on lower case, after a leading blank: a set of first characters makes this many times faster than ignoring case
-HAS_WORD = re.compile(rf"\W(?:{WORD})[ ,.-]{{1,2}}(?:{WORD}|[0-9])")
+HAS_WORD = re.compile(rf"\W(?:{WORD}){BETWEEN}(?:{WORD}|[0-9])")
+# figures alone also count as spelled between these, which hold a digit word
+HAS_UN = re.compile(" pun(?:kt|to) ")
 BRACKETED = re.compile(rf"\s{{0,3}}[\[({{<]\s{{0,3}}(?:({AT_WORDS}|@)|(?:{DOT_WORDS}|\.))\s{{0,3}}[\])}}>]\s{{0,3}}", re.IGNORECASE)
 # written-out signs without brackets count only before one of these endings
 ENDINGS = "com|org|net|edu|gov|info|biz|io|ai|co|me|de|at|ch|fr|es|it|nl|be|uk|eu|us|mx|ar"
@@ -84,15 +86,20 @@ PLAIN_AT = re.compile(
     rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9%+-]{{1,64}}[._0-9][A-Za-z0-9._%+-]{{0,64}}( {{1,3}}(?:{AT_WORDS}) {{1,3}})(?:[A-Za-z0-9-]{{1,64}}\.){{1,8}}(?:{ENDINGS})\b",
     re.IGNORECASE,
 )
-HAS_AT = re.compile(rf" (?:{AT_WORDS}) +[A-Za-z0-9-]+\.[A-Za-z0-9]", re.IGNORECASE)
+HAS_AT = re.compile(rf" (?:{AT_WORDS}) +[A-Za-z0-9-]+\.[A-Za-z0-9-]", re.IGNORECASE)
 SPACED = re.compile(rf"[A-Za-z0-9._%+-]{{1,64}}( {{0,3}}@ {{0,3}})[A-Za-z0-9-]{{1,64}}(?: {{0,3}}\. {{0,3}}[A-Za-z0-9-]{{1,64}}){{0,8}}? {{0,3}}\. {{0,3}}(?:{ENDINGS})\b", re.IGNORECASE)
-HAS_SPACED = re.compile(r" @|@ |@[A-Za-z0-9.-]+ \.")
+HAS_SPACED = re.compile(r" @|@ |@[A-Za-z0-9.-]++(?: {1,3}\.|(?<=\.) )", re.IGNORECASE)
 A_GAP = re.compile(r" *([@.]) *")
 DOTTED = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?: {{1,3}}(?:{DOT_WORDS}) {{1,3}}[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
 INNER_LETTER = re.compile(r"[0-9][ -]?[OoIl]+(?=[ -]?[0-9])")
 HAS_DOT = re.compile(rf" (?:{DOT_WORDS}) ", re.IGNORECASE)
 
 
+def lower(text: str) -> str:
+    """Lower case as patterns see it that ignore case: a capital I with a dot is an i."""
+    return text.replace("İ", "i").lower()
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for at, d in enumerate(map(int, reversed(digits))):
@@ -220,7 +227,8 @@ def normalise(text: str) -> Mapped:
     if INNER_LETTER.search(out.text):
         plain = INNER_LETTER.sub(lambda m: m.group().translate(DIGIT_LETTERS), out.text)
         out.text, out.changed = plain, True
-    if HAS_WORD.search(" " + out.text.lower()):
+    small = " " + lower(out.text)
+    if HAS_WORD.search(small) or HAS_UN.search(small):
         parts = []
         for m in SPELLED.finditer(out.text):
             if len(A_DIGIT_WORD.findall(m.group())) < 3:
@@ -229,7 +237,7 @@ def normalise(text: str) -> Mapped:
             for w in A_WORD.finditer(out.text, m.start(), m.end()):
                 if w.start() > last:
                     parts.append((last, w.start(), ""))
-                word = w.group().lower()
+                word = lower(w.group())
                 if not word.isdigit():
                     parts.append((w.start(), w.end(), "+" if word == "plus" else DIGIT_WORDS.get(word, ".")))
                 last = w.end()

@@ -86,6 +86,47 @@ def test_base_spans_stay_beside_new_ones():
     assert base == plain(text) and set(base) < set(spans) and len(spans) == 3
 
 
+PREFILTERS = [n for n in dir(pii) if n.startswith("HAS_")]
+
+
+def without_prefilters(text):
+    with pytest.MonkeyPatch.context() as patch:
+        for name in PREFILTERS:
+            patch.setattr(pii, name, re.compile(""))
+        return pii.spans_of(text)
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "source"),
+    [
+        ("ip eight dot eight dot eight dot eight up", "ip", "eight dot eight dot eight dot eight"),
+        ("ip acht punkt 8 punkt acht punkt acht up", "ip", "acht punkt 8 punkt acht punkt acht"),
+        ("ip 0010 punkt 20 punkt 30 punkt 40 up", "ip", "0010 punkt 20 punkt 30 punkt 40"),
+        ("ip fİve dot fİve dot fİve dot fİve up", "ip", "fİve dot fİve dot fİve dot fİve"),
+        ("mail jane@example. com today", "email", "jane@example. com"),
+        ("mail jane@example  .com today", "email", "jane@example  .com"),
+        ("mail jane.7 at site.-x.org today", "email", "jane.7 at site.-x.org"),
+    ],
+)
+def test_prefilters_let_through_what_their_pattern_matches(text, kind, source):
+    base, spans = pii.spans_of(text)
+    assert [(pii.KINDS[k], text[s:e]) for s, k, e in spans if (s, k, e) not in base] == [(kind, source)]
+    assert (base, spans) == without_prefilters(text)
+
+
+PIECES = [
+    "one", "Eight", "fünf", "ZÉRO", "un", "plus", "fİve", "7", "10", "0020", "dot", "Punkt", "punto", "point", "at", "chez", "[at]", "(dot)", "jane.7",
+    "kim", "@", ".", ",", "-", " ", "  ", "   ", "x@", "@y", "site", "com", "org", "de", "O", "l", "\n", "\u200b", "ａ",
+]
+
+
+@given(st.lists(st.sampled_from(PIECES), max_size=24), st.sampled_from(["", " "]))
+@settings(max_examples=1500, deadline=None)
+def test_prefilters_change_nothing(pieces, between):
+    text = between.join(pieces)
+    assert pii.spans_of(text) == without_prefilters(text)
+
+
 def test_query(spark, sf):
     texts = {r["doc_id"]: r["text"] or "" for r in documents(spark, sf).collect()}
     for r in op8_pii(spark, sf).collect():
