@@ -5,7 +5,7 @@ characters outside links to the nearest container and half of them to the one ar
 pages vote per host for the generalised tag-class path of their best containers; a vote is the
 container's share of the page's score, so every page has the same say.  Votes inside an ``article`` or
 ``main`` element count for that element.  (3) Every page is read again and the text of the elements on
-its host's winning path is taken; a page without such an element uses its own best path.
+its host's winning path is taken; a page without such an element, or with empty ones only, uses its own best path.
 
 Boilerplate is what contracts call menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and reader comments: by element, or by a word of the class or id.  Blocks are trimmed, white space
@@ -19,6 +19,7 @@ Defined cases
 * null or empty html gives an empty text; null urls share one (empty) host
 * text outside any container belongs to the root, whose path is empty
 * ties between paths: the one that sorts first; repeated rows give one result row each
+* a raw element (``svg``, ``iframe``, ...) without an end is its tag alone; ``script`` and ``style`` reach to the end
 * an empty table gives an empty result; extra columns are ignored
 """
 
@@ -40,9 +41,11 @@ VOTES = 3  # best containers of a page that get a vote
 TAG = re.compile(r"<(?:!--|(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>[^>]*+)>|[!?][^>]*+>)")
 # elements whose content is no markup, or none that is shown
 RAW = {
-    tag: re.compile(rf"</{tag}\b[^>]*+>", re.IGNORECASE)
+    tag: re.compile(rf"<(?P<close>/?){tag}(?![\w:-])[^>]*?(?P<empty>/?)>", re.IGNORECASE)
     for tag in ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "select", "object")
 }
+SELF_CLOSING = frozenset(("svg", "math"))
+TO_THE_END = frozenset(("script", "style"))
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 QUOTE = re.compile("[\"']")
 DIGITS = re.compile(r"[0-9]+")
@@ -74,6 +77,7 @@ def tokens(html: str) -> Iterator[tuple[str, str, bool, str]]:
     """
     last = html.rfind(">") + 1  # no tag ends after it
     unclosed: set[str] = set()
+    raw: dict[str, dict[int, int]] = {}
     done = at = 0
     while m := TAG.search(html, at, last):
         before = html[done : m.start()]
@@ -93,8 +97,12 @@ def tokens(html: str) -> Iterator[tuple[str, str, bool, str]]:
                 attrs, at = attrs + ">" + html[at:stop], stop + 1
                 quote = open_quote(html[end + 1 : stop])
             if tag in RAW:
-                end = RAW[tag].search(html, at, last)
-                at = len(html) if end is None else end.end()
+                if tag in TO_THE_END:
+                    at = next((end.end() for end in RAW[tag].finditer(html, at, last) if end["close"]), len(html))
+                else:
+                    if tag not in raw:
+                        raw[tag] = raw_ends(html, tag, last)
+                    at = max(at, raw[tag].get(m.start(), at))
                 tag = ""
         yield before, tag, bool(m["close"]), attrs
         done = at
@@ -103,6 +111,19 @@ def tokens(html: str) -> Iterator[tuple[str, str, bool, str]]:
     yield html[done:], "", False, ""
 
 
+def raw_ends(html: str, tag: str, last: int) -> dict[int, int]:
+    """Start of each opening tag of a raw element: where the element ends.  Unclosed and self-closed ones are left out."""
+    ends: dict[int, int] = {}
+    opened: list[int] = []
+    for m in RAW[tag].finditer(html, 0, last):
+        if not m["close"]:
+            if not (m["empty"] and tag in SELF_CLOSING):
+                opened.append(m.start())
+        elif opened:
+            ends[opened.pop()] = m.end()
+    return ends
+
+
 def open_quote(attrs: str) -> str:
     """The quote that is still open at the end of a tag's attributes."""
     quote = ""
@@ -117,14 +138,13 @@ class Page:
     def __init__(self, html: str, wanted: str | None = None):
         self.scores: dict[int, float] = {}
         self.blocks: list[str] = []
-        self.found = wanted == ""
         self._nodes: list[tuple[int, str]] = [(-1, "")]  # parent and name of each path of this page
         self._known: dict[tuple[int, str], int] = {}
         self._goal = wanted.split("/") if wanted else []
         self._scoring = wanted is None
         self._parts: list[str] = []
         self._link_chars = self._in_link = self._skip = 0
-        self._take = int(self.found)
+        self._take = int(wanted == "")
         # open elements: tag, path, dropped, taken, number of goal parts matched so far (-1: left the goal)
         self._stack: list[tuple[str, int, bool, bool, int]] = [("", 0, False, False, 0)]
         self._open: dict[str, int] = {}
@@ -197,7 +217,6 @@ class Page:
         self._open[tag] = self._open.get(tag, 0) + 1
         self._skip += dropped
         self._take += taken
-        self.found |= taken
 
     def _pop(self) -> None:
         tag, _, dropped, taken, _ = self._stack.pop()
@@ -240,11 +259,11 @@ class Page:
 
 
 def main_text(html: str | None, wanted: str | None) -> str:
-    """Text of the elements on the wanted path, or on the page's own best path if there are none."""
+    """Text of the elements on the wanted path, or on the page's own best path if they are missing or empty."""
     html = html or ""
     if wanted is not None:
         page = Page(html, wanted)
-        if page.found:
+        if page.blocks:
             return "\n".join(page.blocks)
     own = next(iter(Page(html).votes()), "")
     return "\n".join(Page(html, own).blocks)

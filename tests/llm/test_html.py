@@ -83,6 +83,24 @@ def test_page_without_the_winning_path(spark):
     assert found[4] == f"{LONG}Else." .replace(".  ", ". ")
 
 
+@pytest.mark.parametrize("empty", ["<article></article>", "<article><nav>menu</nav></article>", "<article> </article><article><p> </p></article>"])
+def test_page_with_an_empty_element_on_the_winning_path(spark, empty):
+    usual, other = f"<article><p>{LONG}</p></article>", f'{empty}<div class="text"><p>{LONG}</p></div>'
+    assert texts(spark, [("http://h.example/1", usual)] * 4 + [("http://h.example/2", other)])[4] == LONG.strip()
+
+
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        ("a<svg/>b<p>c<svg><text>no</text></svg>d", "ab\ncd"), ("a<math />b<p>c", "ab\nc"), ("a<iframe src=x>b<p>c", "ab\nc"),
+        ("a<object>b<p>c<object>no</object>d", "ab\ncd"), ("a<svg><svg><text>no</text></svg><text>no</text></svg>b", "ab"),
+        ("a<noscript>b<p>c", "ab\nc"), ("a<style>no<p>no", "a"), ("a<svg-icon>b</svg-icon><svg>no</svg>c", "abc"),
+    ],
+)
+def test_raw_elements_without_an_end(body, text):
+    assert own(f"<main>{body}</main>") == text
+
+
 def test_beyond_the_broadcast_limit(spark, monkeypatch):
     pages = [(f"http://h{n % 9 and 1}.example/{n}", f"<article><p>{n} {LONG}</p></article>") for n in range(200)]
     monkeypatch.setattr(html_extract, "BROADCAST_HOSTS", 0)
@@ -101,6 +119,13 @@ def test_broken_tags_in_linear_time(part, end):
     main_text(part * 50_000 + end, None)
 
 
+@pytest.mark.parametrize("tag", ["svg", "iframe", "object", "svg a='"])
+def test_unclosed_raw_elements_in_linear_time(tag):
+    for part in (f"<{tag}>x", f"<{tag} ", f"<{tag}"):
+        main_text(part * 50_000, None)
+        main_text(part * 50_000 + ">", None)
+
+
 @pytest.mark.parametrize("tag", ["div", "p", "li", "ul", "b", "td", 'div class="ad"'])
 def test_deep_and_unclosed(tag):
     page = f"<{tag}>x" * 50_000
