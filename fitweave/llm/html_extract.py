@@ -4,7 +4,10 @@ Three steps.  (1) Every page scores its containers: each block of text that is n
 characters outside links to the nearest container and half of them to the one around it.  (2) In Spark,
 pages vote per host for the generalised tag-class path of their best containers; a vote is the
 container's share of the page's score, so every page has the same say.  Votes inside an ``article`` or
-``main`` element count for that element.  (3) Every page is read again and the text of the elements on
+``main`` element count for that element.  Outside of these a container's vote goes to the highest one around
+it that adds prose (text of its own, a heading, or a block of four words or more outside links), so that
+sections, leads and titles beside the best container are not lost, and on as long as nothing else is added.
+What is beside the chosen container stays out: links and labels of up to three words.  (3) Every page is read again and the text of the elements on
 its host's winning path is taken; a page without such an element, or with empty ones only, uses its own best path.
 
 Boilerplate is what contracts call menus, headers, footers, sidebars, notices, adverts, forms, scripts,
@@ -28,6 +31,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from itertools import takewhile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -36,6 +40,8 @@ from pyspark.sql import functions as F
 from fitweave.llm.common import materialize, spread_join
 
 BROADCAST_HOSTS = 100_000
+UP = "^"  # before a path, once per container between the best one and the one that is taken
+LABEL_WORDS, LABEL_CHARS = 3, 24  # the longest text that is no prose; characters for scripts without blanks
 VOTES = 3  # best containers of a page that get a vote
 
 TAG = re.compile(r"<(?:!--|(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>[^>]*+)>|[!?][^>]*+>)")
@@ -66,6 +72,7 @@ BOILERPLATE = frozenset((
 ))
 ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "form"))
 READERS = frozenset(("comment", "comments"))
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 # elements whose class speaks about the page, not about themselves
 WHOLE = frozenset(("html", "body", "main", "article"))
 
@@ -140,6 +147,11 @@ class Page:
         self.blocks: list[str] = []
         self._nodes: list[tuple[int, str]] = [(-1, "")]  # parent and name of each path of this page
         self._known: dict[tuple[int, str], int] = {}
+        # by node: has any text of its own, has text outside links of its own, has prose of its own
+        self._own: dict[int, tuple[bool, bool, bool]] = {}
+        self._heading = False
+        self._up = len(wanted or "") - len((wanted or "").lstrip(UP))
+        wanted = wanted and wanted.lstrip(UP)
         self._goal = wanted.split("/") if wanted else []
         self._scoring = wanted is None
         self._parts: list[str] = []
@@ -147,6 +159,8 @@ class Page:
         self._take = int(wanted == "")
         # open elements: tag, path, dropped, taken, number of goal parts matched so far (-1: left the goal)
         self._stack: list[tuple[str, int, bool, bool, int]] = [("", 0, False, False, 0)]
+        # open containers on the way up from the best one: place in the stack, blocks before it, text outside links
+        self._ways: list[list] = []
         self._open: dict[str, int] = {}
         for text, tag, closes, attrs in tokens(html):
             if text:
@@ -170,12 +184,17 @@ class Page:
             if text and self._scoring:
                 path = self._stack[-1][1]
                 value = max(0.0, len(text) - 1.5 * self._link_chars)
+                prose = value > 0 and (self._heading or len(text.split()) > LABEL_WORDS or len(text) > LABEL_CHARS)
+                _, plain, more = self._own.get(path, (True, False, False))
+                self._own[path] = (True, plain or value > 0, more or prose)
                 self.scores[path] = self.scores.get(path, 0.0) + value
                 if path:
                     outer = self._nodes[path][0]
                     self.scores[outer] = self.scores.get(outer, 0.0) + value / 2
             elif text:
                 self.blocks.append(text)
+                if self._ways and len(text) > 1.5 * self._link_chars:
+                    self._ways[-1][2] = True
         self._link_chars = 0
 
     def _start(self, tag: str, attrs: str) -> None:
@@ -185,6 +204,7 @@ class Page:
             self._flush()
             while self._stack[-1][0] == "p" or self._stack[-1][0] == "li" == tag:  # closed by what follows
                 self._pop()
+            self._heading = tag in HEADINGS
         if tag in VOID:
             return
         if tag == "a":
@@ -213,6 +233,8 @@ class Page:
             if child == len(self._nodes):
                 self._nodes.append((path, name))
             path = child
+        if container and self._take and len(self._ways) < self._up:
+            self._ways.append([len(self._stack), len(self.blocks), False])
         self._stack.append((tag, path, dropped, taken, matched))
         self._open[tag] = self._open.get(tag, 0) + 1
         self._skip += dropped
@@ -223,10 +245,17 @@ class Page:
         self._open[tag] -= 1
         self._skip -= dropped
         self._take -= taken
+        if self._ways and self._ways[-1][0] == len(self._stack):
+            _, before, plain = self._ways.pop()
+            if not plain:  # links only, beside the best container
+                del self.blocks[before:]
+            elif self._ways:
+                self._ways[-1][2] = True
 
     def _end(self, tag: str) -> None:
         if tag in BLOCKS:
             self._flush()
+            self._heading = False
         if tag == "a":
             self._in_link = 0
         if self._open.get(tag):
@@ -247,15 +276,50 @@ class Page:
                     return "/".join(names[: at + 1])
         return "/".join(names)
 
+    def _gains(self) -> list[str]:
+        """What each node's parent has beside it: "prose", "other" text, or nothing ("")."""
+        size = len(self._nodes)
+        own = [self._own.get(n, (False, False, False)) for n in range(size)]
+        some, prose = [int(o[0]) for o in own], [int(o[2]) for o in own]  # 1 if the subtree has any
+        with_some, with_prose = [0] * size, [0] * size  # children whose subtree has any
+        for node in range(size - 1, 0, -1):  # parents have lower numbers
+            parent = self._nodes[node][0]
+            with_some[parent] += some[node]
+            with_prose[parent] += prose[node]
+            some[parent] |= some[node]
+            prose[parent] |= prose[node]
+        gains = [""]
+        for node in range(1, size):
+            parent = self._nodes[node][0]
+            more = own[parent][1] or with_prose[parent] > prose[node]
+            gains.append("prose" if more else "other" if own[parent][0] or with_some[parent] > some[node] else "")
+        return gains
+
+    def _around(self, node: int, gains: list[str]) -> tuple[str, int]:
+        """The path that a container votes for, and how many containers above its own it is."""
+        path = self.path(node)
+        if any(name.split(".", 1)[0] in WHOLE for name in path.split("/")):
+            return path, 0
+        chain = [node]
+        while chain[-1]:
+            chain.append(self._nodes[chain[-1]][0])
+        up = max((n + 1 for n, below in enumerate(chain[:-1]) if gains[below] == "prose"), default=0)
+        up += sum(1 for _ in takewhile(lambda below: not gains[below], chain[up:-1]))
+        return self.path(chain[up]), up
+
     def votes(self, most: int = VOTES) -> dict[str, int]:
         """Thousandths of the page's score by path, of its best containers; the best first."""
         best = sorted(self.scores.items(), key=lambda x: (-x[1], x[0]))[:most]
         total = sum(self.scores.values())
+        gains = self._gains()
         shares: dict[str, float] = {}
+        ways: dict[str, int] = {}
         for node, score in best:
-            path = self.path(node)
+            path, up = self._around(node, gains)
             shares[path] = shares.get(path, 0.0) + score
-        return {p: round(1000 * v / total) for p, v in sorted(shares.items(), key=lambda x: (-x[1], x[0])) if v > 0}
+            ways.setdefault(path, up)
+        found = sorted(shares.items(), key=lambda x: (-x[1], x[0]))
+        return {UP * ways[p] + p: round(1000 * v / total) for p, v in found if v > 0}
 
 
 def main_text(html: str | None, wanted: str | None) -> str:
@@ -293,8 +357,11 @@ def page_votes(pages: DataFrame) -> DataFrame:
 
 def host_paths(pages: DataFrame) -> DataFrame:
     """The winning path of each host (null if no page of the host has any text)."""
-    counted = page_votes(pages).groupBy("host", "path").agg(F.sum("share").alias("share"))
-    chosen = F.min_by("path", F.struct((-F.col("share")).alias("share"), "path")).alias("path")
+    bare = F.ltrim("path", F.lit(UP))
+    votes = page_votes(pages).select("host", bare.alias("path"), (F.length("path") - F.length(bare)).alias("up"), "share")
+    counted = votes.groupBy("host", "path").agg(F.sum("share").alias("share"), F.min("up").alias("up"))
+    whole = F.concat(F.repeat(F.lit(UP), F.col("up")), "path")
+    chosen = F.min_by(whole, F.struct((-F.col("share")).alias("share"), "path")).alias("path")
     return counted.groupBy("host").agg(chosen)
 
 

@@ -83,6 +83,36 @@ def test_page_without_the_winning_path(spark):
     assert found[4] == f"{LONG}Else." .replace(".  ", ". ")
 
 
+LEAD = "This lead is shorter than the story."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<div class="content"><div class="intro"><p>{LEAD}</p></div><div class="body"><p>{LONG}</p></div></div>', f"{LEAD}\n{LONG}"),
+        (f'<div class="content"><p>{LEAD}</p><div class="part"><p>{LONG}</p></div><div class="part"><p>{LONG}</p></div></div>', f"{LEAD}\n{LONG}\n{LONG}"),
+        (f'<div class="content"><div class="title"><h1>Big news</h1></div><div class="body"><p>{LONG}</p></div></div>', f"Big news\n{LONG}"),
+        (f'<div class="a"><div class="b"><div class="c"><p>{LONG}</p></div><div class="d"><p>{LEAD}</p></div></div><div class="e"><p>{LEAD}</p></div></div>', f"{LONG}\n{LEAD}\n{LEAD}"),
+        (f'<div class="top"><a href=x>Home page of this site</a> <a href=y>All of our stories</a></div><div class="body"><p>{LONG}</p></div>', LONG),
+        (f'<div class="top"><p><a href=x>Home page of this site</a></p></div><div class="intro"><p>{LEAD}</p></div><div class="body"><p>{LONG}</p></div>', f"{LEAD}\n{LONG}"),
+        (f'<div class="body"><p>{LONG}</p><div class="sources"><p><a href=x>All of our sources</a></p></div></div>', f"{LONG}\nAll of our sources"),
+        (f'<div class="ad">Buy now and save</div><div class="intro"><p>{LEAD}</p></div><nav>go</nav><div class="body"><p>{LONG}</p></div>', f"{LEAD}\n{LONG}"),
+    ],
+)
+def test_sections_without_an_article(spark, page, text):
+    text = "\n".join(line.strip() for line in text.split("\n"))
+    page = f"<html><body>{page}</body></html>"
+    assert own(page) == text
+    assert texts(spark, [(f"http://h.example/{n}", page) for n in range(3)]) == {n: text for n in range(3)}
+
+
+def test_pages_of_one_template_with_and_without_an_intro(spark):
+    body = f'<div class="body"><p>{LONG}</p></div>'
+    whole = f'<div class="content"><div class="intro"><p>{LEAD}</p></div>{body}</div>'
+    found = texts(spark, [("http://h.example/", f'<div class="content">{body}</div>')] * 4 + [("http://h.example/i", whole)])
+    assert found[0] == LONG.strip() and found[4] == f"{LEAD}\n{LONG.strip()}"
+
+
 @pytest.mark.parametrize("empty", ["<article></article>", "<article><nav>menu</nav></article>", "<article> </article><article><p> </p></article>"])
 def test_page_with_an_empty_element_on_the_winning_path(spark, empty):
     usual, other = f"<article><p>{LONG}</p></article>", f'{empty}<div class="text"><p>{LONG}</p></div>'
@@ -131,3 +161,8 @@ def test_deep_and_unclosed(tag):
     page = f"<{tag}>x" * 50_000
     Page(page)
     assert len(main_text(page, "div/div")) >= 0
+
+
+@pytest.mark.parametrize("tag", ["div", "td", "section"])
+def test_deep_pages_take_their_own_path_in_linear_time(tag):
+    assert main_text(f"<{tag}>x" * 50_000, None).count("x") == 50_000
