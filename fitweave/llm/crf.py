@@ -7,8 +7,9 @@ line length, is the document's quality.
 
 Only documents are labelled, so in training every line carries its document's label.  The field is fitted
 on the driver on at most ``SAMPLE_DOCS`` labelled documents, those with the smallest hash of their id,
-of which at most ``SAMPLE_LINES`` lines each are used (evenly spaced); what is collected are line features,
-not texts.  A last step fits slope and offset of the score on the same documents, so that scores are
+of which at most ``SAMPLE_LINES`` lines each are used: of longer ones ``RUNS`` evenly spaced runs of lines, each a
+chain of its own, whose features come from the lines that really lie before and after.  What is collected are line
+features, not texts, of one row per id.  A last step fits slope and offset of the score on the same documents, so that scores are
 probabilities.  Scoring reads every document whole.
 
 Features depend on the text alone; labels, language, source and id are never inputs of a score.
@@ -38,6 +39,7 @@ from fitweave.llm.common import without_ids
 
 SAMPLE_DOCS = 6000
 SAMPLE_LINES = 64
+RUNS = 4
 THRESHOLD = 0.3
 ROUNDS = 150
 LEARNING_RATE = 0.05
@@ -206,17 +208,31 @@ def _calibrated(field: Field, mean: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-(field.slope * _logit(mean) + field.offset)))
 
 
-def fit(levels: np.ndarray, weight: np.ndarray, lengths: np.ndarray, label: np.ndarray, rounds: int = ROUNDS) -> Field:
-    """Conditional likelihood of the line labels by Adam; then the scale of the document score."""
+def sample_runs(n: int, lines: int) -> tuple[np.ndarray, list[int]]:
+    """Line numbers that are trained on of a document of ``n`` lines, at most ``lines``, and the lengths of their runs."""
+    if n <= lines:
+        return np.arange(n), [n]
+    runs = max(1, min(RUNS, lines))
+    length = lines // runs
+    starts = [k * (n - length) // max(1, runs - 1) for k in range(runs)]
+    return np.concatenate([np.arange(a, a + length) for a in starts]), [length] * runs
+
+
+def fit(columns: np.ndarray, weight: np.ndarray, runs: list[list[int]], label: np.ndarray, rounds: int = ROUNDS) -> Field:
+    """Conditional likelihood of the line labels by Adam; then the scale of the document score.
+
+    ``columns`` and ``weight`` have the lines of all documents, ``runs`` the lengths of each document's runs.
+    """
     share = float(label.mean()) if len(label) else 0.5
     if not len(label) or label.min() == label.max():
         return Field(np.zeros(WEIGHTS), 0.0, np.zeros((2, 2)), constant=share)
+    whole = np.array([sum(r) for r in runs], np.int64)
+    per_chain = np.array([len(r) for r in runs], np.int64)
+    lengths = np.concatenate([np.array(r, np.int64) for r in runs])
     starts = np.cumsum(lengths) - lengths
-    first = np.zeros(lengths.sum(), bool)
-    first[starts] = True
-    columns = neighbour_columns(levels, first)
     # each document counts once, and both labels the same
-    per_doc = np.where(label == 1, 0.5 / (label == 1).sum(), 0.5 / (label == 0).sum()) / lengths
+    per_doc = np.where(label == 1, 0.5 / (label == 1).sum(), 0.5 / (label == 0).sum()) / whole
+    chain_label, chain_scale = np.repeat(label, per_chain), np.repeat(per_doc, per_chain)
     groups = []
     for group in _chains(lengths):
         cells = np.arange(lengths[group[0]])[None, :]
@@ -231,7 +247,7 @@ def fit(levels: np.ndarray, weight: np.ndarray, lengths: np.ndarray, label: np.n
         error = np.zeros(len(evidence))
         for group, inside, where in groups:
             good, pairs = forward_backward(np.where(inside, evidence[where], 0.0), lengths[group], links)
-            y, scale = label[group], per_doc[group]
+            y, scale = chain_label[group], chain_scale[group]
             error[where[inside]] = ((good - y[:, None]) * scale[:, None])[inside]
             if pairs.shape[1]:
                 linked = inside[:, 1:].astype(float)
@@ -244,7 +260,8 @@ def fit(levels: np.ndarray, weight: np.ndarray, lengths: np.ndarray, label: np.n
         m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
         state = state - LEARNING_RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     field = Field(state[:WEIGHTS], float(state[WEIGHTS]), state[WEIGHTS + 1 :].reshape(2, 2))
-    mean = np.add.reduceat(marginals(field, columns, lengths) * weight, starts) / np.add.reduceat(weight, starts)
+    documents = np.cumsum(whole) - whole
+    mean = np.add.reduceat(marginals(field, columns, lengths) * weight, documents) / np.add.reduceat(weight, documents)
     x, a, b = _logit(mean), 1.0, 0.0
     for _ in range(50):  # Newton steps of a logistic fit with a little ridge
         p = 1 / (1 + np.exp(-(a * x + b)))
@@ -271,23 +288,28 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, lines:
             rows = []
             for doc_id, text, quality in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "quality")), strict=True):
                 levels, weight = line_levels(text)
-                if len(levels) > lines:
-                    picked = np.arange(lines) * len(levels) // lines
-                    levels, weight = levels[picked], weight[picked]
-                rows.append((doc_id, quality, levels.tobytes(), weight.tobytes()))
+                columns = neighbour_columns(levels, np.arange(len(levels)) == 0).astype(np.uint16)
+                picked, runs = sample_runs(len(levels), lines)
+                rows.append((doc_id, quality, columns[picked].tobytes(), weight[picked].tobytes(), runs))
             if rows:
-                columns = zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], ["id", "quality", "levels", "weight"])
+                kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()))
+                arrays = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "quality", "columns", "weight", "runs"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(chosen), "id")
-    rows = texts.mapInArrow(shapes, "id long, quality int, levels binary, weight binary").collect()
-    rows = list({r["id"]: r for r in sorted(rows, key=lambda r: (r["id"], r["levels"]), reverse=True)}.values())
-    levels = [np.frombuffer(r["levels"], np.uint8).reshape(-1, VALUES) for r in rows]
+    shaped = texts.mapInArrow(shapes, "id long, quality int, columns binary, weight binary, runs array<int>")
+    rows = sorted(one_per_id(shaped).collect(), key=lambda r: r["id"], reverse=True)
+    columns = [np.frombuffer(r["columns"], np.uint16).reshape(-1, 3 * VALUES) for r in rows]
     weight = [np.frombuffer(r["weight"], float) for r in rows]
     label = np.array([r["quality"] for r in rows], float)
-    lengths = np.array([len(x) for x in levels], np.int64)
-    empty = np.zeros((0, VALUES), np.uint8)
-    return fit(np.concatenate([empty, *levels]), np.concatenate([[], *weight]), lengths, label)
+    empty = np.zeros((0, 3 * VALUES), np.uint16)
+    return fit(np.concatenate([empty, *columns]), np.concatenate([[], *weight]), [r["runs"] for r in rows], label)
+
+
+def one_per_id(shaped: DataFrame) -> DataFrame:
+    """The least row of each id, combined before it shuffles."""
+    least = F.min(F.struct("columns", "weight", "quality", "runs")).alias("least")
+    return shaped.groupBy("id").agg(least).select("id", "least.*")
 
 
 def score_documents(docs: DataFrame, field: Field) -> DataFrame:

@@ -90,6 +90,47 @@ def test_scores_do_not_depend_on_batches(spark):
     assert np.allclose(together, [crf.document_scores(field, [t])[0] for t in texts])
 
 
+def test_long_documents_are_trained_on_lines_with_their_neighbours():
+    for n in (1, 63, 64, 65, 66, 200, 5001):
+        picked, runs = crf.sample_runs(n, 64)
+        assert len(picked) == sum(runs) == len(set(picked.tolist())) == min(n, 64)
+        assert picked[0] == 0 and picked[-1] == n - 1
+        at = 0
+        for length in runs:
+            assert (np.diff(picked[at : at + length]) == 1).all()
+            at += length
+
+
+def seen_by_fit(monkeypatch, docs, labels):
+    seen = {}
+    monkeypatch.setattr(crf, "fit", lambda columns, *_: seen.setdefault("columns", columns))
+    crf.train(docs, labels)
+    return seen["columns"]
+
+
+def test_features_of_long_documents_come_from_all_lines(spark, monkeypatch):
+    text = "\n".join(("x " if n % 2 else "1 ") * (n % 5 + 1) for n in range(203))
+    chosen = next(i for i in range(100) if not spark.range(i, i + 1).select(crf.held_out("id")).first()[0])
+    docs = spark.createDataFrame([(chosen, text)], "doc_id long, text string")
+    labels = spark.createDataFrame([(chosen, 1, 0)], "doc_id long, quality int, toxic int")
+    levels, _ = crf.line_levels(text)
+    whole = crf.neighbour_columns(levels, np.arange(203) == 0)
+    assert (seen_by_fit(monkeypatch, docs, labels) == whole[crf.sample_runs(203, crf.SAMPLE_LINES)[0]]).all()
+
+
+def test_a_repeated_id_reaches_the_driver_once(spark):
+    docs, labels = labelled(spark, 40)
+    one = crf.train(docs, labels)
+    asked = []
+    reduce = crf.one_per_id
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(crf, "one_per_id", lambda rows: asked.append(reduce(rows)) or asked[-1])
+        again = crf.train(docs.unionByName(docs).unionByName(docs), labels)
+    rows = asked[0].collect()
+    assert len(rows) == len({r["id"] for r in rows}) > 20
+    assert np.allclose(one.weights, again.weights) and np.isclose(one.slope, again.slope)
+
+
 def test_query(spark):
     folder = "/root/testdata/sf0.01"
     rows = op7_quality(spark, folder).collect()
