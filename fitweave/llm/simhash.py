@@ -1,6 +1,6 @@
 """SimHash near-duplicates by deletion-variant signatures.
 
-A fingerprint of 64 bits is cut into only three segments (22, 21 and 21 bits).  If two fingerprints
+A fingerprint of 64 bits is cut into only three segments (22, 21 and 21 bits; more for distances above 5).  If two fingerprints
 differ in at most 4 bits, one segment differs in at most one bit (three times two bits would be more
 than four).  Each segment is indexed once per bit with that bit taken out, 64 signatures per distinct
 fingerprint; segments that differ in at most that bit share the signature.  Signatures meet in one
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +37,13 @@ SHINGLE = 4
 DISTANCE = 4
 BLOCK_BYTES = 1 << 19
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
-SEGMENTS = ((0, 22), (22, 21), (43, 21))
-# shortest distance that three segments with one wildcard each cover without a miss
-assert 2 * len(SEGMENTS) > DISTANCE
+
+
+def segments(distance: int = DISTANCE) -> list[tuple[int, int]]:
+    """(start, width) of as many segments as cover the distance without a miss, with one wildcard each; three at least."""
+    count = max(3, distance // 2 + 1)
+    bounds = [n * (64 // count) + min(n, 64 % count) for n in range(count + 1)]
+    return [(a, b - a) for a, b in pairwise(bounds)]
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -87,14 +92,14 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(compute, "doc_id long, fp long")
 
 
-def signatures(distinct: DataFrame) -> DataFrame:
+def signatures(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """One row per fingerprint and bit: the bit and its segment without that bit."""
     variants = [
         F.struct(
             F.lit(start + bit).cast("byte").alias("bit"),
             F.shiftrightunsigned("fp", start).bitwiseAND(F.lit((1 << width) - 1 - (1 << bit))).cast("int").alias("rest"),
         )
-        for start, width in SEGMENTS
+        for start, width in segments(distance)
         for bit in range(width)
     ]
     return distinct.select("fp", F.inline(F.array(*variants)))
@@ -103,13 +108,13 @@ def signatures(distinct: DataFrame) -> DataFrame:
 def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """All pairs (a, b), a < b, of fingerprints that differ in at most ``distance`` bits, each once."""
     tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    index = signatures(distinct.repartition(tasks, "fp"))  # a row becomes 64, so small files need more tasks
+    index = signatures(distinct.repartition(tasks, "fp"), distance)  # a row becomes 64, so small files need more tasks
     a, b = F.col("x.fp"), F.col("y.fp")
     differ = a.bitwiseXOR(b)
     # the pair's first signature: of its first segment with at most one differing bit, that bit,
     # or the segment's lowest bit if the segments are equal
     first = F.lit(None).cast("int")
-    for start, width in reversed(SEGMENTS):
+    for start, width in reversed(segments(distance)):
         part = F.shiftrightunsigned(differ, start).bitwiseAND(F.lit((1 << width) - 1))
         bit = F.when(part == 0, F.lit(start)).otherwise(F.lit(start) + F.bit_count(part - 1))
         first = F.when(F.bit_count(part) <= 1, bit).otherwise(first)

@@ -84,6 +84,22 @@ def test_links_of_random_fingerprints(spark, seed):
     assert roots == {p: label[p] for p in linked}
 
 
+@pytest.mark.parametrize("distance", [0, 1, 5, 6, 8, 13])
+def test_links_of_any_distance(spark, distance):
+    assert simhash.segments(4) == [(0, 22), (22, 21), (43, 21)]
+    rng = random.Random(distance)
+    points = {0}
+    for _ in range(150):
+        value = rng.choice(sorted(points)) if rng.random() < 0.8 else rng.getrandbits(64)
+        for bit in rng.sample(range(64), rng.randrange(1, 16)):
+            value ^= 1 << bit
+        points.add(value)
+    points = sorted(map(signed, points))
+    truth = sorted((a, b) for a in points for b in points if a < b and ((a ^ b) % 2**64).bit_count() <= distance)
+    found = simhash.links(spark.createDataFrame([(p,) for p in points], "fp long"), distance)
+    assert sorted((r["a"], r["b"]) for r in found.collect()) == truth
+
+
 def test_long_chain(spark):
     chain = spark.createDataFrame([(n, n + 1) for n in range(300)], "a long, b long")
     assert {r["root"] for r in simhash.components(chain).collect()} == {0}
