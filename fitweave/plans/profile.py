@@ -319,14 +319,15 @@ def _years_matches(t: Tables):
     key = F.col("s_suppkey")
     end = F.date_add(F.lit("2000-01-01").cast("date"), (key % 4000).cast("int"))
     skill = (key % 12).cast("string")
+    silent = F.col("s_nationkey") % 6 == 5  # profiles whose evidence names no years
     source = (
-        F.when(key % 7 == 3, F.concat(F.lit('{"start_date":"2000-01-01","end_date":"'), end.cast("string"), F.lit('"}')))
+        F.when(silent, "{}").when(key % 7 == 3, F.concat(F.lit('{"start_date":"2000-01-01","end_date":"'), end.cast("string"), F.lit('"}')))
         .when((key % 5 != 2) & (key % 2 == 0), F.concat(F.lit('{"years_experience":'), skill, F.lit("}"))).otherwise("{}")
     )
-    rows = t.supplier.where("s_nationkey % 6 <> 5").select(
+    rows = t.supplier.select(
         F.col("s_nationkey").alias("profile_id"), key.alias("evidence_id"), source.alias("source_content"),
         F.lit("Skill").alias("label"), F.when(key % 4 == 0, "project").otherwise("professional").alias("experience_context"),
-        F.when((key % 7 != 3) & (key % 5 != 2) & (key % 2 == 1), F.concat(F.lit("Jahre: "), skill)).otherwise("Webstuhl").alias("evidence_text"),
+        F.when(~silent & (key % 7 != 3) & (key % 5 != 2) & (key % 2 == 1), F.concat(F.lit("Jahre: "), skill)).otherwise("Webstuhl").alias("evidence_text"),
         T.empty_words().alias("keywords"),
     )
     return X.evaluate_matching(requirements, rows, _as_of()), rows

@@ -160,3 +160,11 @@ def test_report_of_several_profiles(spark):
                                        "job_id string, profile_id string, score int, level string, review_exclusions int")
     found = {r["profile_id"]: r for r in reports.stored_report(matches, target_fit).collect()}
     assert [(found[p]["qualification_score"], found[p]["summary"]) for p in "ab"] == [(50, {"strong_match": 1, "gap": 1}), (65, {"partial_match": 2})]
+
+
+def test_years_evidence_has_every_supplier(spark, sf):
+    from fitweave.plans.profile import _years_matches
+    from fitweave.plans.registry import Tables
+
+    tables = Tables(spark, sf)
+    assert _years_matches(tables)[1].count() == tables.supplier.count()
