@@ -20,7 +20,10 @@ LEGAL_WORD = rf"(?iu)\b(?:{LEGAL})\b"
 PLACE_MODE = r"(?iu)\((hybrid|remote|on-?site)\)"
 FIELDS = ["title", "company", "published_text", "location", "employment_type", "contract_term",
           "work_model", "source_portal", "language"]
-TITLE_WINDOW = 14
+# where an ad names title, company and place: its first filled lines; what follows is body text
+HEADER_LINES = 15
+# a line that is nothing but an employment type says so near the top
+EMPLOYMENT_LINES = 40
 
 
 def detect_language(content: Column) -> Column:
@@ -131,7 +134,8 @@ def map_link_location(content: Column) -> Column:
 
 
 def _header(clean: Column) -> Column:
-    return F.filter(clean, lambda v: (v != "") & (v != "&nbsp;"))
+    """The filled lines of the header; a name in the body is not the ad's own."""
+    return F.slice(F.filter(clean, lambda v: (v != "") & (v != "&nbsp;")), 1, HEADER_LINES)
 
 
 def _first_index(values: Column, test) -> Column:
@@ -140,14 +144,11 @@ def _first_index(values: Column, test) -> Column:
 
 
 def plain_header(clean: Column) -> Column:
-    """(title, company) of a text header: the first line with a legal form ends the title.
-
-    The title is looked for in the filled lines before it, at most ``TITLE_WINDOW``.
-    """
+    """(title, company) of a text header: the first line with a legal form ends the title."""
 
     def build(h: Column) -> Column:
         parts = F.filter(
-            F.slice(h["lines"], F.greatest(h["at"] - TITLE_WINDOW, F.lit(0)) + 1, F.least(h["at"], F.lit(TITLE_WINDOW))),
+            F.slice(h["lines"], F.lit(1), h["at"]),
             lambda p: ~p.startswith("[") & ~normalized_heading(p).isin(*vocab.PORTAL_CHROME)
             & (F.length(p) <= 100),
         )
@@ -358,10 +359,7 @@ def with_metadata(jobs: DataFrame, content: str = "content") -> DataFrame:
     )
     commute = vocab.COMMUTE_PATTERN
     bare = T.strip(
-        T.capture(
-            text,
-            vocab.BARE_EMPLOYMENT_PATTERN,
-        )
+        T.capture(F.substring_index(text, "\n", EMPLOYMENT_LINES), vocab.BARE_EMPLOYMENT_PATTERN)
     )
     employment = first_filled(
         instaffo["employment_type"], inline_value(text, vocab.EMPLOYMENT_HEADINGS),

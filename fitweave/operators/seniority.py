@@ -15,8 +15,9 @@ OWNERSHIP = T.phrases(vocab.OWNERSHIP_WORDS)
 LEVEL_WORD = T.phrases(vocab.ROLE_LEVELS)
 ROLE_NOUN = T.phrases(vocab.ROLE_NOUNS)
 ROLE_CONTEXT = T.phrases(vocab.ROLE_CONTEXTS)
-# longer lines are prose, not the name of a role
+# longer lines are prose, not the name of a role; so are lines further down
 ROLE_LENGTH = 140
+ROLE_LINES = 80
 
 
 def filled_lines(content: Column) -> Column:
@@ -79,9 +80,12 @@ def ensure_seniority_requirement(requirements: Column, level: Column) -> Column:
 
 
 def job_role(title: Column, content: Column) -> Column:
-    """Role without its level words; a line that names the role in context wins."""
+    """Role without its level words.
+
+    A line that names the role in context wins over the title, if it is among the first ``ROLE_LINES``.
+    """
     name = T.strip(F.coalesce(title, F.lit("")))
-    lines = F.filter(T.lines_of(content), lambda line: T.strip(line) != "")
+    lines = F.slice(F.filter(T.lines_of(content), lambda line: T.strip(line) != ""), 1, ROLE_LINES)
     candidates = F.concat(
         F.array(name),
         F.transform(lines, lambda line: T.strip(line, " #-*\t")),

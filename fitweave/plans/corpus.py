@@ -387,7 +387,7 @@ def x08(t: Tables):
 
 
 HEADER = """header as (select *, row_number() over (partition by job_id order by line_no) as hn from clean
-    where v <> '' and v <> '&nbsp;')"""
+    where v <> '' and v <> '&nbsp;' qualify hn <= 15)"""
 COMPACT = f"""{HEADER},
 chit as (select job_id, min(hn) as at from header where regexp_matches(v, '\\s+[·•|]\\s+')
     and regexp_matches(v, '(?i)\\((?:hybrid|remote|on-?site)\\)') group by job_id),
@@ -430,7 +430,7 @@ PLAIN = f"""phit as (select job_id, min(hn) as at from header where regexp_match
 plain as (select phit.job_id, any_value(c.v) as company,
     nullif(trim(string_agg(trim(regexp_replace(p.v, '^#+', '')), ' ' order by p.hn)), '') as title
   from phit join header c on c.job_id = phit.job_id and c.hn = phit.at
-  left join header p on p.job_id = phit.job_id and p.hn < phit.at and p.hn >= phit.at - 14 and not starts_with(p.v, '[')
+  left join header p on p.job_id = phit.job_id and p.hn < phit.at and not starts_with(p.v, '[')
     and length(p.v) <= 100 and not ({one_of(norm_sql('p.v'), vocab.PORTAL_CHROME)})
   group by phit.job_id)"""
 BELOW = f"""h1 as (select job_id, min(line_no) as at from lines where regexp_matches(raw, '^\\s*(?:>\\s*)?#\\s+\\S') group by job_id),
@@ -496,7 +496,7 @@ def x13(t: Tables):
 
 _IS_CONTRACT = has("p", ["unbefristet", "befristet", "permanent", "fixed[- ]term", "temporary"])
 EMPLOYMENT = f"""{section_cte('semp', vocab.EMPLOYMENT_HEADINGS)}, {section_cte('scon', vocab.CONTRACT_HEADINGS)},
-bare as (select job_id, first(trim(raw) order by line_no) as value from lines where
+bare as (select job_id, first(trim(raw) order by line_no) as value from lines where line_no <= 40 and
   regexp_matches(raw, '(?i)^\\s*(?:(?:Teilzeit,\\s*)?Vollzeit|Teilzeit|Full[- ]time|Part[- ]time)\\s*$') group by job_id),
 emp0 as (select ads.job_id, coalesce(nullif(insta.employment, ''), {inline_sql(vocab.EMPLOYMENT_HEADINGS)}, semp.value, bare.value) as value,
     coalesce({inline_sql(vocab.CONTRACT_HEADINGS)}, scon.value) as explicit
@@ -735,7 +735,7 @@ _ROLE_PREFIX = ("(?i)^.*?(?:your role|the role|position|we are looking for|you w
 @query("x24_job_role", f"""with {AD_LINES}, {METADATA},
 cand as (select job_id, 0 as n, trim(title) as c from meta where title is not null
   union all select job_id, n, c from (select job_id, row_number() over (partition by job_id order by line_no) as n,
-    trim(raw, ' #-*' || chr(9)) as c from lines where trim(raw) <> '')),
+    trim(raw, ' #-*' || chr(9)) as c from lines where trim(raw) <> '') where n <= 80),
 roles as (select *, {has('c', vocab.ROLE_CONTEXTS)} as ctx from cand where {has('c', vocab.ROLE_NOUNS)} and length(c) <= 140),
 picked as (select job_id, first(c order by n) filter (where ctx) as contextual, first(c order by n) as any_role from roles group by job_id),
 val as (select meta.job_id, coalesce(trim(regexp_replace(regexp_replace(contextual, '{_ROLE_PREFIX}', ''), '(?s)[.!?].*$', '')),

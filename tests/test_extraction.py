@@ -38,10 +38,19 @@ ADS = {
     ),
     "markdown_title": ("\n# Knotenlehrer\n\nWir suchen dich für unser Team und die Werft, mit Herz.\n", {"title": "Knotenlehrer", "language": "de"}),
     "short": ("Knotenlehrer\nMoorbach", {"language": None, "title": None}),
-    "late_type": ("\n".join(f"Zeile {n} ohne Angabe" for n in range(60)) + "\nTeilzeit\n", {"employment_type": "Teilzeit"}),
-    "late_company": (
-        "\n".join(f"Absatz {n}" for n in range(40)) + "\nTakelwerk GmbH\n",
-        {"company": "Takelwerk GmbH", "title": " ".join(f"Absatz {n}" for n in range(26, 40))},
+    "late_type": ("\n".join(f"Zeile {n} ohne Angabe" for n in range(60)) + "\nTeilzeit\n", {"employment_type": None}),
+    "early_type": ("\n".join(f"Zeile {n} ohne Angabe" for n in range(39)) + "\nTeilzeit\n", {"employment_type": "Teilzeit"}),
+    # names below the header are body text
+    "late_company": ("\n".join(f"Absatz {n}" for n in range(40)) + "\nTakelwerk GmbH\n", {"company": "Takelwerk GmbH", "title": None}),
+    "company_ends_header": ("\n".join(f"Absatz {n}" for n in range(14)) + "\nTakelwerk GmbH\n", {"title": " ".join(f"Absatz {n}" for n in range(14))}),
+    "company_after_header": ("\n".join(f"Absatz {n}" for n in range(15)) + "\nTakelwerk GmbH\n", {"title": None}),
+    "partner_in_body": (
+        "# Seilmeister\n" + "\n".join(f"Das ist Satz {n} über das Spleißen." for n in range(31)) + "\nUnser Partner Muster SE hilft dem Team.\n",
+        {"title": "Seilmeister"},
+    ),
+    "place_in_body": (
+        "# Seilmeister\nWerft Nord\n" + "\n".join(f"Das ist Satz {n} über das Spleißen." for n in range(20)) + "\nFrag nach Fee · Moorbach (hybrid) dazu\n",
+        {"title": "Seilmeister", "location": None},
     ),
 }
 
@@ -139,7 +148,7 @@ def test_seniority_and_role(spark):
     assert (years["level"], years["confidence"], years["years_required"], years["signals"]) == ("professional", 0.92, 7.0, [texts[0][1]])
     assert found["english"]["s"]["years_required"] == 2.0 and found["times"]["s"] is None
     assert found["title"]["role"] == "Data Engineer"
-    assert found["context"]["role"] == found["late_context"]["role"] == "Platform Engineer"
+    assert found["context"]["role"] == "Platform Engineer" and found["late_context"]["role"] == "Data Analyst"
     assert len(found["signals"]["s"]["signals"]) == 8 and found["signals"]["s"]["years_required"] == 8.0
 
 
