@@ -4,14 +4,15 @@ Shape of the job
 
 * Equal requirements of a profile are evaluated once ("bodies"); copies of the same
   sentence in many ads meet the evidence as a single row and get the result by join.
-* Terms are tokenized, exploded and left-joined with the evidence terms on
-  (profile, term).  Hot terms are salted.  Partial aggregation reduces the hits to one row
-  per requirement and evidence row that share a term.
-* Every evidence term row knows whether it is the first of its profile with that term.
-  Counting those gives the union overlap of a requirement without a second join and
-  without a distinct count.
-* Flags come from a partial and final aggregation of the pairs, citations from a rank whose
-  limit is applied before the shuffle; neither gathers all pairs of a requirement.
+* Terms are tokenized, exploded and looked up on (profile, term) in summaries of the evidence: how many
+  rows have the term, whether professional ones do, and its head, the best three.  Coverage and most flags
+  follow from them, and so do the citations of a requirement that meets the evidence in one term.
+* Others are a top-k join with bounds (``best_evidence``).  A row that shares one term only is beaten by the
+  head of that term, so beyond the heads only rows that share two terms count, and those are found
+  without the requirement's most frequent term, which is looked up afterwards.  Where every row is
+  relevant, the heads also give a weight below which no row can be cited.
+* Pairs of requirement and evidence exist only between these joins; what is written has one row per
+  requirement and one per requirement and term.
 """
 
 from __future__ import annotations
@@ -68,23 +69,45 @@ CONTEXTS = ["professional", "project", "training", "education", "other"]
 def evidence_terms(evidence: DataFrame) -> DataFrame:
     """One row per profile, evidence and term with what ranking needs.
 
-    ``is_first`` marks the first evidence row of the profile that has the term.
     ``evidence_code`` packs weight in tenths, context number and the nationality flag as
     decimal digits, so that a pair carries one small number instead of three columns.
     """
-    rows = evidence.select(
+    return evidence.select(
         "profile_id", "evidence_id",
         (
             F.round(M.evidence_weight(F.col("source_content"), F.col("experience_context")) * 10).cast("int") * 100
-            + F.array_position(T.word_list(CONTEXTS), F.col("experience_context")).cast("int") * 10
-            + (F.col("label") == vocab.NATIONALITY_LABEL).cast("int")
+            + F.coalesce(F.array_position(T.word_list(CONTEXTS), F.col("experience_context")), F.lit(0)).cast("int") * 10
+            + F.coalesce(F.col("label") == vocab.NATIONALITY_LABEL, F.lit(False)).cast("int")
         ).alias("evidence_code"),
         F.explode(M.term_set(F.col("evidence_text"), F.col("keywords"))).alias("term"),
     )
-    firsts = rows.groupBy("profile_id", "term").agg(F.min("evidence_id").alias("_first"))
-    return rows.join(firsts, ["profile_id", "term"]).withColumn(
-        "is_first", F.col("evidence_id") == F.col("_first")
-    ).drop("_first")
+
+
+def term_summaries(evidence: DataFrame) -> DataFrame:
+    """One row per profile and term of ``evidence_terms``: counts, flags and the head, its best rows.
+
+    Both parts reduce before they shuffle (partial aggregation, rank limit).
+    """
+    key = ["profile_id", "term"]
+    facts = evidence.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("evidence_id").alias("min_id"), F.max("evidence_id").alias("max_id"),
+        F.bool_or(_context() == 1).alias("professional"), F.bool_or(_nationality()).alias("nationality"),
+    )
+    best = Window.partitionBy(*key).orderBy(_weight().desc(), "evidence_id")
+    heads = evidence.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= CITED)
+    return facts.join(heads.groupBy(*key).agg(F.collect_list(F.struct("evidence_id", "evidence_code")).alias("head")), key)
+
+
+def _weight(code: str | Column = "evidence_code") -> Column:
+    return F.floor((F.col(code) if isinstance(code, str) else code) / 100).cast("int")
+
+
+def _context() -> Column:
+    return F.floor(F.col("evidence_code") / 10).cast("int") % 10
+
+
+def _nationality() -> Column:
+    return F.col("evidence_code") % 10 == 1
 
 
 FLAGS = ["is_soft", "needs_context", "is_eligibility", "is_generic"]
@@ -116,25 +139,19 @@ def body_terms(bodies: DataFrame) -> DataFrame:
 def overlap_pairs(terms: DataFrame, evidence: DataFrame) -> DataFrame:
     """Pairs of the same profile that share at least one term, with the overlap.
 
-    A requirement with unmatched terms also has one row without evidence.  All buffers are
-    fixed width, so both aggregation steps hash instead of sorting.
+    The whole list, for callers that ask for it; matching itself goes by ``best_evidence``.
     """
-    hits = balanced_join(terms, evidence, ["profile_id", "term"], ["body_hi"], how="left", spread_right_by=["evidence_id"])
+    hits = balanced_join(terms, evidence, ["profile_id", "term"], ["body_hi"], spread_right_by=["evidence_id"])
     pairs = hits.groupBy(*BODY, "evidence_id").agg(
-        F.count("evidence_id").alias("overlap"),
-        F.count_if("is_first").alias("first_hits"),
+        F.count(F.lit(1)).alias("overlap"),
         F.bool_or("is_keyword").alias("keyword_overlap"),
-        F.bool_or("is_anchor").alias("anchor_overlap"),
-        *[F.first(c).alias(c) for c in [*BODY_FACTS, "evidence_code"]],
-    )
-    return pairs.withColumn(
-        "relevant",
-        F.when(
-            F.col("evidence_id").isNotNull(),
-            (F.col("overlap") * 5 >= F.col("term_count")) | (F.col("overlap") >= 2)
-            | F.col("keyword_overlap"),
-        ),
+        F.first("term_count").alias("term_count"),
     )
+    return pairs.withColumn("relevant", _relevant())
+
+
+def _relevant() -> Column:
+    return (F.col("overlap") * 5 >= F.col("term_count")) | (F.col("overlap") >= 2) | F.col("keyword_overlap")
 
 
 def coverage(terms: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -149,58 +166,119 @@ def coverage(terms: DataFrame, evidence: DataFrame) -> DataFrame:
     )
 
 
-def ranked_evidence(pairs: DataFrame) -> DataFrame:
-    """The rows to cite: relevant first, then weight, overlap and evidence id.
+# up to so many terms, one shared term makes a row relevant
+SHORT = 5
 
-    The rank filter lets Spark keep three rows per requirement before the shuffle.  A row
-    without evidence sorts last.
-    """
-    order = Window.partitionBy(*BODY).orderBy(
-        F.desc_nulls_last("relevant"), F.desc_nulls_last(F.floor(F.col("evidence_code") / 100)), F.desc("overlap"),
-        F.asc("evidence_id"),
-    )
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= CITED)
 
+def requirement_outlook(terms: DataFrame, summaries: DataFrame) -> DataFrame:
+    """One row per requirement with all that the summaries of its terms tell.
 
-def _context() -> Column:
-    return F.floor(F.col("evidence_code") / 10).cast("int") % 10
+    ``found`` has its covered terms, ``common`` the most frequent of them, and ``least`` the weight that a
+    cited row has at least: where every row is relevant, three rows of the heads reach it.
+    """
+    hits = balanced_join(terms, summaries, ["profile_id", "term"], ["body_hi"], how="left")
 
+    def any_of(condition: Column) -> Column:
+        return F.coalesce(F.bool_or(condition), F.lit(False))
 
-def cited_evidence(pairs: DataFrame) -> DataFrame:
-    """At most three citations per requirement as one sorted array."""
-    entry = F.struct(
-        "rank", F.col("evidence_id").cast("string").alias("evidence_id"), _context().alias("context"), "relevant"
+    covered = F.col("n_rows").isNotNull()
+    rows = hits.groupBy(*BODY).agg(
+        *[F.first(c).alias(c) for c in BODY_FACTS],
+        F.count("n_rows").alias("covered_terms"),
+        F.coalesce(F.min("min_id") != F.max("max_id"), F.lit(False)).alias("several_rows"),
+        any_of(covered & F.col("is_keyword")).alias("keyword_hit"),
+        any_of(F.col("is_anchor") & F.col("professional")).alias("professional_alternative"),
+        any_of(F.col("professional")).alias("any_professional"),
+        any_of(F.col("nationality")).alias("any_nationality"),
+        any_of(F.col("is_keyword") & F.col("professional")).alias("keyword_professional"),
+        any_of(F.col("is_keyword") & F.col("nationality")).alias("keyword_nationality"),
+        F.collect_list(F.when(covered, F.struct("n_rows", "term", "is_keyword", "head"))).alias("found"),
     )
-    kept = F.collect_list(F.when(F.col("evidence_id").isNotNull(), entry))
-    return ranked_evidence(pairs).groupBy(*BODY).agg(F.array_sort(kept).alias("top"))
+    heads = F.array_distinct(F.flatten(F.transform("found", lambda t: t["head"])))
+    weights = F.sort_array(F.transform(heads, lambda e: _weight(e["evidence_code"])), asc=False)
+    return rows.withColumns({
+        "common": F.array_max("found"),
+        "least": F.when(F.col("term_count") <= SHORT, F.coalesce(F.get(weights, F.lit(CITED - 1)), F.lit(0))).otherwise(0),
+    })
 
 
-def body_facts(pairs: DataFrame) -> DataFrame:
-    """Flags and citations per requirement.
+def best_evidence(outlook: DataFrame, evidence: DataFrame) -> DataFrame:
+    """The rows to cite: relevant first, then weight, overlap and evidence id, three per requirement.
 
-    Both sides reduce before they shuffle (partial aggregation, rank limit), so a profile
-    with very many evidence rows is never gathered in one task.
+    ``pair_professional`` and ``pair_nationality`` tell whether any row that shares two terms with the requirement
+    is of that kind; they hold for requirements of more than ``SHORT`` terms.
     """
-    nationality = F.col("evidence_code") % 10 == 1
-    relevant, professional = F.col("relevant"), _context() == 1
+    columns = [*BODY, "evidence_id", "evidence_code", "overlap", "relevant", "pair_professional", "pair_nationality"]
+    none = F.lit(False)
+    alone = outlook.where("covered_terms = 1").select(
+        *BODY, "term_count", F.lit(1).alias("overlap"), F.col("common")["is_keyword"].alias("keyword_overlap"),
+        F.inline(F.col("common")["head"]),
+    ).withColumn("relevant", _relevant()).withColumns({"pair_professional": none, "pair_nationality": none})
+
+    common = F.col("common")
+    several = outlook.where("covered_terms > 1").select(
+        *BODY, "term_count", "least", common["term"].alias("common_term"), common["is_keyword"].alias("common_keyword"),
+        common["head"].alias("head"), F.filter("found", lambda t: t["term"] != common["term"]).alias("others"),
+    )
+    facts = ["term_count", "common_term", "common_keyword"]
+    asked = several.select(*BODY, *facts, "least", F.explode("others").alias("t")).select(
+        *BODY, *facts, "least", F.col("t.term").alias("term"), F.col("t.is_keyword").alias("is_keyword")
+    )
+    met = balanced_join(asked, evidence, ["profile_id", "term"], ["body_hi"], spread_right_by=["evidence_id"]).where(
+        _weight() >= F.col("least")
+    ).select(*BODY, *facts, "evidence_id", "evidence_code", F.lit(1).alias("hit"), "is_keyword")
+    heads = several.select(*BODY, *facts, F.inline("head")).select(
+        *BODY, *facts, "evidence_id", "evidence_code", F.lit(0).alias("hit"), none.alias("is_keyword")
+    )
+    candidates = met.unionByName(heads).groupBy(*BODY, "evidence_id").agg(
+        *[F.first(c).alias(c) for c in [*facts, "evidence_code"]],
+        F.sum("hit").alias("hits"), F.bool_or("is_keyword").alias("keyword"),
+    )
+    has_common = evidence.select(
+        "profile_id", "evidence_id", F.col("term").alias("common_term"), F.lit(1).alias("in_common")
+    )
+    pairs = candidates.join(has_common, ["profile_id", "evidence_id", "common_term"], "left").select(
+        *BODY, "evidence_id", "evidence_code", "term_count",
+        (F.col("hits") + F.coalesce("in_common", F.lit(0))).alias("overlap"),
+        (F.col("keyword") | (F.col("common_keyword") & F.col("in_common").isNotNull())).alias("keyword_overlap"),
+    ).withColumn("relevant", _relevant())
+    # the same partitions and order serve the flags and the rank, in one shuffle
+    whole = Window.partitionBy(*BODY)
+    twice = F.col("overlap") >= 2
+    pairs = pairs.withColumns({
+        "pair_professional": F.bool_or(twice & (_context() == 1)).over(whole),
+        "pair_nationality": F.bool_or(twice & _nationality()).over(whole),
+    })
+    order = Window.partitionBy(*BODY).orderBy(F.desc("relevant"), _weight().desc(), F.desc("overlap"), "evidence_id")
+    # heads of single terms are three rows at most, so their rank is computed with the others'
+    return alone.select(*columns).unionByName(pairs.select(*columns)).withColumn(
+        "rank", F.row_number().over(order)
+    ).where(F.col("rank") <= CITED)
+
+
+def body_facts(outlook: DataFrame, best: DataFrame) -> DataFrame:
+    """Flags and citations per requirement."""
+    entry = F.struct(
+        "rank", F.col("evidence_id").cast("string").alias("evidence_id"), _context().alias("context"), "relevant"
+    )
+    tops = best.groupBy(*BODY).agg(
+        F.array_sort(F.collect_list(entry)).alias("top"), F.bool_or("relevant").alias("top_relevant"),
+        F.bool_or("pair_professional").alias("pair_professional"), F.bool_or("pair_nationality").alias("pair_nationality"),
+    )
+    rows = outlook.drop("found", "common", "least").join(tops, BODY, "left")
+    short = F.col("term_count") <= SHORT
 
-    def any_of(condition: Column) -> Column:
-        return F.coalesce(F.bool_or(condition), F.lit(False))
+    def relevant(kind: str) -> Column:
+        paired = F.col(f"keyword_{kind}") | F.coalesce(f"pair_{kind}", F.lit(False))
+        return F.when(short, F.col(f"any_{kind}")).otherwise(paired)
 
-    found = F.col("evidence_id").isNotNull()
-    flags = pairs.groupBy(*BODY).agg(
-        *[F.first(c).alias(c) for c in BODY_FACTS],
-        F.sum("first_hits").alias("covered_terms"),
-        (F.count_if(found) >= 2).alias("several_rows"),
-        any_of(found & F.col("keyword_overlap")).alias("keyword_hit"),
-        any_of(professional & F.col("anchor_overlap")).alias("professional_alternative"),
-        any_of(relevant).alias("any_relevant"),
-        any_of(professional).alias("any_professional"),
-        any_of(relevant & professional).alias("relevant_professional"),
-        any_of(nationality).alias("any_nationality"),
-        any_of(relevant & nationality).alias("relevant_nationality"),
-    ).withColumns({name: _flag(name) for name in FLAGS})
-    return flags.join(cited_evidence(pairs), BODY)
+    return rows.withColumns({
+        "top": F.coalesce("top", F.array().cast(tops.schema["top"].dataType)),
+        "any_relevant": F.coalesce("top_relevant", F.lit(False)),
+        "relevant_professional": relevant("professional"),
+        "relevant_nationality": relevant("nationality"),
+        **{name: _flag(name) for name in FLAGS},
+    })
 
 
 def profile_years(evidence: DataFrame, as_of: Column) -> DataFrame:
@@ -351,10 +429,11 @@ def match_texts(rule: Column) -> tuple[Column, Column]:
 
 def evaluate_bodies(bodies: DataFrame, evidence: DataFrame, as_of: Column) -> DataFrame:
     """Decision per distinct requirement of a profile."""
-    # two readers follow; the written pairs keep the join from running twice
-    pairs = materialize(overlap_pairs(body_terms(bodies), evidence_terms(evidence)), "match-pairs")
+    terms = materialize(body_terms(bodies), "match-terms")
+    postings = materialize(evidence_terms(evidence), "match-evidence")
+    outlook = materialize(requirement_outlook(terms, term_summaries(postings)), "match-outlook")
     years = profile_years(evidence, as_of)
-    facts = balanced_join(body_facts(pairs), years, ["profile_id"], ["body_hi"], how="left", counted=bodies.select("profile_id"))
+    facts = balanced_join(body_facts(outlook, best_evidence(outlook, postings)), years, ["profile_id"], ["body_hi"], how="left", counted=outlook.select("profile_id"))
     decided = facts.withColumn("rule", match_rules())
     rule = F.col("rule")
     explanation, action = match_texts(rule)

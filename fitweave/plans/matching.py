@@ -129,8 +129,7 @@ def _inputs(t: Tables):
 select sha256(requirement) as requirement_hash, evidence_id, overlap, relevant from weighed""")
 def j5(t: Tables):
     bodies, terms, evidence = _inputs(t)
-    pairs = X.overlap_pairs(terms, evidence).where(F.col("evidence_id").isNotNull())
-    return pairs.join(bodies.select(*X.BODY, "requirement"), X.BODY).select(
+    return X.overlap_pairs(terms, evidence).join(bodies.select(*X.BODY, "requirement"), X.BODY).select(
         F.sha2("requirement", 256).alias("requirement_hash"), "evidence_id", "overlap", "relevant"
     )
 
@@ -150,8 +149,8 @@ def a03(t: Tables):
 select sha256(requirement) as requirement_hash, evidence_id, rk as rank from ranked where rk <= 3""")
 def w2(t: Tables):
     bodies, terms, evidence = _inputs(t)
-    ranked = X.ranked_evidence(X.overlap_pairs(terms, evidence))
-    return ranked.where(F.col("evidence_id").isNotNull()).join(bodies.select(*X.BODY, "requirement"), X.BODY).select(
+    outlook = materialize(X.requirement_outlook(terms, X.term_summaries(evidence)), "match-outlook")
+    return X.best_evidence(outlook, evidence).join(bodies.select(*X.BODY, "requirement"), X.BODY).select(
         F.sha2("requirement", 256).alias("requirement_hash"), "evidence_id", "rank"
     )
 

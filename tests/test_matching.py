@@ -168,3 +168,47 @@ def test_years_evidence_has_every_supplier(spark, sf):
 
     tables = Tables(spark, sf)
     assert _years_matches(tables)[1].count() == tables.supplier.count()
+
+
+def test_best_evidence_equals_the_ranked_pair_table(spark):
+    """Bounds and heads against the whole list of pairs, with frequent words, keywords, ties and three profiles."""
+    import random
+
+    rng = random.Random(5)
+    words = [f"word{n}" for n in range(40)]
+
+    def pick(k):
+        return sorted({words[min(int(rng.expovariate(0.12)), 39)] for _ in range(k)})
+
+    contexts = ["professional", "project", "training", "education", "other"]
+    requirements = [(f"j{n}", f"p{n % 3}", "r", " ".join(pick(rng.randrange(1, 12))), "", "must", pick(rng.randrange(0, 2)), None) for n in range(250)]
+    evidence = [
+        (f"p{n % 3}", f"e{n:03}", "CV", "cv", '{"source_type":"manual_training"}' if n % 7 == 0 else "{}", "Staatsangehörigkeit" if n % 11 == 0 else "x",
+         " ".join(pick(rng.randrange(1, 9))), rng.choice(contexts), [])
+        for n in range(120)
+    ]
+    bodies = matching.requirement_bodies(spark.createDataFrame(requirements, REQUIREMENT))
+    terms, rows = matching.body_terms(bodies), matching.evidence_terms(spark.createDataFrame(evidence, EVIDENCE))
+    pairs = matching.overlap_pairs(terms, rows).join(rows.select("profile_id", "evidence_id", "evidence_code").distinct(), ["profile_id", "evidence_id"]).collect()
+    by_body = {}
+    for r in pairs:
+        by_body.setdefault((r["profile_id"], r["body_hi"], r["body_lo"]), []).append(r)
+    want = {}
+    for body, found in by_body.items():
+        found.sort(key=lambda r: (not r["relevant"], -(r["evidence_code"] // 100), -r["overlap"], r["evidence_id"]))
+        want[body] = [(r["evidence_id"], r["overlap"], r["relevant"]) for r in found[:3]]
+    outlook = matching.requirement_outlook(terms, matching.term_summaries(rows))
+    best = matching.best_evidence(outlook, rows)
+    got = {}
+    for r in sorted(best.collect(), key=lambda r: r["rank"]):
+        got.setdefault((r["profile_id"], r["body_hi"], r["body_lo"]), []).append((r["evidence_id"], r["overlap"], r["relevant"]))
+    assert got == want and len(want) > 200
+    facts = {(r["profile_id"], r["body_hi"], r["body_lo"]): r for r in matching.body_facts(outlook, best).collect()}
+    for body, found in by_body.items():
+        kind = lambda c: any(x["relevant"] and c(x) for x in found)
+        row = facts[body]
+        assert row["any_relevant"] == any(x["relevant"] for x in found)
+        assert row["relevant_professional"] == kind(lambda x: x["evidence_code"] // 10 % 10 == 1)
+        assert row["relevant_nationality"] == kind(lambda x: x["evidence_code"] % 10 == 1)
+        assert row["several_rows"] == (len(found) > 1)
+    assert sum(len(v) for v in by_body.values()) > 4 * sum(len(v) for v in want.values())
