@@ -290,22 +290,86 @@ def match_entities(suggestions: DataFrame, entities: DataFrame) -> DataFrame:
     )
 
 
-def comparable_json(value: Column) -> Column:
-    """JSON field value without ignored keys and nulls, as comparable text."""
-    names = "|".join(IGNORED)
-    bare = F.regexp_replace(value, rf'"(?:{names})":(?:"(?:[^"\\]|\\.)*"|[^,}}\]]*),?', "")
-    return T.comparable_text(F.regexp_replace(bare, r'"[^"]+":null,?', ""))
+# nested values are compared part by part down to this depth, and below it as text with sorted keys
+LEVELS = 6
+PART = "array<struct<field: string, path: string, token: string, value: variant>>"
+
+
+def _leaf_token(value: Column, kind: Column) -> Column:
+    """A value without parts as comparable text; numbers by value, and true and false as 1 and 0."""
+    number = value.try_cast("double")
+    return (
+        F.when(kind == "STRING", F.concat(F.lit("s:"), T.comparable_text(value.try_cast("string"))))
+        .when(kind == "BOOLEAN", F.when(value.try_cast("boolean"), "n:1.0").otherwise("n:0.0"))
+        .when(kind == "VOID", "null")
+        .when(number.isNotNull() & (F.abs(number) < 9e15), F.concat(F.lit("n:"), (number + 0.0).cast("string")))
+        .otherwise(F.concat(F.lit("v:"), F.to_json(value)))
+    )
+
+
+def _kept(entries: Column) -> Column:
+    return F.filter(entries, lambda e: ~e["key"].isin(*IGNORED) & ~F.is_variant_null(e["value"]))
+
+
+def _part(field: Column, path: Column, token: Column, value: Column) -> Column:
+    return F.struct(field.alias("field"), path.alias("path"), token.alias("token"), value.alias("value"))
+
+
+def _opened(parts: Column) -> Column:
+    """Each part that is an object or a list in the parts it has; others get their token."""
+    nothing = F.lit(None).cast("variant")
+
+    def open_part(p: Column) -> Column:
+        value, kind = p["value"], F.schema_of_variant(p["value"])
+        fields = _kept(F.map_entries(value.try_cast("map<string,variant>")))
+        by_key = F.transform(
+            fields, lambda e: _part(p["field"], F.concat(p["path"], F.lit("."), F.to_json(F.array(e["key"]))), F.lit(None).cast("string"), e["value"])
+        )
+        by_place = F.transform(
+            value.try_cast("array<variant>"),
+            lambda v, i: _part(p["field"], F.concat(p["path"], F.lit("["), i.cast("string"), F.lit("]")), F.lit(None).cast("string"), v),
+        )
+
+        def leaf(token: Column | str) -> Column:
+            return F.array(_part(p["field"], p["path"], F.lit(token) if isinstance(token, str) else token, nothing))
+
+        return (
+            F.when(p["token"].isNotNull(), F.array(p))
+            .when(kind.startswith("OBJECT"), F.when(F.size(fields) > 0, by_key).otherwise(leaf("{}")))
+            .when(kind.startswith("ARRAY"), F.when(F.size(by_place) > 0, by_place).otherwise(leaf("[]")))
+            .otherwise(leaf(_leaf_token(value, kind)))
+        ).cast(PART)
+
+    return F.flatten(F.transform(parts, open_part))
+
+
+def with_parts(rows: DataFrame, data: str, name: str, levels: int = LEVELS) -> DataFrame:
+    """Adds the fields of a JSON object as one flat list of (field, path, token) parts.
+
+    Ignored keys and nulls of objects are left out at every depth, whatever their values; keys have no
+    order, and items of lists keep their place.
+    """
+    fields = _kept(F.map_entries(F.try_parse_json(data).try_cast("map<string,variant>")))
+    none = F.lit(None).cast("string")
+    rows = rows.withColumn(name, F.transform(fields, lambda e: _part(e["key"], F.lit(""), none, e["value"])).cast(PART))
+    opened = _opened(F.col(name))
+    for _ in range(levels):
+        rows = rows.withColumn(name, opened)
+    text = F.transform(name, lambda p: F.struct(p["field"], p["path"], F.coalesce(p["token"], F.concat(F.lit("v:"), F.to_json(p["value"]))).alias("token")))
+    return rows.withColumn(name, F.array_sort(text))
 
 
 def with_conflicts(matched: DataFrame) -> DataFrame:
     """Conflict status and field differences of matched suggestions.
 
-    Both sides become maps of field to text; the comparison stays inside the row.
+    Both sides become lists of parts; two values are equal if their parts are.  The comparison stays
+    inside the row.
     """
     text_map = "map<string,string>"
     both = matched.withColumn("_new", F.from_json("proposed_data", text_map)).withColumn(
         "_old", F.from_json("existing_data", text_map)
     )
+    both = with_parts(with_parts(both, "proposed_data", "_new_parts"), "existing_data", "_old_parts")
     rows = F.transform(
         F.filter(F.map_entries("_new"), lambda e: e["value"].isNotNull() & ~e["key"].isin(*IGNORED)),
         lambda e: F.struct(
@@ -313,10 +377,11 @@ def with_conflicts(matched: DataFrame) -> DataFrame:
             e["value"].alias("proposed"),
         ),
     )
-    differing = F.filter(
-        rows,
-        lambda r: r["existing"].isNull() | (comparable_json(r["existing"]) != comparable_json(r["proposed"])),
-    )
+
+    def parts_of(name: str, field: Column) -> Column:
+        return F.filter(F.coalesce(name, F.array().cast("array<struct<field: string, path: string, token: string>>")), lambda p: p["field"] == field)
+
+    differing = F.filter(rows, lambda r: parts_of("_new_parts", r["field"]) != parts_of("_old_parts", r["field"]))
     none = F.filter(rows, lambda _: F.lit(False))
     known = F.col("existing_id").isNotNull()
     return (
@@ -325,7 +390,7 @@ def with_conflicts(matched: DataFrame) -> DataFrame:
             "conflict_status",
             F.when(~known, "none").when(F.size("differences") > 0, "conflict").otherwise("duplicate"),
         )
-        .drop("_new", "_old")
+        .drop("_new", "_old", "_new_parts", "_old_parts")
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fitweave.functions import text as T
@@ -203,6 +204,58 @@ def c3(t: Tables):
     )
 
 
+# nested values of parts, stored with other key order, other ignored values, other case, other places or other numbers
+NESTED = """docs as (select p_partkey as k, json_object('canonical_name', p_name, 'details', json_object('brand', p_brand, 'made',
+      json_array(json_object('by', p_brand, 'size', p_size), null), 'id', json_object('z', p_partkey)), 'stack', json_array(p_type, p_brand)) as new,
+    json_object('stack', case when p_size % 6 = 2 then json_array(p_brand, p_type) else json_array(p_type, p_brand) end,
+      'canonical_name', case when p_size % 6 = 3 then upper(p_name) else p_name end, 'details', json_object('made', json_array(json_object(
+        'size', case when p_size % 6 = 4 then p_size + 0.5 else p_size end, 'by', replace(p_brand, '#', ' '), 'revision', null), null),
+      'id', case when p_size % 6 = 1 then json_array(1) end, 'brand', p_brand, 'note', case when p_size % 6 = 5 then 'new' end)) as old from part),
+sides as (select k, 'new' as side, t.* from docs, json_tree(new) as t union all select k, 'old', t.* from docs, json_tree(old) as t),
+leaves as (select distinct k, side, split_part(fullkey, '.', 2) as f, fullkey, case when type in ('VARCHAR') then
+      trim(regexp_replace(lower(json_extract_string(value, '$')), '[^a-z0-9]+', ' ', 'g')) else cast(try_cast(atom as double) as varchar) end as v
+  from sides where type not in ('OBJECT', 'ARRAY') and not regexp_matches(fullkey, '[.](id|revision)([.\\[]|$)')
+    and not (type = 'NULL' and not ends_with(fullkey, ']'))),
+fields as (select k, split_part(regexp_replace(f, '\\[.*$', ''), '[', 1) as field, count(distinct side) as sides, fullkey, v from leaves group by all),
+odd as (select k, string_agg(distinct field, ',' order by field) as fields from fields where sides = 1 group by k)"""
+
+
+@query("c3_nested_values", f"""with {NESTED}
+select k as suggestion_id, case when fields is null then 'duplicate' else 'conflict' end as conflict_status, coalesce(fields, '') as fields
+from docs left join odd using (k)""")
+def c3_nested(t: Tables):
+    size = F.col("p_size")
+
+    def side(code: int, odd: Column, plain: Column) -> Column:
+        return F.when(size % 6 == code, odd).otherwise(plain)
+
+    blank = F.lit(None).cast("struct<by: string, size: double>")
+    made = F.struct(F.col("p_brand").alias("by"), size.cast("double").alias("size"))
+    new = F.struct(
+        F.col("p_name").alias("canonical_name"),
+        F.struct(F.col("p_brand").alias("brand"), F.array(made, blank).alias("made"), F.struct(F.col("p_partkey").alias("z")).alias("id")).alias("details"),
+        F.array("p_type", "p_brand").alias("stack"),
+    )
+    stored = F.struct(side(4, size + 0.5, size.cast("double")).alias("size"), F.replace("p_brand", F.lit("#"), F.lit(" ")).alias("by"))
+    old = F.struct(
+        side(2, F.array("p_brand", "p_type"), F.array("p_type", "p_brand")).alias("stack"),
+        side(3, F.upper("p_name"), F.col("p_name")).alias("canonical_name"),
+        F.struct(
+            F.array(stored, F.lit(None).cast("struct<size: double, by: string>")).alias("made"),
+            F.when(size % 6 == 1, F.array(F.lit(1))).alias("id"), F.col("p_brand").alias("brand"),
+            F.when(size % 6 == 5, F.lit("new")).alias("note"),
+        ).alias("details"),
+    )
+    rows = t.part.select(
+        F.col("p_partkey").alias("suggestion_id"), F.lit("projects").alias("resource_type"), F.to_json(new).alias("proposed_data"),
+        F.to_json(old).alias("existing_data"), F.col("p_partkey").cast("string").alias("existing_id"),
+    )
+    return C.with_conflicts(rows).select(
+        "suggestion_id", "conflict_status",
+        F.array_join(F.array_sort(F.transform("differences", lambda d: d["field"])), ",").alias("fields"),
+    )
+
+
 @query("c4_apply_resolutions", f"""with {RESOLVED},
 dc as (select *, case when k % 6 = 5 then null when k % 6 = 4 then 'reject' else 'apply' end as decision,
   case k % 6 when 0 then 'merge' when 1 then 'keep_existing' when 2 then 'create_new' else '' end as resolution from st)

@@ -256,3 +256,43 @@ def test_comparable_text_drops_case_accents_and_punctuation(spark):
     frame = spark.createDataFrame([("Groß-Segel  Öl ÂME",), ("mañaná́_y",)], "v string")
     assert [r[0] for r in frame.select(T.comparable_text(F.col("v"))).collect()] == ["gross segel ol ame", "manana y"]
     assert quality.normalized_extracted_text is not None
+
+
+def _compared(spark, pairs):
+    """Conflict status of proposed against existing values, by case."""
+    import json
+
+    rows = [(str(n), "skills", json.dumps({"canonical_name": "x", "v": a}), json.dumps({"canonical_name": "x", "v": b} if b is not ... else {"canonical_name": "x"}), "e")
+            for n, (a, b, _) in enumerate(pairs)]
+    frame = spark.createDataFrame(rows, "suggestion_id string, resource_type string, proposed_data string, existing_data string, existing_id string")
+    found = {r["suggestion_id"]: r["conflict_status"] for r in cv.with_conflicts(frame).collect()}
+    return [found[str(n)] for n in range(len(pairs))]
+
+
+def test_nested_values_compare_by_parts(spark):
+    cases = [
+        ([{"a": "1", "b": "2"}], [{"b": "2", "a": "1"}], "duplicate"),
+        ([{"a": "1", "id": {"z": 1, "y": [2]}}], [{"a": "1"}], "duplicate"),
+        (["a b"], ["a", "b"], "conflict"),
+        (["a", "b"], ["b", "a"], "conflict"),
+        ({"p": {"q": {"r": ["Ärger!", None]}}}, {"p": {"q": {"r": ["arger", None], "status": "draft"}, "x": None}}, "duplicate"),
+        ({"p": []}, {"p": {}}, "conflict"),
+        ({"p": {}}, {"p": {"id": 3, "revision": None}}, "duplicate"),
+        ({"0": "a"}, ["a"], "conflict"),
+        ([None], [], "conflict"),
+        ([], ..., "conflict"),
+        ("", ..., "conflict"),
+        (1, 1.0, "duplicate"),
+        (True, 1, "duplicate"),
+        (1, "1", "conflict"),
+        ({"a.b": 1}, {"a": {"b": 1}}, "conflict"),
+        ({'k"]': ["x"]}, {'k"]': ["x"]}, "duplicate"),
+        ({'k"]': ["x"]}, {'k"]': ["y"]}, "conflict"),
+    ]
+    assert _compared(spark, cases) == [c[2] for c in cases]
+
+
+def test_values_below_the_last_level(spark):
+    deep = lambda leaf: [[[[[[[[[[leaf]]]]]]]]]]
+    cases = [(deep({"a": 1, "b": 2}), deep({"b": 2, "a": 1}), "duplicate"), (deep({"a": 1}), deep({"a": 2}), "conflict")]
+    assert _compared(spark, cases) == [c[2] for c in cases]
