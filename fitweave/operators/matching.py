@@ -12,7 +12,7 @@ Shape of the job
   without the requirement's most frequent term, which is looked up afterwards.  Where every row is
   relevant, the heads also give a weight below which no row can be cited.
 * Pairs of requirement and evidence exist only between these joins; what is written has one row per
-  requirement and one per requirement and term.
+  requirement, or per evidence row and term.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from fitweave import vocab
 from fitweave.functions import dates
 from fitweave.functions import terms as M
 from fitweave.functions import text as T
-from fitweave.operators.skew import balanced_join
+from fitweave.operators.skew import balanced_join, sized_join
 from fitweave.session import materialize
 
 # a requirement body is named by 128 hash bits in two longs: fixed width in every shuffle
@@ -98,39 +98,38 @@ def term_summaries(evidence: DataFrame) -> DataFrame:
     return facts.join(heads.groupBy(*key).agg(F.collect_list(F.struct("evidence_id", "evidence_code")).alias("head")), key)
 
 
-def _weight(code: str | Column = "evidence_code") -> Column:
-    return F.floor((F.col(code) if isinstance(code, str) else code) / 100).cast("int")
+def _weight(code: Column | None = None) -> Column:
+    return F.floor((F.col("evidence_code") if code is None else code) / 100).cast("int")
 
 
-def _context() -> Column:
-    return F.floor(F.col("evidence_code") / 10).cast("int") % 10
+def _context(code: Column | None = None) -> Column:
+    return F.floor((F.col("evidence_code") if code is None else code) / 10).cast("int") % 10
 
 
-def _nationality() -> Column:
-    return F.col("evidence_code") % 10 == 1
+def _nationality(code: Column | None = None) -> Column:
+    return (F.col("evidence_code") if code is None else code) % 10 == 1
 
 
 FLAGS = ["is_soft", "needs_context", "is_eligibility", "is_generic"]
 BODY_FACTS = ["term_count", "minimum_years", "flags"]
+TERM_COLUMNS = ["term_count", "minimum_years", "terms", "keyword_terms", "anchors"]
 
 
 def _flag(name: str) -> Column:
     return F.col("flags").bitwiseAND(1 << FLAGS.index(name)) > 0
 
 
+def with_facts(bodies: DataFrame) -> DataFrame:
+    """Requirements with their flags as bits of one number."""
+    return bodies.withColumn("flags", sum((F.col(name).cast("int") * (1 << i) for i, name in enumerate(FLAGS)), F.lit(0)))
+
+
 def body_terms(bodies: DataFrame) -> DataFrame:
-    """One row per requirement and term; requirements that are not decided by terms keep
-    one row with a term of their own that cannot match."""
-    by_terms = F.col("minimum_years").isNull() & (F.col("term_count") > 0)
-    own = F.array(F.concat(F.lit("\x00"), F.hex("body_hi"), F.hex("body_lo")))
-    rows = bodies.select(
-        *BODY, "term_count", "minimum_years",
-        sum((F.col(name).cast("int") * (1 << i) for i, name in enumerate(FLAGS)), F.lit(0)).alias("flags"),
-        "keyword_terms", "anchors",
-        F.explode(F.when(by_terms, F.col("terms")).otherwise(own)).alias("term"),
-    )
-    return rows.select(
-        *BODY, *BODY_FACTS, "term",
+    """One row per requirement and term, for the requirements that are decided by terms."""
+    return bodies.where(F.col("minimum_years").isNull()).select(
+        *BODY, "term_count", "keyword_terms", "anchors", F.explode("terms").alias("term")
+    ).select(
+        *BODY, "term_count", "term",
         F.array_contains("keyword_terms", F.col("term")).alias("is_keyword"),
         F.array_contains("anchors", F.col("term")).alias("is_anchor"),
     )
@@ -170,36 +169,54 @@ def coverage(terms: DataFrame, evidence: DataFrame) -> DataFrame:
 SHORT = 5
 
 
-def requirement_outlook(terms: DataFrame, summaries: DataFrame) -> DataFrame:
+def requirement_outlook(bodies: DataFrame, summaries: DataFrame) -> DataFrame:
     """One row per requirement with all that the summaries of its terms tell.
 
     ``found`` has its covered terms, ``common`` the most frequent of them, and ``least`` the weight that a
-    cited row has at least: where every row is relevant, three rows of the heads reach it.
+    cited row has at least: three rows of the heads that are relevant for sure reach it.  A row of
+    a head is relevant for sure if one term is enough, or if it is in the heads of two terms.
     """
-    hits = balanced_join(terms, summaries, ["profile_id", "term"], ["body_hi"], how="left")
+    hits = sized_join(body_terms(bodies), summaries, ["profile_id", "term"], ["body_hi"])
 
     def any_of(condition: Column) -> Column:
         return F.coalesce(F.bool_or(condition), F.lit(False))
 
-    covered = F.col("n_rows").isNotNull()
+    kinds = ["professional", "nationality"]
+    head = F.transform("head", lambda h: F.struct(h["evidence_id"], h["evidence_code"], F.col("is_keyword").alias("sure")))
     rows = hits.groupBy(*BODY).agg(
-        *[F.first(c).alias(c) for c in BODY_FACTS],
-        F.count("n_rows").alias("covered_terms"),
+        F.count(F.lit(1)).alias("covered_terms"),
         F.coalesce(F.min("min_id") != F.max("max_id"), F.lit(False)).alias("several_rows"),
-        any_of(covered & F.col("is_keyword")).alias("keyword_hit"),
+        any_of(F.col("is_keyword")).alias("keyword_hit"),
         any_of(F.col("is_anchor") & F.col("professional")).alias("professional_alternative"),
-        any_of(F.col("professional")).alias("any_professional"),
-        any_of(F.col("nationality")).alias("any_nationality"),
-        any_of(F.col("is_keyword") & F.col("professional")).alias("keyword_professional"),
-        any_of(F.col("is_keyword") & F.col("nationality")).alias("keyword_nationality"),
-        F.collect_list(F.when(covered, F.struct("n_rows", "term", "is_keyword", "head"))).alias("found"),
+        *[any_of(F.col(k)).alias(f"any_{k}") for k in kinds],
+        *[any_of(F.col("is_keyword") & F.col(k)).alias(f"sure_{k}") for k in kinds],
+        F.collect_list(F.struct("n_rows", "term", "is_keyword", head.alias("head"))).alias("found"),
     )
-    heads = F.array_distinct(F.flatten(F.transform("found", lambda t: t["head"])))
-    weights = F.sort_array(F.transform(heads, lambda e: _weight(e["evidence_code"])), asc=False)
-    return rows.withColumns({
+    facts = with_facts(bodies).select(*BODY, *BODY_FACTS)
+    rows = facts.join(rows, BODY, "left").withColumns({
+        "covered_terms": F.coalesce("covered_terms", F.lit(0)),
+        **{c: F.coalesce(c, F.lit(False)) for c in rows.columns if c.startswith(("any_", "sure_", "several", "keyword_h", "professional"))},
         "common": F.array_max("found"),
-        "least": F.when(F.col("term_count") <= SHORT, F.coalesce(F.get(weights, F.lit(CITED - 1)), F.lit(0))).otherwise(0),
+        "heads": F.sort_array(F.flatten(F.transform("found", lambda t: t["head"]))),
+    })
+    short = F.col("term_count") <= SHORT
+
+    def sure(e: Column, i: Column) -> Column:
+        """The last of the entries of one evidence row, if one of them is sure or there are two."""
+        before, after = (F.get(F.col("heads"), i + step)["evidence_id"] for step in (-1, 1))
+        again = F.coalesce(before == e["evidence_id"], F.lit(False))
+        return (short | e["sure"] | again) & F.coalesce(after != e["evidence_id"], F.lit(True))
+
+    rows = rows.withColumn("heads", F.filter("heads", sure))
+    code = lambda e: e["evidence_code"]
+    rows = rows.withColumns({
+        "sure_professional": F.col("sure_professional") | F.coalesce(F.exists("heads", lambda e: _context(code(e)) == 1), F.lit(False)),
+        "sure_nationality": F.col("sure_nationality") | F.coalesce(F.exists("heads", lambda e: _nationality(code(e))), F.lit(False)),
+        "weights": F.sort_array(F.transform("heads", lambda e: _weight(code(e))), asc=False),
     })
+    # rows below that weight are not looked at, so what they could tell has to be known
+    known = short | ((F.col("sure_professional") | ~F.col("any_professional")) & (F.col("sure_nationality") | ~F.col("any_nationality")))
+    return rows.withColumn("least", F.when(known, F.coalesce(F.get("weights", F.lit(CITED - 1)), F.lit(0))).otherwise(0)).drop("heads", "weights")
 
 
 def best_evidence(outlook: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -213,7 +230,7 @@ def best_evidence(outlook: DataFrame, evidence: DataFrame) -> DataFrame:
     alone = outlook.where("covered_terms = 1").select(
         *BODY, "term_count", F.lit(1).alias("overlap"), F.col("common")["is_keyword"].alias("keyword_overlap"),
         F.inline(F.col("common")["head"]),
-    ).withColumn("relevant", _relevant()).withColumns({"pair_professional": none, "pair_nationality": none})
+    ).drop("sure").withColumn("relevant", _relevant()).withColumns({"pair_professional": none, "pair_nationality": none})
 
     common = F.col("common")
     several = outlook.where("covered_terms > 1").select(
@@ -224,20 +241,20 @@ def best_evidence(outlook: DataFrame, evidence: DataFrame) -> DataFrame:
     asked = several.select(*BODY, *facts, "least", F.explode("others").alias("t")).select(
         *BODY, *facts, "least", F.col("t.term").alias("term"), F.col("t.is_keyword").alias("is_keyword")
     )
-    met = balanced_join(asked, evidence, ["profile_id", "term"], ["body_hi"], spread_right_by=["evidence_id"]).where(
+    met = sized_join(asked, evidence, ["profile_id", "term"], ["body_hi"], spread_right_by=["evidence_id"]).where(
         _weight() >= F.col("least")
     ).select(*BODY, *facts, "evidence_id", "evidence_code", F.lit(1).alias("hit"), "is_keyword")
     heads = several.select(*BODY, *facts, F.inline("head")).select(
         *BODY, *facts, "evidence_id", "evidence_code", F.lit(0).alias("hit"), none.alias("is_keyword")
     )
-    candidates = met.unionByName(heads).groupBy(*BODY, "evidence_id").agg(
-        *[F.first(c).alias(c) for c in [*facts, "evidence_code"]],
+    # facts in the key leave fixed-width buffers, so the aggregation hashes instead of sorting
+    candidates = met.unionByName(heads).groupBy(*BODY, "evidence_id", *facts, "evidence_code").agg(
         F.sum("hit").alias("hits"), F.bool_or("is_keyword").alias("keyword"),
     )
     has_common = evidence.select(
         "profile_id", "evidence_id", F.col("term").alias("common_term"), F.lit(1).alias("in_common")
     )
-    pairs = candidates.join(has_common, ["profile_id", "evidence_id", "common_term"], "left").select(
+    pairs = sized_join(candidates, has_common, ["profile_id", "evidence_id", "common_term"], ["body_hi"], how="left").select(
         *BODY, "evidence_id", "evidence_code", "term_count",
         (F.col("hits") + F.coalesce("in_common", F.lit(0))).alias("overlap"),
         (F.col("keyword") | (F.col("common_keyword") & F.col("in_common").isNotNull())).alias("keyword_overlap"),
@@ -269,7 +286,7 @@ def body_facts(outlook: DataFrame, best: DataFrame) -> DataFrame:
     short = F.col("term_count") <= SHORT
 
     def relevant(kind: str) -> Column:
-        paired = F.col(f"keyword_{kind}") | F.coalesce(f"pair_{kind}", F.lit(False))
+        paired = F.col(f"sure_{kind}") | F.coalesce(f"pair_{kind}", F.lit(False))
         return F.when(short, F.col(f"any_{kind}")).otherwise(paired)
 
     return rows.withColumns({
@@ -429,11 +446,12 @@ def match_texts(rule: Column) -> tuple[Column, Column]:
 
 def evaluate_bodies(bodies: DataFrame, evidence: DataFrame, as_of: Column) -> DataFrame:
     """Decision per distinct requirement of a profile."""
-    terms = materialize(body_terms(bodies), "match-terms")
+    # each text is tokenized once
+    bodies = materialize(bodies.select(*BODY, *TERM_COLUMNS, *FLAGS), "match-bodies")
     postings = materialize(evidence_terms(evidence), "match-evidence")
-    outlook = materialize(requirement_outlook(terms, term_summaries(postings)), "match-outlook")
+    outlook = materialize(requirement_outlook(bodies, materialize(term_summaries(postings), "match-summaries")), "match-outlook")
     years = profile_years(evidence, as_of)
-    facts = balanced_join(body_facts(outlook, best_evidence(outlook, postings)), years, ["profile_id"], ["body_hi"], how="left", counted=outlook.select("profile_id"))
+    facts = balanced_join(body_facts(outlook, best_evidence(outlook, postings)), years, ["profile_id"], ["body_hi"], how="left", counted=bodies.select("profile_id"))
     decided = facts.withColumn("rule", match_rules())
     rule = F.col("rule")
     explanation, action = match_texts(rule)

@@ -149,7 +149,8 @@ def a03(t: Tables):
 select sha256(requirement) as requirement_hash, evidence_id, rk as rank from ranked where rk <= 3""")
 def w2(t: Tables):
     bodies, terms, evidence = _inputs(t)
-    outlook = materialize(X.requirement_outlook(terms, X.term_summaries(evidence)), "match-outlook")
+    evidence = materialize(evidence, "match-evidence")
+    outlook = materialize(X.requirement_outlook(bodies, X.term_summaries(evidence)), "match-outlook")
     return X.best_evidence(outlook, evidence).join(bodies.select(*X.BODY, "requirement"), X.BODY).select(
         F.sha2("requirement", 256).alias("requirement_hash"), "evidence_id", "rank"
     )

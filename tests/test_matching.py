@@ -197,7 +197,7 @@ def test_best_evidence_equals_the_ranked_pair_table(spark):
     for body, found in by_body.items():
         found.sort(key=lambda r: (not r["relevant"], -(r["evidence_code"] // 100), -r["overlap"], r["evidence_id"]))
         want[body] = [(r["evidence_id"], r["overlap"], r["relevant"]) for r in found[:3]]
-    outlook = matching.requirement_outlook(terms, matching.term_summaries(rows))
+    outlook = matching.requirement_outlook(bodies, matching.term_summaries(rows))
     best = matching.best_evidence(outlook, rows)
     got = {}
     for r in sorted(best.collect(), key=lambda r: r["rank"]):
