@@ -11,7 +11,8 @@ What is beside the chosen container stays out: links and labels of up to three w
 its host's winning path is taken; a page without such an element, or with empty ones only, uses its own best path.
 
 Boilerplate is what contracts call menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments: by element, or by a word of the class or id.  Blocks are trimmed, white space
+styles and reader comments: by element, or by a class token or id made of such words.  An element that holds the
+page's main element, all its articles or nearly all its text is none (``spared``).  Blocks are trimmed, white space
 inside them becomes one space, and they are joined by line feeds in page order.
 
 The winning paths, one short row per host, are broadcast only while there are at most ``BROADCAST_HOSTS``
@@ -22,6 +23,7 @@ Defined cases
 * null or empty html gives an empty text; null urls share one (empty) host
 * text outside any container belongs to the root, whose path is empty
 * ties between paths: the one that sorts first; repeated rows give one result row each
+* very long texts: time and memory grow with the page, one pass to find spared elements and one to read
 * a raw element (``svg``, ``iframe``, ...) without an end is its tag alone; ``script`` and ``style`` reach to the end
 * an empty table gives an empty result; extra columns are ignored
 """
@@ -48,9 +50,9 @@ TAG = re.compile(r"<(?:!--|(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attr
 # elements whose content is no markup, or none that is shown
 RAW = {
     tag: re.compile(rf"<(?P<close>/?){tag}(?![\w:-])[^>]*?(?P<empty>/?)>", re.IGNORECASE)
-    for tag in ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "select", "object")
+    for tag in ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select", "object")
 }
-SELF_CLOSING = frozenset(("svg", "math"))
+SELF_CLOSING = frozenset(("svg",))
 TO_THE_END = frozenset(("script", "style"))
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 QUOTE = re.compile("[\"']")
@@ -71,7 +73,13 @@ BOILERPLATE = frozenset((
     "social", "related", "recommended", "comment", "comments", "disqus", "respond", "pagination", "toolbar",
 ))
 ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "form"))
-READERS = frozenset(("comment", "comments"))
+# what may stand beside those words in one class token: "related-posts" speaks of related, "social-history" of history
+COMPANIONS = frozenset((
+    "posts", "articles", "stories", "box", "bar", "list", "links", "link", "item", "items", "block", "widget", "widgets",
+    "inner", "slot", "unit", "thread", "section", "area", "top", "bottom", "left", "right", "main", "site", "global", "",
+))
+NEVER_WRAPS = frozenset(("head", "nav", "footer", "aside", "button", "menu", "dialog"))  # elements that are boilerplate whatever they hold
+READERS = frozenset(("comment", "comments", "disqus", "respond"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 # elements whose class speaks about the page, not about themselves
 WHOLE = frozenset(("html", "body", "main", "article"))
@@ -139,6 +147,81 @@ def open_quote(attrs: str) -> str:
     return quote
 
 
+def kind(tag: str, attrs: str) -> tuple[str, bool, bool]:
+    """(class value, whether the element looks like boilerplate, whether like reader comments), all by its tag alone."""
+    classes, tokens_of, role = "", [], False
+    for name, *values in ATTRIBUTE.findall(attrs) if attrs else ():
+        value = next((v for v in values if v), "").lower()
+        if name.lower() == "role":
+            role = value in ROLES
+        else:
+            tokens_of += value.split()
+            classes = value if name.lower() == "class" else classes
+    words = [parts for parts in map(set, map(PARTS.split, tokens_of)) if parts <= BOILERPLATE | COMPANIONS]
+    readers = any(parts & READERS for parts in words)
+    if tag in WHOLE:
+        return classes, tag == "article" and readers, readers
+    return classes, tag in DROPPED or role or any(parts & BOILERPLATE for parts in words), readers
+
+
+def spared(html: str) -> frozenset[int]:
+    """Numbers of the opening tags that look like boilerplate and yet hold the page's text.
+
+    Such an element holds the page's main element or all its articles, or, on a page without these, more
+    than three quarters of the text outside links.  So does a header in an article that has a heading or a
+    paragraph.  Reader comments are never among them, however long.
+    """
+    # open elements: tag, number (-1: not in question), and the counts when they were opened
+    stack: list[tuple[str, int, tuple[int, int, int, int]]] = [("", -1, (0, 0, 0, 0))]
+    opened: dict[str, int] = {}
+    held: dict[int, tuple[int, int, int]] = {}
+    keep: set[int] = set()
+    mains = articles = prose = headings = link = 0
+
+    def pop() -> None:
+        tag, number, before = stack.pop()
+        opened[tag] -= 1
+        if number >= 0:
+            held[number] = (mains - before[0], articles - before[1], prose - before[2])
+            if tag == "header" and opened.get("article") and headings > before[3]:
+                keep.add(number)
+
+    number = -1
+    for text, tag, closes, attrs in tokens(html):
+        if not link:
+            prose += len(text.strip())
+        if not tag:
+            continue
+        if closes:
+            link = 0 if tag == "a" else link
+            if opened.get(tag):
+                while stack[-1][0] != tag:
+                    pop()
+                pop()
+            continue
+        number += 1
+        if tag in BLOCKS:
+            while stack[-1][0] == "p" or stack[-1][0] == "li" == tag:
+                pop()
+        if tag in VOID:
+            continue
+        link = 1 if tag == "a" else link
+        _, dropped, readers = kind(tag, attrs)
+        before = (mains, articles, prose, headings)
+        mains += tag == "main"
+        articles += tag == "article" and not dropped
+        headings += tag == "p" or tag in HEADINGS
+        if dropped or tag in CONTAINERS or opened.get(tag):
+            stack.append((tag, -1 if readers or not dropped or tag in NEVER_WRAPS else number, before))
+            opened[tag] = opened.get(tag, 0) + 1
+    while len(stack) > 1:
+        pop()
+    for n, (m, a, p) in held.items():
+        if m == mains if mains else a == articles if articles else 4 * p > 3 * prose:
+            keep.add(n)
+    return frozenset(keep)
+
+
 class Page:
     """One pass over a page.  ``wanted`` is a path to extract, or None to score all containers."""
 
@@ -162,6 +245,8 @@ class Page:
         # open containers on the way up from the best one: place in the stack, blocks before it, text outside links
         self._ways: list[list] = []
         self._open: dict[str, int] = {}
+        self._spared = spared(html)
+        self._number = -1  # of the opening tag
         for text, tag, closes, attrs in tokens(html):
             if text:
                 self._text(text)
@@ -198,6 +283,7 @@ class Page:
         self._link_chars = 0
 
     def _start(self, tag: str, attrs: str) -> None:
+        self._number += 1
         if tag == "br":
             self._text("\n")
         if tag in BLOCKS:
@@ -209,16 +295,8 @@ class Page:
             return
         if tag == "a":
             self._in_link = 1
-        classes, words, role = "", [], False
-        for name, *values in ATTRIBUTE.findall(attrs) if attrs else ():
-            value = next((v for v in values if v), "").lower()
-            if name.lower() == "role":
-                role = value in ROLES
-            else:
-                words += PARTS.split(value)
-                classes = value if name.lower() == "class" else classes
-        dropped = tag in DROPPED or tag not in WHOLE and (role or not BOILERPLATE.isdisjoint(words))
-        dropped = dropped or tag == "article" and not READERS.isdisjoint(words)
+        classes, dropped, _ = kind(tag, attrs)
+        dropped = dropped and self._number not in self._spared
         container = tag in CONTAINERS and not dropped
         if not (dropped or container or self._open.get(tag)):
             return

@@ -122,7 +122,7 @@ def test_page_with_an_empty_element_on_the_winning_path(spark, empty):
 @pytest.mark.parametrize(
     ("body", "text"),
     [
-        ("a<svg/>b<p>c<svg><text>no</text></svg>d", "ab\ncd"), ("a<math />b<p>c", "ab\nc"), ("a<iframe src=x>b<p>c", "ab\nc"),
+        ("a<svg/>b<p>c<svg><text>no</text></svg>d", "ab\ncd"), ("a<math />b<p>c", "ab\nc"), ("a<math><mi>x</mi></math>b", "axb"), ("a<iframe src=x>b<p>c", "ab\nc"),
         ("a<object>b<p>c<object>no</object>d", "ab\ncd"), ("a<svg><svg><text>no</text></svg><text>no</text></svg>b", "ab"),
         ("a<noscript>b<p>c", "ab\nc"), ("a<style>no<p>no", "a"), ("a<svg-icon>b</svg-icon><svg>no</svg>c", "abc"),
     ],
@@ -166,3 +166,40 @@ def test_deep_and_unclosed(tag):
 @pytest.mark.parametrize("tag", ["div", "td", "section"])
 def test_deep_pages_take_their_own_path_in_linear_time(tag):
     assert main_text(f"<{tag}>x" * 50_000, None).count("x") == 50_000
+
+
+STORY = f"<h1>Title</h1><p>{LONG}</p>"
+TOLD = f"Title\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize("word", sorted(html_extract.BOILERPLATE - html_extract.READERS))
+def test_boilerplate_words_on_an_ancestor(word):
+    for around in (word, f"has-{word}", f"page-{word}-wrapper"):
+        for inner in (f"<article>{STORY}</article>", f"<main>{STORY}</main>", f"<div class=text>{STORY}</div>"):
+            page = f'<html><body><nav><a href=x>go</a></nav><div class="{around}">{inner}</div><footer>end</footer></body></html>'
+            assert own(page) == TOLD, (around, inner)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<div class="layout has-sidebar"><article>{STORY}</article></div>',
+        f'<div id="page-header-wrapper"><main>{STORY}</main></div>',
+        f"<form action=x><input name=state><div class=head><a href=x>go</a></div><article>{STORY}</article></form>",
+        f"<form action=x><input name=state><div class=text>{STORY}</div></form>",
+        f'<article>{STORY}</article><aside><article class="teaser"><p>Other story</p></article></aside>',
+        f'<main>{STORY}</main><div class="related"><article><p>{LONG} {LONG}</p></article></div>',
+        f'<article>{STORY}</article><section class="comments"><p>{LONG} {LONG} {LONG}</p></section>',
+        f'<article>{STORY}<div class="comment-list"><article class="comment"><p>{LONG}</p></article></div></article>',
+        f"<header><h1>Site</h1><a href=x>go</a></header><article>{STORY}</article>",
+        f"<article><header><h1>Title</h1><nav>go</nav></header><p>{LONG}</p></article>",
+    ],
+)
+def test_wrappers_keep_and_boilerplate_goes(page):
+    assert own(f"<html><body>{page}</body></html>") == TOLD
+
+
+def test_words_that_only_begin_like_boilerplate():
+    page = f'<article><div class="social-history"><p>One.</p></div><p class="menu-description">Two.</p><p>{LONG}</p></article>'
+    assert own(page) == f"One.\nTwo.\n{LONG.strip()}"
+    assert own(f"<article><header><h1>Title</h1><p>Lead.</p></header><p>{LONG}</p></article>") == f"Title\nLead.\n{LONG.strip()}"
