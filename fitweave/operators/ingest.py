@@ -7,14 +7,18 @@ meets the import as a single row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fitweave import vocab
 from fitweave.functions import text as T
+from fitweave.operators.graphs import components
 from fitweave.operators.ranking import keep_one
 from fitweave.operators.skew import balanced_join
-from fitweave.session import ensure_checkpoint_dir, materialize
+from fitweave.session import materialize
 
 FILL_FIELDS = ["company", "source_portal", "location", "work_model", "employment_type",
                "contract_term", "language"]
@@ -41,42 +45,82 @@ def find_duplicates(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     )
 
 
-def batch_leaders(incoming: DataFrame) -> DataFrame:
+# rounds before what is left is folded component by component
+LEADER_ROUNDS = 3
+
+
+def batch_leaders(incoming: DataFrame, rounds: int = LEADER_ROUNDS) -> DataFrame:
     """Imports of one batch that are new when the batch is processed in import order.
 
     An import is a duplicate only of an earlier import that was itself inserted.  Of imports that agree
-    in both keys only the first can be new, so the others go before the rounds.  Every round settles
-    the imports that come first under both of their keys, the smallest open one at least, and drops
-    what they cover; lineage is cut by a reliable checkpoint between rounds.
+    in both keys only the first can be new, so the others go first.  Every round settles the imports that
+    come first under both of their keys and drops what they cover, which empties groups that share a
+    key, however large.  Chains (hash, URL, hash, ...) would take a round per link: what is left after
+    ``rounds`` rounds is labelled by connected components and folded in order inside each.
     """
-    ensure_checkpoint_dir(incoming.sparkSession)
     keys = incoming.select("import_id", "content_hash", F.nullif("source_url", F.lit("")).alias("source_url"))
-    open_rows = keys.groupBy("content_hash", "source_url").agg(F.min("import_id").alias("import_id")).checkpoint()
-    leaders = None
-    while True:
+    open_rows = materialize(keys.groupBy("content_hash", "source_url").agg(F.min("import_id").alias("import_id")), "leader-open")
+    leaders = []
+    for _ in range(rounds):
         hash_first = open_rows.groupBy("content_hash").agg(F.min("import_id").alias("_by_hash"))
-        url_first = open_rows.where("source_url is not null").groupBy("source_url").agg(
-            F.min("import_id").alias("_by_url")
-        )
-        settled = (
-            balanced_join(
-                balanced_join(open_rows, hash_first, ["content_hash"], ["import_id"]),
-                url_first, ["source_url"], ["import_id"], how="left", counted=open_rows.select("source_url"),
-            )
-            .where(
-                (F.col("import_id") == F.col("_by_hash"))
-                & (F.col("import_id") == F.coalesce("_by_url", "import_id"))
-            )
-            .select("import_id", "content_hash", "source_url")
-        ).checkpoint()
-        leaders = settled if leaders is None else leaders.unionByName(settled)
-        open_rows = (
-            open_rows.join(settled.select("content_hash"), "content_hash", "left_anti")
-            .join(settled.where("source_url is not null").select("source_url").distinct(), "source_url", "left_anti")
-            .checkpoint()
+        url_first = open_rows.where("source_url is not null").groupBy("source_url").agg(F.min("import_id").alias("_by_url"))
+        first = balanced_join(
+            balanced_join(open_rows, hash_first, ["content_hash"], ["import_id"]),
+            url_first, ["source_url"], ["import_id"], how="left", counted=open_rows.select("source_url"),
+        ).where((F.col("import_id") == F.col("_by_hash")) & (F.col("import_id") == F.coalesce("_by_url", "import_id")))
+        settled = materialize(first.select("import_id", "content_hash", "source_url"), "leader-settled")
+        leaders.append(settled)
+        left = open_rows.join(settled.select("content_hash"), "content_hash", "left_anti").join(
+            settled.where("source_url is not null").select("source_url").distinct(), "source_url", "left_anti"
         )
+        open_rows = materialize(left.select("import_id", "content_hash", "source_url"), "leader-open")
         if open_rows.isEmpty():
-            return leaders
+            break
+    else:
+        leaders.append(fold_leaders(open_rows))
+    return _union(leaders)
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    whole = frames[0]
+    for other in frames[1:]:
+        whole = whole.unionByName(other)
+    return whole
+
+
+def fold_leaders(rows: DataFrame) -> DataFrame:
+    """Leaders among ``rows`` (import_id, content_hash, source_url) by one ordered pass over each component.
+
+    Components link the keys that rows share.  A task streams through its components in import order and
+    holds the keys of one component's leaders at a time.
+    """
+    # labels of two keys may collide; then two components are folded together, with the same outcome
+    ends = rows.withColumn("a", F.xxhash64(F.lit("hash"), "content_hash")).withColumn(
+        "b", F.when(F.col("source_url").isNotNull(), F.xxhash64(F.lit("url"), "source_url"))
+    )
+    labels = components(ends.where("b is not null").select("a", "b"))
+    labelled = ends.join(labels.withColumnRenamed("node", "a"), "a", "left").select(
+        F.coalesce("root", "a").alias("component"), *rows.columns
+    )
+    ordered = labelled.repartition("component").sortWithinPartitions("component", "import_id")
+    kept = rows.columns
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, hashes, urls = None, set(), set()
+        for batch in batches:
+            keep = []
+            names = ("component", "content_hash", "source_url")
+            for component, content_hash, url in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
+                if component != current:
+                    current, hashes, urls = component, set(), set()
+                new = content_hash not in hashes and (url is None or url not in urls)
+                if new:
+                    hashes.add(content_hash)
+                    urls.add(url)
+                keep.append(new)
+            yield batch.select(kept).filter(pa.array(keep, pa.bool_()))
+
+    return ordered.mapInArrow(fold, rows.schema)
 
 
 def resolve_companies(names: DataFrame, companies: DataFrame) -> DataFrame:
@@ -205,7 +249,7 @@ def ingest_jobs(incoming: DataFrame, stored: DataFrame) -> tuple[DataFrame, Data
     incoming = materialize(incoming, "import-batch")
     matched = incoming.join(find_duplicates(incoming, stored), "import_id", "left")
     unmatched = matched.where("existing_id is null").select("import_id", "content_hash", "source_url")
-    leaders = batch_leaders(unmatched).select("import_id", "content_hash", "source_url")
+    leaders = materialize(batch_leaders(unmatched), "import-leaders")
     new_id = T.stable_id(F.lit("job"), F.col("content_hash"), F.coalesce("source_url", F.lit("")))
     as_stored = leaders.select(
         new_id.alias("job_id"), F.col("import_id").alias("imported_at"), "content_hash", "source_url"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fitweave.session import materialize
+
 
 def keep_one(rows: DataFrame, keys: list[str], order: list[Column], *, last: bool = False) -> DataFrame:
     """The first (or last) row per key as an aggregate.
@@ -18,31 +20,26 @@ def keep_one(rows: DataFrame, keys: list[str], order: list[Column], *, last: boo
     return rows.groupBy(*keys).agg(row).select(*keys, *[F.col("_row")[c].alias(c) for c in values])
 
 
-def number_rows(
-    rows: DataFrame, keys: list[str], order: list[Column], bucket: Column, name: str
-) -> DataFrame:
+def number_rows(rows: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
     """Exact ``row_number`` over (keys, order) without putting a key into one task.
 
-    ``bucket`` must not decrease along the order.  Rows are numbered inside (keys, bucket)
-    and shifted by the size of all earlier buckets, which are counted beforehand.
+    Rows are dealt by range of keys and order; Spark takes the splitters from samples of all tasks,
+    so a hot key, or a hot stretch of one, is cut into as many ranges as its share asks for.  The sorted
+    rows are written once with their place in their task, and shifted by the sizes of the tasks before.
+    Null keys are a group of their own.
     """
-    marked = rows.withColumn("_bucket", bucket)
-    sizes = marked.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = sizes.select(
-        *keys, "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
-    )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    return (
-        marked.withColumn("_number", F.row_number().over(inside))
-        .join(offsets, [*keys, "_bucket"])
-        .withColumn(name, (F.col("_number") + F.col("_offset")).cast("long"))
-        .drop("_bucket", "_number", "_offset")
+    by = [*map(F.col, keys), *order]
+    placed = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_row", F.monotonically_increasing_id())
+    placed = materialize(placed.withColumn("_task", F.shiftright("_row", 33)), "numbered")
+    parts = placed.groupBy(*keys, "_task").agg(F.count(F.lit(1)).alias("_size"), F.min("_row").alias("_first"))
+    # one row per key and task: a key has at most as many as there were tasks
+    before = Window.partitionBy(*keys).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = parts.select(
+        *[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_task").alias("_part"),
+        (F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
     )
-
-
-def running_days(value: Column) -> Column:
-    """Day number of a timestamp: a bucket that splits a long history."""
-    return F.datediff(value.cast("date"), F.lit("1970-01-01").cast("date"))
+    same = placed["_task"] == shifts["_part"]
+    for k in keys:
+        same &= placed[k].eqNullSafe(shifts[f"_key_{k}"])
+    number = (F.col("_row") + F.col("_shift") + 1).cast("long").alias(name)
+    return placed.join(shifts, same).select(*rows.columns, number)

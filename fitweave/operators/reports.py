@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fitweave.operators import scoring
+from fitweave.operators.ranking import number_rows
 
 
 def matching_context(pairs: DataFrame, jobs: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -101,8 +102,27 @@ def cascade_delete(deleted: DataFrame, children: dict[str, DataFrame], key: str
     return {name: rows.join(ids, key, "left_anti") for name, rows in children.items()}
 
 
+CHUNK = 1000
+
+
+def detail_chunks(children: DataFrame, order: list[str], size: int = CHUNK) -> DataFrame:
+    """Children of every job in numbered chunks of at most ``size``, however many a job has.
+
+    Columns: job_id, chunk (from 0), first (number of the chunk's first child, from 1) and ``items`` by ``order``.
+    """
+    numbered = number_rows(children, ["job_id"], [F.col(c) for c in order], "_number")
+    items = F.sort_array(F.collect_list(F.struct("_number", *order)))
+    chunks = numbered.groupBy("job_id", F.floor((F.col("_number") - 1) / size).alias("chunk")).agg(
+        F.min("_number").alias("first"), items.alias("items")
+    )
+    return chunks.withColumn("items", F.transform("items", lambda i: F.struct(*[i[c].alias(c) for c in order])))
+
+
 def job_detail(jobs: DataFrame, companies: DataFrame, requirements: DataFrame, activities: DataFrame) -> DataFrame:
-    """One row per job with ordered children (M3).  Children are capped per job by extraction."""
+    """One row per job with all its children in order (M3).
+
+    For jobs whose children fit into one row; ``detail_chunks`` has them in rows of bounded size.
+    """
     reqs = requirements.groupBy("job_id").agg(
         F.array_sort(F.collect_list(F.struct("category", "priority", "requirement"))).alias("requirements")
     )

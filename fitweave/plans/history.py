@@ -151,7 +151,7 @@ select user_id as entity_id, event_id, event_type as action,
 def w8(t: Tables):
     return ranking.number_rows(
         t.events.select(F.col("user_id").alias("entity_id"), "event_id", F.col("event_type").alias("action"), "ts"),
-        ["entity_id"], [F.col("ts"), F.col("event_id")], ranking.running_days(F.col("ts")), "revision",
+        ["entity_id"], [F.col("ts"), F.col("event_id")], "revision",
     ).drop("ts")
 
 

@@ -380,11 +380,12 @@ def s06(t: Tables):
 
     folder = scratch_path(t.spark, "jobs")
     jobs = X.with_structure(B.ads(t).select("job_id", "content"))
-    tables.write_jobs(jobs, folder)
+    for part in (0, 1):
+        tables.write_jobs(jobs.where(F.pmod(F.xxhash64("job_id"), F.lit(2)) == part), folder, part)
     parts = [("requirement", "job_requirements", "requirement"), ("activity", "job_activities", "activity"),
              ("benefit", "job_benefits", "benefit")]
     frames = [
-        tables.read_table(t.spark, folder, name).select(
+        tables.read_batches(t.spark, folder, name).select(
             F.lit(kind).alias("child"), "job_id", "position", F.col(column).alias("text"))
         for kind, name, column in parts
     ]

@@ -555,7 +555,7 @@ def a17(t: Tables):
     labels = t.labels.select("doc_id")
     stored = docs.join(labels, "doc_id", "left_semi").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("latest"))
     fresh = docs.join(labels, "doc_id", "left_anti")
-    numbered = ranking.number_rows(fresh, ["source", "lang"], [F.col("doc_id")], F.floor(F.col("doc_id") / 1000), "n")
+    numbered = ranking.number_rows(fresh, ["source", "lang"], [F.col("doc_id")], "n")
     return numbered.join(stored, ["source", "lang"], "left").select(
         "doc_id", (F.coalesce("latest", F.lit(0)) + F.col("n")).alias("version")
     )

@@ -200,6 +200,17 @@ def m3(t: Tables):
     )
 
 
+@query("m3_detail_chunks", """
+select l_suppkey as job_id, n // 100 as chunk, min(n) + 1 as first, string_agg(concat(l_orderkey, ':', l_linenumber), ',' order by n) as items
+from (select l_suppkey, l_orderkey, l_linenumber, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber) - 1 as n from lineitem)
+group by 1, 2""")
+def m3_chunks(t: Tables):
+    children = t.lineitem.select(F.col("l_suppkey").alias("job_id"), "l_orderkey", "l_linenumber")
+    chunks = R.detail_chunks(children, ["l_orderkey", "l_linenumber"], size=100)
+    shown = F.transform("items", lambda i: F.concat_ws(":", i["l_orderkey"], i["l_linenumber"]))
+    return chunks.select("job_id", "chunk", "first", F.array_join(shown, ",").alias("items"))
+
+
 @query("m4_job_list", f"""with {JOBS}
 select job_id, coalesce(title, 'Unbenannte Stelle') as title, company, {B.shown_sql('imported_at')} as imported_at,
   job_id in (select job_id from matched) as has_matching from named where archived_at is null order by named.imported_at desc, job_id desc""")

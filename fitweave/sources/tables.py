@@ -8,18 +8,37 @@ from pyspark.sql import functions as F
 from fitweave.operators import structure
 
 
-def write_jobs(jobs: DataFrame, folder: str, mode: str = "append") -> None:
-    """Job rows and their ordered children.
+COMMITS = "commits"
 
-    ``jobs`` carries the structure arrays.  They are written once and the child tables are
-    exploded from the written rows, so the extraction runs a single time and a lost
-    executor never repeats it.
+
+def write_jobs(jobs: DataFrame, folder: str, batch_id: int) -> None:
+    """One batch of job rows and their ordered children.
+
+    ``jobs`` carries the structure arrays.  They are written once and the child tables are exploded from the
+    written part, so the extraction runs a single time and a lost executor never repeats it.  Every table
+    gets a part of its own for the batch; other batches are neither read nor written.  The marker
+    comes last: a batch without one is not there for readers, and writing it again replaces its parts.
+    """
+    spark = jobs.sparkSession
+    _write_part(jobs, f"{folder}/jobs", batch_id)
+    stored = spark.read.parquet(f"{folder}/jobs/batch={batch_id}")
+    _write_part(structure.requirement_rows(stored), f"{folder}/job_requirements", batch_id)
+    _write_part(structure.activity_rows(stored), f"{folder}/job_activities", batch_id)
+    _write_part(structure.benefit_rows(stored), f"{folder}/job_benefits", batch_id)
+    _write_part(spark.range(1).select(F.current_timestamp().alias("committed_at")), f"{folder}/{COMMITS}", batch_id)
+
+
+def _write_part(rows: DataFrame, path: str, batch_id: int) -> None:
+    rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def read_batches(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of the sink, of committed batches only, with the ``batch`` of each row.
+
+    The markers are one row per batch; they prune the parts of the table before it is read.
     """
-    jobs.write.mode(mode).parquet(f"{folder}/jobs")
-    stored = jobs.sparkSession.read.parquet(f"{folder}/jobs")
-    structure.requirement_rows(stored).write.mode("overwrite").parquet(f"{folder}/job_requirements")
-    structure.activity_rows(stored).write.mode("overwrite").parquet(f"{folder}/job_activities")
-    structure.benefit_rows(stored).write.mode("overwrite").parquet(f"{folder}/job_benefits")
+    committed = spark.read.parquet(f"{folder}/{COMMITS}").select("batch")
+    return spark.read.parquet(f"{folder}/{name}").join(F.broadcast(committed), "batch", "left_semi")
 
 
 def write_matches(matches: DataFrame, folder: str, buckets: int = 64) -> None:

@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from fitweave.functions import dates
 from fitweave.functions import text as T
-from fitweave.operators import cv, history, ingest, quality, ranking, reviews, skew
+from fitweave.operators import cv, graphs, history, ingest, quality, ranking, reports, reviews, skew
 from fitweave.operators.skew import balanced_join
 from fitweave.plans import bindings as B
 from fitweave.plans.registry import Tables
 from fitweave.sources import tables
 from fitweave.streaming import applications as stream
+from fitweave.session import materialize
 from fitweave.streaming import ingest as ingest_stream
 
 
@@ -45,7 +46,7 @@ def test_hot_keys_are_few_and_cut_below_the_share(spark):
 def test_numbering_and_keep_one_equal_windows(spark):
     rows = spark.range(2000).select(
         F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 20).alias("k"), (F.col("id") * 7919 % 2003).alias("o"))
-    ours = ranking.number_rows(rows, ["k"], [F.col("o")], F.floor(F.col("o") / 100), "n")
+    ours = ranking.number_rows(rows, ["k"], [F.col("o")], "n")
     window = Window.partitionBy("k").orderBy("o")
     plain = rows.withColumn("n", F.row_number().over(window).cast("long"))
     assert sorted(ours.select("k", "o", "n").collect()) == sorted(plain.select("k", "o", "n").collect())
@@ -53,6 +54,57 @@ def test_numbering_and_keep_one_equal_windows(spark):
     assert sorted(first.collect()) == sorted(plain.where("n = 1").select("k", "o").collect())
 
 
+def test_numbering_of_one_hot_key_stays_spread(spark, monkeypatch):
+    """Nine tenths of the rows in one group, in one short stretch of its order."""
+    rows = spark.range(20_000).select(
+        F.when(F.col("id") % 10 > 0, "hot").when(F.col("id") % 20 == 0, F.lit(None)).otherwise("cold").alias("k"), (F.col("id") * 7919 % 20_011).alias("o"))
+    written = []
+    ours = ranking.number_rows(rows.repartition(8), ["k"], [F.col("o")], "n")
+    plain = rows.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("o")).cast("long"))
+    assert sorted(map(tuple, ours.collect()), key=repr) == sorted(map(tuple, plain.select("k", "o", "n").collect()), key=repr)
+    monkeypatch.setattr(ranking, "materialize", lambda frame, name: written.append(materialize(frame, name)) or written[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # these rows would fit into one task
+    try:
+        ranking.number_rows(rows.repartition(8), ["k"], [F.col("o")], "n")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    sizes = [r["count"] for r in written[0].groupBy("_task").count().collect()]
+    assert len(sizes) >= 4 and max(sizes) < 20_000 / 2
+
+
+def test_chunks_of_very_many_children(spark):
+    children = spark.range(30_000).select(F.when(F.col("id") < 29_000, "big").otherwise("small").alias("job_id"), (F.col("id") * 7919 % 30_011).alias("place"))
+    chunks = reports.detail_chunks(children, ["place"], size=500).collect()
+    assert max(len(r["items"]) for r in chunks) == 500 and len(chunks) == 58 + 2
+    big = [i["place"] for r in sorted(chunks, key=lambda r: r["chunk"]) if r["job_id"] == "big" for i in r["items"]]
+    assert big == sorted(big) and len(big) == 29_000
+    assert all(r["first"] == 500 * r["chunk"] + 1 for r in chunks)
+
+
+def test_batches_of_the_job_sink(spark, tmp_path):
+    """Two batches, one that failed before its marker, and a replay."""
+    from fitweave.operators import structure
+
+    def jobs(*names):
+        rows = [(n, "## Aufgaben\n- Taue spleißen\n- Segel nähen\n## Profil\n- Erfahrung mit Hanf\n") for n in names]
+        return structure.with_structure(spark.createDataFrame(rows, "job_id string, content string"))
+
+    def seen(name):
+        return sorted(r["job_id"] for r in tables.read_batches(spark, folder, name).select("job_id").distinct().collect())
+
+    folder = str(tmp_path)
+    tables.write_jobs(jobs("a", "b"), folder, 0)
+    per_job = tables.read_batches(spark, folder, "job_activities").count() // 2
+    tables.write_jobs(jobs("c"), folder, 1)
+    tables._write_part(jobs("lost"), f"{folder}/jobs", 2)  # no children, no marker
+    for name in ("jobs", "job_activities"):
+        assert seen(name) == ["a", "b", "c"]
+    for _ in range(2):
+        tables.write_jobs(jobs("d"), folder, 2)
+    assert seen("jobs") == seen("job_activities") == ["a", "b", "c", "d"]
+    assert tables.read_batches(spark, folder, "job_activities").count() == 4 * per_job > 0
+
+
 EVENT = ("event_id int, application_id int, event_type string, status string, occurred_at timestamp_ntz, created_at timestamp_ntz, "
          "channel string, portal_name string, note string")
 
@@ -117,6 +169,39 @@ def test_batch_leaders_equal_sequential_import(spark):
     assert sorted(r["import_id"] for r in ingest.batch_leaders(frame).collect()) == expected
 
 
+def _sequential(rows):
+    hashes, addresses, kept = set(), set(), []
+    for i, h, u in sorted(rows):
+        if h not in hashes and not (u and u in addresses):
+            kept.append(i)
+            hashes.add(h)
+            addresses.add(u)
+    return kept
+
+
+def test_leaders_of_long_chains(spark, monkeypatch):
+    """Import n shares its hash with one neighbour and its URL with the other, in order and shuffled."""
+    written = []
+    monkeypatch.setattr(graphs, "materialize", lambda frame, name: written.append(name) or materialize(frame, name))
+    chain = [(n, f"h{n // 2}", f"u{(n + 1) // 2}") for n in range(10_000)]
+    places = list(range(10_000))
+    random.Random(1).shuffle(places)
+    shuffled = [(20_000 + places[n], f"x{n // 2}", f"y{(n + 1) // 2}") for n in range(10_000)]
+    frame = spark.createDataFrame(chain + shuffled, "import_id int, content_hash string, source_url string")
+    found = sorted(r["import_id"] for r in ingest.batch_leaders(frame).collect())
+    assert found == _sequential(chain + shuffled)
+    assert written.count("graph-pointers") + ingest.LEADER_ROUNDS <= 20
+
+
+def test_leaders_by_components_alone(spark):
+    rng = random.Random(7)
+    rows = [(i, f"h{rng.randrange(60)}" if i % 3 else "hot", rng.choice([None, "", *[f"u{j}" for j in range(90)]])) for i in range(400)]
+    frame = spark.createDataFrame(rows, "import_id int, content_hash string, source_url string")
+    for rounds in (0, 1):
+        assert sorted(r["import_id"] for r in ingest.batch_leaders(frame, rounds=rounds).collect()) == _sequential(rows)
+    assert ingest.batch_leaders(frame.limit(0)).collect() == []
+
+
 def test_stream_state_equals_batch_state(spark, sf):
     t = Tables(spark, sf)
     events = B.application_events(t)
