@@ -7,6 +7,13 @@ fingerprint; segments that differ in at most that bit share the signature.  Sign
 equality join whose condition verifies the distance and keeps a pair only under its first signature,
 so a link comes out once however many signatures it shares.
 
+Bits alone miss pairs whose shingle sets are alike: sets with a Jaccard similarity of 0.8 differ in about 9 bits.
+``near_dedup`` therefore links fingerprints of texts that share at least 0.8 of their five-word shingles as well.
+Candidates share one of the ``KEYS`` smallest shingle hashes of a text.  All pairs of up to ``GROUP`` sets with such a
+hash are candidates; larger groups are keyed by two neighbouring hashes of the sketch, and each of their sets
+meets the first one of its group.  Pairs that bits have linked are left out, pairs whose sketches or
+sizes rule the similarity out too, and the others are verified on their whole texts.
+
 Documents with the same fingerprint collapse before the index, so copies cost nothing, and documents
 meet their group again in ``spread_join``.
 
@@ -16,6 +23,7 @@ Defined cases
 * repeated rows share their fingerprint and get one result row each
 * null ``doc_id``: the row gets the class of its fingerprint; ids that are null never name a class
   unless no other id exists (then the class is null)
+* very long texts are hashed in blocks of words; their distinct shingles take 8 bytes each
 * an empty table gives an empty result; extra columns are ignored
 """
 
@@ -36,6 +44,10 @@ from fitweave.llm.common import materialize, spread_join, without_ids
 SHINGLE = 4
 DISTANCE = 4
 BLOCK_BYTES = 1 << 19
+# of ``near_dedup``
+TEXT_SHINGLE, SIMILARITY = 5, 0.8
+SKETCH, KEYS = 24, 12  # smallest shingle hashes that are kept, and those of them that bring sets together
+GROUP = 32
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -157,11 +169,113 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_classes(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp, component_id and n_links, the number of other fingerprints that it links to."""
+def shingle_set(text: str | None, shingle: int = TEXT_SHINGLE) -> np.ndarray:
+    """Distinct hashes of the word shingles of a text, in order; of the whole sequence if it is shorter."""
+    parts, carried = [], []
+    for block in word_blocks((text or "").encode().lower()):
+        words = carried + block
+        carried = words[len(words) - shingle + 1 :] if len(words) >= shingle else words
+        if len(words) >= shingle:
+            parts.append(shingle_hashes(words, shingle))
+    if not parts and carried:
+        parts.append(np.array([xxhash.xxh64_intdigest(b" ".join(carried), 42)], np.uint64))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / max(len(a) + len(b) - shared, 1)
+
+
+def sketches(docs: DataFrame, shingle: int = TEXT_SHINGLE) -> DataFrame:
+    """doc_id, n (distinct shingles), set_hash and ``low``, the smallest hashes, of every document with words."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), shingle) for t in batch.column("text")]
+            columns = [
+                batch.column("doc_id"),
+                pa.array([len(x) for x in sets], pa.int64()),
+                pa.array([xxhash.xxh64_intdigest(x.tobytes()) >> 1 for x in sets], pa.int64()),
+                pa.array([x[:SKETCH].view(np.int64) for x in sets], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "set_hash", "low"])
+
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
+    return rows.mapInArrow(compute, "doc_id long, n long, set_hash long, low array<long>").where("n > 0")
+
+
+def _pairs(keyed: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (x, y) of sets that share a key, of groups of up to ``most``; and the sets of larger groups."""
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n_key")).where("n_key > 1")
+    sized_rows = materialize(spread_join(keyed, counts.withColumn("n_sets", F.col("n_key")), "key", "n_sets"), "near-keys")
+    small = sized_rows.where(F.col("n_key") <= most).select("key", F.struct("doc_id", "fp", "n", "low").alias("x"))
+    other = small.withColumnRenamed("x", "y")
+    pairs = small.join(other, "key").where(F.col("x.doc_id") < F.col("y.doc_id")).select("x", "y")
+    return pairs, sized_rows.where(F.col("n_key") > most)
+
+
+def _to_first(keyed: DataFrame) -> DataFrame:
+    """Pairs of the first set of each key with all its other sets."""
+    row = F.struct("doc_id", "fp", "n", "low")
+    first = keyed.groupBy("key").agg(F.min_by(row, "doc_id").alias("x"), F.count(F.lit(1)).alias("n_key"))
+    met = spread_join(keyed.select("key", "doc_id", row.alias("y")), first, "key", "n_key")
+    return met.where(F.col("x.doc_id") < F.col("y.doc_id")).select("x", "y")
+
+
+def similar_links(docs: DataFrame, marked: DataFrame, distance: int, shingle: int, similarity: float) -> DataFrame:
+    """Pairs (a, b), a < b, of fingerprints more than ``distance`` bits apart whose texts have the similarity."""
+    sets = sketches(docs, shingle).join(marked.select("doc_id", "fp"), "doc_id")
+    first = F.min_by(F.struct("doc_id", "n", "low"), "doc_id").alias("s")
+    sets = materialize(sets.groupBy("fp", "set_hash").agg(first).select("fp", "s.*"), "near-sets")
+    columns = ["doc_id", "fp", "n", "low"]
+    following = F.get("low", F.col("at") + 1)
+    keyed = sets.select(*columns, F.posexplode(F.slice("low", 1, KEYS)).alias("at", "key"))
+    pairs, large = _pairs(keyed, GROUP)
+    wider = large.select(*columns, F.xxhash64("key", following).alias("key"))
+    narrow, rest = _pairs(wider, GROUP)
+    candidates = pairs.unionByName(narrow).unionByName(_to_first(rest)).unionByName(_to_first(large.select(*columns, "key")))
+
+    x, y = F.col("x"), F.col("y")
+    low = F.slice(F.sort_array(F.array_union(x["low"], y["low"])), 1, SKETCH)
+    shared = F.size(F.array_intersect(F.array_intersect(low, x["low"]), y["low"]))
+    alike = candidates.where(
+        (F.bit_count(x["fp"].bitwiseXOR(y["fp"])) > distance)
+        & (F.least(x["n"], y["n"]) >= similarity * F.greatest(x["n"], y["n"]))
+        & (2 * shared >= F.size(low))  # of hashes shared with probability 0.8, half are missing once in thousands
+    )
+    alike = materialize(alike.select(
+        x["doc_id"].alias("x_id"), y["doc_id"].alias("y_id"), x["fp"].alias("x_fp"), y["fp"].alias("y_fp")
+    ).distinct(), "near-candidates")
+    texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
+    for side in ("x", "y"):
+        ids = alike.select(F.col(f"{side}_id").alias("doc_id")).distinct()
+        found = texts.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias(f"{side}_id"), F.col("text").alias(f"{side}_text"))
+        alike = alike.join(found, f"{side}_id")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [
+                jaccard(shingle_set(a.as_py(), shingle), shingle_set(b.as_py(), shingle)) >= similarity
+                for a, b in zip(batch.column("x_text"), batch.column("y_text"), strict=True)
+            ]
+            yield batch.select(["x_fp", "y_fp"]).filter(pa.array(good, pa.bool_()))
+
+    linked = alike.select("x_fp", "y_fp", "x_text", "y_text").mapInArrow(verify, "x_fp long, y_fp long")
+    return linked.select(F.least("x_fp", "y_fp").alias("a"), F.greatest("x_fp", "y_fp").alias("b")).distinct()
+
+
+def near_classes(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+    """doc_id, fp, component_id and n_links, the number of other fingerprints that it links to.
+
+    With a ``similarity``, texts that share so much of their shingles link as well.
+    """
     marked = materialize(fingerprints(docs, shingle), "fingerprints")
     distinct = materialize(marked.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    pairs = materialize(links(distinct.select("fp"), distance), "near-pairs")
+    pairs = links(distinct.select("fp"), distance)
+    if similarity is not None:
+        pairs = pairs.unionByName(similar_links(docs, marked, distance, shingle, similarity))
+    pairs = materialize(pairs, "near-pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
     roots = components(pairs).join(ends, "fp")
     rooted = distinct.join(roots, "fp", "left").select("fp", "n", "first_id", F.coalesce("root", "fp").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -176,7 +290,7 @@ def near_classes(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHING
     return spread_join(marked, classes, "fp", "n").select("doc_id", "fp", "component_id", "n_links")
 
 
-def near_dedup(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
+def near_dedup(docs: DataFrame, distance: int = DISTANCE, shingle: int = TEXT_SHINGLE, similarity: float | None = SIMILARITY) -> DataFrame:
     """The document with the smallest id of every class, with all columns of ``docs``."""
-    found = near_classes(docs, distance, shingle)
+    found = near_classes(docs, distance, shingle, similarity)
     return without_ids(docs, found.select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("stays")))
