@@ -2,8 +2,8 @@
 
 Texts are equal when they are identical after each run of white space (U+0020, U+0009 to U+000D)
 became one space.  Groups are refined three times: by length, by a hash of the first characters, and,
-only for rows that still share both, by SHA-256 of the whole text.  A text alone in its length or prefix
-group is never hashed as a whole, and its row is taken from the group table itself.
+only for rows that still share both, by SHA-256 of the whole text.  A text alone in its length has no prefix hash
+made, one alone with its prefix is never hashed as a whole, and the rows of both are taken from the group tables.
 
 Defined cases
 * null text counts as the empty text; all empty texts are one group
@@ -11,6 +11,7 @@ Defined cases
 * ties do not occur: the smallest ``doc_id`` stays
 * repeated rows (same id and text) each get a result row; ``exact_dedup`` leaves one of them; an id that
   also stands for a different text stays with both
+* very long texts: every level holds one text at a time and moves lengths and hashes only
 * an empty table gives an empty result; extra columns are ignored by ``exact_groups`` and kept by
   ``exact_dedup``
 """
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fitweave.llm.common import BROADCAST_ROWS, blank_null, materialize, spread_join, without_ids
+from fitweave.llm.common import BROADCAST_ROWS, blank_null, materialize, sized, spread_join, without_ids
 
 PREFIX_CHARS = 256
 
@@ -29,13 +30,14 @@ def normalised(column: str = "text") -> Column:
     return F.regexp_replace(blank_null(column), r"[\x20\x09-\x0D]+", " ")
 
 
-def _keyed(docs: DataFrame, prefix: int) -> DataFrame:
-    """doc_id, the normalised text, its length, and the key of the first two levels."""
-    return (
-        docs.select("doc_id", normalised().alias("norm"))
-        .withColumn("length", F.char_length("norm"))
-        .withColumn("key", F.xxhash64("length", F.substring("norm", 1, prefix)))
-    )
+def _measured(docs: DataFrame) -> DataFrame:
+    """doc_id, the normalised text and its length, the key of the first level."""
+    return docs.select("doc_id", normalised().alias("norm")).withColumn("length", F.char_length("norm"))
+
+
+def _keyed(measured: DataFrame, prefix: int) -> DataFrame:
+    """``_measured`` with the key of the second level."""
+    return measured.withColumn("key", F.xxhash64("length", F.substring("norm", 1, prefix)))
 
 
 def exact_groups(docs: DataFrame, prefix: int = PREFIX_CHARS) -> DataFrame:
@@ -48,13 +50,13 @@ def digested_groups(docs: DataFrame, prefix: int = PREFIX_CHARS) -> DataFrame:
 
     For reports that show a digest; hashing what no copy made necessary is one more scan.
     """
-    digests = _keyed(docs, prefix).select(
-        F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.sha2("norm", 256).alias("text_sha256")
+    digests = _keyed(_measured(docs), prefix).select(
+        F.col("doc_id").alias("_id"), F.col("length").alias("_length"), F.col("key").alias("_key"), F.sha2("norm", 256).alias("text_sha256")
     ).distinct()
     rows = refined(docs, prefix)
-    same = rows["doc_id"].eqNullSafe(digests["_id"]) & (rows["key"] == digests["_key"])
-    # an id can stand for two texts that share length and prefix; then the whole hash is known
-    same &= F.coalesce(rows["full_hash"] == digests["text_sha256"], F.lit(True))
+    # an id can stand for several texts; the levels that they share are known, and so are those that part them
+    same = rows["doc_id"].eqNullSafe(digests["_id"]) & (rows["length"] == digests["_length"])
+    same &= F.coalesce(rows["key"] == digests["_key"], F.lit(True)) & F.coalesce(rows["full_hash"] == digests["text_sha256"], F.lit(True))
     return rows.join(digests, same).select("doc_id", "keep_id", "group_size", "text_sha256")
 
 
@@ -64,21 +66,32 @@ def refined(docs: DataFrame, prefix: int) -> DataFrame:
     Counts are combined before they shuffle, so a group of any size is a few rows by then.  Rows meet
     their group again in ``spread_join``, which slices groups that hold a large share of all rows.
     """
-    narrow = materialize(_keyed(docs, prefix).select("doc_id", "length", "key"), "exact-keys")
+    measured = _measured(docs)
+    none = F.lit(None)
+    by_length = materialize(
+        measured.groupBy("length").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id")), "exact-lengths"
+    )
+    columns = ["doc_id", "keep_id", "group_size", "length", "key", "full_hash"]
+    first = by_length.where("n = 1").select(
+        "doc_id", F.col("doc_id").alias("keep_id"), F.col("n").alias("group_size"), "length",
+        none.cast("long").alias("key"), none.cast("string").alias("full_hash"),
+    )
+    # prefix hashes are made of rows whose length others share; lengths are few, whatever the number of rows
+    lengths = sized(by_length.where("n > 1").select("length"))
+    narrow = _keyed(measured.join(lengths, "length", "left_semi"), prefix).select("doc_id", "length", "key")
+    narrow = materialize(narrow, "exact-keys")
     by_key = narrow.groupBy("length", "key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"))
-    lengths = by_key.groupBy("length").agg(F.sum("n").alias("n_length"))
-    by_key = materialize(by_key.join(lengths, "length"), "exact-prefixes")
-    alone = by_key.where((F.col("n_length") == 1) | (F.col("n") == 1)).select(
-        "doc_id", F.col("doc_id").alias("keep_id"), F.col("n").alias("group_size"), "key",
-        F.lit(None).cast("string").alias("full_hash"),
+    by_key = materialize(by_key, "exact-prefixes")
+    second = by_key.where("n = 1").select(
+        "doc_id", F.col("doc_id").alias("keep_id"), F.col("n").alias("group_size"), "length", "key", none.cast("string").alias("full_hash")
     )
-    shared = by_key.where((F.col("n_length") > 1) & (F.col("n") > 1)).select("key", "n")
-    full = _surviving(docs, narrow, shared, prefix).select("doc_id", "key", F.sha2("norm", 256).alias("full_hash"))
+    shared = by_key.where("n > 1").select("key", "n")
+    full = _surviving(docs, narrow, shared, prefix).select("doc_id", "length", "key", F.sha2("norm", 256).alias("full_hash"))
     full = materialize(full, "exact-full")
     groups = full.groupBy("full_hash").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("keep_id"))
     groups = groups.withColumn("group_size", F.col("n"))
-    rest = spread_join(full, groups, "full_hash", "n").select("doc_id", "keep_id", "group_size", "key", "full_hash")
-    return alone.unionByName(rest)
+    third = spread_join(full, groups, "full_hash", "n")
+    return first.unionByName(second).unionByName(third.select(*columns))
 
 
 def _surviving(docs: DataFrame, narrow: DataFrame, shared: DataFrame, prefix: int) -> DataFrame:
@@ -87,7 +100,7 @@ def _surviving(docs: DataFrame, narrow: DataFrame, shared: DataFrame, prefix: in
     While the shared keys are few enough to be sent to all tasks, rows are picked where they are read.
     Beyond that, survivors are found on narrow rows, hot keys in slices, and fetch their texts by id.
     """
-    read = _keyed(docs, prefix)
+    read = _keyed(_measured(docs), prefix)
     keys = materialize(shared.select(F.col("key").alias("_key")), "exact-shared")
     if keys.count() <= BROADCAST_ROWS:
         return read.join(F.broadcast(keys), read["key"] == keys["_key"], "left_semi")

@@ -70,3 +70,24 @@ def test_rows_that_stay(spark):
     ids = sorted((r["doc_id"] for r in kept.collect()), key=repr)
     assert ids == sorted([1, 3, 4, 6, 8, 10, 11, 12], key=repr)
     assert exact_dedup(nothing(spark)).count() == 0
+
+
+def test_levels_cut_what_the_next_one_reads(spark, monkeypatch):
+    """One row per level: alone in its length, alone with its prefix, and a pair that needs the whole hash."""
+    written = {}
+    real = exact.materialize
+    monkeypatch.setattr(exact, "materialize", lambda frame, name: written.setdefault(name, real(frame, name)))
+    docs = frame(spark, [(1, "a text of its own length"), (2, "left12345"), (3, "right1234"), (4, "same text"), (5, "same text")])
+    rows = {r["doc_id"]: r for r in exact.refined(docs, 4).collect()}
+    assert rows[1]["key"] is None and rows[1]["full_hash"] is None
+    assert rows[2]["key"] is not None and rows[2]["full_hash"] is None
+    assert rows[4]["full_hash"] == rows[5]["full_hash"] and rows[5]["keep_id"] == 4
+    assert sorted(r["doc_id"] for r in written["exact-keys"].collect()) == [2, 3, 4, 5]
+    assert sorted(r["doc_id"] for r in written["exact-full"].collect()) == [4, 5]
+
+
+def test_one_id_with_texts_that_part_at_different_levels(spark):
+    docs = frame(spark, [(1, "short"), (1, "much longer than that"), (1, "shirt"), (2, "short"), (None, "short")])
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    got = sorted(((r["doc_id"], r["text_sha256"]) for r in exact.digested_groups(docs).collect()), key=repr)
+    assert got == sorted(((i, digest(t)) for i, t in pairs(docs)), key=repr)
