@@ -2,13 +2,13 @@ from __future__ import annotations
 
 import re
 
-from rows import prose
+from rows import edges, prose
 
 import corpus_pipeline
 from fitweave.llm import crf, packing
 from fitweave.llm.common import documents, materialize
 from test_exact_dedup import expected as equal_texts
-from test_simhash import classes, plain_fingerprint
+from test_simhash import near_rule
 
 
 def test_stages():
@@ -37,7 +37,7 @@ def test_each_stage_against_brute_force(spark):
     kept = {i for i, keep, _ in equal_texts([(r["doc_id"], r["text"]) for r in before.collect()]) if i == keep}
     assert docs.columns == columns and ids(docs) == kept and docs.count() == len(kept)
     before = step("near_dedup")
-    roots = classes({r["doc_id"]: plain_fingerprint(r["text"]) for r in before.collect()})
+    roots = near_rule({r["doc_id"]: r["text"] for r in before.collect()})
     assert docs.columns == columns and ids(docs) == {i for i, root in roots.items() if i == root}
     before = step("decontamination")
     normal = lambda t: re.sub(r"[\W_]+", " ", t.lower()).strip()
@@ -52,6 +52,18 @@ def test_each_stage_against_brute_force(spark):
     assert sorted(map(tuple, whole.select(key).collect())) == sorted(map(tuple, docs.select(key).collect()))
 
 
+def test_odd_rows(spark):
+    """Nulls in every column, empty and very long texts, ties and repeated rows, through all stages."""
+    out = edges(spark)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, out = out, materialize(stage(spark, out, "/root/testdata/sf0.001"), "test-stage")
+        assert out.columns == before.columns and ids(out) <= ids(before), name
+    kept = [r["doc_id"] for r in out.collect()]
+    assert len(kept) == len(set(kept)) and not {5, 9} & set(kept)
+    packed = corpus_pipeline.STAGES[-1][1](spark, out, "/root/testdata/sf0.001")
+    assert ids(packed) == set(kept)
+
+
 def test_extra_columns_and_empty_table(spark):
     folder = "/root/testdata/sf0.001"
     docs = spark.createDataFrame([(n, prose(n, 40), "en", None, 1, 0.5, "k") for n in range(20)], "doc_id long, text string, lang string, source string, n_chars long, score double, length string")

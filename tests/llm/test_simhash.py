@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 import xxhash
@@ -126,3 +127,81 @@ def test_copies_do_not_multiply(spark):
     rows = simhash.near_classes(docs).collect()
     assert len(rows) == 4000
     assert {r["component_id"] for r in rows if r["doc_id"] % 5} == {1}
+
+
+def plain_words(text):
+    return [w for w in re.split("[ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+
+
+def plain_set(text):
+    """Five-word shingles as the rule says."""
+    words = plain_words(text)
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def alike(texts, similarity=0.8):
+    """All pairs of ids with that Jaccard similarity, by shared shingles of all pairs."""
+    sets, places, shared = {i: plain_set(t) for i, t in texts.items()}, {}, {}
+    for i in sorted(sets):
+        for s in sets[i]:
+            for other in places.setdefault(s, []):
+                shared[other, i] = shared.get((other, i), 0) + 1
+            places[s].append(i)
+    return [(a, b) for (a, b), n in shared.items() if n / (len(sets[a]) + len(sets[b]) - n) >= similarity]
+
+
+def near_rule(texts):
+    """Smallest id of each class: fingerprints of five-word shingles within 4 bits, or the similarity."""
+    label = classes({i: simhash.fingerprint(t, 5) for i, t in texts.items()})
+    edges = alike(texts)
+    while True:
+        changed = False
+        for a, b in edges:
+            low, high = sorted((label[a], label[b]))
+            if low != high:
+                label = {i: low if r == high else r for i, r in label.items()}
+                changed = True
+        if not changed:
+            return label
+
+
+def variants(groups, copies, seed):
+    """Texts in groups; copies have some words replaced, so that similarities spread around the bound."""
+    rng, rows = random.Random(seed), {}
+    passage = prose(seed, 60)  # in many texts, and no reason to link them
+    for g in range(groups):
+        words = (prose(1000 * seed + g, rng.randrange(60, 200)) + (" " + passage if g % 2 else "")).split()
+        for c in range(copies):
+            new = list(words)
+            for _ in range(rng.randrange(0, max(1, len(words) // 18)) if c else 0):
+                new[rng.randrange(len(new))] = f"edit{rng.randrange(10**6)}"
+            rows[len(rows)] = " ".join(new)
+    return rows
+
+
+@pytest.mark.parametrize("group", [simhash.GROUP, 3])
+def test_similar_texts_link(spark, monkeypatch, group):
+    monkeypatch.setattr(simhash, "GROUP", group)
+    texts = variants(25, 5, 2) | {1000: None, 1001: "", 1002: "one two", 1003: "one  two", 1004: "One two three four five six"}
+    found = simhash.near_classes(frame(spark, texts.items()), 4, 5, 0.8).collect()
+    got, want = {r["doc_id"]: r["component_id"] for r in found}, near_rule(texts)
+    linked = [(a, b) for a, b in alike(texts)]
+    assert len(linked) > 60
+    recall = sum(got[a] == got[b] for a, b in linked) / len(linked)
+    if group == simhash.GROUP and group > 3:
+        assert got == want
+    assert recall >= 0.98 and all(want[i] == want[r] for i, r in got.items())
+
+
+def test_one_large_group_of_near_copies(spark):
+    texts = variants(1, 300, 4)
+    rows = simhash.near_classes(frame(spark, texts.items()), 4, 5, 0.8).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == near_rule(texts)
+
+
+def test_shingle_sets_in_blocks(monkeypatch):
+    texts = [prose(n, 60) + "\n \t" + prose(n + 1, n) for n in range(8)] + ["", " ", "a", "a b c d e", "a b c d e f"]
+    whole = [simhash.shingle_set(t).tolist() for t in texts]
+    assert [len(x) for x in whole] == [len(plain_set(t)) for t in texts]
+    monkeypatch.setattr(simhash, "BLOCK_BYTES", 7)
+    assert [simhash.shingle_set(t).tolist() for t in texts] == whole
