@@ -130,7 +130,8 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
         part = F.shiftrightunsigned(differ, start).bitwiseAND(F.lit((1 << width) - 1))
         bit = F.when(part == 0, F.lit(start)).otherwise(F.lit(start) + F.bit_count(part - 1))
         first = F.when(F.bit_count(part) <= 1, bit).otherwise(first)
-    return index.alias("x").join(
+    # 64 rows come of each row of the file, so its size must not make this a broadcast
+    return index.alias("x").hint("merge").join(
         index.alias("y"),
         (F.col("x.bit") == F.col("y.bit")) & (F.col("x.rest") == F.col("y.rest")) & (a < b)
         & (F.bit_count(differ) <= distance) & (F.col("x.bit").cast("int") == first),
