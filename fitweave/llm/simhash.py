@@ -46,7 +46,7 @@ DISTANCE = 4
 BLOCK_BYTES = 1 << 19
 # of ``near_dedup``
 TEXT_SHINGLE, SIMILARITY = 5, 0.8
-SKETCH, KEYS = 24, 12  # smallest shingle hashes that are kept, and those of them that bring sets together
+SKETCH, KEYS = 16, 12  # smallest shingle hashes that are kept, and those of them that bring sets together
 GROUP = 32
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
@@ -231,7 +231,9 @@ def similar_links(docs: DataFrame, marked: DataFrame, distance: int, shingle: in
     sets = materialize(sets.groupBy("fp", "set_hash").agg(first).select("fp", "s.*"), "near-sets")
     columns = ["doc_id", "fp", "n", "low"]
     following = F.get("low", F.col("at") + 1)
-    keyed = sets.select(*columns, F.posexplode(F.slice("low", 1, KEYS)).alias("at", "key"))
+    # upper halves of the hashes do for the estimate, and ride with every key
+    halves = F.transform("low", lambda h: F.shiftright(h, 32).cast("int")).alias("low")
+    keyed = sets.select("doc_id", "fp", "n", halves, F.posexplode(F.slice("low", 1, KEYS)).alias("at", "key"))
     pairs, large = _pairs(keyed, GROUP)
     wider = large.select(*columns, F.xxhash64("key", following).alias("key"))
     narrow, rest = _pairs(wider, GROUP)
@@ -243,7 +245,7 @@ def similar_links(docs: DataFrame, marked: DataFrame, distance: int, shingle: in
     alike = candidates.where(
         (F.bit_count(x["fp"].bitwiseXOR(y["fp"])) > distance)
         & (F.least(x["n"], y["n"]) >= similarity * F.greatest(x["n"], y["n"]))
-        & (2 * shared >= F.size(low))  # of hashes shared with probability 0.8, half are missing once in thousands
+        & (2 * shared >= F.size(low))  # of hashes shared with probability 0.8, half are missing once in some 700
     )
     alike = materialize(alike.select(
         x["doc_id"].alias("x_id"), y["doc_id"].alias("y_id"), x["fp"].alias("x_fp"), y["fp"].alias("y_fp")
