@@ -55,12 +55,8 @@ def fold_events(events: DataFrame) -> DataFrame:
 EVENT_COLUMNS = [*ORDER, "event_type", "status", "channel", "portal_name", "note"]
 
 
-def pivotal_events(events: DataFrame) -> DataFrame:
-    """application_id and ``pivots``, the events that any pick of the fold or the creation time rests on.
-
-    The winner among the winners of two parts is the winner of both, so folding the pivots of old
-    events together with new events gives the state of all events.
-    """
+def pivot_conditions() -> tuple[list[Column], list[Column]]:
+    """Which events compete for being the first, and which for being the last of their application."""
     state = F.col("event_type").isin("created", "status_change") & _filled("status")
     applied = state & (F.col("status") == "applied")
     answered = ~F.col("status").eqNullSafe("applied")
@@ -70,6 +66,16 @@ def pivotal_events(events: DataFrame) -> DataFrame:
         applied & portal & _filled("portal_name"),
     ]
     lasts = [state, answered & _filled("channel"), answered & portal, _filled("note")]
+    return firsts, lasts
+
+
+def pivotal_events(events: DataFrame) -> DataFrame:
+    """application_id and ``pivots``, the events that any pick of the fold or the creation time rests on.
+
+    The winner among the winners of two parts is the winner of both, so folding the pivots of old
+    events together with new events gives the state of all events.
+    """
+    firsts, lasts = pivot_conditions()
     event = F.struct(*EVENT_COLUMNS)
     picks = [F.min(F.when(c, event)) for c in firsts] + [F.max(F.when(c, event)) for c in lasts]
     return events.groupBy("application_id").agg(

@@ -11,8 +11,8 @@ from fitweave.session import scratch_path
 from fitweave.streaming import applications, ingest
 
 
-class _Batch:
-    """Lets a table binding read one micro-batch."""
+class _Stream:
+    """Lets a table binding read a stream."""
 
     def __init__(self, events):
         self.events = events
@@ -27,10 +27,8 @@ def file_stream(t: Tables, name: str):
 @query("t2_stream_application_state", f"{EVENTS}, {APPS}, {state_sql('app_events')} {STATE_OUT}")
 def t2(t: Tables):
     folder = scratch_path(t.spark, "application-stream")
-    stream = applications.stream_application_state(
-        file_stream(t, "events"), folder, lambda rows: B.application_events(_Batch(rows))
-    )
-    stream.awaitTermination()
+    events = B.application_events(_Stream(file_stream(t, "events")))
+    applications.stream_application_state(events, folder).awaitTermination()
     return _shown_state(applications.read_state(t.spark, folder, B.application_events(t)))
 
 
