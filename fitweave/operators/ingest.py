@@ -24,11 +24,23 @@ FILL_FIELDS = ["company", "source_portal", "location", "work_model", "employment
                "contract_term", "language"]
 
 
-def find_duplicates(incoming: DataFrame, stored: DataFrame) -> DataFrame:
-    """First stored job with the same hash or URL per import.
+IMPORT_KEYS = ("content_hash", "source_url")
 
-    ``incoming``: import_id, content_hash, source_url.  ``stored``: job_id, imported_at and
-    the same two keys.
+
+def with_normalized_hash(rows: DataFrame, content: str = "content") -> DataFrame:
+    """Adds ``normalized_hash``, of the text without case, accents, punctuation and spacing.
+
+    Null for a text without letters and figures: such texts say nothing about each other.
+    """
+    folded = T.comparable_text(F.col(content))
+    return rows.withColumn("normalized_hash", F.when(folded != "", T.content_hash(folded)))
+
+
+def find_duplicates(incoming: DataFrame, stored: DataFrame, keys: tuple[str, ...] = IMPORT_KEYS) -> DataFrame:
+    """First stored job that agrees in any of the keys, per import.
+
+    ``incoming``: import_id and the keys.  ``stored``: job_id, imported_at and the same keys.  With
+    ``normalized_hash`` as a key, an ad posted again in another typography meets its first posting.
     """
     first = F.struct("imported_at", "job_id")
 
@@ -39,12 +51,30 @@ def find_duplicates(incoming: DataFrame, stored: DataFrame) -> DataFrame:
         # one candidate per key: Spark splits a hot key's imports by itself (adaptive skew join)
         return incoming.select("import_id", key).join(candidates, key).select("import_id", "found")
 
-    both = by("content_hash").unionByName(by("source_url"))
+    both = by(keys[0])
+    for key in keys[1:]:
+        both = both.unionByName(by(key))
     return both.groupBy("import_id").agg(F.min("found").alias("found")).select(
         "import_id", F.col("found.job_id").alias("existing_id")
     )
 
 
+def reposted_jobs(jobs: DataFrame) -> DataFrame:
+    """Every job with the first posting of its normalized text and how often that was posted.
+
+    ``jobs``: job_id, imported_at, content.  Only digests are shuffled; counts are combined first and a
+    text that is posted very often is sliced in the join.  A text without letters and figures stands alone.
+    """
+    keyed = with_normalized_hash(jobs).select("job_id", "imported_at", "normalized_hash")
+    first = F.min_by("job_id", F.struct("imported_at", "job_id")).alias("first_id")
+    groups = keyed.where(F.col("normalized_hash").isNotNull()).groupBy("normalized_hash").agg(
+        first, F.count(F.lit(1)).alias("postings"))
+    joined = balanced_join(keyed, groups, ["normalized_hash"], ["job_id"], how="left")
+    return joined.select(
+        "job_id", F.coalesce("first_id", "job_id").alias("first_id"), F.coalesce("postings", F.lit(1)).cast("long").alias("postings")
+    )
+
+
 # rounds before what is left is folded component by component
 LEADER_ROUNDS = 3
 

@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+import hashlib
+import inspect
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fitweave import vocab
+from fitweave.functions import taxonomy
 from fitweave.functions import text as T
+from fitweave.functions import urls
 from fitweave.operators import metadata, quality, seniority, structure
+from fitweave.operators.skew import balanced_join, sized_join
+from fitweave.session import materialize
 from fitweave.sources import pages as P
 
 
@@ -51,9 +61,66 @@ def import_pages(pages: DataFrame, hash_kind: str = "markdown") -> DataFrame:
     return extract_jobs(texts).withColumn("title", F.coalesce("title", "page_title"))
 
 
+# all that an extraction depends on
+INPUTS = ["content", "source_filename", "source_url"]
+
+
+@functools.cache
+def rule_version() -> str:
+    """Digest of the code and word lists that extraction rests on; any change of them makes results stale."""
+    sources = [inspect.getsource(m) for m in (vocab, T, taxonomy, urls, metadata, structure, seniority)]
+    return hashlib.sha256("\0".join([*sources, inspect.getsource(extract_jobs)]).encode()).hexdigest()[:16]
+
+
+def input_key() -> Column:
+    """Digest of the inputs of an extraction; a null differs from an empty value."""
+    return F.sha2(F.to_json(F.struct(*INPUTS)), 256)
+
+
+def extract_incremental(texts: DataFrame, folder: str, batch_id: int, version: str | None = None) -> DataFrame:
+    """``extract_jobs`` that computes only what no earlier batch has computed under the same rules.
+
+    ``texts``: job_id (unique), the ``INPUTS`` and any other columns; a column with the name of an extracted field
+    is replaced.  Adds ``fresh``: whether this batch extracted the row's text.  Results are kept by input key in
+    ``folder``, a part per rule version and batch, so equal texts are extracted once and a repeated
+    batch overwrites its own part.  Keys decide before any text moves: only texts that are extracted meet a join.
+    """
+    spark = texts.sparkSession
+    version = version or rule_version()
+    place = f"{folder}/version={version}"
+    keys = materialize(texts.select("job_id", input_key().alias("_key")), "extraction-keys")
+    fresh = keys.groupBy("_key").agg(F.min("job_id").alias("job_id"))
+    try:
+        known = spark.read.parquet(place).where(F.col("batch") < batch_id)
+        fresh = fresh.join(known.select("_key"), "_key", "left_anti")
+    except AnalysisException:  # nothing was extracted under these rules yet
+        pass
+    fresh = materialize(fresh, "fresh-keys")
+    inputs = sized_join(texts.select("job_id", *INPUTS), fresh, ["job_id"], [*INPUTS[:1]])
+    extracted = extract_jobs(inputs).drop("job_id", *INPUTS)
+    extracted.write.mode("overwrite").parquet(f"{place}/batch={batch_id}")
+    results = spark.read.schema(f"{_ddl(extracted)}, batch long").parquet(place).where(F.col("batch") <= batch_id)
+    results = results.withColumn("fresh", F.col("batch") == batch_id).drop("batch")
+    kept = [c for c in texts.columns if c not in results.columns]
+    keyed = texts.select(*kept, input_key().alias("_key"))
+    return balanced_join(keyed, results, ["_key"], ["job_id"], counted=keys.select("_key")).drop("_key")
+
+
+def _ddl(frame: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
+
+
+def reimport_incremental(stored: DataFrame, folder: str, batch_id: int) -> DataFrame:
+    """``reimport_jobs`` over kept results, with ``fresh`` for the rows whose text was extracted now."""
+    return _reimported(extract_incremental(stored, folder, batch_id))
+
+
 def reimport_jobs(stored: DataFrame) -> DataFrame:
     """Extraction repeated on stored text, keeping the job id."""
-    fresh = extract_jobs(stored)
+    return _reimported(extract_jobs(stored))
+
+
+def _reimported(fresh: DataFrame) -> DataFrame:
     return fresh.withColumn(
         "import_warnings",
         quality.merged_warnings(F.col("import_warnings"), T.empty_words(), reimport=True),

@@ -11,6 +11,7 @@ from fitweave.operators import reports as R
 from fitweave.operators import structure as ST
 from fitweave.plans import bindings as B
 from fitweave.plans.corpus import AD_ITEMS, REQUIREMENT_ROWS
+from fitweave.operators.search import search_many
 from fitweave.plans.registry import Tables, query
 
 
@@ -142,6 +143,23 @@ def p14(t: Tables):
     return D.keyword_search(rows, "Small  BRAND#1 zürich", ["p_name", "p_brand", "place", "p_type"]).select("p_partkey")
 
 
+# one search per supplier: two terms, one of a single sign, accents and capitals, one with no hit, one without terms
+_SEARCH = """case when s_suppkey % 50 = 7 then ' ' when s_suppkey % 5 = 0 then concat('Ring  brand#', cast(s_nationkey as string))
+  when s_suppkey % 5 = 1 then concat(cast(s_nationkey % 10 as string), ' small ZÜRICH')
+  when s_suppkey % 5 = 2 then concat('d w #', cast(s_nationkey as string))
+  when s_suppkey % 5 = 3 then concat('e ', cast(s_suppkey as string), '0') else 'econ RÏNG zürichs' end"""
+
+
+@query("p14_search_table", f"""with s as (select s_suppkey as search_id, strip_accents(lower({_SEARCH})) as terms from supplier),
+q as (select search_id, list_filter(string_split_regex(terms, '\\s+'), lambda t: t <> '') as terms from s),
+j as (select p_partkey as job_id, strip_accents(lower(concat_ws(' ', p_name, p_brand, 'Zürich', p_type))) as text from part)
+select search_id, job_id from q, j where len(list_filter(terms, lambda t: not contains(text, t))) = 0""")
+def p14_table(t: Tables):
+    rows = t.part.withColumn("place", F.lit("Zürich")).withColumnRenamed("p_partkey", "job_id")
+    searches = t.supplier.select(F.col("s_suppkey").alias("search_id"), F.expr(_SEARCH).alias("terms"))
+    return search_many(rows, searches, ["p_name", "p_brand", "place", "p_type"])
+
+
 @query("p15_status_filter", f"""with {JOBS}, f as (select *, job_id in (select job_id from matched) as has_matching from named)
 select 'archived' as filter, job_id, null as status from f where archived_at is not null
 union all select 'open', job_id, null from f where archived_at is null and has_matching and job_id not in (select job_id from apps)

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from fitweave.functions import dates
 from fitweave.functions import text as T
-from fitweave.operators import cv, graphs, history, ingest, quality, ranking, reports, reviews, skew
+from fitweave.operators import cv, dashboard, graphs, history, ingest, quality, ranking, reports, reviews, search, skew
 from fitweave.operators.skew import balanced_join
 from fitweave.plans import bindings as B
+from fitweave.plans import extraction
 from fitweave.plans.registry import Tables
 from fitweave.sources import tables
 from fitweave.streaming import applications as stream
@@ -279,6 +280,57 @@ def test_stream_of_pages_meets_jobs_of_earlier_batches(spark):
         assert sorted(r["title"] for r in jobs.collect()) == ["Bäcker", "Färber", "Müller", "Weber"]
 
 
+def test_search_table_equals_single_searches(spark):
+    """Substrings across words, accents, single signs, missing entries, empty searches and a hot entry."""
+    rng = random.Random(5)
+    words = ["Straße", "Köln", "data", "Data-Engineer", "ab", "c", "Zürich", "engine", "\u00e9t\u00e9"]
+    jobs = [(n, " ".join(["remote", *rng.choices(words, k=n % 6)]), None if n % 4 else rng.choice(words)) for n in range(300)]
+    jobs.append((900, None, None))
+    searches = ["remote", "straße", "zurich DATA", "c", "a-e", "e e", "engine  köl", "xyz", "", None, "  ", "ete", "data zzz q", "gineer"]
+    frame = spark.createDataFrame(jobs, "job_id int, title string, company string")
+    table = spark.createDataFrame(list(enumerate(searches)), "search_id int, terms string")
+    ours = sorted((r[0], r[1]) for r in search.search_many(frame, table, ["title", "company"]).collect())
+    alone = [(n, r["job_id"]) for n, terms in enumerate(searches)
+             for r in dashboard.keyword_search(frame, terms or "", ["title", "company"]).select("job_id").collect()]
+    assert ours == sorted(alone)
+    assert search.search_many(frame, table.limit(0), ["title"]).collect() == []
+    assert search.search_many(frame.limit(0), table, ["title"]).collect() == []
+
+
+def test_reposted_ads_meet_in_any_typography(spark):
+    rows = [(5, 2, "Köln: Data-Engineer (m/w/d)"), (6, 1, "KOLN  data engineer M W D!"), (7, 3, "köln dataengineer m w d"),
+            (8, 1, "..."), (9, 1, "-"), (10, 1, None), (11, 9, "Straße"), (12, 8, "STRASSE")]
+    jobs = spark.createDataFrame(rows, "job_id int, imported_at int, content string")
+    assert {tuple(r) for r in ingest.reposted_jobs(jobs).collect()} == {
+        (5, 6, 2), (6, 6, 2), (7, 7, 1), (8, 8, 1), (9, 9, 1), (10, 10, 1), (11, 12, 2), (12, 12, 2)}
+
+
+def test_reimport_extracts_changed_texts_and_rules_only(spark, sf):
+    ads = B.ads(Tables(spark, sf)).select("job_id", "content", "source_filename", "source_url").limit(30)
+    twice = materialize(ads.unionByName(ads.withColumn("job_id", F.col("job_id") + 100_000)), "ads-twice")
+    fields = ["job_id", "title", "location", "requirements", "activities", "seniority", "role"]
+    whole = sorted(extraction.extract_jobs(twice).select(*fields).collect(), key=lambda r: r["job_id"])
+
+    def run(texts, batch: int, version: str):
+        rows = extraction.extract_incremental(texts, folder, batch, version)
+        parts = spark.read.parquet(f"{folder}/version={version}")
+        written = parts.where(F.col("batch") == batch).count()
+        return sorted(rows.select(*fields, "fresh").collect(), key=lambda r: r["job_id"]), written
+
+    with tempfile.TemporaryDirectory() as folder:
+        first, written = run(twice, 0, "a")
+        assert [r[:-1] for r in first] == [tuple(r) for r in whole] and all(r["fresh"] for r in first)
+        assert written == ads.select("content", "source_filename", "source_url").distinct().count()
+        again, written = run(twice, 1, "a")
+        assert [r[:-1] for r in again] == [tuple(r) for r in whole] and not any(r["fresh"] for r in again) and written == 0
+        changed = twice.withColumn("content", F.when(F.col("job_id") == 100_000 + whole[0]["job_id"], "# Weber\n\nNeu").otherwise(F.col("content")))
+        for _ in range(2):  # the batch is repeated
+            third, written = run(changed, 2, "a")
+            assert written == 1
+        assert [r["title"] for r in third if r["fresh"]] == ["Weber"]
+        assert all(r["fresh"] for r in run(twice, 3, "b")[0])
+
+
 def test_match_scope_is_replaced_per_bucket(spark):
     old = spark.createDataFrame([(1, "p", "gap"), (2, "p", "gap")], "job_id int, profile_id string, match_level string")
     with tempfile.TemporaryDirectory() as folder:
