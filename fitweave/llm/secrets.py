@@ -38,8 +38,11 @@ class Rule:
     flags: int = re.ASCII
     group: int = 0
     least: int = 1  # characters of that group
+    linear: str = ""  # finds the same spans, as its group "span", without starting anew inside a run
 
     def spans(self, compiled: re.Pattern, text: str) -> list[tuple[int, int]]:
+        if "span" in compiled.groupindex:
+            return [m.span("span") for m in compiled.finditer(text)]
         return [m.span() for m in compiled.finditer(text) if m.end(self.group) - m.start(self.group) >= self.least]
 
 
@@ -52,7 +55,11 @@ MORE_RULES = (
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_bot", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # the first "eyJ" of a run leaves the longest rest, so if it does not match, no later one of the run does
+    Rule(
+        "web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+        linear=r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?(?=eyJ))(?P<span>eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)",
+    ),
 )
 RULES = BASE_RULES + MORE_RULES
 
@@ -175,7 +182,7 @@ def _scanner(rules: tuple[Rule, ...]) -> Callable[[list[str]], list[list[dict]]]
     for t, n in numbers.items():
         slots[int.from_bytes(t, "big")] = n
     asked = [[[numbers[t.encode()] for t in part if t.encode() in numbers] for part in q] for q in queries]
-    compiled = [re.compile(r.pattern, r.flags) for r in rules]
+    compiled = [re.compile(r.linear or r.pattern, r.flags) for r in rules]
 
     def scan(texts: list[str]) -> list[list[dict]]:
         segment = Segment([t.encode() for t in texts], slots, len(trigrams) + 1)

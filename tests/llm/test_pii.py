@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -35,6 +36,15 @@ def test_base_spans(text):
     assert pii.spans_of(text)[0] == plain(text)
 
 
+def test_long_runs_take_linear_time():
+    """4 MB of a run before a sign that no domain follows, and of signs in a row."""
+    started = time.perf_counter()
+    for text in ("a" * 4_000_000 + "@.", "a@" * 2_000_000, "a.@" * 1_300_000, "a@" + "b-" * 2_000_000):
+        assert pii.emails(text) == []
+    assert len(pii.emails("a@b.c " * 600_000)) == 600_000
+    assert time.perf_counter() - started < 30
+
+
 @pytest.mark.parametrize(
     "text",
     [

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -49,6 +50,20 @@ def test_index_loses_nothing(texts):
         assert [(x["start"], x["kind"], x["end"]) for x in spans] == [(s, rules[n].name, e) for s, n, e in full]
 
 
+@given(st.lists(st.sampled_from(["eyJ", "eyJabcdefgh", "ABCDEFGH", "x", ".", ".eyJ", "-", " ", "é", "12345678"]), max_size=14).map("".join))
+@settings(max_examples=500, deadline=None)
+def test_linear_form_finds_the_same_tokens(text):
+    rule = next(r for r in secrets.RULES if r.linear)
+    assert rule.spans(re.compile(rule.linear, rule.flags), text) == rule.spans(re.compile(rule.pattern, rule.flags), text)
+
+
+def test_long_runs_take_linear_time():
+    texts = ["eyJ" * 1_300_000, "token=" * 700_000, "f" * 4_000_000, "eyJabcdefgh." * 300_000]
+    started = time.perf_counter()
+    list(secrets._scanner(secrets.RULES)(texts))
+    assert time.perf_counter() - started < 30
+
+
 @pytest.mark.parametrize(
     ("pattern", "query"),
     [
