@@ -60,10 +60,10 @@ def search_many(jobs: DataFrame, searches: DataFrame, columns: list[str] | None
     wanted = materialize(needs.select("_gram").distinct(), "search-grams")
     entries = texts.select("job_id", F.explode(text_grams(F.col("_text"))).alias("_gram"))
     postings = materialize(sized_join(entries, wanted, ["_gram"], ["job_id"]), "search-postings")
-    lengths = postings.groupBy("_gram").agg(F.count(F.lit(1)).alias("_length"))
+    lengths = materialize(postings.groupBy("_gram").agg(F.count(F.lit(1)).alias("_length")), "search-lengths")
     # a search has as many entries as its own text has characters
     rarest = (
-        needs.join(lengths, "_gram", "left").groupBy("search_id")
+        sized_join(needs, lengths, ["_gram"], ["search_id"], how="left").groupBy("search_id")
         .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("_length", F.lit(0)).alias("_length"), "_gram"))).alias("_ranked"))
         .select("search_id", F.slice("_ranked", 1, lists).alias("_ranked"))
     )
